@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quizforge.llm import decontaminate, line_quality, line_templates, packing, simhash, token_counts
+from quizforge.llm import decontaminate, html_blocks, line_quality, line_templates, packing, quality_mil, simhash, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,5 +37,26 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_token_counts, op3_decontaminate, op4_simhash, op5_line_quality, op6_harmonic_packing)}
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (
+    op1_line_templates, op2_token_counts, op3_decontaminate, op4_simhash, op5_line_quality,
+    op6_harmonic_packing, op7_attention_quality, op8_html_blocks, op9_warc, op10_toxicity,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}
