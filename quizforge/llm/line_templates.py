@@ -49,7 +49,7 @@ def _leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 
 def _templates(leaves: DataFrame, depth: int, segments: int) -> DataFrame:
-    """A row for each template of a line: the whole line, and with each segment in turn generalised."""
+    """The templates of each line: the whole line, and with each segment in turn generalised."""
     n, tokens = F.col("n"), F.split("line", " ")
     cut = F.array(*[_segment(tokens, n, s, depth, segments) for s in range(segments)])
     named = leaves.withColumn("cut", cut)
@@ -59,7 +59,7 @@ def _templates(leaves: DataFrame, depth: int, segments: int) -> DataFrame:
         rest = [part[i] for i in range(segments) if i != s]
         forms.append(F.when(n >= depth + 2 * segments, F.xxhash64("leaf", F.lit(s), *rest)))
     listed = F.filter(F.array(*forms), lambda x: x.isNotNull())
-    return named.select("k_id", "k_text", "pos", F.explode(listed).alias("template"))
+    return named.select("k_id", "k_text", "pos", listed.alias("templates"))
 
 
 def drop_recurring_lines(
@@ -70,8 +70,10 @@ def drop_recurring_lines(
     # The tree is pruned first: a leaf with fewer lines than min_docs has no recurring template.
     hot = _leaf(lines, depth, min_tokens).groupBy("leaf").agg(F.count("*").alias("n_leaf")).where(F.col("leaf").isNotNull() & (F.col("n_leaf") >= min_docs))
     hot = stored(hot.select("leaf"), "leaves")
-    in_hot = lambda: _leaf(lines, depth, min_tokens).join(hot, "leaf", "left_semi")
-    once = _templates(in_hot(), depth, segments).groupBy("template", "k_id", "k_text").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+    # The few lines in those leaves are parsed further once; both uses below read what was stored.
+    in_hot = stored(_templates(_leaf(lines, depth, min_tokens).join(hot, "leaf", "left_semi"), depth, segments), "line_templates")
+    templates = in_hot.select("k_id", "k_text", "pos", F.explode("templates").alias("template"))
+    once = templates.groupBy("template", "k_id", "k_text").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     first = F.min(F.struct(F.col("k_id").isNull().alias("no_id"), F.col("k_id"), F.col("pos"), F.col("k_text")))
     recurring = (
         once.groupBy("template")
@@ -82,8 +84,7 @@ def drop_recurring_lines(
     recurring = stored(recurring, "templates")
     is_first = F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_text") == F.col("f_text")) & (F.col("pos") == F.col("f_pos"))
     dropped = (
-        _templates(in_hot(), depth, segments)
-        .join(recurring, "template")
+        templates.join(recurring, "template")
         .where(~is_first)
         .groupBy(F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text"))
         .agg(F.collect_set("pos").alias("d_pos"))
