@@ -68,7 +68,8 @@ def append_misses(docs: DataFrame, cache_path: str, tokenizer: str, text: str =
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(content_digest(body).alias("content_digest"), body.alias("body"))
     known = read_cache(docs.sparkSession, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest")
-    misses = texts.join(known, "content_digest", "left_anti").dropDuplicates(["content_digest"])
+    # Copies meet in the tasks that read them before anything is shuffled, so no digest floods a task.
+    misses = texts.dropDuplicates(["content_digest"]).join(known, "content_digest", "left_anti")
     counted = misses.mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
     # Counts are complete in a table of their own before the cache, which is being read, gets them.
     found = stored(counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens"), "misses")
