@@ -1,4 +1,323 @@
-"""The registered queries of the question-set operators."""
+"""The registered queries of the question-set operators, and SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quizforge.functions import folds, keys, text as X
+from quizforge.jobs import adapters as A
+from quizforge.operators import classify, compose, dedup, inference, summary, variants_image, variants_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+RUN_KEYS = ["model", "dataset", "action", "run_tag", "id"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants_text.apply_t1(A.t1_responses(A.items(spark, sf_dir)))
+
+
+@query(
+    A.oracle_ctes("items")
+    + """ SELECT dataset, subject, 'T1' AS action, count(*) AS total, count(*) FILTER (doc_id % 4 IN (0, 1)) AS changed, count(*) FILTER (doc_id % 4 IN (2, 3)) AS unchanged,
+    count(*) FILTER (doc_id % 4 <> 1) AS verify_passed, count(*) FILTER (doc_id % 4 = 1) AS verify_failed, CAST(0 AS BIGINT) AS verify_not_applicable FROM items GROUP BY ALL"""
+)
+def text_variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, literals, canned answers, apply, verify, summarise."""
+    return summary.variant_summary(_t1(spark, sf_dir))
+
+
+@query(A.oracle_ctes("items") + " SELECT id, dataset, md5(regexp_replace(stem, '\\s+$', '')) AS stem_md5, md5(opts) AS options_md5, length(stem) AS n FROM items")
+def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = X.split_query(F.col("query"))
+    return A.items(spark, sf_dir).select("id", "dataset", F.md5(half["stem"]).alias("stem_md5"), F.md5(half["options"]).alias("options_md5"), F.length("stem").cast("long").alias("n"))
+
+
+@query(
+    A.oracle_ctes("items")
+    + """ SELECT id, target AS label, CAST(4 AS BIGINT) AS n_options,
+    CASE target WHEN 'A' THEN substr(md5(id), 1, 6) WHEN 'B' THEN substr(md5(id), 7, 6) WHEN 'C' THEN substr(md5(id), 13, 6) WHEN 'D' THEN substr(md5(id), 19, 6) END AS answer_text FROM items"""
+)
+def mcq_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = X.parse_options(F.col("query"))
+    label = X.answer_label(F.col("target"))
+    answer = F.get(F.filter(options, lambda o: o["label"] == label), 0)["text"]
+    return A.items(spark, sf_dir).select("id", label.alias("label"), F.size(options).cast("long").alias("n_options"), answer.alias("answer_text"))
+
+
+@query(
+    A.oracle_ctes("items")
+    + """, found AS (SELECT id, list_concat(regexp_extract_all(stem, '<image\\s*\\d+>'), regexp_extract_all(stem, '\\$[^$]+\\$')) AS x FROM items)
+    SELECT id, CAST(len(list_distinct(x)) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(list_transform(x, lambda s: lower(regexp_replace(s, '\\s+', ' ', 'g'))))), '|') AS literals FROM found"""
+)
+def placeholder_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image places and formulas among the immutable literals of whole stems."""
+    own = F.filter(X.immutable_literals(F.col("stem")), lambda x: x.startswith("<") | x.startswith("$"))
+    return A.items(spark, sf_dir).select("id", F.size(own).cast("long").alias("n"), F.array_join(F.array_sort(F.transform(own, X.match_key)), "|").alias("literals"))
+
+
+_VERIFIED = """ SELECT dataset, field, id, 'T1' AS level, md5(concat(CASE WHEN doc_id % 4 = 0 THEN 'In other words: ' ELSE '' END, regexp_replace(stem, '\\s+$', ''), chr(10), opts)) AS query_md5, target,
+    CASE WHEN image IS NULL THEN '' ELSE replace(image, 'image/', 'original_image/') END AS images FROM items WHERE doc_id % 4 <> 1"""
+
+
+@query(A.oracle_ctes("items") + _VERIFIED)
+def text_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified variants with the original's images."""
+    out = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
+    return out.select("dataset", "field", "id", "level", F.md5("query").alias("query_md5"), "target", F.array_join("image_path", "|").alias("images"))
+
+
+_IMAGE = "FROM items i JOIN image_labels l ON i.doc_id = l.doc_id WHERE l.label = 'illustration' AND i.image IS NOT NULL AND i.doc_id % 13 <> 0"
+
+
+def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = A.items(spark, sf_dir)
+    return compose.build_image_qa(items, A.image_labels(spark, sf_dir), A.manifest(items, "modified_image", 13), "V2")
+
+
+@query(A.oracle_ctes("items", "image_labels") + f" SELECT i.dataset, i.field, i.id, 'V2' AS level, i.target, replace(i.image, 'image/', 'modified_image/') AS images {_IMAGE}")
+def image_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals of one image type with a modified image that exists."""
+    return _v2(spark, sf_dir).select("dataset", "field", "id", "level", "target", F.array_join("image_path", "|").alias("images"))
+
+
+@query(
+    A.oracle_ctes("items", "image_labels")
+    + f" SELECT 'T1V2' AS level, i.dataset, i.field, i.id, i.target, replace(i.image, 'image/', 'modified_image/') AS images, false AS target_mismatch {_IMAGE} AND i.doc_id % 4 <> 1"
+)
+def composite_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and image variants of the same item."""
+    text = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
+    out = compose.compose_tv(text, _v2(spark, sf_dir))
+    return out.select("level", "dataset", "field", "id", "target", F.array_join("image_path", "|").alias("images"), "target_mismatch")
+
+
+@query(A.oracle_ctes("items", "image_labels") + f" SELECT 'T1V2' AS level, count(*) AS n, CAST(0 AS BIGINT) AS target_mismatch, CAST(0 AS BIGINT) AS missing_image {_IMAGE} AND i.doc_id % 4 <> 1 HAVING count(*) > 0")
+def composite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
+    return compose.composite_stats(compose.compose_tv(text, _v2(spark, sf_dir)))
+
+
+@query(A.oracle_ctes("items") + " SELECT dataset, field, id, 'T2T4' AS level, md5(concat(trim(stem), chr(10), 'A. x', chr(10), 'B. ', target)) AS query_md5, 'B' AS target FROM items")
+def composite_t2t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of one variant with the options of another."""
+    items = A.items(spark, sf_dir)
+    t4 = items.select("dataset", "field", "id", F.concat(F.lit("Other stem\nA. x\nB. "), "target").alias("query"), F.lit("B").alias("target"))
+    out = compose.compose_t2t4(items.select("dataset", "field", "id", "query", "target", "image_path"), t4)
+    return out.select("dataset", "field", "id", "level", F.md5("query").alias("query_md5"), "target")
+
+
+@query("""WITH x AS (SELECT item_id, text, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM benchmark)
+SELECT item_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+(''[A-Za-z]+)?')) AS BIGINT) AS words, lower(trim(t)) AS match_key FROM x""")
+def benchmark_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English word counts and match keys."""
+    t = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return t.select("item_id", X.word_count_en(F.col("text")).cast("long").alias("words"), X.match_key(F.col("text")).alias("match_key"))
+
+
+@query(
+    A.oracle_ctes("image_labels")
+    + """, k AS (SELECT CASE WHEN doc_id % 2 = 1 THEN 'chemistry' WHEN doc_id % 3 = 0 THEN 'math' WHEN doc_id % 3 = 1 THEN 'physics' END AS subject, label FROM image_labels),
+    c AS (SELECT s.subject, count(*) FILTER (label = 'chart') AS chart, count(*) FILTER (label = 'illustration') AS illustration, count(*) FILTER (label = 'Photograph') AS "Photograph",
+          count(*) FILTER (label = 'Structure') AS "Structure", count(*) FILTER (label LIKE 'ERROR:%') AS invalid
+          FROM (SELECT unnest(['biology', 'chemistry', 'geography', 'materials', 'math', 'physics']) AS subject) s LEFT JOIN k ON s.subject = k.subject GROUP BY s.subject),
+    t AS (SELECT * FROM c UNION ALL SELECT 'ALL', CAST(sum(chart) AS BIGINT), CAST(sum(illustration) AS BIGINT), CAST(sum("Photograph") AS BIGINT), CAST(sum("Structure") AS BIGINT), CAST(sum(invalid) AS BIGINT) FROM c)
+    SELECT *, chart + illustration + "Photograph" + "Structure" AS total FROM t"""
+)
+def class_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject by label counts with totals."""
+    labels = A.image_labels(spark, sf_dir).select(F.col("subject_key").alias("image_key"), "label")
+    return classify.class_matrix(labels)
+
+
+@query(
+    A.oracle_ctes("items", "image_labels")
+    + """, s AS (SELECT CASE WHEN coalesce(lower(l.label) <> 'chart', true) OR i.image IS NULL THEN 'skipped_class' WHEN i.doc_id % 13 = 0 THEN 'skipped_missing_image' ELSE 'task' END AS state
+    FROM items i LEFT JOIN image_labels l ON i.doc_id = l.doc_id) SELECT state, count(*) AS n FROM s GROUP BY state"""
+)
+def chart_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = A.items(spark, sf_dir)
+    tasks = variants_image.select_chart_tasks(items, A.image_labels(spark, sf_dir), A.manifest(items, "image", 13))
+    return summary.reason_counts(tasks, "state")
+
+
+@query(
+    A.oracle_ctes("items", "image_labels")
+    + """, s AS (SELECT CASE WHEN i.image IS NULL THEN 'no_image' WHEN l.label IS NULL THEN 'no_label' WHEN l.label IN ('illustration', 'Photograph') THEN 'selected' ELSE 'other_type' END AS reason,
+    CASE WHEN i.image IS NOT NULL AND l.label IN ('illustration', 'Photograph') THEN lower(l.label) END AS image_type
+    FROM items i LEFT JOIN image_labels l ON i.doc_id = l.doc_id) SELECT reason, image_type, count(*) AS n FROM s GROUP BY ALL"""
+)
+def image_task_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = variants_image.select_image_tasks(A.items(spark, sf_dir), A.image_labels(spark, sf_dir))
+    return tasks.groupBy("reason", "image_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, k AS attempt, (doc_id * 7 + k * 31) % 140 AS raw, (doc_id + k) % 5 <> 0 AS render_ok FROM documents, range(1, 4) r(k)),
+    s AS (SELECT *, CAST(least(100, raw) AS INTEGER) AS score, render_ok AND least(100, raw) >= 90 AS good FROM a),
+    f AS (SELECT doc_id, min(attempt) FILTER (good) AS first_good FROM s GROUP BY doc_id)
+    SELECT f.doc_id, s.score, first_good IS NOT NULL AS success, CAST(s.attempt - 1 AS BIGINT) AS retry_times FROM f JOIN s ON f.doc_id = s.doc_id AND s.attempt = coalesce(first_good, 3)"""
+)
+def chart_best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    attempts = docs.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    raw = F.concat(F.lit("Looks fine.\nScore: "), ((F.col("doc_id") * 7 + F.col("attempt") * 31) % 140).cast("string"), F.lit("/100"))
+    attempts = attempts.withColumn("raw_evaluation", raw).withColumn("render_ok", (F.col("doc_id") + F.col("attempt")) % 5 != 0)
+    best = variants_image.best_attempt(attempts, ["doc_id"])
+    return best.select("doc_id", "score", "success", F.col("retry_times").cast("long").alias("retry_times"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id, min(k) FILTER ((doc_id + k) % 4 = 0) AS won FROM documents, range(0, 3) x(k) GROUP BY doc_id)
+    SELECT CAST(coalesce(won, 2) AS INTEGER) AS round_idx, CASE WHEN won IS NULL THEN 'cannot_modify' ELSE 'passed' END AS state, count(*) AS n FROM r GROUP BY ALL"""
+)
+def image_edit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of edit and verify; what fails goes again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(0).alias("retry_times"))
+
+    def step(left: DataFrame, n: int) -> DataFrame:
+        return left.withColumn("ok", F.lit(True)).withColumn("judge_answer", F.when((F.col("doc_id") + n) % 4 == 0, "No.").otherwise("Yes, it differs"))
+
+    return variants_image.run_rounds(docs, step).groupBy("round_idx", "state").agg(F.count("*").alias("n"))
+
+
+_OK = "status = 'ok' AND NOT contains(output, '[ERROR]') AND NOT contains(output, 'Error:') AND NOT contains(output, 'Exception:')"
+
+
+@query(A.oracle_ctes("asked", "outputs") + f" SELECT a.model, a.dataset, a.id FROM asked a WHERE NOT EXISTS (SELECT 1 FROM outputs o WHERE o.model = a.model AND o.dataset = a.dataset AND o.id = a.id AND {_OK})")
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that still lack a good output."""
+    return inference.resume_pending(A.asked(spark, sf_dir), A.outputs(spark, sf_dir), RUN_KEYS).select("model", "dataset", "id")
+
+
+@query(
+    A.oracle_ctes("asked", "outputs")
+    + """ SELECT a.id, a.dataset, coalesce(CASE WHEN o.status = 'error' THEN 'ok' ELSE o.status END, 'error') AS status,
+    md5(CASE WHEN o.id IS NULL THEN '[ERROR] no result' WHEN o.status = 'error' THEN 'second try' ELSE o.output END) AS output_md5
+    FROM asked a LEFT JOIN outputs o ON a.model = o.model AND a.dataset = o.dataset AND a.id = o.id"""
+)
+def merged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New results over old ones, in the items' order of keys; missing ones become error rows."""
+    old = A.outputs(spark, sf_dir).select(*RUN_KEYS, "output", "status")
+    new = old.where(F.col("status") == "error").withColumn("output", F.lit("second try")).withColumn("status", F.lit("ok"))
+    out = inference.merge_outputs(A.asked(spark, sf_dir), old, new, RUN_KEYS)
+    return out.select("id", "dataset", "status", F.md5("output").alias("output_md5"))
+
+
+@query(
+    A.oracle_ctes("outputs")
+    + """ SELECT source_file, count(*) AS results, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS error, CAST(grouping(source_file) AS INTEGER) AS overall FROM outputs GROUP BY ROLLUP (source_file)"""
+)
+def output_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.output_summary(A.outputs(spark, sf_dir))
+
+
+@query(
+    A.oracle_ctes("asked", "outputs")
+    + """ SELECT regexp_replace(o.model, '^.*/', '') AS model, a.id AS "index", md5(a.query) AS question_md5, a.target AS answer, md5(o.output) AS prediction_md5
+    FROM asked a JOIN outputs o ON a.model = o.model AND a.dataset = o.dataset AND a.id = o.id"""
+)
+def judge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inference.judge_rows(A.outputs(spark, sf_dir), A.asked(spark, sf_dir), RUN_KEYS)
+    return rows.select(keys.model_slug(F.col("model")).alias("model"), "index", F.md5("question").alias("question_md5"), "answer", F.md5("prediction").alias("prediction_md5"))
+
+
+@query("SELECT c.conv_id, c.turn, c.role, md5(coalesce(c.text, '')) AS text_md5 FROM conversations c JOIN (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id) m ON c.conv_id = m.conv_id AND c.turn = m.turn")
+def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-last by key."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    last = dedup.keep_last(t, ["conv_id"], F.col("turn"))
+    return last.select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query("SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS shard, 42 + (doc_id % 8) * 100000 + doc_id // 8 AS seed FROM documents")
+def sharded_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 8, 42)
+
+
+@query(
+    A.oracle_ctes("items")
+    + """, o AS (SELECT id, dataset, target, stem, [substr(md5(id), 1, 6), substr(md5(id), 7, 6), substr(md5(id), 13, 6), substr(md5(id), 19, 6)] AS x FROM items),
+    e AS (SELECT id, dataset, target, stem, CASE WHEN target = 'E' THEN NULL ELSE x[ascii(target) - 64] END AS good, list_concat(list_filter(x, lambda v, i: i <> ascii(target) - 64), [concat('extra ', id), 'none of these'], [x[ascii(target) - 64]]) AS every FROM o),
+    s AS (SELECT *, list_transform(list_sort(list_transform(every, lambda v, i: {'k': md5(concat('3|', dataset, '|', id, '|', CAST(i - 1 AS VARCHAR))), 'i': i, 't': v})), lambda y: y.t) AS shuffled FROM e)
+    SELECT id, CASE WHEN good IS NULL THEN target ELSE chr(CAST(64 + list_position(shuffled, good) AS INTEGER)) END AS answer, good IS NOT NULL AS rebuilt,
+    md5(CASE WHEN good IS NULL THEN '' ELSE array_to_string(list_transform(shuffled, lambda v, i: concat(chr(CAST(64 + i AS INTEGER)), '. ', v)), chr(10)) END) AS options_md5 FROM s"""
+)
+def rebuilt_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options with distractors, shuffled by a seeded hash and labelled anew."""
+    items = A.items(spark, sf_dir)
+    raw = F.array(F.concat(F.lit("extra "), "id"), F.lit("none of these"), F.concat(F.lit(" EXTRA  "), "id"))
+    items = items.withColumn("distractors", variants_text.clean_distractors(raw, X.parse_options(F.col("query"))))
+    out = variants_text.rebuild_mcq(items, seed=3)
+    rebuilt = F.col("modified_query") != F.col("query")
+    options = F.when(rebuilt, X.split_mcq(F.col("modified_query"))["options"]).otherwise(F.lit(""))
+    return out.select("id", F.col("modified_answer").alias("answer"), rebuilt.alias("rebuilt"), F.md5(options).alias("options_md5"))
+
+
+@query(
+    A.oracle_ctes("items")
+    + """ SELECT id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS verify_passed, doc_id % 3 = 0 AS text_changed,
+    md5(CASE WHEN doc_id % 3 = 0 THEN concat('Heat 0.5 L now. ', query) ELSE concat('Heat 500 mL now. ', query) END) AS query_md5 FROM items"""
+)
+def equivalent_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantity in other units is taken if it is equal, else the original stays."""
+    items = A.items(spark, sf_dir).withColumn("query", F.concat(F.lit("Heat 500 mL now. "), "query")).withColumn("can_modify", F.lit(True))
+    said = F.when(F.col("doc_id") % 3 == 0, "0.5 L").when(F.col("doc_id") % 3 == 1, "500 mL").otherwise("5 L")
+    pair = F.struct(F.lit("unit").alias("kind"), F.lit("500 mL").alias("original"), F.lit("{PH0}").alias("placeholder"), said.alias("transformed"))
+    out = variants_text.apply_t2(items.withColumn("pairs", F.array(pair)))
+    return out.select("id", "verify_passed", "text_changed", F.md5("modified_query").alias("query_md5"))
+
+
+@query(
+    A.oracle_ctes("items")
+    + """, ref AS (SELECT 'term ' || CAST(page_id % 50 AS VARCHAR) AS term_key, min(md5(coalesce(html, ''))) AS summary FROM pages GROUP BY 1)
+    SELECT i.id, r.summary IS NOT NULL AS verify_passed, CASE WHEN r.summary IS NOT NULL THEN concat('(ref): ', r.summary) END AS context FROM items i LEFT JOIN ref r ON r.term_key = 'term ' || CAST(i.doc_id % 60 AS VARCHAR)"""
+)
+def background_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords looked up in a reference table; the first usable block is the context."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    term = F.concat(F.lit("term "), (F.col("page_id") % 50).cast("string"))
+    reference = pages.select(term.alias("term_key"), F.lit("ref").alias("title"), F.md5(F.coalesce("html", F.lit(""))).alias("summary"))
+    items = A.items(spark, sf_dir).withColumn("words", F.array(F.lit("unknown thing"), F.concat(F.lit("  Term   "), (F.col("doc_id") % 60).cast("string")), F.lit("third")))
+    blocks = variants_text.lookup_terms(items, reference, ["dataset", "id"], "words", 2)
+    joined = items.join(blocks, ["dataset", "id"], "left").withColumn("can_modify", F.lit(True)).withColumn("background", F.lit(""))
+    return variants_text.apply_t3(joined).select("id", "verify_passed", "context")
+
+
+@query(
+    A.oracle_ctes("items", "image_labels")
+    + """ SELECT i.id, l.label LIKE 'ERROR:%' AS again FROM items i LEFT JOIN image_labels l ON i.doc_id = l.doc_id WHERE i.image IS NOT NULL AND (l.label IS NULL OR l.label LIKE 'ERROR:%')"""
+)
+def classification_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that have no label yet, and those to be tried again."""
+    items = A.items(spark, sf_dir).where(F.col("image").isNotNull()).select("id", F.col("image").alias("image_key"))
+    labels = A.image_labels(spark, sf_dir).select("image_key", "label")
+    new = classify.pending(items, labels, ["image_key"]).select("id", F.lit(None).cast("boolean").alias("again"))
+    return new.unionByName(classify.retry_errors(items, labels, ["image_key"]).select("id", F.lit(True).alias("again")))
+
+
+@query(A.oracle_ctes("items") + " SELECT id, md5(concat(replace(stem, 'Take', 'Use'))) AS text_md5, contains(stem, 'Take') AS first_applied FROM (SELECT id, concat('Take ', replace(stem, 'Take', 'Put')) AS stem FROM items)")
+def ordered_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-occurrence edits in turn over whole stems."""
+    items = A.items(spark, sf_dir).withColumn("stem", F.concat(F.lit("Take "), F.replace(F.col("stem"), F.lit("Take"), F.lit("Put"))))
+    edits = F.array(F.struct(F.lit("Take").alias("old"), F.lit("Use").alias("new")), F.struct(F.lit("no such text at all").alias("old"), F.lit("x").alias("new")))
+    done = folds.apply_replacements(F.col("stem"), edits)
+    return items.select("id", F.md5(done["text"]).alias("text_md5"), F.get(done["applied"], 0).alias("first_applied"))
+
+
+@query()
+def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring boundary with a deterministic stand-in for a model."""
+    requests = inference.build_requests(A.items(spark, sf_dir), "original", "Answer with one letter.").select("id", "dataset", "prompt")
+    return inference.infer(requests, lambda: lambda prompt: "ABCD"[len(prompt) % 4]).select("id", "dataset", "output", "status")

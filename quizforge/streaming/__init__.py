@@ -1,0 +1 @@
+"""Nothing here: the work has no stream, and resuming is a set difference of tables (see operators.inference)."""
