@@ -66,13 +66,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for i, j, data, offsets in text_chunks(batch.column(1)):
             hashes = [shingle_hashes(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             fp = fingerprints_of(hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(fp)], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a long."""
+    """(doc_id, text_key, fp) for every row: a hash of the whole text, and the fingerprint's 64 bits as a long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")
+    return docs.select("doc_id", text, key).mapInArrow(_fingerprint_batches, f"doc_id {kind}, text_key long, fp long")
 
 
 def link_bucket(fps: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, root): one row for each document.
+    """(doc_id, text_key, fingerprint, component_id, root): one row for each document.
 
     ``component_id`` is the smallest doc_id reachable by links of 2 or fewer differing bits; ``root`` names the
     class even where its ids are null.
@@ -185,12 +186,14 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         "known",
     )
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return fps.join(known, "fp").select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id."""
+    """``docs`` with one row of each class: that of the smallest doc_id (null ids last; repeated rows give one)."""
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     classes = near_duplicate_classes(docs, text)
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = stored(chosen.select(F.col("doc_id").alias("r_id"), F.conv("fingerprint", 16, 10).alias("r_fp"), "root").distinct(), "chosen")
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
+    chosen = stored(classes.groupBy("root").agg(first).select(F.col("f.doc_id").alias("r_id"), F.col("f.text_key").alias("r_key")), "chosen")
+    kept = docs.withColumn("r_text", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("r_text") == F.col("r_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "r_text"]).select(*docs.columns)
