@@ -148,7 +148,7 @@ def strip_fence(raw: Column) -> Column:
 
 def parse_score(raw: Column) -> Column:
     found = F.regexp_extract(raw, r"(?im)^\s*score\s*[:=-]\s*(\d{1,9})", 1)
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(found != "", found).try_cast("int")))
+    return F.when(found != "", F.least(F.lit(100), found.try_cast("int")))  # \d matches no sign, so 0 is the least
 
 
 def verdict_passes(raw: Column) -> Column:

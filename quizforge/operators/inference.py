@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quizforge.functions.keys import norm_output_id
 from quizforge.functions.text import result_ok
@@ -112,7 +113,7 @@ def infer(requests: DataFrame, scorer_factory: Callable[[], Callable[[str], str]
                     states.append("error")
             yield part.assign(output=outputs, status=states)
 
-    schema = requests.schema.add("output", "string").add("status", "string")
+    schema = StructType([*requests.schema.fields, StructField("output", StringType()), StructField("status", StringType())])
     return requests.mapInPandas(run, schema)
 
 
