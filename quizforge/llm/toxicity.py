@@ -83,7 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample_rows:
     rows.sort(key=lambda r: (r.slots, r.y))
     bias = 1 << SLOTS_LOG2
     model = FtrlProximal(bias)
-    bags = [(np.append(np.frombuffer(r.slots, np.int32), bias), r.y) for r in rows]
+    bags = []
+    while rows:  # a row is let go as soon as it is copied
+        r = rows.pop()
+        bags.append((np.append(np.frombuffer(r.slots, np.int32), np.int32(bias)), r.y))
     rng = np.random.default_rng(5)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
