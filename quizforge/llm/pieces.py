@@ -92,7 +92,7 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 class PieceEncoder:
     """Ids of texts; ``cut`` finds the pieces of this vocabulary."""
 
-    def __init__(self, path: str, cut, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, cut, most: int = 1_000_000) -> None:
         self.library, self.cut, self.most = Tokenizer.from_file(path), cut, most
         self.model = self.library.model
         self.clear()
