@@ -59,4 +59,40 @@ _OPERATORS = (
     op6_harmonic_packing, op7_attention_quality, op8_html_blocks, op9_warc, op10_toxicity,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op1_line_templates": r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS body, text FROM documents),
+raw AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM docs),
+parsed AS (SELECT doc_id, pos, string_split(regexp_replace(trim(regexp_replace(lower(line), '[ \t\r\x0b\f]+', ' ', 'g'), ' '), '[^\s0-9]*[0-9]\S*', '<*>', 'g'), ' ') AS t FROM raw),
+counted AS (SELECT *, len(t) AS n, greatest(len(t) - 4, 0) AS m FROM parsed WHERE len(t) >= 3),
+cut AS (SELECT *, [array_to_string(t[5 + m * s // 4 : 4 + m * (s + 1) // 4], ' ') FOR s IN [0, 1, 2, 3]] AS seg, array_to_string(t[1:4], ' ') AS lead FROM counted),
+forms AS (
+  SELECT doc_id, pos, n || '|' || lead || '|-1|' || array_to_string(seg, '|') AS form FROM cut
+  UNION ALL
+  SELECT doc_id, pos, n || '|' || lead || '|' || k || '|' || array_to_string([seg[i] FOR i IN [1, 2, 3, 4] IF i <> k], '|') FROM cut, range(1, 5) r(k) WHERE n >= 12),
+frequent AS (SELECT form, min({'d': doc_id, 'p': pos}) AS first FROM forms GROUP BY form HAVING count(DISTINCT doc_id) >= 5),
+dropped AS (SELECT DISTINCT f.doc_id, f.pos FROM forms f JOIN frequent q ON f.form = q.form WHERE NOT (f.doc_id = q.first.d AND f.pos = q.first.p)),
+per_doc AS (SELECT r.doc_id, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (x.pos IS NULL), '') AS kept
+            FROM raw r LEFT JOIN dropped x ON r.doc_id = x.doc_id AND r.pos = x.pos GROUP BY r.doc_id)
+SELECT p.doc_id, p.n_lines, p.n_dropped, CASE WHEN p.n_dropped = 0 THEN d.text ELSE p.kept END AS text FROM per_doc p JOIN docs d ON p.doc_id = d.doc_id
+""",
+    "op5_line_quality": r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS body, source FROM documents),
+w AS (SELECT doc_id, body, source, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM docs),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, 3) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, unnest(string_split(body, chr(10))) AS line FROM docs),
+worded AS (SELECT doc_id, source, line, [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR x IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS lw FROM lines),
+full_lines AS (SELECT * FROM worded WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY doc_id),
+frequent AS (SELECT source, lw FROM full_lines GROUP BY source, lw HAVING count(DISTINCT doc_id) > 50),
+gone AS (SELECT l.doc_id, CAST(sum(len(l.lw)) AS BIGINT) AS n_removed FROM full_lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.lw = f.lw GROUP BY l.doc_id),
+base AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(n_removed, 0) AS n_left
+  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN gone ON w.doc_id = gone.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left >= 0.5 * n_words AS kept FROM base
+""",
+}
