@@ -297,13 +297,13 @@ def background_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A.oracle_ctes("items", "image_labels")
-    + """ SELECT i.id, l.label LIKE 'ERROR:%' AS again FROM items i LEFT JOIN image_labels l ON i.doc_id = l.doc_id WHERE i.image IS NOT NULL AND (l.label IS NULL OR l.label LIKE 'ERROR:%')"""
+    + """ SELECT i.id, coalesce(l.label LIKE 'ERROR:%', false) AS again FROM items i LEFT JOIN image_labels l ON i.doc_id = l.doc_id WHERE i.image IS NOT NULL AND (l.label IS NULL OR l.label LIKE 'ERROR:%')"""
 )
 def classification_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images that have no label yet, and those to be tried again."""
     items = A.items(spark, sf_dir).where(F.col("image").isNotNull()).select("id", F.col("image").alias("image_key"))
     labels = A.image_labels(spark, sf_dir).select("image_key", "label")
-    new = classify.pending(items, labels, ["image_key"]).select("id", F.lit(None).cast("boolean").alias("again"))
+    new = classify.pending(items, labels, ["image_key"]).select("id", F.lit(False).alias("again"))
     return new.unionByName(classify.retry_errors(items, labels, ["image_key"]).select("id", F.lit(True).alias("again")))
 
 
