@@ -58,8 +58,9 @@ def mcq_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A.oracle_ctes("items")
-    + """, found AS (SELECT id, list_concat(regexp_extract_all(stem, '<image\\s*\\d+>'), regexp_extract_all(stem, '\\$[^$]+\\$')) AS x FROM items)
-    SELECT id, CAST(len(list_distinct(x)) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(list_transform(x, lambda s: lower(regexp_replace(s, '\\s+', ' ', 'g'))))), '|') AS literals FROM found"""
+    + """, found AS (SELECT id, list_concat(regexp_extract_all(stem, '<image\\s*\\d+>'), regexp_extract_all(stem, '\\$[^$]+\\$')) AS x FROM items),
+    keyed AS (SELECT id, list_distinct(list_transform(x, lambda s: lower(regexp_replace(s, '\\s+', ' ', 'g')))) AS k FROM found)
+    SELECT id, CAST(len(k) AS BIGINT) AS n, array_to_string(list_sort(k), '|') AS literals FROM keyed"""
 )
 def placeholder_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image places and formulas among the immutable literals of whole stems."""
