@@ -3,9 +3,12 @@
 A page is cut into leaf blocks: runs of text between block tags, each with its tag path. A bidirectional LSTM
 in numpy reads, for the whole page, hashed tag-path and word vectors of the blocks in order, and labels every
 block as main text or not; the text is the main blocks, joined by a space. The labeller is trained on blocks
-of a bounded sample of pages, labelled by the page's own semantic containers (article or main against nav,
-header, footer, aside, form and the like), and on the same blocks laid out anew in other known page shapes,
-with sidebars, notices, forms and reader comments, so that it doesn't depend on one layout.
+of a bounded sample of pages of any length, labelled by the page's own semantic containers (article or main
+against nav, header, footer, aside, form and the like), and on the same blocks laid out anew in other known page
+shapes, with sidebars, notices, forms and reader comments, so that it doesn't depend on one layout. The sample is
+chosen by the hash of page_id; of a page with more than ``DRAWN`` blocks it has ``RUNS`` runs of neighbours from
+all over the page, and only their vectors reach the driver. Where no sampled page has a block there is nothing to
+learn from, and blocks are labelled by their containers.
 
 Defined results: a null or empty html gives an empty text; a page of any length is read whole (long ones in
 windows that overlap, for context); script, style, head, comments and other unseen elements are no blocks;
@@ -36,7 +39,10 @@ _PART = re.compile(r"[a-z0-9]+")
 
 PATH_SLOTS, WORD_SLOTS, SHAPES = 48, 24, 6
 INPUT, HIDDEN = PATH_SLOTS + WORD_SLOTS + SHAPES, 16
+LINKED, PLACE = INPUT - 5, INPUT - 2
 WINDOW, CONTEXT = 256, 32
+#: Of a sampled page the labeller learns from so many blocks at most, drawn in so many runs.
+DRAWN, RUNS = 192, 8
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -106,20 +112,40 @@ def _slot(word: str, n: int) -> int:
     return zlib.crc32(word.encode()) % n
 
 
+def path_vector(path: tuple[str, ...]) -> np.ndarray:
+    x = np.zeros(PATH_SLOTS, np.float32)
+    for depth, part in enumerate(reversed(path)):
+        x[_slot(part, PATH_SLOTS)] += 1.0 / (1 + 0.15 * depth)
+    return x
+
+
+def text_vector(text: str) -> np.ndarray:
+    """What the text alone tells: the inputs after those of the path, with no links and no place yet."""
+    x = np.zeros(WORD_SLOTS + SHAPES, np.float32)
+    words = text.split(" ", 40)[:40]
+    for w in words:
+        x[_slot(w.lower(), WORD_SLOTS)] += 1.0 / len(words)
+    x[WORD_SLOTS:] = (np.log1p(len(text)) / 8, 0.0, text[-1] in ".!?\"'", len(words) < 5, 0.0, 1.0)
+    return x
+
+
 def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     """The input vector of every block."""
     x = np.zeros((len(page), INPUT), np.float32)
     for i, (path, text, linked) in enumerate(page):
-        for depth, part in enumerate(reversed(path)):
-            x[i, _slot(part, PATH_SLOTS)] += 1.0 / (1 + 0.15 * depth)
-        words = text.split(" ", 40)[:40]
-        for w in words:
-            x[i, PATH_SLOTS + _slot(w.lower(), WORD_SLOTS)] += 1.0 / len(words)
-        ends = text[-1] in ".!?\"'"
-        x[i, PATH_SLOTS + WORD_SLOTS :] = (np.log1p(len(text)) / 8, linked, ends, len(words) < 5, i / len(page), 1.0)
+        x[i, :PATH_SLOTS], x[i, PATH_SLOTS:] = path_vector(path), text_vector(text)
+        x[i, LINKED], x[i, PLACE] = linked, i / len(page)
     return x
 
 
+def drawn(n: int) -> np.ndarray:
+    """Of n blocks at most ``DRAWN``: all, or runs evenly spread from the first block to the last."""
+    if n <= DRAWN:
+        return np.arange(n)
+    run = DRAWN // RUNS
+    return (np.linspace(0, n - run, RUNS).astype(int)[:, None] + np.arange(run)).ravel()
+
+
 class BlockLstm:
     """A bidirectional LSTM with one logit a block, over padded batches (time, page, input)."""
 
@@ -271,71 +297,83 @@ _WITHIN = (("div", ".ad"), ("aside",), ("aside", "p"), ("div", ".advertisement",
 _BODY_TAGS = ("p", "p", "p", "p", "h2", "li", "blockquote", "td", "h3", "div", "pre", "figcaption", "dd")
 
 
-def laid_out_anew(main: list[tuple], other: list[tuple], rng: np.random.Generator) -> tuple[list[tuple], list[int]]:
-    """A page of the same texts in a random known shape, with its labels."""
+def laid_out_anew(main: np.ndarray, other: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a page of the same texts in a random known shape, with its labels."""
     pick = lambda options: options[rng.integers(len(options))]
-    texts = [t for _, t, _ in other] or ["Menu"]
-    bodies = [t for _, t, _ in main] or ["Text."]
+    texts = other[:, PATH_SLOTS:] if len(other) else text_vector("Menu")[None]
+    bodies = main[:, PATH_SLOTS:] if len(main) else text_vector("Text.")[None]
+    main = main[int(rng.integers(len(main))) :] if len(main) > 24 else main
+    page: list[tuple[tuple[str, ...], np.ndarray, float, int]] = []
 
-    def around(shapes: tuple, n: int) -> list[tuple]:
-        out = []
+    def around(shapes: tuple, n: int) -> None:
         for _ in range(n):
             path = pick(shapes)
             for _ in range(int(rng.integers(1, 6)) if path[-1] == "li" else 1):
                 # Readers' comments and sidebars read like main text: only their place tells.
                 text = pick(bodies) if rng.random() < 0.5 else pick(texts)
-                out.append((path, text, float(path[-1] == "li" and rng.random() < 0.8)))
-        return out
+                page.append((path, text, float(path[-1] == "li" and rng.random() < 0.8), 0))
 
     shell = pick(_SHELLS)
-    page = around(_BEFORE, int(rng.integers(0, 5)))
-    labels = [0] * len(page)
-    for n, (_, text, linked) in enumerate(main):
+    around(_BEFORE, int(rng.integers(0, 5)))
+    for n, x in enumerate(main[: int(rng.integers(1, 25))]):
         tag = "h1" if n == 0 and rng.random() < 0.7 else pick(_BODY_TAGS)
-        page.append((shell + (("ul", tag) if tag == "li" else ("table", "tr", tag) if tag == "td" else (tag,)), text, linked))
-        labels.append(1)
+        page.append((shell + (("ul", tag) if tag == "li" else ("table", "tr", tag) if tag == "td" else (tag,)), x[PATH_SLOTS:], x[LINKED], 1))
         if rng.random() < 0.08:
-            page.append((shell + pick(_WITHIN), pick(texts) if rng.random() < 0.5 else pick(bodies), 0.0))
-            labels.append(0)
-    after = around(_AFTER, int(rng.integers(0, 6)))
-    return page + after, labels + [0] * len(after)
+            page.append((shell + pick(_WITHIN), pick(texts) if rng.random() < 0.5 else pick(bodies), 0.0, 0))
+    around(_AFTER, int(rng.integers(0, 6)))
+    out = np.zeros((len(page), INPUT), np.float32)
+    for i, (path, text, linked, _) in enumerate(page):
+        out[i, :PATH_SLOTS], out[i, PATH_SLOTS:] = path_vector(path), text
+        out[i, LINKED], out[i, PLACE] = linked, i / len(page)
+    return out, np.array([y for *_, y in page], np.float32)
 
 
-def train(pages: list[str], *, layouts: int = 2, longest: int = 48, seed: int = 4) -> BlockLstm:
-    """A labeller from the pages' own containers and from ``layouts`` new shapes of each."""
+def train(pages: list[tuple[np.ndarray, np.ndarray]], *, layouts: int = 2, seed: int = 4) -> BlockLstm | None:
+    """A labeller from the pages' (vectors, labels) and from ``layouts`` new shapes of each; none without blocks."""
     rng = np.random.default_rng(seed)
     known = []
-    for page in pages:
-        own = blocks(page)[:longest]
-        labels = [container_label(p) for p, _, _ in own]
-        if own:
-            known.append((vectors(own), np.array(labels, np.float32)))
-        main = [b for b, y in zip(own, labels, strict=True) if y]
-        other = [b for b, y in zip(own, labels, strict=True) if not y]
-        for _ in range(layouts):
-            made, y = laid_out_anew(main[: int(rng.integers(1, 25))], other, rng)
-            known.append((vectors(made), np.array(y, np.float32)))
+    for x, y in pages:
+        if len(x):
+            known.append((x, y))
+            known += [laid_out_anew(x[y > 0], x[y == 0], rng) for _ in range(layouts)]
+    known = [(x, y) for x, y in known if len(x)]
+    if not known:
+        return None
     model = BlockLstm()
-    if known:
-        model.fit(known)
+    model.fit(known, epochs=max(8, 120 // -(-len(known) // 64)))  # few pages are read more often: 120 steps at least
     return model
 
 
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors and container labels of the drawn blocks of each page."""
+    for batch in batches:
+        for page in batch.column(0):
+            own = blocks(page.as_py())
+            at = drawn(len(own))
+            y = np.array([container_label(own[i][0]) for i in at], np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([vectors(own)[at].tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+
 def extract(pages: DataFrame, *, html: str = "html", sample_pages: int = 300) -> DataFrame:
-    """(page_id, url, text, n_chars): one row for each page; the labeller learns from ``sample_pages`` pages at most."""
-    chosen = pages.where(F.col(html).isNotNull() & (F.length(html) < 20_000)).select("page_id", F.col(html).alias("html"))
-    ids = chosen.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-    sample = chosen.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()  # at most sample_pages short pages
-    model = train([r.html for r in sorted(sample, key=lambda r: r.html)])
+    """(page_id, url, text, n_chars): one row for each page; the labeller learns from ``sample_pages`` pages at most.
+
+    At most ``sample_pages`` * ``DRAWN`` vectors of ``INPUT`` floats (18 MB) reach the driver.
+    """
+    chosen = pages.where(F.length(html) > 0).select("page_id", F.col(html).alias("html"))
+    ids = chosen.select(F.col("page_id").alias("s_id")).distinct().orderBy(F.xxhash64("s_id"), "s_id").limit(sample_pages)
+    sample = chosen.join(F.broadcast(ids), F.col("page_id").eqNullSafe(F.col("s_id"))).groupBy("page_id").agg(F.min("html").alias("html"))
+    rows = sorted((bytes(r.x), bytes(r.y)) for r in sample.select("html").mapInArrow(_draw, "x binary, y binary").collect())
+    model = train([(np.frombuffer(x, np.float32).reshape(-1, INPUT), np.frombuffer(y, np.float32)) for x, y in rows])
     sent = pages.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
                 cut = [blocks(h) if h else [] for h in part.column(2).to_pylist()]
-                labels = sent.value.label([vectors(b) for b in cut])
+                labels = model.label([vectors(b) for b in cut]) if model else [[container_label(p) for p, _, _ in b] for b in cut]
                 texts = [" ".join(t for (_, t, _), main in zip(b, y, strict=True) if main) for b, y in zip(cut, labels, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -236,6 +236,23 @@ def test_html_blocks(spark):
     assert right >= 0.98 * len(pages)
 
 
+def test_html_labeller_learns_from_long_pages(spark, monkeypatch):
+    body = "".join(f"<p>The story goes on in part {k} of this long page.</p>" for k in range(500))
+    long = [(i, "u", f"<body><nav><a>Home {i}</a></nav><article>{body}</article><div class=replies><p>I liked part {i} of the story.</p></div></body>") for i in range(8)]
+    pages = spark.createDataFrame(long, "page_id long, url string, html string")
+    seen, train = [], html_blocks.train
+    monkeypatch.setattr(html_blocks, "train", lambda own, **options: seen.extend(own) or train(own, **options))
+    out = html_blocks.extract(pages).collect()
+    # Every page is longer than 20,000 characters; what is learnt from has the opening, the middle and the end.
+    assert len(seen) == 8 and all(len(x) <= html_blocks.DRAWN and y[0] == y[-1] == 0 and y[1:-1].all() and x[-1, html_blocks.PLACE] > 0.99 for x, y in seen)
+    assert all(r.text.count("The story") == 500 and "Home" not in r.text and "liked" not in r.text for r in out)
+    at = html_blocks.drawn(10_000)
+    assert at[0] == 0 and at[-1] == 9_999 and len(set(at.tolist())) == html_blocks.DRAWN and np.diff(at).max() < 10_000 / (html_blocks.RUNS - 1)
+    assert html_blocks.train([]) is None
+    none = html_blocks.extract(spark.createDataFrame([(1, "u", "<nav>Home</nav><article>Text</article>")], "page_id long, url string, html string"), sample_pages=0)
+    assert [r.text for r in none.collect()] == ["Text"]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "u", "same"), (5, "u", "same"), (3, "v", "same"), (2, "w\n x", "é\r\n\r\nWARC/1.1\r\n"), (4, None, None), (6, "y", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
