@@ -1,7 +1,7 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block tags, each with its tag path. A bidirectional LSTM
-in numpy reads, for the whole page, hashed tag-path and word vectors of the blocks in order, and labels every
+in numpy reads, for the whole page, hashed vectors of the whole tag path and of all words of the blocks in order, and labels every
 block as main text or not; the text is the main blocks, joined by a space. The labeller is trained on blocks
 of a bounded sample of pages of any length, labelled by the page's own semantic containers (article or main
 against nav, header, footer, aside, form and the like), and on the same blocks laid out anew in other known page
@@ -17,7 +17,6 @@ unclosed tags end with their container; repeated rows are extracted each for its
 
 from __future__ import annotations
 
-import functools
 import html as html_lib
 import re
 import zlib
@@ -45,10 +44,23 @@ WINDOW, CONTEXT = 256, 32
 DRAWN, RUNS = 192, 8
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """The tags open around a block, with their names, as a chain to the root: blocks share it, at any depth."""
+
+    __slots__ = ("parent", "parts", "level", "end", "main")
+
+    def __init__(self, parent: Path | None, parts: tuple[str, ...]) -> None:
+        self.parent, self.parts = parent, parts
+        self.level, self.end, own = (parent.level + 1, parent.end, parent.main) if parent else (0, 0, 0)
+        self.end += len(parts)
+        #: 1 if the innermost telling container is one of main text.
+        self.main = next((int(p in MAIN_PARTS) for p in reversed(parts) if p in OTHER_PARTS or p in MAIN_PARTS), own)
+
+
+def blocks(page: str) -> list[tuple[Path | None, str, float]]:
     """(tag path, text, share of characters in links) of every leaf block with text, in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[tuple[str, ...], str, float]] = []
+    stack: list[tuple[str, Path]] = []
+    out: list[tuple[Path | None, str, float]] = []
     text: list[str] = []
     linked = [0, 0]  # characters in links, open links
     unseen = 0
@@ -56,7 +68,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     def end_block() -> None:
         words = " ".join(html_lib.unescape("".join(text)).split())
         if words:
-            out.append((tuple(p for _, parts in stack[-8:] for p in parts), words, min(1.0, linked[0] / len(words))))
+            out.append((stack[-1][1] if stack else None, words, min(1.0, linked[0] / len(words))))
         text.clear()
         linked[0] = 0
 
@@ -100,38 +112,69 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             if (tag == closing or closing == "p") and stack and stack[-1][0] == closing and (inside is None or stack[-1][0] not in inside):
                 stack.pop()
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-        stack.append((tag, (tag, *("." + x for x in _PART.findall(named.lower())))))
+        stack.append((tag, Path(stack[-1][1] if stack else None, (tag, *("." + x for x in _PART.findall(named.lower()))))))
         unseen += tag in UNSEEN
     say(page[at:])
     end_block()
     return out
 
 
-@functools.lru_cache(100_000)
-def _slot(word: str, n: int) -> int:
-    return zlib.crc32(word.encode()) % n
+class _Slots(dict):
+    """word -> slot, kept for 100,000 words at most."""
 
+    def __init__(self, n: int) -> None:
+        self.n = n
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    x = np.zeros(PATH_SLOTS, np.float32)
-    for depth, part in enumerate(reversed(path)):
-        x[_slot(part, PATH_SLOTS)] += 1.0 / (1 + 0.15 * depth)
-    return x
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        self[word] = slot = zlib.crc32(word.encode()) % self.n
+        return slot
+
+
+_path_slots, _word_slots = _Slots(PATH_SLOTS), _Slots(WORD_SLOTS)
+
+
+class PathVectors:
+    """The path inputs of blocks in page order; only what changed since the block before is looked up."""
+
+    def __init__(self) -> None:
+        self.chain: list[Path] = []
+        self.slots, self.weights = np.zeros(64, np.int64), 1.0 / (1 + 0.15 * np.arange(64))
+        self.last = np.zeros(PATH_SLOTS)
+
+    def __call__(self, path: Path | None) -> np.ndarray:
+        if path is (self.chain[-1] if self.chain else None):
+            return self.last
+        new = []
+        while path is not None and not (path.level < len(self.chain) and self.chain[path.level] is path):
+            new.append(path)
+            path = path.parent
+        del self.chain[path.level + 1 if path is not None else 0 :]
+        for node in reversed(new):
+            if node.end > len(self.slots):
+                self.slots = np.resize(self.slots, 2 * node.end)
+                self.weights = 1.0 / (1 + 0.15 * np.arange(2 * node.end))
+            self.slots[node.end - len(node.parts) : node.end] = [_path_slots[p] for p in node.parts]
+            self.chain.append(node)
+        n = self.chain[-1].end if self.chain else 0
+        self.last = np.bincount(self.slots[:n][::-1], self.weights[:n], PATH_SLOTS)
+        return self.last
 
 
 def text_vector(text: str) -> np.ndarray:
     """What the text alone tells: the inputs after those of the path, with no links and no place yet."""
-    x = np.zeros(WORD_SLOTS + SHAPES, np.float32)
-    words = text.split(" ", 40)[:40]
-    for w in words:
-        x[_slot(w.lower(), WORD_SLOTS)] += 1.0 / len(words)
+    words = text.lower().split(" ")
+    x = np.empty(WORD_SLOTS + SHAPES, np.float32)
+    x[:WORD_SLOTS] = np.bincount([_word_slots[w] for w in words], minlength=WORD_SLOTS) / len(words)
     x[WORD_SLOTS:] = (np.log1p(len(text)) / 8, 0.0, text[-1] in ".!?\"'", len(words) < 5, 0.0, 1.0)
     return x
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def vectors(page: list[tuple[Path | None, str, float]]) -> np.ndarray:
     """The input vector of every block."""
     x = np.zeros((len(page), INPUT), np.float32)
+    path_vector = PathVectors()
     for i, (path, text, linked) in enumerate(page):
         x[i, :PATH_SLOTS], x[i, PATH_SLOTS:] = path_vector(path), text_vector(text)
         x[i, LINKED], x[i, PLACE] = linked, i / len(page)
@@ -280,14 +323,9 @@ OTHER_PARTS = frozenset(
 )
 
 
-def container_label(path: tuple[str, ...]) -> int:
-    """1 if the innermost telling container of a block is one of main text."""
-    for part in reversed(path):
-        if part in OTHER_PARTS:
-            return 0
-        if part in MAIN_PARTS:
-            return 1
-    return 0
+def container_label(path: Path | None) -> int:
+    """1 if the innermost telling container of a block is one of main text, however far out it is."""
+    return path.main if path is not None else 0
 
 
 _SHELLS = (("body", "article"), ("body", "main"), ("body", "main", "article"), ("body", "div", ".content"), ("body", "div", ".wrapper", "div", ".post", ".entry"), ("body", "div", "div", ".main", "section"), ("body", "div", ".page", "article", ".story"), ("body", "div", ".article"))
@@ -323,7 +361,7 @@ def laid_out_anew(main: np.ndarray, other: np.ndarray, rng: np.random.Generator)
     around(_AFTER, int(rng.integers(0, 6)))
     out = np.zeros((len(page), INPUT), np.float32)
     for i, (path, text, linked, _) in enumerate(page):
-        out[i, :PATH_SLOTS], out[i, PATH_SLOTS:] = path_vector(path), text
+        out[i, :PATH_SLOTS], out[i, PATH_SLOTS:] = PathVectors()(Path(None, path)), text
         out[i, LINKED], out[i, PLACE] = linked, i / len(page)
     return out, np.array([y for *_, y in page], np.float32)
 

@@ -236,15 +236,32 @@ def test_html_blocks(spark):
     assert right >= 0.98 * len(pages)
 
 
+def test_html_blocks_keep_the_whole_path_and_all_words():
+    deep = "<section class=comments>" + "<ol><li>" * 6 + "<p>A reader says this.</p>" + "</li></ol>" * 6 + "</section>"
+    page = html_blocks.blocks(f"<main><p>Text.</p>{deep}</main><main>{'<div>' * 20}<p>Deep text.</p>")
+    assert [html_blocks.container_label(p) for p, _, _ in page] == [1, 0, 1]
+    # The weight of each part of the path by its place from the block, and the share of each word.
+    want = np.zeros((3, html_blocks.PATH_SLOTS))
+    for row, parts in enumerate((["main", "p"], ["main", "section", ".comments", *["ol", "li"] * 6, "p"], ["main", *["div"] * 20, "p"])):
+        for depth, part in enumerate(reversed(parts)):
+            want[row, zlib.crc32(part.encode()) % html_blocks.PATH_SLOTS] += 1 / (1 + 0.15 * depth)
+    assert np.allclose(html_blocks.vectors(page)[:, : html_blocks.PATH_SLOTS], want, atol=1e-5)
+    a, b = (html_blocks.vectors([(None, "word " * 40 + end, 0.0)])[0] for end in ("reply login share", "river garden stone"))
+    assert not np.allclose(a, b)
+    n = 20_000
+    unclosed = html_blocks.blocks("<div>x" * n)
+    assert len(unclosed) == n and html_blocks.vectors(unclosed[-3:]).shape == (3, html_blocks.INPUT)
+
+
 def test_html_labeller_learns_from_long_pages(spark, monkeypatch):
     body = "".join(f"<p>The story goes on in part {k} of this long page.</p>" for k in range(500))
-    long = [(i, "u", f"<body><nav><a>Home {i}</a></nav><article>{body}</article><div class=replies><p>I liked part {i} of the story.</p></div></body>") for i in range(8)]
+    long = [(i, "u", f"<body><nav><a>Home {i}</a></nav><article>{body}</article><div class=replies><p>I liked part {i} of the story.</p></div></body>") for i in range(4)]
     pages = spark.createDataFrame(long, "page_id long, url string, html string")
     seen, train = [], html_blocks.train
     monkeypatch.setattr(html_blocks, "train", lambda own, **options: seen.extend(own) or train(own, **options))
     out = html_blocks.extract(pages).collect()
     # Every page is longer than 20,000 characters; what is learnt from has the opening, the middle and the end.
-    assert len(seen) == 8 and all(len(x) <= html_blocks.DRAWN and y[0] == y[-1] == 0 and y[1:-1].all() and x[-1, html_blocks.PLACE] > 0.99 for x, y in seen)
+    assert len(seen) == 4 and all(len(x) <= html_blocks.DRAWN and y[0] == y[-1] == 0 and y[1:-1].all() and x[-1, html_blocks.PLACE] > 0.99 for x, y in seen)
     assert all(r.text.count("The story") == 500 and "Home" not in r.text and "liked" not in r.text for r in out)
     at = html_blocks.drawn(10_000)
     assert at[0] == 0 and at[-1] == 9_999 and len(set(at.tolist())) == html_blocks.DRAWN and np.diff(at).max() < 10_000 / (html_blocks.RUNS - 1)
