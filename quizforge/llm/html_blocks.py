@@ -10,8 +10,8 @@ chosen by the hash of page_id; of a page with more than ``DRAWN`` blocks it has
 all over the page, and only their vectors reach the driver. Where no sampled page has a block there is nothing to
 learn from, and blocks are labelled by their containers.
 
-Defined results: a null or empty html gives an empty text; a page of any length is read whole (long ones in
-windows that overlap, for context); script, style, head, comments and other unseen elements are no blocks;
+Defined results: a null or empty html gives an empty text; a page of any length is read as one sequence in both
+directions (long ones in windows, with the states carried from one to the next); script, style, head, comments and other unseen elements are no blocks;
 unclosed tags end with their container; repeated rows are extracted each for itself.
 """
 
@@ -39,7 +39,8 @@ _PART = re.compile(r"[a-z0-9]+")
 PATH_SLOTS, WORD_SLOTS, SHAPES = 48, 24, 6
 INPUT, HIDDEN = PATH_SLOTS + WORD_SLOTS + SHAPES, 16
 LINKED, PLACE = INPUT - 5, INPUT - 2
-WINDOW, CONTEXT = 256, 32
+#: Steps of a page that are worked on at once, and padded blocks in a batch of pages: both bound memory only.
+WINDOW, BATCH_BLOCKS = 256, 80_000
 #: Of a sampled page the labeller learns from so many blocks at most, drawn in so many runs.
 DRAWN, RUNS = 192, 8
 
@@ -269,13 +270,12 @@ class BlockLstm:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def _states(self, x: np.ndarray, mask: np.ndarray, side: str) -> np.ndarray:
-        """The hidden states of one direction, as ``_side`` gives them, with nothing kept for gradients."""
+    def _states(self, x: np.ndarray, mask: np.ndarray, side: str, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hidden states of one direction from h and c on, as ``_side`` gives them, and the last h and c."""
         steps, pages, _ = x.shape
         w, b = self.w[side], self.w[side + "b"]
         given = (x.reshape(-1, INPUT) @ w[:INPUT] + b).reshape(steps, pages, -1)
         recurrent = w[INPUT:]
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
         out = np.empty((steps, pages, HIDDEN), np.float32)
         full = mask.all(axis=1)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
@@ -286,24 +286,32 @@ class BlockLstm:
             nh = opened[:, 2 * HIDDEN :] * np.tanh(nc)
             h, c = (nh, nc) if full[t] else (np.where(mask[t][:, None], nh, h), np.where(mask[t][:, None], nc, c))
             out[t] = h
-        return out
+        return out, h, c
+
+    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The logits over whole sequences, as ``logits`` gives them; a window at a time."""
+        z = np.full(mask.shape, self.w["ob"][0], np.float32)
+        starts = range(0, len(x), WINDOW)
+        for n, side in enumerate("fb"):
+            h, c = (np.zeros((x.shape[1], HIDDEN), np.float32) for _ in range(2))
+            for a in starts if side == "f" else reversed(starts):
+                states, h, c = self._states(x[a : a + WINDOW], mask[a : a + WINDOW], side, h, c)
+                z[a : a + WINDOW] += states @ self.w["o"][n * HIDDEN : (n + 1) * HIDDEN]
+        return z
 
     def label(self, pages: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
-        """True for main blocks; long pages are labelled in overlapping windows."""
+        """True for main blocks, each by the whole page."""
         out = [np.zeros(len(p), bool) for p in pages]
-        parts = [(i, a, max(0, a - CONTEXT), min(len(p), a + WINDOW + CONTEXT)) for i, p in enumerate(pages) for a in range(0, len(p), WINDOW)]
-        parts.sort(key=lambda s: s[3] - s[2])
+        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
         at = 0
-        while at < len(parts):
+        while at < len(order):
             # Pages of like length go together, so that little is padded.
-            most = 1.25 * (parts[at][3] - parts[at][2]) + 3
-            own = [s for s in parts[at : at + batch] if s[3] - s[2] <= most]
+            most = 1.25 * len(pages[order[at]]) + 3
+            own = [i for i in order[at : at + min(batch, max(1, int(BATCH_BLOCKS / most)))] if len(pages[i]) <= most]
             at += len(own)
-            x, mask = padded([pages[i][lo:hi] for i, _, lo, hi in own])
-            z = self._states(x, mask, "f") @ self.w["o"][:HIDDEN] + self._states(x, mask, "b") @ self.w["o"][HIDDEN:] + self.w["ob"][0]
-            for k, (i, a, lo, hi) in enumerate(own):
-                b = min(a + WINDOW, len(pages[i]))
-                out[i][a:b] = z[a - lo : b - lo, k] > 0
+            z = self.scores(*padded([pages[i] for i in own]))
+            for k, i in enumerate(own):
+                out[i] = z[: len(pages[i]), k] > 0
         return out
 
 

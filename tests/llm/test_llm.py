@@ -253,6 +253,27 @@ def test_html_blocks_keep_the_whole_path_and_all_words():
     assert len(unclosed) == n and html_blocks.vectors(unclosed[-3:]).shape == (3, html_blocks.INPUT)
 
 
+def test_html_labels_rest_on_the_whole_page():
+    rng = np.random.default_rng(9)
+    n, lengths = html_blocks.HIDDEN, (700, 40, 1100, 0, 701, 256, 1)
+    pages = [rng.random((k, html_blocks.INPUT), np.float32) for k in lengths]
+    for side, at in (("f", 0), ("b", -1)):
+        # A labeller whose state is set by a block with input 0 at one, here the page's first or last, and lasts.
+        model = html_blocks.BlockLstm()
+        model.w = {k: np.zeros_like(v) for k, v in model.w.items()}
+        model.w[side][0, :n], model.w[side + "b"][:] = 40.0, np.repeat([-20.0, 20.0, 20.0, 2.0], n)
+        model.w["o"][(0 if side == "f" else n) :][:n], model.w["ob"][0] = 1.0, -1.0
+        for p in pages:
+            p[:, 0] = 0
+            p[at : at + 1 if at == 0 else None, 0] = 1
+        assert [y.tolist() for y in model.label(pages)] == [[True] * k for k in lengths]
+    model = html_blocks.BlockLstm()
+    for p, got in zip(pages, model.label(pages), strict=True):
+        if len(p):
+            whole = model.logits(*html_blocks.padded([p]))[0][:, 0]
+            assert (got == (whole > 0))[np.abs(whole) > 1e-4].all()
+
+
 def test_html_labeller_learns_from_long_pages(spark, monkeypatch):
     body = "".join(f"<p>The story goes on in part {k} of this long page.</p>" for k in range(500))
     long = [(i, "u", f"<body><nav><a>Home {i}</a></nav><article>{body}</article><div class=replies><p>I liked part {i} of the story.</p></div></body>") for i in range(4)]
