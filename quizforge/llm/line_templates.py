@@ -4,7 +4,9 @@ Every line is parsed at a fixed depth: its token count, then its leading tokens,
 digit are variable fields. In a leaf the rest of a line is cut into segments, and a template is the line with
 at most one segment generalised, so lines that differ in one field share a template. A template in at least
 ``min_docs`` documents recurs; of its lines the first one (smallest doc_id, then position) stays and the
-others are dropped.
+others are dropped. With ``long_min_docs``, a whole line of over ``long_tokens`` tokens (fields not masked) also
+recurs from so many different texts on; documents with the same text are one here and stay the same, so that a
+later step finds them as copies.
 
 Defined results: a null or empty text has one empty line and stays as it is; lines under ``min_tokens`` tokens
 never drop; repeated rows count as separate documents for a template's frequency, and as one document when
@@ -31,13 +33,13 @@ def _segment(tokens: Column, n: Column, s: int, depth: int, segments: int) -> Co
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(document key, pos, line): every line with its tokens lower-cased, fields masked, and single spaces between."""
+    """(document key, pos, line, whole): every line with its tokens lower-cased, fields masked, and single spaces between; whole is a hash of the line with its fields."""
     body = F.coalesce(F.col(text), F.lit(""))
     lower = F.lower(body)
     even = F.when(lower.rlike(ODD_SPACES), F.regexp_replace(lower, SPACES, " ")).otherwise(lower)
     lines = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(body).alias("k_text"), F.posexplode(F.split(even, "\n")).alias("pos", "raw"))
     line = F.trim("raw")
-    return lines.select("k_id", "k_text", "pos", F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line).alias("line"))
+    return lines.select("k_id", "k_text", "pos", F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line).alias("line"), F.xxhash64(F.lit(-2), line).alias("whole"))
 
 
 def _leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -59,19 +61,35 @@ def _templates(leaves: DataFrame, depth: int, segments: int) -> DataFrame:
         rest = [part[i] for i in range(segments) if i != s]
         forms.append(F.when(n >= depth + 2 * segments, F.xxhash64("leaf", F.lit(s), *rest)))
     listed = F.filter(F.array(*forms), lambda x: x.isNotNull())
-    return named.select("k_id", "k_text", "pos", listed.alias("templates"))
+    return named.select("k_id", "k_text", "pos", "n", "whole", listed.alias("templates"))
+
+
+def _long_repeats(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(k_id, k_text, pos) of the long lines that stand in ``min_docs`` texts or more, without the first one's."""
+    at = F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "pos", "k_text")
+    texts = lines.groupBy("whole", "k_text").agg(F.min(at).alias("at"))
+    recurring = texts.groupBy("whole").agg(F.count("*").alias("n_texts"), F.min("at").alias("first")).where(F.col("n_texts") >= min_docs)
+    recurring = stored(recurring.select("whole", F.col("first.k_text").alias("f_text"), F.col("first.pos").alias("f_pos")), "long_lines")
+    is_first = (F.col("k_text") == F.col("f_text")) & (F.col("pos") == F.col("f_pos"))
+    return lines.join(recurring, "whole").where(~is_first).select("k_id", "k_text", "pos")
 
 
 def drop_recurring_lines(
-    docs: DataFrame, *, text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 4, segments: int = 4
+    docs: DataFrame, *, text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 4, segments: int = 4, long_min_docs: int | None = None, long_tokens: int = 50
 ) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and two columns more: n_lines, n_dropped (long)."""
     lines = _lines(docs, text)
-    # The tree is pruned first: a leaf with fewer lines than min_docs has no recurring template.
-    hot = _leaf(lines, depth, min_tokens).groupBy("leaf").agg(F.count("*").alias("n_leaf")).where(F.col("leaf").isNotNull() & (F.col("n_leaf") >= min_docs))
+    # The tree is pruned first: a leaf with fewer lines than min_docs (of long lines, long_min_docs) has no recurring template.
+    leaves, bound = _leaf(lines, depth, min_tokens), F.lit(min_docs)
+    counts = [F.count("*").alias("n_leaf")]
+    if long_min_docs is not None:
+        counts.append(F.min("n").alias("n"))  # a leaf's lines have the same number of tokens
+        bound = F.when(F.col("n") > long_tokens, min(min_docs, long_min_docs)).otherwise(min_docs)
+    hot = leaves.groupBy("leaf").agg(*counts).where(F.col("leaf").isNotNull() & (F.col("n_leaf") >= bound))
     hot = stored(hot.select("leaf"), "leaves")
     # The few lines in those leaves are parsed further once; both uses below read what was stored.
-    in_hot = stored(_templates(_leaf(lines, depth, min_tokens).join(hot, "leaf", "left_semi"), depth, segments), "line_templates")
+    in_hot = _templates(leaves.join(hot, "leaf", "left_semi"), depth, segments)
+    in_hot = stored(in_hot if long_min_docs is not None else in_hot.drop("n", "whole"), "line_templates")
     templates = in_hot.select("k_id", "k_text", "pos", F.explode("templates").alias("template"))
     once = templates.groupBy("template", "k_id", "k_text").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     first = F.min(F.struct(F.col("k_id").isNull().alias("no_id"), F.col("k_id"), F.col("pos"), F.col("k_text")))
@@ -83,12 +101,11 @@ def drop_recurring_lines(
     )
     recurring = stored(recurring, "templates")
     is_first = F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_text") == F.col("f_text")) & (F.col("pos") == F.col("f_pos"))
-    dropped = (
-        templates.join(recurring, "template")
-        .where(~is_first)
-        .groupBy(F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text"))
-        .agg(F.collect_set("pos").alias("d_pos"))
-    )
+    repeats = templates.join(recurring, "template").where(~is_first)
+    if long_min_docs is not None:
+        long_lines = in_hot.where(F.col("n") > long_tokens).select("k_id", "k_text", "pos", "whole")
+        repeats = repeats.select("k_id", "k_text", "pos").unionByName(_long_repeats(long_lines, long_min_docs))
+    dropped = repeats.groupBy(F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text")).agg(F.collect_set("pos").alias("d_pos"))
     dropped = stored(dropped, "dropped")
     body = F.coalesce(F.col(f"d.{text}"), F.lit(""))
     joined = docs.alias("d").join(

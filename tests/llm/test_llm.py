@@ -117,6 +117,20 @@ def test_line_templates_generalise_fields(spark):
     assert out[0].n_dropped == 0 and all(out[i].n_dropped == 1 and out[i].text.startswith("own text") for i in range(1, 6))
 
 
+def test_line_dedup_stage_drops_long_lines_from_two_texts_on(spark):
+    passage, other = (" ".join(f"{w}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) for w in ("Word", "other"))
+    dated = passage + " in {}"
+    rows = [
+        (3, f"first own line\n{passage}"), (5, f"second own line\n{passage.upper()}  \nshort line of both"), (9, "short line of both"), (None, passage + "\nthird own line"),
+        (20, other + "\na copied page"), (21, other + "\na copied page"), (30, dated.format(1999)), (31, dated.format(2004)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    # Lines in two texts lose the second; short lines, lines of another field and whole copies stay as they are.
+    assert out == dict(rows) | {5: "second own line\nshort line of both", None: "third own line"}
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs).collect()} == dict(rows)
+
+
 @pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", pieces.cut_words), ("byte_bpe_50k.json", pieces.cut_byte_level)])
 def test_pieces_give_the_librarys_ids(name, cut):
     library = Tokenizer.from_file(public_tokenizers.path(name))
