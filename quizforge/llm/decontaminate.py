@@ -11,7 +11,8 @@ so a benchmark of any size works. Texts and items are compared with A-Z lower-ca
 
 Defined results: null and empty texts and items have no match; an item that is shorter than ``q`` has none
 either (too short to be evidence); an item whose budget leaves no q-gram gets the largest budget that leaves
-one; repeated rows and items match each for itself; other columns are not looked at.
+one; repeated rows and items match each for itself; other columns are not looked at. ``without_leaks`` knows a
+document by its doc_id and a hash of its text: other texts under the same doc_id, or under a null one, stay.
 """
 
 from __future__ import annotations
@@ -185,12 +186,12 @@ def _scan(items: Callable[[], Items]) -> Callable[[Iterator[pa.RecordBatch]], It
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = items()
         for batch in batches:
-            for i, _, data, offsets in text_chunks(batch.column(1)):
+            for i, _, data, offsets in text_chunks(batch.column(0)):
                 found = matches(block, data, offsets)
                 rows = pa.array([i + d for d, *_ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), pa.array([int(block.ids[x]) for _, x, *_ in found], pa.int64()), *(pa.array([f[c] for f in found], pa.int64()) for c in (2, 3))],
-                    ["doc_id", "item_id", "edits", "end_byte"],
+                    [*(c.take(rows) for c in batch.columns[1:]), pa.array([int(block.ids[x]) for _, x, *_ in found], pa.int64()), *(pa.array([f[c] for f in found], pa.int64()) for c in (2, 3))],
+                    [*batch.schema.names[1:], "item_id", "edits", "end_byte"],
                 )
 
     return scan
@@ -198,8 +199,12 @@ def _scan(items: Callable[[], Items]) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", error_rate: float = 0.1, block_bytes: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, edits, end_byte): a row for each document and benchmark item found in it."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, edits long, end_byte long"
+    return _leaks(docs.select(F.col(text).alias("text"), "doc_id"), benchmark, error_rate, block_bytes)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, block_bytes: int = 2_000_000) -> DataFrame:
+    """``leaks`` of the first column; the columns after it go along to the result."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]), "item_id long, edits long, end_byte long"])
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes))
@@ -210,12 +215,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", error_ra
         rows = own.collect()
         sent = docs.sparkSession.sparkContext.broadcast(([r.item_id if r.item_id is not None else -1 for r in rows], [r.text for r in rows]))
         scan = _scan(lambda sent=sent: Items(*sent.value, error_rate))
-        found = docs.select("doc_id", text).mapInArrow(scan, schema)
+        found = docs.mapInArrow(scan, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options: object) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item, by doc_id and text."""
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = docs.select(F.col(text).alias("text"), F.col("doc_id").alias("leaked_id"), key.alias("leaked_key"))
+    found = _leaks(own, benchmark, **options).select("leaked_id", "leaked_key").distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked_id")) & (key == F.col("leaked_key")), "left_anti")

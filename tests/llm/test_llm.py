@@ -173,6 +173,13 @@ def test_decontamination_finds_edited_passages_and_only_those(spark):
     assert {(i, i) for i in chosen} <= {(r.doc_id, r.item_id) for r in got} and max(r.doc_id for r in got) < 1000
 
 
+def test_decontamination_stage_keeps_clean_texts_under_the_same_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    rows = [(None, "clean text"), (None, "before " + item), (None, None), (1, "before " + item), (1, "clean text"), (2, "clean text"), (1, item + " after")]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted((r for r in rows if r[1] in (None, "clean text")), key=repr)
+
+
 def test_line_quality_counts_against_python(spark, edges):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").unionByName(edges.select("doc_id", "text", "source"))
     own = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in line_quality.apply_rules(docs).collect())
