@@ -343,6 +343,14 @@ def test_edge_rows_and_empty_tables(spark, edges, empty):
     assert html_blocks.extract(pages).count() == 3 and html_blocks.extract(pages.limit(0)).count() == 0
 
 
+def test_pipeline_stores_each_stages_result(spark, monkeypatch):
+    read = []
+    stages = [(n, lambda s, docs, _: read.append(docs.inputFiles()) or docs.where("doc_id > 3")) for n, _ in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").where("doc_id > 3").count()
+    assert SF in read[0][0] and len(read) == 5 and all(f"/{n.replace(' ', '_')}-" in f for (n, _), files in zip(stages, read[1:], strict=False) for f in files)
+
+
 def test_pipeline_stages_keep_columns_and_find_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "benchmark decontamination", "packing"]
