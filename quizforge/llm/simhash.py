@@ -1,8 +1,8 @@
-"""SimHash near-dedup: a byte-position inverted index with count filtering.
+"""SimHash near-dedup: an inverted index of subsets of byte positions, in place of a count filter.
 
 Fingerprints within ``2`` differing bits share at least 6 of their 8 positional bytes. The index holds every
 distinct fingerprint under each of its 28 choices of 6 positional bytes (the postings of those bytes,
-intersected), so that a pair reaching the guaranteed count meets under some key. A key leaves two bytes open:
+intersected), so that a pair reaching the guaranteed count meets under some key; nothing is tallied. A key leaves two bytes open:
 at most 65,536 fingerprints, whatever the corpus. Within a key the pairs are verified bit by bit and reduced
 to links to a representative, and components are joined over representatives only; copies never pair up.
 
