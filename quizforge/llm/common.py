@@ -23,9 +23,11 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir; one of its own only in local mode, where all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quizforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -98,8 +100,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, equal for equal contents."""
+    """A 64-bit hash of values[start:end] for each span, equal for equal contents; no proof that contents are equal."""
     up, down = _powers_to(values.size + 1)
     total = np.zeros(values.size + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: values.size], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def spans_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes at a are those at b, for each triple."""
+    out = np.ones(len(a), bool)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    for done in range(0, 64, 8):
+        left = np.flatnonzero(out & (n > done))
+        if not left.size:
+            return out
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(n[left] - done, 8)).astype(np.uint64))
+        x, y = (np.ascontiguousarray(words[at[left] + done]).view("<u8").ravel() for at in (a, b))
+        out[left] = (x ^ y) & keep == 0
+    for i in np.flatnonzero(out & (n > 64)).tolist():
+        out[i] = np.array_equal(data[a[i] + 64 : a[i] + n[i]], data[b[i] + 64 : b[i] + n[i]])
+    return out
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for the same bytes and for no others; and a span of each number."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = span_hashes(data, starts, ends)
+    order = np.argsort(hashes, kind="stable")
+    n, h = (ends - starts)[order], hashes[order]
+    like = np.flatnonzero((h[1:] == h[:-1]) & (n[1:] == n[:-1]))
+    new = np.ones(len(order), bool)
+    new[like[spans_equal(data, starts[order[like]], starts[order[like + 1]], n[like])] + 1] = False
+    clash = np.flatnonzero(new[1:] & (h[1:] == h[:-1]))
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    if clash.size:
+        # Different spans under one hash: the runs of equal spans are joined by their bytes.
+        seen: dict[bytes, int] = {}
+        for i in order[np.isin(h, h[clash])].tolist():
+            ids[i] = seen.setdefault(data[starts[i] : ends[i]].tobytes(), int(ids[i]))
+        ids = np.unique(ids, return_inverse=True)[1]
+    some = np.empty(int(ids.max()) + 1, np.int64)
+    some[ids] = np.arange(len(ids))
+    return ids, some

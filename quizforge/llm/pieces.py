@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text into pieces (words, digits, marks, spaces) and encode each piece for itself, so a
 text's ids are its pieces' ids in order. The cuts are found for a whole chunk of texts with numpy, and the
-library encodes only pieces that a worker has not seen yet; the memory of seen pieces is bounded. Texts with a
+library encodes only pieces that a worker has not seen yet. Seen pieces are known by their bytes, and their memory
+is bounded in number and bytes. Texts with a
 character beyond U+00FF or with "<|" (a special token may follow) go to the library whole.
 """
 
@@ -17,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from quizforge.llm.common import span_hashes  # noqa: E402
+from quizforge.llm.common import span_ids  # noqa: E402
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
@@ -92,20 +93,21 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 class PieceEncoder:
     """Ids of texts; ``cut`` finds the pieces of this vocabulary."""
 
-    def __init__(self, path: str, cut, most: int = 1_000_000) -> None:
-        self.library, self.cut, self.most = Tokenizer.from_file(path), cut, most
+    def __init__(self, path: str, cut, most: int = 500_000, most_bytes: int = 16_000_000) -> None:
+        self.library, self.cut, self.most, self.most_bytes = Tokenizer.from_file(path), cut, most, most_bytes
         self.model = self.library.model
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.size = 0
         #: For each entry the place of its first id and the number of its ids.
         self.first = [np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)]
         self.ids, self.used = np.zeros(1 << 14, np.int32), 0
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_SIGNS))] for p in pieces]
+        found = [[t.id for t in tokenize(p.decode("latin-1").encode().decode("latin-1").translate(_BYTE_SIGNS))] for p in pieces]
         flat = np.fromiter((x for ids in found for x in ids), np.int32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -116,30 +118,23 @@ class PieceEncoder:
             self.first = [np.concatenate((x, np.zeros_like(x))) for x in self.first]
         self.first[0][n : n + len(found)] = self.used + np.cumsum(size) - size
         self.first[1][n : n + len(found)] = size
-        self.known.update(zip(hashes, range(n, n + len(found)), strict=True))
+        self.known.update(zip(pieces, range(n, n + len(found)), strict=True))
         self.used += len(flat)
+        self.size += sum(map(len, pieces))
 
     def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each piece, after learning the new ones."""
         if not len(starts):
             return starts
-        hashes = span_hashes(data, starts, ends)
-        order = np.argsort(hashes)
-        new = np.ones(len(order), bool)
-        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        once = order[new]
-        if len(self.known) + len(once) > self.most:
+        number, some = span_ids(data, starts, ends)
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+        if len(self.known) + len(pieces) > self.most or self.size > self.most_bytes:
             self.clear()
-        values = hashes[once].tolist()
-        missing = [k for k, h in enumerate(values) if h not in self.known]
+        missing = [p for p in pieces if p not in self.known]
         if missing:
-            raw = data.tobytes()
-            spans = [(int(starts[once[k]]), int(ends[once[k]])) for k in missing]
-            self._learn([values[k] for k in missing], [raw[a:b].decode("latin-1") for a, b in spans])
-        entry = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
-        out = np.empty(len(order), np.int64)
-        out[order] = entry[np.cumsum(new) - 1]
-        return out
+            self._learn(missing)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[number]
 
     def _split(self, texts: list[str]) -> tuple[list[int], list[bytes], list[int]]:
         plain, raw, whole = [], [], []
