@@ -3,21 +3,21 @@
 A benchmark item of m bytes that occurs in a text with at most k edits shares m + 1 - q(k + 1) or more q-grams
 with it, and their diagonals (place in the text less place in the item) span at most k + 1 values. Shared
 q-grams are counted in overlapping bands of 2(k + 1) diagonals, stepped by k + 1, so one band holds them all;
-bands under the bound go, and the rest are verified by banded alignment. Nothing is lost by the filter.
+bands under the bound go, and the rest are verified by banded alignment. Nothing is lost by the filter: k is a tenth
+of the item's length, and q is 8, or 4 for items under 40 bytes, for which 8 leaves no bound.
 
-The benchmark is dealt into blocks of bounded bytes; each block is one broadcast and one pass over the texts,
-so a benchmark of any size works. Texts and items are compared with A-Z lower-cased and white space (space, 0x09 to
-0x0D) turned into one space.
+The texts are read once. The benchmark is dealt into blocks of bounded bytes; each block is one broadcast, and a task
+holds one block's index and a bounded number of texts at a time, so a benchmark of any size works. Texts and items are
+compared with A-Z lower-cased and white space (space, 0x09 to 0x0D) turned into one space.
 
-Defined results: null and empty texts and items have no match; an item that is shorter than ``q`` has none
-either (too short to be evidence); an item whose budget leaves no q-gram gets the largest budget that leaves
-one; repeated rows and items match each for itself; other columns are not looked at. ``without_leaks`` knows a
-document by its doc_id and a hash of its text: other texts under the same doc_id, or under a null one, stay.
+Defined results: null and empty texts and items have no match; an item under 8 bytes is found unchanged and
+between edges of words only (it is in too many longer words); repeated rows and items match each for itself; an item
+with a null id has item_id -1; other columns are not looked at. ``without_leaks`` judges each row by its own text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from quizforge.llm.common import LOWER, SEPARATOR, text_chunks
 
-Q = 8
+Q, SHORT_Q = 8, 4
+#: Items under so many bytes are filtered by q-grams of SHORT_Q; the budget of any longer one leaves a bound for Q.
+SHORT_ITEM = 40
+#: Bytes of texts that a task holds while it goes through the blocks.
+HELD_BYTES = 64_000_000
 _SLOTS = 20
 
 
@@ -42,11 +46,12 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.searchsorted(places, offsets), places
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The q-gram at each place as a 64-bit value; the last Q - 1 places have none."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The q-gram at each place as a 64-bit value; the last q - 1 places have none."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.as_strided(data, (len(data) - Q + 1, Q), (1, 1)).copy().view(np.uint64).ravel()
+    kind = {8: np.uint64, 4: np.uint32}[q]
+    return np.lib.stride_tricks.as_strided(data, (len(data) - q + 1, q), (1, 1)).copy().view(kind).ravel().astype(np.uint64, copy=False)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -54,24 +59,17 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: q-gram postings, budgets and bounds."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], error_rate: float) -> None:
-        plain, own = [], []
-        for i, t in zip(ids, texts, strict=True):
-            raw = np.frombuffer((t or "").strip().encode(), np.uint8)
-            if len(raw):
-                body = normalised(raw, np.array([0, len(raw)]))[0]
-                if len(body) >= Q:
-                    plain.append(body)
-                    own.append(i)
-        self.ids, self.texts = np.array(own, np.int64), plain
-        self.size = np.array([len(t) for t in plain], np.int64)
-        self.budget = np.minimum((error_rate * self.size).astype(np.int64), np.maximum(self.size // Q - 1, 0))
-        self.bound = self.size + 1 - Q * (self.budget + 1)
-        codes = [grams(t) for t in plain]
+    """Benchmark items that are filtered by one q: q-gram postings, budgets and bounds."""
+
+    def __init__(self, ids: list[int], texts: list[np.ndarray], error_rate: float, q: int) -> None:
+        self.q, self.ids, self.texts = q, np.array(ids, np.int64), texts
+        self.size = np.array([len(t) for t in texts], np.int64)
+        # The largest budget that leaves the filter a bound; at an error rate of a tenth it takes nothing away.
+        self.budget = np.minimum((error_rate * self.size).astype(np.int64), self.size // q - 1)
+        self.bound = self.size + 1 - q * (self.budget + 1)
+        codes = [grams(t, q) for t in texts]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(plain)), [len(c) for c in codes])
+        item = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         order = np.argsort(code, kind="stable")
         self.item, self.place = item[order], place[order]
@@ -80,6 +78,22 @@ class Items:
         self.seen[_slot(self.codes)] = True
 
 
+class Block:
+    """A block of benchmark items: short and long ones, each with its own q, and tiny ones."""
+
+    def __init__(self, ids: list[int], texts: list[str | None], error_rate: float) -> None:
+        every: dict[int, tuple[list[int], list[np.ndarray]]] = {0: ([], []), SHORT_Q: ([], []), Q: ([], [])}
+        for i, t in zip(ids, texts, strict=True):
+            raw = np.frombuffer((t or "").encode().strip(), np.uint8)
+            if len(raw):
+                body = normalised(raw, np.array([0, len(raw)]))[0]
+                own = every[0 if len(body) < Q else SHORT_Q if len(body) < SHORT_ITEM else Q]
+                own[0].append(i)
+                own[1].append(body)
+        self.tiny = [(i, t.tobytes()) for i, t in zip(*every[0], strict=True)]
+        self.filtered = [Items(*every[q], error_rate, q) for q in (SHORT_Q, Q) if every[q][0]]
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and how often each occurs."""
     if not keys.size:
@@ -92,7 +106,7 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def candidate_bands(items: Items, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, band) with as many shared q-grams as the item's bound."""
     none = np.zeros(0, np.int64)
-    code = grams(body)
+    code = grams(body, items.q)
     at = np.flatnonzero(items.seen[_slot(code)])
     if not at.size or not items.codes.size:
         return none, none, none
@@ -100,7 +114,7 @@ def candidate_bands(items: Items, body: np.ndarray, offsets: np.ndarray) -> tupl
     true = items.codes[where] == code[at]
     at, where = at[true], where[true]
     doc = np.searchsorted(offsets, at, "right") - 1
-    whole = at + Q <= offsets[doc + 1]
+    whole = at + items.q <= offsets[doc + 1]
     at, where, doc = at[whole], where[whole], doc[whole]
     n = items.count[where]
     posting = np.repeat(items.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -158,10 +172,8 @@ def align(item: np.ndarray, region: np.ndarray, first: int, width: int) -> tuple
     return int(row[j]), len(item) + first + j
 
 
-def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, edits, end byte): the best verified match of each pair."""
-    body, cut, places = normalised(data, offsets)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
+def _filtered(items: Items, body: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, edits, end in the normalised document): the best verified match of each pair."""
     regions: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
     for d, i, band in zip(*(x.tolist() for x in candidate_bands(items, body, cut)), strict=True):
         k, m = int(items.budget[i]), int(items.size[i])
@@ -178,51 +190,107 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[i
             ends = [(edits, begin + end) for begin, edits, end in aligned]
         edits, end = min(ends, default=(k + 1, 0))
         if edits <= k:
-            best[d, i] = edits, int(places[cut[d] + end - 1] - offsets[d] + 1) if end else 0
-    return [(d, i, *found) for (d, i), found in sorted(best.items())]
+            yield d, i, edits, end
 
 
-def _scan(items: Callable[[], Items]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = items()
-        for batch in batches:
-            for i, _, data, offsets in text_chunks(batch.column(0)):
-                found = matches(block, data, offsets)
-                rows = pa.array([i + d for d, *_ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(rows) for c in batch.columns[1:]), pa.array([int(block.ids[x]) for _, x, *_ in found], pa.int64()), *(pa.array([f[c] for f in found], pa.int64()) for c in (2, 3))],
-                    [*batch.schema.names[1:], "item_id", "edits", "end_byte"],
-                )
+def _tiny(item: bytes, raw: bytes, word: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(document, end in it) of the first place of each document that has the item between edges of words."""
+    at, last = raw.find(item), -1
+    while at >= 0:
+        d, end = int(np.searchsorted(cut, at, "right")) - 1, at + len(item)
+        inner = (at > cut[d] and word[at - 1] and word[at]) or (end < cut[d + 1] and word[end - 1] and word[end])
+        if d != last and end <= cut[d + 1] and not inner:
+            yield d, end - int(cut[d])
+            last = d
+        at = raw.find(item, at + 1)
+
 
-    return scan
+def matches(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item id, edits, end byte), in this order: the best verified match of each pair."""
+    body, cut, places = normalised(data, offsets)
+    found = [(d, int(items.ids[i]), edits, end) for items in block.filtered for d, i, edits, end in _filtered(items, body, cut)]
+    if block.tiny:
+        raw, word = body.tobytes(), _IN_WORD[body]
+        found += [(d, i, 0, end) for i, item in block.tiny for d, end in _tiny(item, raw, word, cut)]
+    return sorted((d, i, edits, int(places[cut[d] + end - 1] - offsets[d] + 1) if end else 0) for d, i, edits, end in found)
+
+
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256)]] = True
+
+
+def _held(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``HELD_BYTES`` of texts."""
+    own, size = [], 0
+    for batch in batches:
+        own.append(batch)
+        size += batch.column(at).nbytes
+        if size >= HELD_BYTES:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+class _Blocks:
+    """The blocks, as broadcasts; a task has the index of one at a time."""
+
+    def __init__(self, sent: list, error_rate: float) -> None:
+        self.sent, self.error_rate = sent, error_rate
+        self.last: tuple[int, Block] | None = None
+
+    def __iter__(self) -> Iterator[Block]:
+        for n, block in enumerate(self.sent):
+            if self.last is None or self.last[0] != n:
+                self.last = n, Block(*block.value, self.error_rate)
+            yield self.last[1]
+
+
+def _blocks(benchmark: DataFrame, error_rate: float, block_bytes: int) -> _Blocks:
+    """The benchmark as broadcasts of about ``block_bytes`` of text; the driver holds one at a time."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").alias("text"))
+    send = benchmark.sparkSession.sparkContext.broadcast
+    sent, ids, texts, size = [], [], [], 0
+    for row in items.toLocalIterator():
+        ids.append(row.item_id)
+        texts.append(row.text)
+        size += len(row.text.encode())
+        if size >= block_bytes:
+            sent.append(send((ids, texts)))
+            ids, texts, size = [], [], 0
+    return _Blocks([*sent, send((ids, texts))] if ids else sent, error_rate)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", error_rate: float = 0.1, block_bytes: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, edits, end_byte): a row for each document and benchmark item found in it."""
-    return _leaks(docs.select(F.col(text).alias("text"), "doc_id"), benchmark, error_rate, block_bytes)
-
-
-def _leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, block_bytes: int = 2_000_000) -> DataFrame:
-    """``leaks`` of the first column; the columns after it go along to the result."""
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]), "item_id long, edits long, end_byte long"])
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
-    out = None
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        # At most about block_bytes of text reach the driver and each executor at a time.
-        rows = own.collect()
-        sent = docs.sparkSession.sparkContext.broadcast(([r.item_id if r.item_id is not None else -1 for r in rows], [r.text for r in rows]))
-        scan = _scan(lambda sent=sent: Items(*sent.value, error_rate))
-        found = docs.mapInArrow(scan, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options: object) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, by doc_id and text."""
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    own = docs.select(F.col(text).alias("text"), F.col("doc_id").alias("leaked_id"), key.alias("leaked_key"))
-    found = _leaks(own, benchmark, **options).select("leaked_id", "leaked_key").distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked_id")) & (key == F.col("leaked_key")), "left_anti")
+    blocks = _blocks(benchmark, error_rate, block_bytes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, 1):
+            for block in blocks:
+                for batch in held:
+                    for i, _, data, offsets in text_chunks(batch.column(1)):
+                        found = matches(block, data, offsets)
+                        rows = pa.array([i + d for d, *_ in found], pa.int64())
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array([f[c] for f in found], pa.int64()) for c in (1, 2, 3))], ["doc_id", "item_id", "edits", "end_byte"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInArrow(scan, f"doc_id {kind}, item_id long, edits long, end_byte long")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", error_rate: float = 0.1, block_bytes: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; whole rows pass through the scan, with no shuffle."""
+    blocks = _blocks(benchmark, error_rate, block_bytes)
+    at = docs.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, at):
+            clean = [np.ones(len(batch), bool) for batch in held]
+            for block in blocks:
+                for batch, keep in zip(held, clean, strict=True):
+                    for i, _, data, offsets in text_chunks(batch.column(at)):
+                        keep[[i + d for d, *_ in matches(block, data, offsets)]] = False
+            for batch, keep in zip(held, clean, strict=True):
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(scan, docs.schema)
