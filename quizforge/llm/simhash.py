@@ -1,10 +1,15 @@
-"""SimHash near-dedup: an inverted index of subsets of byte positions, in place of a count filter.
+"""SimHash near-dedup: a byte-position inverted index with count filtering.
 
-Fingerprints within ``2`` differing bits share at least 6 of their 8 positional bytes. The index holds every
-distinct fingerprint under each of its 28 choices of 6 positional bytes (the postings of those bytes,
-intersected), so that a pair reaching the guaranteed count meets under some key; nothing is tallied. A key leaves two bytes open:
-at most 65,536 fingerprints, whatever the corpus. Within a key the pairs are verified bit by bit and reduced
-to links to a representative, and components are joined over representatives only; copies never pair up.
+Fingerprints within ``2`` differing bits share at least 6 of their 8 positional bytes. Every distinct fingerprint
+is posted under positional bytes, for a pair to meet without listing all fingerprints of one byte: the postings are
+sets of four positions, chosen so that any two positions are left out by one of them. Where fingerprints meet,
+the positional bytes that each pair shares are tallied, pairs under the guaranteed 6 go, and the rest are verified bit
+by bit. What comes out are links to a representative, and components are joined over representatives only; copies
+never pair up.
+
+A posting with over ``CROWDED`` fingerprints is not tallied: its fingerprints are posted anew under each choice of 6
+positions, where all pairs have the guaranteed count. Such a posting leaves two bytes open, so it has at most 65,536
+fingerprints whatever the corpus, and neighbours are looked up by flipping bits. No link is lost in either way.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; repeated rows get the
 same class; a null doc_id is ignored when the smallest id of a class is taken (null if there is no other);
@@ -13,7 +18,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +30,12 @@ from pyspark.sql import functions as F
 from quizforge.llm.common import shared_dir, stored, text_chunks
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
+#: Positional bytes that a pair within MAX_BITS shares at least.
+LEAST_SHARED = 8 - MAX_BITS
+#: Four positions each; for any two positions there is one of these that has neither.
+QUADS = tuple(a + b for a, b in combinations(((0, 1), (2, 3), (4, 5), (6, 7)), 2))
+#: Fingerprints of one posting that are tallied pair by pair.
+CROWDED = 2048
 #: Byte value -> eight byte lanes, one for each bit, so that up to 255 values add up without carry.
 _SPREAD = np.array([sum(1 << (8 * j) for j in range(8) if v >> j & 1) for v in range(256)], np.uint64)
 
@@ -76,27 +87,34 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text, key).mapInArrow(_fingerprint_batches, f"doc_id {kind}, text_key long, fp long")
 
 
-def link_bucket(fps: np.ndarray) -> np.ndarray:
-    """For distinct fingerprints of one key, each one's representative: the smallest it reaches by links."""
-    n = len(fps)
-    if n <= 256:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= MAX_BITS
-        label = np.arange(n)
-        while True:
-            new = np.where(near, label[None, :], n).min(axis=1)
-            if (new == label).all():
-                return fps[label]
-            label = new
-    # The two open bytes span 65,536 values: look up each value's neighbours instead of all pairs.
+def tallied(fps: np.ndarray) -> np.ndarray:
+    """For the distinct fingerprints of a posting, each one's representative: the smallest it reaches by links."""
+    shared = np.zeros((len(fps), len(fps)), np.uint8)
+    for column in fps.view(np.uint8).reshape(-1, 8).T:
+        shared += column[:, None] == column[None, :]
+    a, b = np.nonzero(shared >= LEAST_SHARED)
+    close = np.bitwise_count(fps[a] ^ fps[b]) <= MAX_BITS
+    a, b = a[close], b[close]
+    label = np.arange(len(fps))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            return fps[label]
+        label = new
+
+
+def looked_up(fps: np.ndarray) -> np.ndarray:
+    """As ``tallied``, for fingerprints that differ in at most two bytes: each value's neighbours are looked up."""
     base = fps[0]
     odd = np.bitwise_or.reduce(fps ^ base)
     open_bits = [b for b in range(64) if int(odd) >> b & 1]
-    squeezed = np.zeros(n, np.int64)
+    squeezed = np.zeros(len(fps), np.int64)
     for k, b in enumerate(open_bits):
         squeezed |= (((fps ^ base) >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
     flips = [0] + [1 << k for k in range(len(open_bits))] + [1 << i | 1 << j for i, j in combinations(range(len(open_bits)), 2)]
-    there = np.full(1 << len(open_bits), n, np.int64)
-    there[squeezed] = np.arange(n)
+    there = np.full(1 << len(open_bits), len(fps), np.int64)
+    there[squeezed] = np.arange(len(fps))
     while True:
         new = np.min([there[squeezed ^ f] for f in flips], axis=0)
         if (new == there[squeezed]).all():
@@ -104,9 +122,8 @@ def link_bucket(fps: np.ndarray) -> np.ndarray:
         there[squeezed] = new
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (combo, bytes): links within each key; a key may go on in the next batch."""
-    rest: tuple[np.ndarray, ...] = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _linker(link: Callable[[np.ndarray], np.ndarray]):
+    """Over rows sorted by (combo, bytes): links within each posting; one may go on in the next batch."""
 
     def links(combo: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1])) + 1
@@ -114,37 +131,56 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found: set[tuple[int, int]] = set()
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
             own = np.unique(fp[a:b]).view(np.uint64)
-            to = link_bucket(own)
+            to = link(own)
             moved = to != own
             found.update(zip(own[moved].view(np.int64).tolist(), to[moved].view(np.int64).tolist(), strict=True))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    for batch in batches:
-        now = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns, strict=True)]
-        combo, key, _ = now
-        if not len(key):
-            continue
-        last = len(key) - 1
-        same = (combo == combo[last]) & (key == key[last])
-        cut = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
-        rest = tuple(x[cut:] for x in now)
-        if cut:
-            yield links(*(x[:cut] for x in now))
-    if len(rest[1]):
-        yield links(*rest)
-
-
-def index_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp``, enough to join all that are linked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            now = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns, strict=True)]
+            combo, key, _ = now
+            if not len(key):
+                continue
+            last = len(key) - 1
+            same = (combo == combo[last]) & (key == key[last])
+            cut = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
+            rest = tuple(x[cut:] for x in now)
+            if cut:
+                yield links(*(x[:cut] for x in now))
+        if len(rest[1]):
+            yield links(*rest)
+
+    return run
+
+
+def postings(distinct: DataFrame, choices: Iterable[tuple[int, ...]]) -> DataFrame:
+    """(combo, bytes, fp): each fingerprint under the bytes at each choice of positions."""
     masks = []
-    for chosen in combinations(range(8), 8 - MAX_BITS):
+    for chosen in choices:
         value = sum(0xFF << (8 * p) for p in chosen)
         masks.append(value - (1 << 64) if value >> 63 else value)
     keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])
-    postings = distinct.select("fp", F.explode(keys).alias("k")).select("k.combo", "k.bytes", "fp")
-    dealt = postings.repartition("combo", "bytes").sortWithinPartitions("combo", "bytes")
-    return dealt.mapInArrow(_bucket_links, "a long, b long").distinct()
+    return distinct.select("fp", F.explode(keys).alias("k")).select("k.combo", "k.bytes", "fp")
+
+
+def index_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fp``, enough to join all that are linked."""
+
+    def linked(posted: DataFrame, link: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        dealt = posted.repartition("combo", "bytes").sortWithinPartitions("combo", "bytes")
+        return dealt.mapInArrow(_linker(link), "a long, b long")
+
+    posted = postings(distinct, QUADS)
+    # Most postings have one fingerprint: they are counted, with sums before the shuffle, and only the others travel.
+    sizes = posted.groupBy("combo", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = stored(sizes.select("combo", "bytes", (F.col("n") > CROWDED).alias("crowded")), "postings")
+    met = stored(posted.join(shared, ["combo", "bytes"]), "met")
+    few = linked(met.where(~F.col("crowded")).select("combo", "bytes", "fp"), tallied)
+    many = linked(postings(met.where("crowded").select("fp").distinct(), combinations(range(8), LEAST_SHARED)), looked_up)
+    return few.unionByName(many).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,10 +226,23 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id (null ids last; repeated rows give one)."""
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    classes = near_duplicate_classes(docs, text)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
-    chosen = stored(classes.groupBy("root").agg(first).select(F.col("f.doc_id").alias("r_id"), F.col("f.text_key").alias("r_key")), "chosen")
-    kept = docs.withColumn("r_text", key).join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("r_text") == F.col("r_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "r_text"]).select(*docs.columns)
+    """``docs`` with one row of each class: that of the smallest doc_id (null ids last; repeated rows give one).
+
+    Only the ids and text hashes of rows that go, or that are repeated, are joined to the texts.
+    """
+    classes = near_duplicate_classes(docs, text).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    classes = stored(classes, "classes")
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f"))
+    is_first = F.col("c.doc_id").eqNullSafe(F.col("f.f.doc_id")) & (F.col("c.text_key") == F.col("f.f.text_key"))
+    others = classes.alias("c").join(first.alias("f"), F.col("c.root") == F.col("f.root")).select("c.doc_id", "c.text_key", "n", is_first.alias("stays"))
+    others = stored(others.where(~F.col("stays") | (F.col("n") > 1)), "others")
+    repeated = others.where("stays").select("doc_id", "text_key")
+    key = F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit("")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (key == F.col("o.text_key"))
+    kept = docs.alias("d").join(others.alias("o"), same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    # One row of each repeated one; the columns travel as one value, so that no name can clash.
+    rows = docs.alias("d").join(repeated.alias("o"), same, "left_semi").select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("r"), key.alias("k"))
+    once = rows.groupBy(F.col(f"r.doc_id").alias("i"), "k").agg(F.first("r").alias("r")).select("r.*")
+    return kept.unionByName(once)
