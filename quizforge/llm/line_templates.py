@@ -9,8 +9,9 @@ recurs from so many different texts on; documents with the same text are one her
 later step finds them as copies.
 
 Defined results: a null or empty text has one empty line and stays as it is; lines under ``min_tokens`` tokens
-never drop; repeated rows count as separate documents for a template's frequency, and as one document when
-its first line is chosen; a null doc_id sorts last; extra columns pass through.
+never drop; rows with one doc_id (repeated ones, or other texts under it) are one document for a template's frequency,
+rows with a null doc_id are one document for each distinct text and sort last; equal rows come out equal; the
+columns of ``docs`` keep their place, and a name of ``counts`` that is one of them is an error.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _templates(leaves: DataFrame, depth: int, segments: int) -> DataFrame:
         rest = [part[i] for i in range(segments) if i != s]
         forms.append(F.when(n >= depth + 2 * segments, F.xxhash64("leaf", F.lit(s), *rest)))
     listed = F.filter(F.array(*forms), lambda x: x.isNotNull())
-    return named.select("k_id", "k_text", "pos", "n", "whole", listed.alias("templates"))
+    return named.select("k_id", "k_text", "pos", listed.alias("templates"))
 
 
 def _long_repeats(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -75,36 +76,41 @@ def _long_repeats(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, *, text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 4, segments: int = 4, long_min_docs: int | None = None, long_tokens: int = 50
+    docs: DataFrame, *, text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 4, segments: int = 4, long_min_docs: int | None = None, long_tokens: int = 50,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and two columns more: n_lines, n_dropped (long)."""
+    """``docs`` with recurring lines taken out of ``text``, and two columns more (long): the lines, and those dropped."""
+    if set(counts) & set(docs.columns):
+        raise ValueError(f"docs has a column of {counts}: name other ones")
     lines = _lines(docs, text)
-    # The tree is pruned first: a leaf with fewer lines than min_docs (of long lines, long_min_docs) has no recurring template.
-    leaves, bound = _leaf(lines, depth, min_tokens), F.lit(min_docs)
-    counts = [F.count("*").alias("n_leaf")]
+    leaves = _leaf(lines, depth, min_tokens)
     if long_min_docs is not None:
-        counts.append(F.min("n").alias("n"))  # a leaf's lines have the same number of tokens
-        bound = F.when(F.col("n") > long_tokens, min(min_docs, long_min_docs)).otherwise(min_docs)
-    hot = leaves.groupBy("leaf").agg(*counts).where(F.col("leaf").isNotNull() & (F.col("n_leaf") >= bound))
+        # The short facts of a line, kept for both uses: leaves are counted, and long lines are matched whole.
+        facts = stored(leaves.where(F.col("leaf").isNotNull()).select("k_id", "k_text", "pos", "leaf", F.when(F.col("n") > long_tokens, F.col("whole")).alias("whole")), "line_facts")
+        counted = facts
+    else:
+        counted = leaves.where(F.col("leaf").isNotNull())
+    # The tree is pruned first: a leaf with fewer lines than min_docs has no recurring template.
+    hot = counted.groupBy("leaf").agg(F.count("*").alias("n_leaf")).where(F.col("n_leaf") >= min_docs)
     hot = stored(hot.select("leaf"), "leaves")
     # The few lines in those leaves are parsed further once; both uses below read what was stored.
-    in_hot = _templates(leaves.join(hot, "leaf", "left_semi"), depth, segments)
-    in_hot = stored(in_hot if long_min_docs is not None else in_hot.drop("n", "whole"), "line_templates")
+    in_hot = stored(_templates(leaves.join(hot, "leaf", "left_semi"), depth, segments), "line_templates")
     templates = in_hot.select("k_id", "k_text", "pos", F.explode("templates").alias("template"))
-    once = templates.groupBy("template", "k_id", "k_text").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("k_id").isNull().alias("no_id"), F.col("k_id"), F.col("pos"), F.col("k_text")))
+    # One row for each template and document: a doc_id, or a text where there is none.
+    nameless = F.when(F.col("k_id").isNull(), F.col("k_text")).alias("nameless")
+    once = templates.groupBy("template", "k_id", nameless).agg(F.min(F.struct("pos", "k_text")).alias("at"))
+    first = F.min(F.struct(F.col("k_id").isNull().alias("no_id"), F.col("k_id"), F.col("at")))
     recurring = (
         once.groupBy("template")
         .agg(F.count("*").alias("n_docs"), first.alias("first"))
         .where(F.col("n_docs") >= min_docs)
-        .select("template", F.col("first.k_id").alias("f_id"), F.col("first.k_text").alias("f_text"), F.col("first.pos").alias("f_pos"))
+        .select("template", F.col("first.k_id").alias("f_id"), F.col("first.at.k_text").alias("f_text"), F.col("first.at.pos").alias("f_pos"))
     )
     recurring = stored(recurring, "templates")
     is_first = F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_text") == F.col("f_text")) & (F.col("pos") == F.col("f_pos"))
-    repeats = templates.join(recurring, "template").where(~is_first)
+    repeats = templates.join(recurring, "template").where(~is_first).select("k_id", "k_text", "pos")
     if long_min_docs is not None:
-        long_lines = in_hot.where(F.col("n") > long_tokens).select("k_id", "k_text", "pos", "whole")
-        repeats = repeats.select("k_id", "k_text", "pos").unionByName(_long_repeats(long_lines, long_min_docs))
+        repeats = repeats.unionByName(_long_repeats(facts.where(F.col("whole").isNotNull()), long_min_docs))
     dropped = repeats.groupBy(F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text")).agg(F.collect_set("pos").alias("d_pos"))
     dropped = stored(dropped, "dropped")
     body = F.coalesce(F.col(f"d.{text}"), F.lit(""))
@@ -112,8 +118,8 @@ def drop_recurring_lines(
         dropped.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.d_id")) & (F.xxhash64(body) == F.col("x.d_text")), "left"
     )
     split = F.split(body, "\n")
-    kept = F.filter(split, lambda _, i: ~F.array_contains(F.col("x.d_pos"), i))
-    columns = [F.col(f"d.{c}") if c != text else F.when(F.col("x.d_pos").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
-    counts = [F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("x.d_pos"), F.lit(0)).cast("long").alias("n_dropped")]
-    keep = [c for c, name in zip(columns, docs.columns, strict=True) if name not in ("n_lines", "n_dropped")]
-    return joined.select(*keep, *counts)
+    # The places that stay come from a set, and the lines are cut once: linear in the lines of a text.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("x.d_pos"))
+    kept = F.get(F.transform(F.array(split), lambda own: F.transform(stay, lambda i: F.get(own, i))), 0)
+    columns = [F.col(f"d.`{c}`") if c != text else F.when(F.col("x.d_pos").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(kept, "\n")).alias(text) for c in docs.columns]
+    return joined.select(*columns, F.size(split).cast("long").alias(counts[0]), F.coalesce(F.size("x.d_pos"), F.lit(0)).cast("long").alias(counts[1]))
