@@ -1,21 +1,25 @@
 """WARC archives: written as whole-file gzip, then normalised to one gzip member a record with an offset index.
 
-``write_archives`` gives each partition's pages as WARC records in one gzip stream a file. ``normalise`` inflates each such
-stream once, rewrites every record as a member of its own, and returns the sidecar index (file, offset,
-length). ``read_records`` seeks to each record by the index. Files lie in the folder that all executors share
-and take their final name in one move, so a task that runs again replaces whole files only.
+``write_archives`` gives each partition's pages as WARC/1.1 records in one gzip stream a file. ``normalise`` inflates each such
+file once (of one gzip member or of several), rewrites every record as a member of its own, and writes a sidecar
+``<file>.idx`` beside it: a line with offset and length for each record. ``read_records`` seeks to each record by the
+sidecars. Files lie in the folder that all executors share and take their final name in one move, a sidecar
+before its archive, so a task that runs again replaces whole files only.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the largest page_id is the response and the others are
 revisits of it. Defined results: a null html is an empty payload (equal to other empty ones); a null page_id
-is smaller than any other; of repeated rows with the largest page_id, each is a response; extra columns are not looked at.
+is smaller than any other; of repeated rows with the largest page_id, each is a response with a record id of its own;
+extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -37,22 +41,27 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def record(kind: str, page_id: object, url: str | None, digest: str, size: int, refers_to: object, payload: bytes) -> bytes:
-    """One WARC/1.1 record."""
+def record(kind: str, record_id: str, date: str, page_id: object, url: str | None, digest: str, size: int, refers_to: tuple[object, str | None] | None, payload: bytes) -> bytes:
+    """One WARC/1.1 record of an HTTP response; a revisit has its HTTP head alone."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {size}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http;msgtype=response",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + " ".join(url.split()))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to[0]}"]
+        if refers_to[1] is not None:
+            head.append("WARC-Refers-To-Target-URI: " + " ".join(refers_to[1].split()))
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -75,33 +84,39 @@ class _Writer:
 
 
 def with_types(pages: DataFrame, *, html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, digest_key, payload_bytes, refers_to, revisit): which pages revisit which."""
+    """(page_id, url, payload, digest, payload_bytes, refers_to, refers_url): which pages revisit which."""
     body = F.coalesce(F.col(html), F.lit(""))
     keyed = pages.select("page_id", "url", body.alias("payload"), F.sha1(body.cast("binary")).alias("digest_key"), F.octet_length(body).alias("payload_bytes"))
-    equal = keyed.where(F.col("payload_bytes") >= min_bytes).groupBy("digest_key").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n"))
+    equal = keyed.where(F.col("payload_bytes") >= min_bytes).groupBy("digest_key").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n"))
     # Payloads that occur once need no partner; of the others each salt gets its copy, so a hot one is dealt over many tasks.
-    shared = equal.where((F.col("n") > 1) & F.col("last_id").isNotNull()).select("digest_key", "last_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    equal = equal.select("digest_key", F.col("last.page_id").alias("last_id"), F.col("last.url").alias("last_url"), "n")
+    shared = equal.where((F.col("n") > 1) & F.col("last_id").isNotNull()).select("digest_key", "last_id", "last_url", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     shared = stored(shared, "payloads")
     salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     revisit = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
     return salted.join(shared, ["digest_key", "salt"], "left").select(
-        "page_id", "url", "payload", F.unhex("digest_key").alias("digest"), "payload_bytes", F.when(revisit, F.col("last_id")).alias("refers_to")
+        "page_id", "url", "payload", F.unhex("digest_key").alias("digest"), "payload_bytes", F.when(revisit, F.col("last_id")).alias("refers_to"), "last_url"
     )
 
 
 def write_archives(typed: DataFrame, folder: str, *, archive_bytes: int = 64_000_000, level: int = 3) -> int:
     """Write the records as monolithic gzip files of about ``archive_bytes`` (before compression); their number."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, size, out, deflate = TaskContext.get().partitionId(), 0, 0, None, None
+        part, n, size, out, deflate, name, placed = TaskContext.get().partitionId(), 0, 0, None, None, "", 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page_id, url, payload, digest, payload_bytes, refers_to = row
+                page_id, url, payload, digest, payload_bytes, refers_to, last_url = row
                 if out is None:
-                    out, deflate, size = _Writer(folder, f"part-{part:05d}-{n:04d}.warc.gz"), zlib.compressobj(level, wbits=31), 0
+                    name = f"part-{part:05d}-{n:04d}.warc.gz"
+                    out, deflate, size, placed = _Writer(folder, name), zlib.compressobj(level, wbits=31), 0, 0
                     n += 1
                 kind, body = ("response", payload.encode()) if refers_to is None else ("revisit", b"")
-                raw = record(kind, page_id, url, base64.b32encode(digest).decode(), payload_bytes, refers_to, body)
+                # The place in the archives names a record: repeated rows differ, and a task that runs again gives the same.
+                record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{folder}/{name}#{placed}")
+                placed += 1
+                raw = record(kind, str(record_id), date, page_id, url, base64.b32encode(digest).decode(), payload_bytes, None if refers_to is None else (refers_to, last_url), body)
                 out.out.write(deflate.compress(raw))
                 size += len(raw)
                 if size >= archive_bytes:
@@ -117,14 +132,27 @@ def write_archives(typed: DataFrame, folder: str, *, archive_bytes: int = 64_000
     return ordered.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def inflated(stream) -> Iterator[bytes]:
+    """The bytes of a gzip file, block by block; after a member's end the next member goes on."""
+    inflate, begun = zlib.decompressobj(wbits=31), False
+    while raw := stream.read(_BLOCK):
+        while raw:
+            begun = True
+            yield inflate.decompress(raw)
+            raw = inflate.unused_data
+            if inflate.eof:
+                inflate, begun = zlib.decompressobj(wbits=31), False
+                raw = raw.lstrip(b"\0")  # files may be padded with zeros between members
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
+
+
 def inflated_records(stream) -> Iterator[tuple[bytes, bytes]]:
-    """(head, payload) of each record of a gzip stream, which is inflated once, block by block."""
-    inflate, buffer, at = zlib.decompressobj(wbits=31), bytearray(), 0
+    """(head, block) of each record of a gzip file, which is inflated once."""
+    buffer, at = bytearray(), 0
     need, head = None, b""
-    while True:
-        raw = stream.read(_BLOCK)
-        if raw:
-            buffer += inflate.decompress(raw)
+    for raw in inflated(stream):
+        buffer += raw
         while True:
             if need is None:
                 end = buffer.find(b"\r\n\r\n", at)
@@ -138,35 +166,39 @@ def inflated_records(stream) -> Iterator[tuple[bytes, bytes]]:
             at, need = at + need + 4, None
         del buffer[:at]
         at = 0
-        if not raw:
-            if buffer or not inflate.eof:
-                raise ValueError("the archive ends inside a record")
-            return
+    if buffer or need is not None:
+        raise ValueError("the archive ends inside a record")
 
 
-def normalise(spark: SparkSession, folder: str, target: str, *, level: int = 5) -> DataFrame:
-    """Rewrite the archives of ``folder`` into ``target``, a member a record; the stored index (file, offset, length)."""
+def normalise(spark: SparkSession, folder: str, target: str, *, level: int = 5) -> int:
+    """Rewrite the archives of ``folder`` into ``target``, a member a record with a sidecar index; the number of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 own, at = open_fs(path)
-                out = _Writer(target, path.rsplit("/", 1)[1])
-                offsets, sizes, place = [], [], 0
+                name = path.rsplit("/", 1)[1]
+                out, sidecar, place, n = _Writer(target, name), _Writer(target, name + ".idx"), 0, 0
                 with own.open_input_stream(at, compression=None) as stream:
-                    for head, payload in inflated_records(stream):
+                    for head, block in inflated_records(stream):
                         deflate = zlib.compressobj(level, wbits=31)
-                        member = deflate.compress(head + b"\r\n\r\n" + payload + b"\r\n\r\n") + deflate.flush()
+                        member = deflate.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
                         out.out.write(member)
-                        offsets.append(place)
-                        sizes.append(len(member))
+                        sidecar.out.write(f"{place} {len(member)}\n".encode())
                         place += len(member)
+                        n += 1
+                sidecar.close()
                 out.close()
-                names = pa.array([f"{target}/{path.rsplit('/', 1)[1]}"] * len(sizes), pa.string())
-                yield pa.RecordBatch.from_arrays([names, pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], ["file", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     paths = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder).select("path")
-    return stored(paths.mapInArrow(run, "file string, `offset` long, length long"), "warc_index")
+    return paths.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def sidecar_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, offset, length) of every record of the normalised archives, from their sidecars."""
+    lines = spark.read.schema("`offset` long, length long").option("sep", " ").option("pathGlobFilter", "*.warc.gz.idx").csv(folder)
+    return lines.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.idx$", "").alias("file"), "offset", "length")
 
 
 def read_records(index: DataFrame, page_type: str) -> DataFrame:
@@ -182,14 +214,14 @@ def read_records(index: DataFrame, page_type: str) -> DataFrame:
                     name, (own, at) = path, open_fs(path)
                     file = own.open_input_file(at)
                 file.seek(offset)
-                head, payload = zlib.decompress(file.read(length), wbits=31).split(b"\r\n\r\n", 1)
-                h, payload = parse_head(head), payload[:-4]
+                head, block = zlib.decompress(file.read(length), wbits=31).split(b"\r\n\r\n", 1)
+                http, payload = block[:-4].split(b"\r\n\r\n", 1)
+                h, size = parse_head(head), int(parse_head(http)["Content-Length"])
                 kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                     raise ValueError(f"{path} at {offset}: the payload doesn't match its digest")
-                ids = [(h.get(k) or "").removeprefix("<urn:page:").removesuffix(">") or None for k in ("WARC-Record-ID", "WARC-Refers-To")]
-                page, refers = [int(x) if x is not None and number else x for x in ids]
-                rows.append((page, h.get("WARC-Target-URI"), int(h["X-Payload-Length"]), digest, kind, refers, payload))
+                page, refers = [int(x) if x is not None and number else x for x in (h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID"))]
+                rows.append((page, h.get("WARC-Target-URI"), size, digest, kind, refers, payload))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64() if number else pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if number else pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
@@ -205,5 +237,5 @@ def archive_and_read(pages: DataFrame, *, html: str = "html", min_bytes: int = 0
     if not write_archives(with_types(pages, html=html, min_bytes=min_bytes), f"{folder}/monolithic", **options):
         kind = "long" if pages.schema["page_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
         return spark.createDataFrame([], f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
-    index = normalise(spark, f"{folder}/monolithic", f"{folder}/members")
-    return read_records(index, pages.schema["page_id"].dataType.simpleString())
+    normalise(spark, f"{folder}/monolithic", f"{folder}/members")
+    return read_records(sidecar_index(spark, f"{folder}/members"), pages.schema["page_id"].dataType.simpleString())
