@@ -2,8 +2,8 @@
 
 A document is a bag of passages of 120 words. Every passage is encoded from what its characters and words look
 like; gated attention weighs the passages, and the weighted passage representation is scored. The weights are
-learned from document labels alone, on a sample of at most ``sample_rows`` labelled documents (and at most
-``sample_passages`` evenly spaced passages of each); scoring looks at every passage of every text.
+learned from document labels alone, on a sample of at most ``sample_rows`` labelled documents, of which every passage
+is learned from; scoring looks at every passage of every text.
 
 Defined results: a null or wordless text is one passage of zeros and gets a score as any other; without
 labelled rows every score is 0.5; repeated rows and null ids are scored each for itself; other columns are not
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quizforge.llm.common import LOWER, SEPARATOR, runs, span_hashes, text_chunks
 from quizforge.llm.sampling import labelled_sample, remainder
 
-PASSAGE_WORDS, WORD_SLOTS = 120, 64
+PASSAGE_WORDS, WORD_SLOTS = 120, 128
 HIDDEN, GATE = 24, 12
 #: Shapes of bytes: lower, upper, digit, space, newline, punctuation, sign, beyond ASCII.
 _SHAPE = np.full(256, 6, np.uint8)
@@ -96,8 +96,9 @@ class AttentionBag:
         return self._forward((x - self.mean) / self.scale, first)["p"].astype(np.float64)
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 3) -> None:
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-2
+        n = sum(map(len, bags))
+        self.mean = (sum(b.sum(0, np.float64) for b in bags) / n).astype(np.float32)
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0, np.float64) for b in bags) / n).astype(np.float32) + np.float32(1e-2)
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         step = 0
@@ -129,24 +130,18 @@ class AttentionBag:
         return {"e": x.T @ d_h, "eb": d_h.sum(0), "v": h.T @ d_tv, "u": h.T @ d_su, "a": gate.T @ d_score[:, None], "o": f["z"].T @ d_logit, "ob": d_logit.sum(0)}
 
 
-def _bags(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(1)):
-                x, first = passages(data, offsets)
-                bags = []
-                for a, b in zip(first, [*first[1:], len(x)], strict=True):
-                    own = np.arange(a, b) if b - a <= most else np.linspace(a, b - 1, most).astype(int)
-                    bags.append(x[own].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(bags, pa.binary())], ["y", "bag"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, data, offsets in text_chunks(batch.column(1)):
+            x, first = passages(data, offsets)
+            bags = [x[a:b].tobytes() for a, b in zip(first, [*first[1:], len(x)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(bags, pa.binary())], ["y", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample_rows: int = 4000, sample_passages: int = 32, folds: int = 5) -> AttentionBag | None:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample_rows: int = 4000, folds: int = 5) -> AttentionBag | None:
     """The network, learned from ids whose crc32 modulo ``folds`` is not 0; None without labelled rows."""
     sample = labelled_sample(docs, labels, "quality", remainder(F.col("doc_id"), folds) != 0, text=text, rows=sample_rows)
-    rows = sample.mapInArrow(_bags(sample_passages), "y double, bag binary").collect()
+    rows = sample.mapInArrow(_bags, "y double, bag binary").collect()
     if not rows:
         return None
     # The order of rows depends on the cluster; the fit must not.

@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A feature is the hash of a word, of two words in a row, or of two words with one between, present or not in
-the whole text. Per-coordinate learning rates and L1 give few weights that are not zero; those are broadcast.
+the whole text (two features with one hash are one). Per-coordinate learning rates and L1 give few weights that are not zero; those are broadcast.
 They are learned on a sample of at most ``sample_rows`` labelled documents.
 
 Defined results: a null or wordless text has no feature and gets the bias alone; without labelled rows every
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample_rows:
     sample = labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), folds) != 1, text=text, rows=sample_rows)
     rows = sample.mapInArrow(_sampled, "y double, slots binary").collect()
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0), -30.0
+        return np.zeros(0, np.int64), np.zeros(0), -np.inf
     # The order of rows depends on the cluster; the fit must not.
     rows.sort(key=lambda r: (r.slots, r.y))
     bias = 1 << SLOTS_LOG2
@@ -108,7 +108,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold:
             for i, j, data, offsets in text_chunks(batch.column(1)):
                 doc, slot = features(data, offsets)
                 total = np.bincount(doc, weights[slot], j - i) + bias
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.where(total == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(total, -30, 30)))))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, score double")
