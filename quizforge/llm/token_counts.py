@@ -8,6 +8,8 @@ Normalisation lower-cases A-Z and turns white space into single spaces, which th
 can't change a count; a text with "<|" (a special token is matched before the vocabulary's own normalisation)
 keeps its form.
 
+A digest that the cache holds more than once (two runs that appended at once) counts once.
+
 Defined results: a null text is empty (0 bytes, 0 tokens); repeated rows are rows of their own; a null doc_id
 passes through; other columns are not looked at.
 """
@@ -41,9 +43,10 @@ def tokenizer_digest(path: str) -> str:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at ``path``; empty if nothing was stored there yet."""
+    """The cache at ``path``, one row for each text and tokenizer; empty if nothing was stored there yet."""
     try:
-        return spark.read.schema(CACHE).parquet(path)
+        rows = spark.read.schema(CACHE).parquet(path)
+        return rows.groupBy("content_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
