@@ -3,8 +3,8 @@
 Lengths fall into reciprocal-capacity classes: class k holds pieces of over capacity/(k + 1) and up to
 capacity/k ids, and a bin of class k takes exactly k pieces. Each worker fills its bins for itself, in one
 pass, with no shuffle and memory for one open bin a class. A text longer than the capacity gives whole
-sequences first; its rest is cut at the largest reciprocals of the capacity, so that bins come out nearly
-full. What stays in open bins at a worker's end is laid end to end and cut at the capacity, and the last
+sequences first; its rest is cut at the largest reciprocals of the capacity until what a last piece leaves of its
+share of a bin is under ``SLACK`` of the rest, so that bins come out nearly full with few cuts. What stays in open bins at a worker's end is laid end to end and cut at the capacity, and the last
 remainder into powers of two, so that padding is only what the reciprocals leave.
 
 Defined results: a null text is empty and gives one piece with the end id; repeated rows and null ids are
@@ -25,15 +25,15 @@ from quizforge.llm.common import text_chunks
 from quizforge.llm.pieces import cut_byte_level, encoder
 
 END_ID = 0
-MAX_CUTS = 4
+MAX_CUTS, SLACK = 4, 1 / 64
 #: Sequence ids of a worker start at its number times this.
 PER_WORKER = 1 << 40
 
 
 def tail_cuts(rest: int, capacity: int) -> list[int]:
     """Piece lengths for the ``rest`` of a text under one capacity: largest reciprocals first."""
-    out = []
-    while rest and len(out) < MAX_CUTS - 1:
+    out, spare = [], SLACK * rest
+    while rest and len(out) < MAX_CUTS - 1 and capacity / (capacity // rest) - rest > spare:
         piece = capacity // -(-capacity // rest)
         out.append(piece)
         rest -= piece
