@@ -78,9 +78,30 @@ def test_bucket_links_large_and_small_agree():
             for b in label:
                 if (a ^ b).bit_count() <= 2 and label[b] < label[a]:
                     label[a], changed = label[b], True
-    assert simhash.link_bucket(fps).tolist() == [label[int(f)] for f in fps]
-    small = fps[:200]
-    assert len(set(simhash.link_bucket(small).tolist())) >= 1
+    want = [label[int(f)] for f in fps]
+    assert simhash.looked_up(fps).tolist() == want and simhash.tallied(fps).tolist() == want
+
+
+def test_positional_bytes_lose_no_link(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 63, 40).astype(np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << draw.integers(0, 64, len(x)).astype(np.uint64))
+    fps = np.unique(np.concatenate((base, flip(base), flip(flip(base)), flip(flip(flip(base))), base[0] ^ np.arange(300).astype(np.uint64))))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    label = np.arange(len(fps))
+    while (new := np.where(near, label[None, :], len(fps)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for crowded in (2048, 20):  # at 20 the posting of base[0] is dealt anew
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        links = simhash.index_links(distinct)
+        assert all((np.uint64(r.a % (1 << 64)) in fps) and (np.uint64(r.b % (1 << 64)) in fps) for r in links.collect())
+        roots = {r.fp: r.root for r in simhash.components(links).collect()}
+        groups, want = {}, {}
+        for f, k in zip(fps.view(np.int64).tolist(), label.tolist(), strict=True):
+            groups.setdefault(roots.get(f, f), set()).add(f)
+            want.setdefault(k, set()).add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
 def test_line_templates_against_python(spark):
