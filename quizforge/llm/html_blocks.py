@@ -1,18 +1,23 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block tags, each with its tag path. A bidirectional LSTM
-in numpy reads, for the whole page, hashed vectors of the whole tag path and of all words of the blocks in order, and labels every
-block as main text or not; the text is the main blocks, joined by a space. The labeller is trained on blocks
-of a bounded sample of pages of any length, labelled by the page's own semantic containers (article or main
-against nav, header, footer, aside, form and the like), and on the same blocks laid out anew in other known page
-shapes, with sidebars, notices, forms and reader comments, so that it doesn't depend on one layout. The sample is
+in numpy reads, for the whole page, hashed vectors of the whole tag path and of all words of the blocks in order, with
+the shares of the page's text that their containers hold, and labels every block as main text or not; the text is the
+main blocks, joined by a space.
+
+The labeller is trained on blocks of a bounded sample of pages of any length, labelled by the page's own semantic
+containers (article or main against nav, header, footer, aside, form and the like), and on the same texts laid out anew
+in other page shapes, with sidebars, notices, forms and reader comments. In those, containers lose their names at
+random or have made-up ones, so that the labeller can't lean on them: words, links, order and shares of the text decide.
+A sampled page in which no container tells the main text gives texts only. The sample is
 chosen by the hash of page_id; of a page with more than ``DRAWN`` blocks it has ``RUNS`` runs of neighbours from
 all over the page, and only their vectors reach the driver. Where no sampled page has a block there is nothing to
 learn from, and blocks are labelled by their containers.
 
 Defined results: a null or empty html gives an empty text; a page of any length is read as one sequence in both
 directions (long ones in windows, with the states carried from one to the next); script, style, head, comments and other unseen elements are no blocks;
-unclosed tags end with their container; repeated rows are extracted each for itself.
+unclosed tags end with their container; a tag with an unclosed quote ends at its first ">"; repeated rows are extracted
+each for itself.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,44 +36,109 @@ from pyspark.sql import functions as F
 #: Fixed values of HTML: elements that are never shown as text, that stay inside a block, and that have no end.
 UNSEEN = frozenset("script style noscript template head title svg iframe object textarea select option button math canvas".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input".split())
+SIBLINGS = frozenset("li tr td th dd dt".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = "script|style|noscript|template|iframe|textarea|svg"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Elements whose content is skipped as it stands, up to their end tag.
+RAW = frozenset("script style noscript template iframe textarea svg".split())
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_VALUE = re.compile(r"\s*=\s*")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 
-PATH_SLOTS, WORD_SLOTS, SHAPES = 48, 24, 6
-INPUT, HIDDEN = PATH_SLOTS + WORD_SLOTS + SHAPES, 16
-LINKED, PLACE = INPUT - 5, INPUT - 2
+PATH_SLOTS, WORD_SLOTS, SHAPES, SHARES = 64, 48, 6, 7
+INPUT, HIDDEN = PATH_SLOTS + WORD_SLOTS + SHAPES + SHARES, 20
+LENGTH, LINKED, PLACE = PATH_SLOTS + WORD_SLOTS, PATH_SLOTS + WORD_SLOTS + 1, PATH_SLOTS + WORD_SLOTS + 4
+#: The inputs of a block's text, between those of its path and those of its container.
+TEXT = slice(PATH_SLOTS, INPUT - SHARES)
 #: Steps of a page that are worked on at once, and padded blocks in a batch of pages: both bound memory only.
 WINDOW, BATCH_BLOCKS = 256, 80_000
 #: Of a sampled page the labeller learns from so many blocks at most, drawn in so many runs.
 DRAWN, RUNS = 192, 8
 
 
+class Tags:
+    """The tags of a page from left to right, each found once: (start, end, closing, name, attributes)."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.lower = page, None
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """The place after the ">" that ends a tag, as quoted values may have others; -1 if there is none."""
+        page = self.page
+        close = page.find(">", at)
+        if close < 0:
+            return -1
+        double, single = page.count('"', at, close), page.count("'", at, close)
+        if not single and not double % 2 or not double and not single % 2:
+            return close + 1
+        while True:
+            equals, close = page.find("=", at), page.find(">", at)
+            if close < 0:
+                return -1
+            if not 0 <= equals < close:
+                return close + 1
+            at = _VALUE.match(page, equals).end()
+            quote = page[at : at + 1]
+            if quote and quote in "\"'" and at < self.last_quote[quote]:
+                at = page.index(quote, at + 1) + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+                yield at, end, False, "", ""
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                end = len(page) if end < 0 else end + 1
+                yield at, end, False, "", ""
+            else:
+                closing = page.startswith("/", at + 1)
+                name = _NAME.match(page, at + 1 + closing)
+                end = self._end(name.end()) if name else -1
+                if not name or end < 0:
+                    at += 1
+                    if name and end < 0:
+                        return  # no tag ends any more
+                    continue
+                tag = name[0].lower()
+                yield at, end, closing, tag, page[name.end() : end - 1]
+                if tag in RAW and not closing:
+                    # What is inside goes up to the end tag, or to the end of the page.
+                    self.lower = self.lower or page.lower()
+                    inside, end = end, self.lower.find("</" + tag, end)
+                    if end < 0:
+                        end = len(page)
+                    yield inside, end, False, "", ""
+            at = end
+
+
 class Path:
     """The tags open around a block, with their names, as a chain to the root: blocks share it, at any depth."""
 
-    __slots__ = ("parent", "parts", "level", "end", "main")
+    __slots__ = ("parent", "parts", "level", "end", "main", "size")
 
     def __init__(self, parent: Path | None, parts: tuple[str, ...]) -> None:
-        self.parent, self.parts = parent, parts
-        self.level, self.end, own = (parent.level + 1, parent.end, parent.main) if parent else (0, 0, 0)
+        self.parent, self.parts, self.size = parent, parts, 0.0
+        self.level, self.end, own = (parent.level + 1, parent.end, parent.main) if parent else (0, 0, None)
         self.end += len(parts)
-        #: 1 if the innermost telling container is one of main text.
+        #: 1 if the innermost telling container is one of main text, 0 if of other text, None if there is none.
         self.main = next((int(p in MAIN_PARTS) for p in reversed(parts) if p in OTHER_PARTS or p in MAIN_PARTS), own)
 
 
 def blocks(page: str) -> list[tuple[Path | None, str, float]]:
     """(tag path, text, share of characters in links) of every leaf block with text, in page order."""
     stack: list[tuple[str, Path]] = []
+    open_tags: Counter[str] = Counter()
     out: list[tuple[Path | None, str, float]] = []
     text: list[str] = []
     linked = [0, 0]  # characters in links, open links
     unseen = 0
 
     def end_block() -> None:
-        words = " ".join(html_lib.unescape("".join(text)).split())
+        words = " ".join(html_lib.unescape("".join(text)).split()) if text else ""
         if words:
             out.append((stack[-1][1] if stack else None, words, min(1.0, linked[0] / len(words))))
         text.clear()
@@ -80,21 +151,21 @@ def blocks(page: str) -> list[tuple[Path | None, str, float]]:
                 linked[0] += len(raw)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    for start, end, closing, tag, attributes in Tags(page):
+        say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if closing:
             if tag == "a":
                 linked[1] = 0
             if tag in INLINE:
                 continue
-            if tag in (t for t, _ in stack):
+            if open_tags[tag]:
                 end_block()
                 while stack:
                     t, _ = stack.pop()
+                    open_tags[t] -= 1
                     unseen -= t in UNSEEN
                     if t == tag:
                         break
@@ -108,12 +179,13 @@ def blocks(page: str) -> list[tuple[Path | None, str, float]]:
         if tag == "body":
             unseen = 0
             stack.clear()
-        for closing, inside in (("p", None), ("li", ("ul", "ol")), ("tr", ("table",)), ("td", ("tr",)), ("dd", ("dl",)), ("dt", ("dl",))):
-            # A new p ends an open p; a new li ends the li of the same list, and so on.
-            if (tag == closing or closing == "p") and stack and stack[-1][0] == closing and (inside is None or stack[-1][0] not in inside):
-                stack.pop()
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
+            open_tags.clear()
+        # A new p or any block ends an open p; a new li ends the li before it, and so on.
+        while stack and (stack[-1][0] == "p" or (tag in SIBLINGS and stack[-1][0] == tag)):
+            open_tags[stack.pop()[0]] -= 1
+        named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if "=" in attributes else ""
         stack.append((tag, Path(stack[-1][1] if stack else None, (tag, *("." + x for x in _PART.findall(named.lower()))))))
+        open_tags[tag] += 1
         unseen += tag in UNSEEN
     say(page[at:])
     end_block()
@@ -172,16 +244,60 @@ def text_vector(text: str) -> np.ndarray:
     return x
 
 
-def vectors(page: list[tuple[Path | None, str, float]]) -> np.ndarray:
-    """The input vector of every block."""
-    x = np.zeros((len(page), INPUT), np.float32)
+def shares(paths: list[Path | None], sizes: np.ndarray) -> np.ndarray:
+    """For each block what its containers hold of the page's text, whatever their names, and whether it is where the one before was."""
+    nodes: dict[int, Path] = {}
+    for path in paths:
+        while path is not None and id(path) not in nodes:
+            nodes[id(path)] = path
+            path.size = 0.0
+            path = path.parent
+    for path, size in zip(paths, sizes.tolist(), strict=True):
+        if path is not None:
+            path.size += size
+    order = sorted(nodes.values(), key=lambda p: -p.level)
+    for p in order:
+        if p.parent is not None:
+            p.parent.size += p.size
+    total = max(float(sizes.sum()), 1.0)
+    # The innermost container that holds half of the page's text.
+    core = next((p for p in order if 2 * p.size >= total), None)
+    inside: dict[int, bool] = {}
+    for p in reversed(order):
+        inside[id(p)] = p is core or (p.parent is not None and inside[id(p.parent)])
+    out = np.zeros((len(paths), SHARES), np.float32)
+    before: Path | None = None
+    for i, path in enumerate(paths):
+        up = path.parent if path is not None else None
+        over = up.parent if up is not None else None
+        out[i, 0] = up.size / total if up is not None else 1.0
+        out[i, 1] = over.size / total if over is not None else 1.0
+        out[i, 2] = path is not None and inside[id(path)]
+        if before is not None and path is not None:
+            out[i, 3] = before.parent is up
+            out[i, 4] = before.parent is not None and over is not None and before.parent.parent is over
+            out[i, 5] = min(before.level - path.level, 4) / 4 if before.level > path.level else max(before.level - path.level, -4) / 4
+        out[i, 6] = min(path.level, 12) / 12 if path is not None else 0.0
+        before = path
+    return out
+
+
+def page_vectors(paths: list[Path | None], texts: list[np.ndarray], linked: list[float], sizes: np.ndarray) -> np.ndarray:
+    """The input vector of every block, from its path, its text's vector, its share of links and its length."""
+    x = np.zeros((len(paths), INPUT), np.float32)
     path_vector = PathVectors()
-    for i, (path, text, linked) in enumerate(page):
-        x[i, :PATH_SLOTS], x[i, PATH_SLOTS:] = path_vector(path), text_vector(text)
-        x[i, LINKED], x[i, PLACE] = linked, i / len(page)
+    for i, (path, text) in enumerate(zip(paths, texts, strict=True)):
+        x[i, :PATH_SLOTS], x[i, TEXT] = path_vector(path), text
+    if len(paths):
+        x[:, LINKED], x[:, PLACE], x[:, INPUT - SHARES :] = linked, np.arange(len(paths)) / len(paths), shares(paths, sizes)
     return x
 
 
+def vectors(page: list[tuple[Path | None, str, float]]) -> np.ndarray:
+    """The input vector of every block."""
+    return page_vectors([p for p, _, _ in page], [text_vector(t) for _, t, _ in page], [k for _, _, k in page], np.array([len(t) for _, t, _ in page], np.float64))
+
+
 def drawn(n: int) -> np.ndarray:
     """Of n blocks at most ``DRAWN``: all, or runs evenly spread from the first block to the last."""
     if n <= DRAWN:
@@ -333,60 +449,137 @@ OTHER_PARTS = frozenset(
 
 def container_label(path: Path | None) -> int:
     """1 if the innermost telling container of a block is one of main text, however far out it is."""
-    return path.main if path is not None else 0
+    return (path.main or 0) if path is not None else 0
+
+
+def page_labels(page: list[tuple[Path | None, str, float]]) -> np.ndarray:
+    """Labels by the containers; -1 for the untold blocks of a page in which no container tells the main text."""
+    told = np.array([-1 if p is None or p.main is None else p.main for p, _, _ in page], np.float32)
+    return np.where(told < 0, 0, told) if (told == 1).any() else told
+
+
+_SHELLS = (("body", "article"), ("body", "main"), ("body", "main", "article"), ("body", "div", ".content"), ("body", "div", ".wrapper", "div", ".post", ".entry"), ("body", "div", "div", ".main", "section"), ("body", "div", ".page", "article", ".story"), ("body", "div", ".article"), ("body", "section"), ("body", "div", "div"), ("body",))
+_BEFORE = (("body", "nav", "ul", "li"), ("body", "header", "nav", "ul", "li"), ("body", "header"), ("body", "div", ".menu", "ul", "li"), ("body", "div", ".header"), ("body", "div", ".ad"), ("body", "div", ".banner"), ("body", "div", ".cookie", ".notice"), ("body", "div", ".notice", "p"), ("body", "aside", ".sidebar", "p"), ("body", "form"), ("body", "ul", ".breadcrumb", "li"), ("body", "div", "p"))
+_AFTER = (("body", "footer"), ("body", "footer", "p"), ("body", "div", ".footer", "p"), ("body", "aside", "p"), ("body", "aside", ".sidebar", "ul", "li"), ("body", "div", ".sidebar", ".widget", "p"), ("body", "div", ".related", "ul", "li"), ("body", "div", ".ad"), ("body", "div", ".advertisement", "p"), ("body", "form", ".newsletter", "p"), ("body", "form", "p"), ("body", "div", ".share"))
+_WITHIN = (("div", ".ad"), ("aside",), ("aside", "p"), ("div", ".advertisement", "p"), ("div", ".newsletter", "form"), ("div", ".share"), ("nav", "ul", "li"), ("footer",), ("header", "nav", "li"))
+_COMMENTS = (("section", ".comments", "div", ".comment", "p"), ("div", ".comments", "ul", "li"), ("div", ".comments", "div", ".comment", "p"), ("section", ".comments", "ol", "li", "p"), ("div", ".respond", "p"), ("div", ".comments", "article", ".comment", "p"), ("section", ".comments", "p"), ("div", ".comments", "p"))
+_BODY_TAGS = ("p", "p", "p", "p", "p", "p", "h2", "li", "blockquote", "td", "h3", "div", "pre", "figcaption", "dd")
+#: Texts that stand above or among reader comments.
+_SAID = ("Comments", "3 comments", "Discussion", "Reply", "Leave a reply", "Posted by Anna", "Kommentare", "Commentaires", "Comentarios", "Responses (12)", "Log in to reply")
+
+
+class _Page:
+    """A page in the making: containers by their parts, with blocks in order."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        self.rng = rng
+        #: How often a named container loses its name or has a made-up one on this page.
+        self.renamed = float(rng.choice([0.0, 0.5, 1.0]))
+        self.names: dict[str, str] = {}
+        self.paths: list[Path] = []
+        self.texts: list[np.ndarray] = []
+        self.linked: list[float] = []
+        self.labels: list[int] = []
+
+    def part(self, part: str) -> str | None:
+        """The part as it is called on this page: main containers become plain ones, names are made up or left out."""
+        if part not in self.names:
+            self.names[part] = part
+            if (part.startswith(".") or part in ("article", "main", "section")) and self.rng.random() < self.renamed:
+                made_up = f".n{self.rng.integers(1 << 30)}"
+                self.names[part] = ("" if self.rng.random() < 0.4 else made_up) if part.startswith(".") else "div" + (made_up if self.rng.random() < 0.7 else "")
+        return self.names[part]
+
+    def inside(self, path: Path | None, parts: tuple[str, ...]) -> Path | None:
+        """A new chain of containers in ``path``; parts with a dot are names of the tag before them."""
+        at = 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and parts[end].startswith("."):
+                end += 1
+            own = [x for p in parts[at:end] if (q := self.part(p)) for x in ([q] if q.startswith(".") or ".n" not in q else ["div", q[3:]])]
+            path, at = Path(path, tuple(own)), end
+        return path
 
+    def add(self, path: Path, text: np.ndarray, linked: float, label: int) -> None:
+        self.paths.append(path)
+        self.texts.append(text)
+        self.linked.append(linked)
+        self.labels.append(label)
 
-_SHELLS = (("body", "article"), ("body", "main"), ("body", "main", "article"), ("body", "div", ".content"), ("body", "div", ".wrapper", "div", ".post", ".entry"), ("body", "div", "div", ".main", "section"), ("body", "div", ".page", "article", ".story"), ("body", "div", ".article"))
-_BEFORE = (("body", "nav", "ul", "li"), ("body", "header", "nav", "ul", "li"), ("body", "header"), ("body", "div", ".menu", "ul", "li"), ("body", "div", ".header"), ("body", "div", ".ad"), ("body", "div", ".banner"), ("body", "div", ".cookie", ".notice"), ("body", "div", ".notice", "p"), ("body", "aside", ".sidebar", "p"), ("body", "form"), ("body", "ul", ".breadcrumb", "li"))
-_AFTER = (("body", "footer"), ("body", "footer", "p"), ("body", "div", ".footer", "p"), ("body", "aside", "p"), ("body", "aside", ".sidebar", "ul", "li"), ("body", "div", ".sidebar", ".widget", "p"), ("body", "section", ".comments", "div", ".comment", "p"), ("body", "div", ".comments", "ul", "li"), ("body", "div", ".related", "ul", "li"), ("body", "div", ".ad"), ("body", "div", ".advertisement", "p"), ("body", "form", ".newsletter", "p"), ("body", "form", "p"), ("body", "div", ".share"))
-_WITHIN = (("div", ".ad"), ("aside",), ("aside", "p"), ("div", ".advertisement", "p"), ("div", ".newsletter", "form"), ("div", ".share"), ("nav", "ul", "li"), ("section", ".comments", "p"), ("div", ".comment", "p"), ("footer",), ("header", "nav", "li"))
-_BODY_TAGS = ("p", "p", "p", "p", "h2", "li", "blockquote", "td", "h3", "div", "pre", "figcaption", "dd")
+    def vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.expm1(8 * np.array([t[WORD_SLOTS] for t in self.texts], np.float64))
+        return page_vectors(self.paths, self.texts, self.linked, sizes), np.array(self.labels, np.float32)
 
 
 def laid_out_anew(main: np.ndarray, other: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of a page of the same texts in a random known shape, with its labels."""
+    """The vectors of a page of the same texts in a random shape, with its labels."""
     pick = lambda options: options[rng.integers(len(options))]
-    texts = other[:, PATH_SLOTS:] if len(other) else text_vector("Menu")[None]
-    bodies = main[:, PATH_SLOTS:] if len(main) else text_vector("Text.")[None]
-    main = main[int(rng.integers(len(main))) :] if len(main) > 24 else main
-    page: list[tuple[tuple[str, ...], np.ndarray, float, int]] = []
-
-    def around(shapes: tuple, n: int) -> None:
+    texts = other[:, TEXT] if len(other) else text_vector("Menu")[None]
+    bodies = main[:, TEXT] if len(main) else text_vector("Text.")[None]
+    longer = bodies[bodies[:, WORD_SLOTS] > np.log1p(40) / 8]
+    longer = longer if len(longer) else bodies
+    page = _Page(rng)
+    body = page.inside(None, ("body",))
+
+    def around(root: Path, shapes: tuple, n: int) -> None:
         for _ in range(n):
-            path = pick(shapes)
-            for _ in range(int(rng.integers(1, 6)) if path[-1] == "li" else 1):
-                # Readers' comments and sidebars read like main text: only their place tells.
-                text = pick(bodies) if rng.random() < 0.5 else pick(texts)
-                page.append((path, text, float(path[-1] == "li" and rng.random() < 0.8), 0))
-
-    shell = pick(_SHELLS)
-    around(_BEFORE, int(rng.integers(0, 5)))
-    for n, x in enumerate(main[: int(rng.integers(1, 25))]):
-        tag = "h1" if n == 0 and rng.random() < 0.7 else pick(_BODY_TAGS)
-        page.append((shell + (("ul", tag) if tag == "li" else ("table", "tr", tag) if tag == "td" else (tag,)), x[PATH_SLOTS:], x[LINKED], 1))
-        if rng.random() < 0.08:
-            page.append((shell + pick(_WITHIN), pick(texts) if rng.random() < 0.5 else pick(bodies), 0.0, 0))
-    around(_AFTER, int(rng.integers(0, 6)))
-    out = np.zeros((len(page), INPUT), np.float32)
-    for i, (path, text, linked, _) in enumerate(page):
-        out[i, :PATH_SLOTS], out[i, PATH_SLOTS:] = PathVectors()(Path(None, path)), text
-        out[i, LINKED], out[i, PLACE] = linked, i / len(page)
-    return out, np.array([y for *_, y in page], np.float32)
-
-
-def train(pages: list[tuple[np.ndarray, np.ndarray]], *, layouts: int = 2, seed: int = 4) -> BlockLstm | None:
-    """A labeller from the pages' (vectors, labels) and from ``layouts`` new shapes of each; none without blocks."""
+            shape = tuple(p for p in pick(shapes) if p != "body")
+            listed = shape[-1] == "li"
+            home = page.inside(root, shape[:-1]) if len(shape) > 1 and not shape[-1].startswith(".") else root
+            linked = listed and rng.random() < 0.8
+            for _ in range(int(rng.integers(2, 8)) if listed else 1):
+                # Notices and sidebars read like main text: only their place tells. Menus are short.
+                text = pick(longer) if not listed and rng.random() < 0.4 else pick(texts)
+                leaf = page.inside(home, shape[-1:]) if home is not root else page.inside(root, shape)
+                page.add(leaf, text, float(linked), 0)
+
+    def comments(root: Path) -> None:
+        shape = pick(_COMMENTS)
+        box = page.inside(root, shape[:2])
+        if rng.random() < 0.5:
+            page.add(page.inside(box, (pick(("h2", "h3", "h4", "div")),)), text_vector(pick(_SAID)), 0.0, 0)
+        for _ in range(int(rng.integers(1, 7))):
+            item = page.inside(box, shape[2:-1]) if len(shape) > 3 else box
+            if rng.random() < 0.3:
+                page.add(page.inside(item, (pick(("span", "div", "h4", "b")),)), text_vector(pick(_SAID)) if rng.random() < 0.5 else pick(texts), 0.0, 0)
+            page.add(page.inside(item, shape[-1:]), pick(longer), 0.0, 0)
+
+    around(body, _BEFORE, int(rng.integers(0, 5)))
+    shell_parts = tuple(p for p in pick(_SHELLS) if p != "body")
+    shell = page.inside(body, shell_parts)
+    start = int(rng.integers(max(1, len(bodies) - 8)))
+    chosen = bodies[start : start + int(rng.integers(1, 25))]
+    within = 0.06 if rng.random() < 0.5 and shell_parts else 0.0
+    for n, text in enumerate(chosen):
+        tag = "h1" if n == 0 and rng.random() < 0.7 else pick(_BODY_TAGS) if rng.random() < 0.5 else "p"
+        home = page.inside(shell, ("ul",) if tag == "li" else ("table", "tr") if tag == "td" else ()) if tag in ("li", "td") else shell
+        page.add(page.inside(home, (tag,)), text, 0.0, 1)
+        if rng.random() < within:
+            around(shell, _WITHIN, 1)
+    if rng.random() < 0.5:
+        comments(shell if shell_parts and rng.random() < 0.3 else page.inside(body, ("div",)) if rng.random() < 0.2 else body)
+    around(body, _AFTER, int(rng.integers(0, 5)))
+    return page.vectors()
+
+
+def train(pages: list[tuple[np.ndarray, np.ndarray]], *, layouts: int = 8, seed: int = 4) -> BlockLstm | None:
+    """A labeller from the pages' (vectors, labels) and from ``layouts`` new shapes of each; none without blocks.
+
+    Of a page with labels of -1 only texts are used: its longer blocks with few links are taken as main text.
+    """
     rng = np.random.default_rng(seed)
     known = []
     for x, y in pages:
         if len(x):
-            known.append((x, y))
-            known += [laid_out_anew(x[y > 0], x[y == 0], rng) for _ in range(layouts)]
-    known = [(x, y) for x, y in known if len(x)]
+            if (y >= 0).all() and (y > 0).any():
+                known.append((x, y))
+            body = y > 0 if (y > 0).any() else (y < 0) & (x[:, LENGTH] > np.log1p(60) / 8) & (x[:, LINKED] < 0.3)
+            known += [laid_out_anew(x[body], x[~body], rng) for _ in range(layouts)]
     if not known:
         return None
     model = BlockLstm()
-    model.fit(known, epochs=max(8, 120 // -(-len(known) // 64)))  # few pages are read more often: 120 steps at least
+    model.fit(known, epochs=max(8, 240 // -(-len(known) // 64)))  # few pages are read more often: 240 steps at least
     return model
 
 
@@ -396,7 +589,7 @@ def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in batch.column(0):
             own = blocks(page.as_py())
             at = drawn(len(own))
-            y = np.array([container_label(own[i][0]) for i in at], np.float32)
+            y = page_labels(own)[at]
             yield pa.RecordBatch.from_arrays([pa.array([vectors(own)[at].tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
 
 
