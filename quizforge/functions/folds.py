@@ -25,20 +25,19 @@ def apply_replacements(text: Column, edits: Column) -> Column:
 
 
 def clean_equiv_items(items: Column, query: Column) -> Column:
-    """Items (kind, original, placeholder) whose original the query has; placeholders as ``{{PHn}}``."""
-    listed = F.transform(items, lambda x, i: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), x["placeholder"].alias("placeholder"), i.alias("i")))
-    there = F.filter(listed, lambda x: (F.coalesce(F.trim(x["original"]), F.lit("")) != "") & query.contains(x["original"]))
-    number = lambda p: F.regexp_extract(F.trim(p), r"^\{(?:\{PH(\d+)\}|PH(\d+))\}$", 1)
-    short = lambda p: F.regexp_extract(F.trim(p), r"^\{(?:\{PH(\d+)\}|PH(\d+))\}$", 2)
-    given = lambda x: F.nullif(F.coalesce(F.concat(number(x["placeholder"]), short(x["placeholder"])), F.lit("")), F.lit(""))
-    return F.transform(
-        there,
-        lambda x: F.struct(
-            F.coalesce(F.nullif(F.trim(x["kind"]), F.lit("")), F.lit("math")).alias("kind"),
-            x["original"].alias("original"),
-            F.concat(F.lit("{{PH"), F.coalesce(given(x), x["i"].cast("string")), F.lit("}}")).alias("placeholder"),
+    """Items (kind, original, placeholder) whose trimmed original the query has; unknown kinds are math, placeholders ``{{PHn}}``."""
+    named = r"^\{(?:\{PH([0-9]+)\}|PH([0-9]+))\}$"
+    number = lambda p: F.concat(F.regexp_extract(F.trim(p), named, 1), F.regexp_extract(F.trim(p), named, 2))
+    kind = lambda x: F.lower(F.coalesce(x["kind"], F.lit("math")))
+    listed = F.transform(
+        items,
+        lambda x, i: F.struct(
+            F.when(kind(x).isin("unit", "math", "chem"), kind(x)).otherwise("math").alias("kind"),
+            F.trim(F.coalesce(x["original"], F.lit(""))).alias("original"),
+            F.concat(F.lit("{{PH"), F.coalesce(F.nullif(number(x["placeholder"]), F.lit("")), i.cast("string")), F.lit("}}")).alias("placeholder"),
         ),
     )
+    return F.filter(listed, lambda x: (x["original"] != "") & query.contains(x["original"]))
 
 
 def template_query(query: Column, items: Column) -> Column:

@@ -69,3 +69,14 @@ def label_state(label: Column) -> Column:
 def image_kind(label: Column) -> Column:
     plain = F.lower(F.trim(label))
     return F.when(plain.isin("photo", "photograph"), "photograph").when(plain == "illustration", "illustration")
+
+
+def output_paths(image_rel: Column, output_root: Column, temp_root: Column) -> Column:
+    """struct<generated, modified, edited>: where a chart drawn anew, its modified version, and an edited image go."""
+    forward = F.replace(image_rel, F.lit("\\"), F.lit("/"))
+    bare = F.regexp_replace(forward, r"(?<=[^/])\.[^./]+$", "")
+    return F.struct(
+        F.concat_ws("/", temp_root, F.lit("temp_image"), F.concat(bare, F.lit("_generated.png"))).alias("generated"),
+        F.concat_ws("/", output_root, F.concat(F.regexp_replace(bare, "^image/", ""), F.lit(".png"))).alias("modified"),
+        F.concat_ws("/", output_root, image_rel).alias("edited"),
+    )

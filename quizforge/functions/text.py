@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEWLINE = "\n"
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Patterns that decide what a stem, an option and a literal is.
-T1_OPTION_LINE = r"(?dm)^\s*(?:[A-E]\.\s+|\([A-E]\)\s*[\.\)]?\s*)"
+T1_OPTION_LINE = r"(?dmU)^\s*(?:[A-E]\.\s+|\([A-E]\)\s*[\.\)]?\s*)"
 COMPOSITE_OPTION_LINE = r"(?dm)^\p{L}\."
-MCQ_DOT_LINE = r"(?dm)^\s*[A-Z]\."
+MCQ_DOT_LINE = r"(?dmU)^\s*[A-Z]\.\s+"
 MCQ_PAREN = r"\([A-Z]\)"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+ANSWER_LABEL = r"(?d)^([A-Z])(?:[.\u3002,:; ].*)?\z"
 LITERALS = (
     r"(?i)<image\s*\d+>",
     r"\$[^$]+\$",
@@ -25,6 +28,13 @@ PHRASES = ("titration curve", "equivalence point", "pH")
 FAILURES = ("[ERROR]", "Error:", "Exception:")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns, each worked out once a row however often it is used later: filters and projections stay above."""
+    names = [f"_once_{n}" for n in columns]  # other names first, so that columns of ``df`` can be replaced
+    own = df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(names, columns.values(), strict=True)]))))
+    return own.drop(*columns).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, also where ``use`` refers to it in a lambda."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -33,13 +43,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _halves(query: Column, at: Column) -> Column:
     """(stem, options), both trimmed; no option line leaves the options empty."""
     return F.struct(
-        _strip(F.when(at > 0, F.substring(query, F.lit(1), at - 1)).otherwise(query)).alias("stem"),
-        _strip(F.when(at > 0, F.substring(query, at, F.length(query))).otherwise(F.lit(""))).alias("options"),
+        strip(F.when(at > 0, F.substring(query, F.lit(1), at - 1)).otherwise(query)).alias("stem"),
+        strip(F.when(at > 0, F.substring(query, at, F.length(query))).otherwise(F.lit(""))).alias("options"),
     )
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def split_query(query: Column) -> Column:
@@ -49,9 +59,13 @@ def split_query(query: Column) -> Column:
 
 
 def split_lines(query: Column) -> Column:
-    """Split for composites: the first line that starts with a letter and a dot, not indented."""
+    """Split for composites at the first line that starts with a letter and a dot, not indented; nothing is trimmed."""
     q = F.coalesce(query, F.lit(""))
-    return _halves(q, F.regexp_instr(q, F.lit(COMPOSITE_OPTION_LINE)))
+    at = F.regexp_instr(q, F.lit(COMPOSITE_OPTION_LINE))
+    return F.struct(
+        F.when(at > 1, F.substring(q, F.lit(1), at - 2)).when(at == 1, F.lit("")).otherwise(q).alias("stem"),
+        F.when(at > 0, F.substring(q, at, F.length(q))).otherwise(F.lit("")).alias("options"),
+    )
 
 
 def split_mcq(query: Column) -> Column:
@@ -61,28 +75,28 @@ def split_mcq(query: Column) -> Column:
 
 
 def combine_t2t4(t2: Column, t4: Column) -> Column:
-    """The stem of T2 with the options of T4; whole queries where one of them has no such part."""
-    stem, options = split_lines(t2)["stem"], split_lines(t4)["options"]
-    return F.when((stem != "") & (options != ""), F.concat(stem, F.lit(NEWLINE), options)).otherwise(F.coalesce(t4, t2))
+    """The stem of T2 with the options of T4; the whole query stands in for a part that is empty."""
+    stem = F.coalesce(F.nullif(split_lines(t2)["stem"], F.lit("")), t2)
+    options = F.coalesce(F.nullif(split_lines(t4)["options"], F.lit("")), t4)
+    return F.when(options != "", F.concat(stem, F.lit(NEWLINE), options)).otherwise(stem)
 
 
 def _last_per_label(pairs: Column) -> Column:
     """For each label its last text, in order of the labels' first places."""
-    labels = F.array_distinct(F.transform(pairs, lambda p: p["label"]))
-    return F.transform(labels, lambda k: F.element_at(F.filter(pairs, lambda p: p["label"] == k), -1))
+    last = lambda own, k: F.element_at(F.filter(own, lambda p: p["label"] == k), -1)
+    return let(pairs, lambda own: F.transform(F.array_distinct(F.transform(own, lambda p: p["label"])), lambda k: last(own, k)))
 
 
 def parse_options(query: Column) -> Column:
-    """array<struct<label,text>>: options by ``A.`` lines, or by ``(A)`` if those are fewer than two."""
-    lines = F.split(F.coalesce(query, F.lit("")), NEWLINE)
-    dotted = F.transform(
-        F.filter(lines, lambda x: x.rlike(r"^\s*[A-Z]\.")),
-        lambda x: F.struct(F.regexp_extract(x, r"^\s*([A-Z])\.\s*(.*)$", 1).alias("label"), F.trim(F.regexp_extract(x, r"^\s*([A-Z])\.\s*(.*)$", 2)).alias("text")),
-    )
-    dotted = _last_per_label(dotted)
-    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"(?s)(\([A-Z]\)[^(]*)"), 1)
-    paren = F.transform(found, lambda x: F.struct(F.substring(x, 2, 1).alias("label"), _strip(F.substring(x, F.lit(4), F.length(x))).alias("text")))
-    return F.when(F.size(dotted) >= 2, dotted).otherwise(_last_per_label(paren))
+    """array<struct<label,text>>: options by ``A.`` lines, or by ``(A)`` up to the next such mark if those are fewer than two."""
+    q = F.coalesce(query, F.lit(""))
+    option = lambda label, text: F.struct(label.alias("label"), strip(text).alias("text"))
+    lines = F.filter(F.split(q, LINE_ENDS), lambda x: x.rlike(r"(?U)^\s*[A-Z]\.."))
+    dotted = _last_per_label(F.transform(lines, lambda x: option(F.regexp_extract(x, r"(?U)^\s*([A-Z])\.", 1), F.regexp_extract(x, r"(?sU)^\s*[A-Z]\.(.*)$", 1))))
+    marked = r"(?s)\(([A-Z])\)(.*?)(?=\([A-Z]\)|\z)"
+    paren = F.zip_with(F.regexp_extract_all(q, F.lit(marked), 1), F.regexp_extract_all(q, F.lit(marked), 2), option)
+    told = lambda own: F.when(F.size(own) >= 2, _last_per_label(F.filter(own, lambda o: o["text"] != ""))).otherwise(F.slice(own, 1, 0))
+    return let(dotted, lambda own: F.when(F.size(own) >= 2, own).otherwise(let(paren, told)))
 
 
 def is_mcq(query: Column) -> Column:
@@ -90,14 +104,20 @@ def is_mcq(query: Column) -> Column:
 
 
 def match_key(text: Column) -> Column:
-    return F.lower(_strip(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.lower(strip(F.regexp_replace(text, r"(?U)\s+", " ")))
+
+
+def plain_key(text: Column) -> Column:
+    return F.lower(strip(text))
 
 
-def dedup_keep_order(items: Column) -> Column:
-    """The items without blanks, and without those whose match key came before."""
-    keyed = F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("x"), match_key(x).alias("k")))
-    first = lambda own: F.filter(own, lambda s, i: F.array_position(F.transform(own, lambda t: t["k"]), s["k"]) == i + 1)
-    return F.transform(let(F.filter(keyed, lambda s: s["k"] != ""), first), lambda s: s["x"])
+def dedup_keep_order(items: Column, key: Callable[[Column], Column] = match_key) -> Column:
+    """The items without blanks, and without those whose key came before."""
+    keyed = F.transform(F.array_distinct(items), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    # Sorted by key, the first of equal keys stays; then the old order is taken up again.
+    first = lambda own: F.filter(own, lambda s, j: (j == 0) | (F.get(own, j - 1)["k"] != s["k"]))
+    kept = let(F.array_sort(F.filter(keyed, lambda s: s["k"] != "")), first)
+    return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
 def immutable_literals(stem: Column) -> Column:
@@ -125,12 +145,12 @@ def missing_items(items: Column, text: Column) -> Column:
 def normalize_checklist(raw: Column) -> Column:
     """An array from a JSON array in text, or else from lines."""
     listed = F.from_json(raw, "array<string>")
-    return F.filter(F.transform(F.coalesce(listed, F.split(raw, NEWLINE)), _strip), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(listed, F.split(raw, NEWLINE)), strip), lambda x: x != "")
 
 
 def extract_json(raw: Column) -> Column:
     """A VARIANT object: the whole answer, or its part from the first ``{`` to the last ``}``; else null."""
-    whole = F.try_parse_json(_strip(raw))
+    whole = F.try_parse_json(strip(raw))
     part = F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
     parsed = F.coalesce(whole, part)
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
@@ -143,7 +163,7 @@ def json_text(value: Column, *names: str) -> Column:
 
 def strip_fence(raw: Column) -> Column:
     inner = F.regexp_extract(raw, r"(?is)```(?:[a-z0-9_+-]*)[ \t]*\n(.*?)```", 1)
-    return _strip(F.when(inner != "", inner).otherwise(raw))
+    return strip(F.when(inner != "", inner).otherwise(raw))
 
 
 def parse_score(raw: Column) -> Column:
@@ -171,7 +191,8 @@ def word_count_en(text: Column) -> Column:
 
 
 def answer_label(target: Column) -> Column:
-    return F.regexp_extract(F.trim(target), r"^([A-Z])(?:\..*)?$", 1)
+    """The label of a target such as ``B``, ``b``, ``B. text``, ``B, text`` or ``B text``; else empty."""
+    return F.regexp_extract(F.upper(strip(target)), ANSWER_LABEL, 1)
 
 
 def result_ok(status: Column, output: Column) -> Column:
@@ -200,24 +221,59 @@ def element_counts(formula: Column) -> Column:
     return F.when(formula.rlike(r"^(?:[A-Z][a-z]?\d*)+$"), counted)
 
 
-#: Factor to the base unit, and dimension.
-UNITS = {
-    "kg": (1000.0, "mass"), "g": (1.0, "mass"), "mg": (0.001, "mass"), "km": (1000.0, "length"), "m": (1.0, "length"), "cm": (0.01, "length"),
-    "mm": (0.001, "length"), "L": (1.0, "volume"), "mL": (0.001, "volume"), "mol": (1.0, "amount"), "mmol": (0.001, "amount"), "s": (1.0, "time"),
-    "ms": (0.001, "time"), "min": (60.0, "time"), "h": (3600.0, "time"), "N": (1.0, "force"), "kN": (1000.0, "force"), "J": (1.0, "energy"),
-    "kJ": (1000.0, "energy"), "Pa": (1.0, "pressure"), "kPa": (1000.0, "pressure"), "V": (1.0, "voltage"), "mV": (0.001, "voltage"), "K": (1.0, "temperature"),
+#: Symbol, factor to kg, m, s, mol, K and A, and the powers of these.
+BASE_UNITS = {
+    "g": (1e-3, "kg"), "m": (1.0, "m"), "s": (1.0, "s"), "mol": (1.0, "mol"), "K": (1.0, "K"), "A": (1.0, "A"),
+    "L": (1e-3, "m m m"), "N": (1.0, "kg m /s /s"), "J": (1.0, "kg m m /s /s"), "W": (1.0, "kg m m /s /s /s"), "Pa": (1.0, "kg /m /s /s"),
+    "V": (1.0, "kg m m /s /s /s /A"), "C": (1.0, "s A"), "Hz": (1.0, "/s"), "M": (1000.0, "mol /m /m /m"), "eV": (1.602176634e-19, "kg m m /s /s"),
 }
+OTHER_UNITS = {"min": (60.0, "s"), "h": (3600.0, "s"), "d": (86400.0, "s"), "atm": (101325.0, "kg /m /s /s"), "bar": (1e5, "kg /m /s /s"), "cal": (4.184, "kg m m /s /s"), "kcal": (4184.0, "kg m m /s /s")}
+NAMES = {"meter": "m", "metre": "m", "liter": "L", "litre": "L", "gram": "g", "second": "s", "mole": "mol", "minute": "min", "hour": "h", "day": "d", "newton": "N", "joule": "J", "watt": "W", "pascal": "Pa", "volt": "V", "kelvin": "K"}
+PREFIXES = {"": 1.0, "G": 1e9, "M": 1e6, "k": 1e3, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "\u00b5": 1e-6, "n": 1e-9, "p": 1e-12}
+LONG_PREFIXES = {"": 1.0, "giga": 1e9, "mega": 1e6, "kilo": 1e3, "deci": 1e-1, "centi": 1e-2, "milli": 1e-3, "micro": 1e-6, "nano": 1e-9}
+DIMENSIONS = ("kg", "m", "s", "mol", "K", "A")
+
+
+def unit_table() -> dict[str, tuple[float, tuple[int, ...]]]:
+    """symbol -> (factor, power of each dimension): base units with every prefix, and names with theirs and a plural."""
+    powers = lambda parts: tuple(parts.split().count(d) - parts.split().count("/" + d) for d in DIMENSIONS)
+    every = {p + u: (x * f, powers(d)) for u, (f, d) in BASE_UNITS.items() for p, x in PREFIXES.items()}
+    every |= {u: (f, powers(d)) for u, (f, d) in (OTHER_UNITS | BASE_UNITS).items()}
+    return every | {p + name + end: (x * every[u][0], every[u][1]) for name, u in NAMES.items() for p, x in LONG_PREFIXES.items() for end in ("", "s")}
+
+
+_NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_FACTOR = r"(/|\*(?!\*)|\u00b7|)\s*([A-Za-z\u00b5]+)(?:\s*(?:\^|\*\*)\s*([-+]?[0-9]{1,2}))?\s*"
+
+
+def quantity(text: Column) -> Column:
+    """struct<value, factor, powers> of a number with units such as ``36 km/h`` or ``1,000 mL``; null if it is none."""
+    table = unit_table()
+    plain = strip(F.replace(text, F.lit(","), F.lit("")))
+    value = F.regexp_extract(plain, rf"^({_NUMBER})", 1)
+    units = strip(F.regexp_replace(plain, rf"^{_NUMBER}", ""))
+    factors = F.create_map(*[F.lit(x) for u, (f, _) in table.items() for x in (u, f)])
+    dimensions = F.create_map(*[x for u, (_, d) in table.items() for x in (F.lit(u), F.array(*[F.lit(n) for n in d]))])
+    at = [F.regexp_extract_all(units, F.lit(_FACTOR), i) for i in (1, 2, 3)]
+    power = lambda z: F.coalesce(z["2"].try_cast("int"), F.lit(1)) * F.when(z["0"] == "/", -1).otherwise(1)
+    parts = F.transform(F.arrays_zip(at[0].alias("0"), at[1].alias("1"), at[2].alias("2")), lambda z: F.struct(z["1"].alias("unit"), power(z).alias("power")))
+    start = F.struct(F.lit(1.0).alias("factor"), F.array(*[F.lit(0)] * len(DIMENSIONS)).alias("powers"))
+    grown = F.aggregate(
+        parts, start,
+        lambda s, p: F.struct((s["factor"] * F.pow(factors[p["unit"]], p["power"])).alias("factor"), F.zip_with(s["powers"], dimensions[p["unit"]], lambda x, y: x + y * p["power"]).alias("powers")),
+    )
+    whole = (value != "") & units.rlike(rf"^(?:{_FACTOR})*\z") & F.forall(parts, lambda p: factors[p["unit"]].isNotNull())
+    return F.when(whole, let(grown, lambda g: F.struct(value.try_cast("double").alias("value"), g["factor"].alias("factor"), g["powers"].alias("powers"))))
 
 
 def unit_equal(a: Column, b: Column) -> Column:
-    """Same dimension, and base values within a relative 1e-9."""
-    factor = F.create_map(*[F.lit(x) for k, (f, _) in UNITS.items() for x in (k, f)])
-    dimension = F.create_map(*[F.lit(x) for k, (_, d) in UNITS.items() for x in (k, d)])
-    number = lambda c: F.regexp_extract(c, r"^\s*([-+]?\d+(?:\.\d+)?)\s*([A-Za-z]+)\s*$", 1).try_cast("double")
-    unit = lambda c: F.regexp_extract(c, r"^\s*([-+]?\d+(?:\.\d+)?)\s*([A-Za-z]+)\s*$", 2)
-    x, y = number(a) * factor[unit(a)], number(b) * factor[unit(b)]
-    close = F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.abs(y), F.lit(1.0))
-    return F.coalesce((dimension[unit(a)] == dimension[unit(b)]) & close, F.lit(False))
+    """Same dimension, and values in b's unit within 1e-9 of the larger one, or of 1."""
+
+    def close(q: Column) -> Column:
+        x, y = q["x"]["value"] * q["x"]["factor"] / q["y"]["factor"], q["y"]["value"]
+        return (q["x"]["powers"] == q["y"]["powers"]) & (F.abs(x - y) <= 1e-9 * F.greatest(F.abs(x), F.abs(y), F.lit(1.0)))
+
+    return F.coalesce(let(F.struct(quantity(a).alias("x"), quantity(b).alias("y")), close), F.lit(False))
 
 
 def pair_equal(kind: Column, a: Column, b: Column) -> Column:

@@ -36,7 +36,7 @@ def select_tasks(df: DataFrame, column: str, names: list[str] | str) -> tuple[Da
 
 def task_plan(datasets: DataFrame, actions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every (dataset, action) with whether its input exists; both sides are short lists of names."""
-    plan = datasets.select("dataset").distinct().crossJoin(F.broadcast(actions.select("action").distinct()))
+    plan = datasets.select("dataset").distinct().crossJoin(actions.select("action").distinct())
     return plan.join(catalog.select("dataset", "action").distinct().withColumn("found", F.lit(True)), ["dataset", "action"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -60,3 +60,13 @@ def output_summary(df: DataFrame) -> DataFrame:
 
 def reason_counts(df: DataFrame, reason: str = "reason") -> DataFrame:
     return df.groupBy(reason).agg(F.count("*").alias("n"))
+
+
+def drop_report(df: DataFrame, *keys: str) -> DataFrame:
+    """converted, skipped and reasons (how many rows each took) by the keys; a null ``reason`` is a converted row."""
+    each = df.groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+    skipped = F.col("reason").isNotNull()
+    listed = F.array_sort(F.collect_list(F.when(skipped, F.struct("reason", "n"))))  # one entry a reason
+    return each.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(~skipped, F.col("n"))), F.lit(0)).alias("converted"), F.coalesce(F.sum(F.when(skipped, F.col("n"))), F.lit(0)).alias("skipped"), listed.alias("reasons")
+    )

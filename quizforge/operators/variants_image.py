@@ -45,14 +45,40 @@ def edit_prompt(plan: Column, kind: Column) -> Column:
 
 
 def best_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """The first attempt that passes, else the last; ``retry_times`` is its number less one."""
+    """The first attempt that passes, else the last; ``retry_times`` is its number less one.
+
+    ``score`` is that of the last attempt up to it that rendered; one that didn't render keeps the score before it.
+    """
     scored = attempts.where(F.col("attempt") <= MAX_ATTEMPTS).withColumn("score", X.parse_score(F.col("raw_evaluation")))
-    row = F.struct(*[c for c in scored.columns if c not in keys])
-    good = F.col("render_ok") & (F.col("score") >= PASS_SCORE)
-    # One row a key and side; min_by and max_by skip rows whose order is null.
-    best = scored.groupBy(*keys).agg(F.min_by(row, F.when(good, F.col("attempt"))).alias("_first"), F.max_by(row, F.col("attempt")).alias("_last"))
-    chosen = best.withColumn("_row", F.coalesce("_first", "_last")).withColumn("success", F.col("_first").isNotNull())
-    return chosen.select(*keys, "_row.*", "success").withColumn("retry_times", F.col("attempt") - 1)
+    rendered = F.coalesce("render_ok", F.lit(False))
+    row = F.struct(*[c for c in scored.columns if c not in (*keys, "score")])
+    good = rendered & (F.col("score") >= PASS_SCORE)
+    # One row a key and side; min_by and max_by skip rows whose order is null, and a struct carries a null score.
+    best = scored.groupBy(*keys).agg(
+        F.min_by(F.struct(row.alias("row"), "score"), F.when(good, F.col("attempt"))).alias("_first"), F.max_by(row, F.col("attempt")).alias("_last"),
+        F.max_by(F.struct("score"), F.when(rendered, F.col("attempt"))).alias("_scored"),
+    )
+    success = F.col("_first").isNotNull()
+    chosen = best.select(*keys, F.coalesce("_first.row", "_last").alias("_row"), F.when(success, F.col("_first.score")).otherwise(F.col("_scored.score")).alias("score"), success.alias("success"))
+    return chosen.select(*keys, "_row.*", "score", "success").withColumn("retry_times", F.col("attempt") - 1)
+
+
+def run_chart_attempts(tasks: DataFrame, keys: list[str], attempt: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Run ``attempt`` (draw, render, evaluate: render_ok, raw_evaluation) on what has not passed, then ``best_attempt``.
+
+    Every attempt is stored before use, as it costs.
+    """
+    left, every = tasks, None
+    for n in range(1, MAX_ATTEMPTS + 1):
+        path = new_table_path(tasks.sparkSession, f"attempt{n}")
+        attempt(left, n).withColumn("attempt", F.lit(n)).write.parquet(path)
+        done = tasks.sparkSession.read.parquet(path)
+        every = done if every is None else every.unionByName(done)
+        passed = F.coalesce(F.col("render_ok") & (X.parse_score(F.col("raw_evaluation")) >= PASS_SCORE), F.lit(False))
+        left = done.where(~passed).select(*tasks.columns)
+        if n == MAX_ATTEMPTS or left.isEmpty():
+            break
+    return best_attempt(every, keys)
 
 
 def split_round(df: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:

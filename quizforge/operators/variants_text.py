@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizforge.functions import folds, text as X
 from quizforge.functions.text import match_key
+from quizforge.sources.tables import new_table_path
+
+MAX_T2_RETRIES = 3
 
 
 def apply_t1(items: DataFrame, response: str = "response") -> DataFrame:
     """Paraphrase: a new stem over the old options; every kept literal must be in it."""
-    parsed = items.withColumn("_half", X.split_query(F.col("query"))).withColumn("_json", X.extract_json(F.col(response)))
-    parsed = parsed.withColumn("_new", X.json_text(F.col("_json"), "paraphrased_query", "modified_query"))
-    can = F.coalesce(X.json_text(F.col("_json"), "can_modify").try_cast("boolean"), F.lit(False)) & (F.coalesce(F.trim("_new"), F.lit("")) != "")
-    parsed = parsed.withColumn("can_modify", can).withColumn("_stem", F.when(F.col("can_modify"), F.trim("_new")).otherwise(F.col("_half.stem")))
-    given = F.coalesce(X.normalize_checklist(X.json_text(F.col("_json"), "return_checklist")), F.array().cast("array<string>"))
-    choose = lambda literals: X.let(X.sanitize_checklist(given, F.col("_half.stem"), literals)["kept"], lambda kept: F.when(F.size(kept) > 0, kept).otherwise(literals))
-    parsed = parsed.withColumn("return_checklist", X.let(X.immutable_literals(F.col("_half.stem")), choose))
-    parsed = parsed.withColumn("verify_missing_items", X.missing_items(F.col("return_checklist"), F.col("_stem")))
+    none = F.array().cast("array<string>")
+    parsed = X.once(items, _half=X.split_query(F.col("query")), _json=X.extract_json(F.col(response)))
+    answer = X.json_text(F.col("_json"), "paraphrased_query", "modified_query")
+    given = F.coalesce(X.normalize_checklist(X.json_text(F.col("_json"), "return_checklist")), none)
+    parsed = X.once(parsed, _new=F.trim(F.coalesce(answer, F.lit(""))), _can=F.coalesce(X.json_text(F.col("_json"), "can_modify").try_cast("boolean"), F.lit(False)), _given=given, _literals=X.immutable_literals(F.col("_half.stem")))
+    kept = X.sanitize_checklist(F.col("_given"), F.col("_half.stem"), F.col("_literals"))["kept"]
+    can = F.col("_can") & (F.col("_new") != "")
+    parsed = X.once(parsed, can_modify=can, _stem=F.when(can, F.col("_new")).otherwise(F.col("_half.stem")), return_checklist=F.when(F.size("_given") == 0, F.col("_literals")).otherwise(X.let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.col("_literals")))))
+    parsed = X.once(parsed, verify_missing_items=X.missing_items(F.col("return_checklist"), F.col("_stem")))
     query = F.when(F.col("_half.options") != "", F.concat(F.col("_stem"), F.lit("\n"), F.col("_half.options"))).otherwise(F.col("_stem"))
     return (
         parsed.withColumn("action", F.lit("T1")).withColumn("original_query", F.col("query")).withColumn("modified_query", query)
-        .withColumn("modified_answer", F.col("target")).withColumn("verify_passed", F.size("verify_missing_items") == 0).drop("_half", "_json", "_new", "_stem")
+        .withColumn("modified_answer", F.col("target")).withColumn("verify_passed", F.size("verify_missing_items") == 0).drop("_half", "_json", "_new", "_can", "_given", "_literals", "_stem")
     )
 
 
@@ -31,28 +37,46 @@ def t2_state(can_modify: Column, n_items: Column, any_passed: Column) -> Column:
     return F.when(~can_modify, F.lit(None).cast("boolean")).when(n_items == 0, F.lit(False)).otherwise(any_passed)
 
 
-def apply_t2(items: DataFrame, pairs: str = "pairs") -> DataFrame:
-    """Equivalent rewriting: ``pairs`` (kind, original, placeholder, transformed); failed pairs keep the original."""
-    base = items.withColumn("_items", folds.clean_equiv_items(F.col(pairs), F.col("query")))
-    said = F.transform(F.col("_items"), lambda x: F.element_at(F.filter(F.col(pairs), lambda p: p["original"] == x["original"]), 1)["transformed"])
-    base = base.withColumn("_said", folds.align_transformed(F.transform("_items", lambda x: x["original"]), said))
-    detail = F.zip_with(
-        "_items", "_said",
-        lambda x, t: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), x["placeholder"].alias("placeholder"), t.alias("model_transformed"), X.pair_equal(x["kind"], x["original"], t).alias("passed")),
-    )
-    base = base.withColumn("return_checklist", detail)
-    edits = F.transform("return_checklist", lambda d: F.struct(d["placeholder"].alias("old"), F.when(d["passed"], d["model_transformed"]).otherwise(d["original"]).alias("new")))
-    query = folds.apply_replacements(folds.template_query(F.col("query"), F.col("_items")), edits)["text"]
+def apply_t2(items: DataFrame, pairs: str = "pairs", transformed: str = "transformed") -> DataFrame:
+    """Equivalent rewriting: ``pairs`` (kind, original, placeholder), and a text for each pair that the query has, by place.
+
+    Pairs that fail keep the original; if all fail, so does the query.
+    """
     can = F.coalesce(F.col("can_modify"), F.lit(True))
-    verify = t2_state(can, F.size("_items"), F.exists("return_checklist", lambda d: d["passed"]))
-    errors = F.filter("return_checklist", lambda d: ~d["passed"])
+    base = X.once(items, _can=can, _items=F.when(can, folds.clean_equiv_items(F.col(pairs), F.col("query"))).otherwise(F.slice(folds.clean_equiv_items(F.col(pairs), F.col("query")), 1, 0)))
+    said = folds.align_transformed(F.transform("_items", lambda x: x["original"]), F.col(transformed))
+    detail = lambda x, t, passed: F.struct(x["kind"].alias("kind"), x["original"].alias("original"), F.when(passed, t).otherwise(x["original"]).alias("modified"), t.alias("model_transformed"), passed.alias("passed"))
+    base = X.once(base, return_checklist=F.zip_with("_items", said, lambda x, t: X.let(X.pair_equal(x["kind"], x["original"], t), lambda passed: detail(x, t, passed))))
+    edits = F.zip_with("_items", "return_checklist", lambda x, d: F.struct(x["placeholder"].alias("old"), d["modified"].alias("new")))
+    base = X.once(base, _any=F.exists("return_checklist", lambda d: d["passed"]), _new=folds.apply_replacements(folds.template_query(F.col("query"), F.col("_items")), edits)["text"])
+    errors = F.transform(F.filter("return_checklist", lambda d: ~d["passed"]), lambda d: F.struct(d["kind"].alias("kind"), d["original"].alias("original"), d["model_transformed"].alias("transformed"), F.lit("not equivalent").alias("reason")))
     return (
-        base.withColumn("action", F.lit("T2")).withColumn("original_query", F.col("query")).withColumn("modified_query", F.when(can, query).otherwise(F.col("query")))
-        .withColumn("modified_answer", F.col("target")).withColumn("verify_passed", verify).withColumn("verify_error_items", errors)
-        .withColumn("text_changed", F.col("modified_query") != F.col("original_query")).drop("_items", "_said")
+        base.withColumn("action", F.lit("T2")).withColumn("original_query", F.col("query")).withColumn("modified_query", F.when(F.col("_any"), F.col("_new")).otherwise(F.col("query")))
+        .withColumn("modified_answer", F.col("target")).withColumn("verify_passed", t2_state(F.col("_can"), F.size("_items"), F.col("_any"))).withColumn("verify_error_items", errors)
+        .withColumn("text_changed", F.col("modified_query") != F.col("original_query")).drop("_items", "_can", "_any", "_new")
     )
 
 
+def run_t2_rounds(items: DataFrame, rewrite: Callable[[DataFrame, int], DataFrame], max_retries: int = MAX_T2_RETRIES) -> DataFrame:
+    """``apply_t2`` over the texts that ``rewrite`` adds (``transformed``), again while every pair of an item fails.
+
+    Only such items go again; ``retry_times`` says how often. Every round is stored before use, as it costs.
+    """
+    left, out = items, None
+    for n in range(max_retries + 1):
+        path = new_table_path(items.sparkSession, f"t2_round{n}")
+        apply_t2(rewrite(left, n)).withColumn("retry_times", F.lit(n)).write.parquet(path)
+        done = items.sparkSession.read.parquet(path)
+        again = (F.size("return_checklist") > 0) & ~F.exists("return_checklist", lambda d: d["passed"])
+        last = n == max_retries
+        settled = done if last else done.where(~again)
+        out = settled if out is None else out.unionByName(settled)
+        left = done.where(again).select(*items.columns)
+        if last or left.isEmpty():
+            break
+    return out
+
+
 def lookup_terms(terms: DataFrame, reference_text: DataFrame, keys: list[str], words: str, most: int) -> DataFrame:
     """For each row of ``keys``: ``blocks``, (query_term, title, summary) in keyword order; unknown terms have no summary."""
     each = terms.select(*keys, F.posexplode(X.clean_keywords(F.col(words), most)).alias("_at", "query_term"))
@@ -91,10 +115,10 @@ def t4_context(blocks: Column) -> Column:
 
 
 def clean_distractors(candidates: Column, options: Column, most: int = 10) -> Column:
-    """Candidates that no option equals, distinct without case, at most ``most``."""
-    taken = F.transform(options, lambda o: match_key(o["text"]))
-    new = F.filter(X.dedup_keep_order(candidates), lambda c: ~F.array_contains(taken, match_key(c)))
-    return F.slice(F.transform(new, lambda c: F.trim(c)), 1, most)
+    """Trimmed candidates that no option equals, distinct without case, at most ``most``."""
+    taken = F.transform(options, lambda o: X.plain_key(o["text"]))
+    new = F.filter(X.dedup_keep_order(candidates, X.plain_key), lambda c: ~F.array_contains(taken, X.plain_key(c)))
+    return F.slice(F.transform(new, X.strip), 1, most)
 
 
 def rebuild_mcq(items: DataFrame, distractors: str = "distractors", seed: int = 0) -> DataFrame:
@@ -102,33 +126,37 @@ def rebuild_mcq(items: DataFrame, distractors: str = "distractors", seed: int =
 
     A target that is no option leaves the item as it is.
     """
-    options = X.parse_options(F.col("query"))
-    label = X.answer_label(F.col("target"))
-    base = items.withColumn("_options", options).withColumn("_right", F.get(F.filter(options, lambda o: o["label"] == label), 0)["text"])
-    wrong = F.transform(F.array_sort(F.filter("_options", lambda o: o["label"] != label)), lambda o: o["text"])
+    base = X.once(items, _options=X.parse_options(F.col("query")), _label=X.answer_label(F.col("target")), _stem=X.split_mcq(F.col("query"))["stem"])
+    base = X.once(base, _right=F.get(F.filter("_options", lambda o: o["label"] == F.col("_label")), 0)["text"])
+    wrong = F.transform(F.array_sort(F.filter("_options", lambda o: o["label"] != F.col("_label"))), lambda o: o["text"])
     every = F.concat(wrong, F.col(distractors), F.array(F.col("_right")))
     keyed = F.transform(every, lambda t, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("dataset"), F.col("id"), i)).alias("k"), i.alias("i"), t.alias("t")))
-    base = base.withColumn("_new", F.transform(F.array_sort(keyed), lambda s: s["t"]))
+    base = X.once(base, _new=F.transform(F.array_sort(keyed), lambda s: s["t"]))
     lines = F.transform("_new", lambda t, i: F.concat(F.char(65 + i), F.lit(". "), t))
-    stem = X.split_mcq(F.col("query"))["stem"]
     known = F.col("_right").isNotNull()
     at = F.array_position("_new", F.col("_right"))
     return (
-        base.withColumn("modified_query", F.when(known, F.concat(stem, F.lit("\n"), F.array_join(lines, "\n"))).otherwise(F.col("query")))
-        .withColumn("modified_answer", F.when(known, F.char(64 + at)).otherwise(F.col("target"))).drop("_options", "_right", "_new")
+        base.withColumn("modified_query", F.when(known, F.trim(F.concat(F.col("_stem"), F.lit("\n"), F.array_join(lines, "\n")))).otherwise(F.col("query")))
+        .withColumn("modified_answer", F.when(known, F.char(64 + at)).otherwise(F.col("target"))).drop("_options", "_label", "_stem", "_right", "_new")
     )
 
 
 def apply_t4(items: DataFrame, seed: int = 0) -> DataFrame:
-    """Extra distractors from ``candidates`` with ``blocks`` as their sources; states as they are checked."""
-    mcq = X.is_mcq(F.col("query"))
-    cleaned = items.withColumn("distractors", clean_distractors(F.col("candidates"), X.parse_options(F.col("query"))))
-    state = F.when(~mcq, "not_mcq").when(F.size("distractors") == 0, "not_expandable").when(F.size("blocks") == 0, "no_keywords").otherwise("done")
-    built = rebuild_mcq(cleaned.withColumn("state", state).withColumn("original_query", F.col("query")), "distractors", seed)
+    """Extra distractors from ``candidates``, with ``blocks`` as their sources; ``can_modify`` is the gate's answer (null: yes).
+
+    ``state`` is not_mcq, not_expandable (the gate), no_keywords or done, in the order of the checks.
+    """
+    gate = F.coalesce(F.col("can_modify"), F.lit(True)) if "can_modify" in items.columns else F.lit(True)
+    parsed = X.once(items, _own=X.parse_options(F.col("query")), _gate=gate)
+    no_blocks = F.coalesce(F.size("blocks"), F.lit(0)) <= 0
+    state = F.when(F.size("_own") < 2, "not_mcq").when(~F.col("_gate"), "not_expandable").when(no_blocks, "no_keywords").otherwise("done")
     done = F.col("state") == "done"
+    cleaned = X.once(parsed, state=state, distractors=clean_distractors(F.coalesce("candidates", F.array().cast("array<string>")), F.col("_own")))
+    cleaned = cleaned.withColumn("distractors", F.when(done, F.col("distractors")).otherwise(F.slice("distractors", 1, 0)))
+    built = rebuild_mcq(cleaned.withColumn("original_query", F.col("query")), "distractors", seed)
     return (
         built.withColumn("action", F.lit("T4")).withColumn("can_modify", done)
         .withColumn("modified_query", F.when(done, F.col("modified_query")).otherwise(F.col("query")))
         .withColumn("modified_answer", F.when(done, F.col("modified_answer")).otherwise(F.col("target")))
-        .withColumn("verify_passed", F.when(F.col("state").isin("not_mcq", "not_expandable"), F.lit(None).cast("boolean")).otherwise(F.size(_usable(F.col("blocks"))) > 0))
+        .withColumn("verify_passed", F.when(F.col("state").isin("not_mcq", "not_expandable"), F.lit(None).cast("boolean")).otherwise(F.size(_usable(F.col("blocks"))) > 0)).drop("_own", "_gate")
     )

@@ -17,8 +17,12 @@ IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can read: under spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quizforge-")
+    """A new folder where all executors can read: under spark.checkpoint.dir; a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quizforge-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -76,17 +80,34 @@ def image_manifest(spark: SparkSession, root: str) -> DataFrame:
     return files.select(relative.alias("path")).where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGES))
 
 
-def encode_images(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """(id, image): base64 of one image, or a JSON array of several in order; images travel only once."""
-    each = rows.select("id", F.posexplode("image_path").alias("at", "path"))
+def encode_images(rows: DataFrame, images: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, image, reason): base64 of one image, or a JSON array of several in order.
+
+    A row without images, or with one that is missing, has no image and the ``reason``. Bytes are shuffled once for a row with
+    one image, and once more only for rows with several.
+    """
+    keys = keys or ["id"]
     plain = F.regexp_replace(F.base64("content"), "\r\n", "")
-    joined = each.join(images.select("path", "content"), "path").select("id", F.struct("at", plain.alias("b")).alias("one"))
-    listed = joined.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("one")), lambda s: s["b"]).alias("all"))
-    return listed.select("id", F.when(F.size("all") == 1, F.get("all", 0)).otherwise(F.to_json("all")).alias("image"))
+    number = F.coalesce(F.size("image_path"), F.lit(0))
+    own = rows.select(*keys, "image_path")
+    some = images.select("path", "content")
+    reason = F.when(F.col("image").isNull(), "missing_image").alias("reason")
+    none = own.where(number <= 0).select(*keys, F.lit(None).cast("string").alias("image"), F.lit("no_image").alias("reason"))
+    one = own.where(number == 1).withColumn("path", F.get("image_path", 0)).join(some, "path", "left").select(*keys, plain.alias("image")).select(*keys, "image", reason)
+    each = own.where(number > 1).select(*keys, number.alias("n"), F.posexplode("image_path").alias("at", "path"))
+    joined = each.join(some, "path", "left").select(*keys, "n", F.when(F.col("content").isNotNull(), F.struct("at", plain.alias("b"))).alias("part"))
+    parts = joined.groupBy(*keys, "n").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # the images of one row
+    several = parts.select(*keys, F.when(F.size("parts") == F.col("n"), F.to_json(F.transform("parts", lambda s: s["b"]))).alias("image")).select(*keys, "image", reason)
+    return none.unionByName(one).unionByName(several)
+
+
+def _replace_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """A run again replaces the partitions that it has rows for."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_variants(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("dataset", "field", "level").parquet(path)
+    _replace_partitions(df, path, "dataset", "field", "level")
 
 
 def write_eval_tsv(df: DataFrame, path: str) -> None:
@@ -94,7 +115,7 @@ def write_eval_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_judge(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("model", "dataset", "action", "run_tag").parquet(path)
+    _replace_partitions(df, path, "model", "dataset", "action", "run_tag")
 
 
 def write_rounds(df: DataFrame, path: str) -> None:

@@ -27,7 +27,16 @@ def test_splits(spark):
 def test_options(spark):
     got = one(spark, X.parse_options(F.col("a")), ["q\nA. x\nB. y\nA. z", "q (A) one (B) two", "q\nA. x", ""])
     assert [[(o.label, o.text) for o in r] for r in got] == [[("A", "z"), ("B", "y")], [("A", "one"), ("B", "two")], [], []]
-    assert one(spark, X.answer_label(F.col("a")), ["B", "B. text", "b", "(B)", ""]) == ["B", "B", "", "", ""]
+    labels = ["B", "B. text", "b", " b text", "B, text", "B: text", "B;", "B\u3002x", "(B)", "", "BC", "B\u00b7", "B. x\ny", "\u00a0B ", None]
+    assert one(spark, X.answer_label(F.col("a")), labels) == ["B"] * 8 + [""] * 4 + ["", "B", None]
+    got = one(spark, X.parse_options(F.col("a")), ["(A) sin (x) (B) cos (y)", "q\nA.\nB. y", "q\r\n\u00a0A. x \nB.\u00a0y\u2028C. z", "(A)  (B) x", "(A) x (B) y (A) z", "B.5 and\nC.x"])
+    assert [[(o.label, o.text) for o in r] for r in got] == [[("A", "sin (x)"), ("B", "cos (y)")], [], [("A", "x"), ("B", "y"), ("C", "z")], [("B", "x")], [("A", "z"), ("B", "y")], [("B", "5 and"), ("C", "x")]]
+    assert [(r.stem, r.options) for r in one(spark, X.split_mcq(F.col("a")), ["At\nB.5 volts (A) x", "s\n\u00a0B. x"])] == [("At\nB.5 volts", "(A) x"), ("s", "B. x")]
+
+
+def test_composite_texts(spark):
+    got = values(spark, X.combine_t2t4(F.col("a"), F.col("b")), [("s \n\nA. x", "t\nA. y\nB. z"), ("s\nA. x", "no options"), ("A. x", "t\nB. y"), ("s", ""), ("\u00c9. e", "\u00e9. f")])
+    assert got == ["s \n\nA. y\nB. z", "s\nno options", "A. x\nB. y", "s", "\u00c9. e\n\u00e9. f"]
 
 
 def test_literals_and_checklists(spark):
@@ -73,6 +82,11 @@ def test_keywords_keep_their_digits(spark):
 def test_pairs(spark):
     rows = [("500 mL", "0.5 L"), ("500 mL", "5 L"), ("5 g", "5 mL"), ("same", " same ")]
     assert values(spark, X.pair_equal(F.lit("unit"), F.col("a"), F.col("b")), rows) == [True, False, False, True]
+    rows = [
+        ("1,000 mL", "1 L"), ("36 km/h", "10 m/s"), ("1e3 g", "1 kg"), ("1 J", "1 N*m"), ("2 g/cm^3", "2000 kg/m**3"), ("5", "5.0"), ("1 kilometer", "1000 meters"), ("0.1 mol/L", "0.1 M"), ("1 \u00b5m", "1 um"), ("9.8 m/s^2", "9.8 N/kg"),
+        ("0.0000001 mg", "0.0000002 mg"), ("5 g", "5 m"), ("1 L", "1.1 L"), ("x L", "x L2"), ("1 zz", "1 zzz"), ("1 kg g", "1 kg"),
+    ]
+    assert values(spark, X.unit_equal(F.col("a"), F.col("b")), rows) == [True] * 10 + [False] * 6
     rows = [("6 $CO_2$(g)", "CO2"), ("C_6H_{12}O_6", "C6O6H12"), ("H2O", "H2O2"), ("x", "y")]
     assert values(spark, X.pair_equal(F.lit("chem"), F.col("a"), F.col("b")), rows) == [True, True, False, False]
     assert values(spark, X.pair_equal(F.lit("other"), F.col("a"), F.col("b")), [("a", "b")]) == [False]
@@ -82,7 +96,7 @@ def test_folds(spark):
     df = spark.createDataFrame([Row(t="0 and 0", items=[Row(kind="", original="0", placeholder="{PH7}"), Row(kind="unit", original="zz", placeholder=""), Row(kind="x", original="and", placeholder="")])])
     items = folds.clean_equiv_items(F.col("items"), F.col("t"))
     got = df.select(items.alias("i"), folds.template_query(F.col("t"), items).alias("t")).first()
-    assert [(x.kind, x.placeholder) for x in got.i] == [("math", "{{PH7}}"), ("x", "{{PH2}}")] and got.t == "{{PH7}} {{PH2}} 0"
+    assert [(x.kind, x.placeholder) for x in got.i] == [("math", "{{PH7}}"), ("math", "{{PH2}}")] and got.t == "{{PH7}} {{PH2}} 0"
     edits = F.array(F.struct(F.lit("0").alias("old"), F.lit("1").alias("new")), F.struct(F.lit("q").alias("old"), F.lit("1").alias("new")))
     got = df.select(folds.apply_replacements(F.col("t"), edits).alias("r")).first().r
     assert got.text == "1 and 0" and got.applied == [True, False]
