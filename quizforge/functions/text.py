@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -248,22 +249,24 @@ _FACTOR = r"(/|\*(?!\*)|\u00b7|)\s*([A-Za-z\u00b5]+)(?:\s*(?:\^|\*\*)\s*([-+]?[0
 
 def quantity(text: Column) -> Column:
     """struct<value, factor, powers> of a number with units such as ``36 km/h`` or ``1,000 mL``; null if it is none."""
-    table = unit_table()
-    plain = strip(F.replace(text, F.lit(","), F.lit("")))
-    value = F.regexp_extract(plain, rf"^({_NUMBER})", 1)
-    units = strip(F.regexp_replace(plain, rf"^{_NUMBER}", ""))
-    factors = F.create_map(*[F.lit(x) for u, (f, _) in table.items() for x in (u, f)])
-    dimensions = F.create_map(*[x for u, (_, d) in table.items() for x in (F.lit(u), F.array(*[F.lit(n) for n in d]))])
-    at = [F.regexp_extract_all(units, F.lit(_FACTOR), i) for i in (1, 2, 3)]
-    power = lambda z: F.coalesce(z["2"].try_cast("int"), F.lit(1)) * F.when(z["0"] == "/", -1).otherwise(1)
-    parts = F.transform(F.arrays_zip(at[0].alias("0"), at[1].alias("1"), at[2].alias("2")), lambda z: F.struct(z["1"].alias("unit"), power(z).alias("power")))
-    start = F.struct(F.lit(1.0).alias("factor"), F.array(*[F.lit(0)] * len(DIMENSIONS)).alias("powers"))
-    grown = F.aggregate(
-        parts, start,
-        lambda s, p: F.struct((s["factor"] * F.pow(factors[p["unit"]], p["power"])).alias("factor"), F.zip_with(s["powers"], dimensions[p["unit"]], lambda x, y: x + y * p["power"]).alias("powers")),
-    )
-    whole = (value != "") & units.rlike(rf"^(?:{_FACTOR})*\z") & F.forall(parts, lambda p: factors[p["unit"]].isNotNull())
-    return F.when(whole, let(grown, lambda g: F.struct(value.try_cast("double").alias("value"), g["factor"].alias("factor"), g["powers"].alias("powers"))))
+    # One constant: a map of a few hundred entries as an expression would be planned entry by entry.
+    known = F.from_json(F.lit(json.dumps({u: {"f": f, "d": d} for u, (f, d) in unit_table().items()})), "map<string,struct<f:double,d:array<int>>>")
+
+    def measured(plain: Column) -> Column:
+        value = F.regexp_extract(plain, rf"^({_NUMBER})", 1)
+        units = strip(F.regexp_replace(plain, rf"^{_NUMBER}", ""))
+        at = [F.regexp_extract_all(units, F.lit(_FACTOR), i) for i in (1, 2, 3)]
+        power = lambda z: F.coalesce(z["2"].try_cast("int"), F.lit(1)) * F.when(z["0"] == "/", -1).otherwise(1)
+        parts = F.transform(F.arrays_zip(at[0].alias("0"), at[1].alias("1"), at[2].alias("2")), lambda z: F.struct(known[z["1"]].alias("unit"), power(z).alias("power")))
+        return F.struct(value.alias("value"), parts.alias("parts"), ((value != "") & units.rlike(rf"^(?:{_FACTOR})*\z")).alias("whole"))
+
+    def grown(q: Column) -> Column:
+        factor = F.aggregate(q["parts"], F.lit(1.0), lambda x, p: x * F.pow(p["unit"]["f"], p["power"]))
+        powers = F.aggregate(q["parts"], F.array(*[F.lit(0)] * len(DIMENSIONS)), lambda x, p: F.zip_with(x, p["unit"]["d"], lambda i, j: i + j * p["power"]))
+        whole = q["whole"] & F.forall(q["parts"], lambda p: p["unit"].isNotNull())
+        return F.when(whole, F.struct(q["value"].try_cast("double").alias("value"), factor.alias("factor"), powers.alias("powers")))
+
+    return let(let(strip(F.replace(text, F.lit(","), F.lit(""))), measured), grown)
 
 
 def unit_equal(a: Column, b: Column) -> Column:

@@ -45,20 +45,52 @@ FROM {conversations} WHERE role = 'user'
 """
 
 
+#: Items in ASCII, with literals of every rule; ``said`` is what a model answers, which may lose some of them.
+PLAIN = """
+SELECT doc_id, dataset, field, subject, id, pos, image, target, stem, opts, concat(stem, chr(10), opts) AS query,
+       CASE doc_id % 6 WHEN 0 THEN concat('In other words: ', stem) WHEN 1 THEN replace(replace(stem, 'NaOH', 'lye'), 'pH', 'acidity') WHEN 4 THEN lower(replace(stem, ' mL', 'ml')) ELSE '' END AS said
+FROM (
+  SELECT doc_id, dataset, field, subject, id, pos, image, target, opts,
+         concat(trim(regexp_replace(stem, '[^ -~]', 'x'{all})), CASE doc_id % 4 WHEN 0 THEN ' Add 2.5 mol of NaOH and acetic acid.' WHEN 1 THEN ' Read the pH at the Equivalence  Point of 12 kg or 12 kg.' WHEN 2 THEN ' See <IMAGE 7> and $a  b$ or $A b$.' ELSE '' END) AS stem
+  FROM ({items}))
+"""
+
+#: Questions in every form that a split can meet, over the items' own texts.
+FORMS = """
+SELECT doc_id, dataset, field, id, target AS plain_target, first,
+       CASE doc_id % 9 WHEN 0 THEN concat(first, chr(10), 'A. ', w1, chr(10), 'B. ', w2)
+                       WHEN 1 THEN concat(first, chr(10), '  A. ', w1, chr(10), '  B. ', w2, chr(10), '  A. ', w3)
+                       WHEN 2 THEN concat(first, ' (A) ', w1, ' (x) (B) ', w2, ' (C)  ')
+                       WHEN 3 THEN concat(first, chr(10), 'B.5 volts are left.', chr(10), '(A) ', w1, chr(10), '(B) ', w2)
+                       WHEN 4 THEN first
+                       WHEN 5 THEN concat(first, chr(10), 'A. ', w1)
+                       WHEN 6 THEN concat('A. ', w1, chr(10), 'B. ', w2)
+                       WHEN 7 THEN concat(first, chr(10), chr(10), 'a. ', w1, chr(10), 'F. ', w2, chr(10), 'G. ', w3)
+                       ELSE concat(first, chr(10), 'A. ', w1, chr(10), 'B.', chr(10), 'C. ', w3) END AS query,
+       CASE doc_id % 7 WHEN 0 THEN 'B' WHEN 1 THEN 'b' WHEN 2 THEN concat('B. ', w2) WHEN 3 THEN 'B, or so' WHEN 4 THEN '(B)' WHEN 5 THEN concat(' a ', w1) ELSE 'BC' END AS target
+FROM (SELECT doc_id, dataset, field, id, target, trim(regexp_replace(stem, '[^ -~]', 'x'{all})) AS first,
+             substr(md5(stem), 1, 5) AS w1, substr(md5(stem), 6, 5) AS w2, substr(md5(stem), 11, 5) AS w3 FROM ({items}))
+"""
+
+
+def _filled(sql: str, tables: dict[str, str], every: str) -> str:
+    """The text with its tables; ``every`` is what makes regexp_replace replace all."""
+    return sql.replace("{items}", ITEMS).replace("{all}", every).format(**tables)
+
+
 def oracle_ctes(*names: str) -> str:
     """``WITH`` and the named tables for DuckDB."""
-    every = {"items": ITEMS, "image_labels": LABELS, "outputs": OUTPUTS, "asked": ASKED}
+    every = {"items": ITEMS, "image_labels": LABELS, "outputs": OUTPUTS, "asked": ASKED, "plain": PLAIN, "forms": FORMS}
     tables = {t: t for t in ("documents", "labels", "conversations")}
-    return "WITH " + ", ".join(f"{n} AS ({every[n].format(**tables)})" for n in names)
+    return "WITH " + ", ".join(f"{n} AS ({_filled(every[n], tables, ", 'g'")})" for n in names)
 
 
 def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(sql.replace("{items}", ITEMS).replace("{all}", ""), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _sql(spark, sf_dir, ITEMS, "documents")
-    return own.withColumn("image_path", F.when(F.col("image").isNull(), F.array().cast("array<string>")).otherwise(F.array("image")))
+    return _with_images(_sql(spark, sf_dir, ITEMS, "documents"))
 
 
 def image_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +111,26 @@ def manifest(items: DataFrame, prefix: str, missing: int) -> DataFrame:
     return there.select(F.regexp_replace("image", "^image/", prefix + "/").alias("path"))
 
 
+def _with_images(own: DataFrame) -> DataFrame:
+    return own.withColumn("image_path", F.when(F.col("image").isNull(), F.array().cast("array<string>")).otherwise(F.array("image")))
+
+
+def plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_images(_sql(spark, sf_dir, PLAIN, "documents"))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, FORMS, "documents")
+
+
 def t1_responses(items: DataFrame) -> DataFrame:
-    """Model answers: a good paraphrase, one that loses literals, a refusal, and no JSON at all."""
-    k = F.col("doc_id") % 4
-    stem = F.regexp_replace("stem", r"(?U)^\s+|\s+$", "")
-    good = F.to_json(F.struct(F.lit(True).alias("can_modify"), F.concat(F.lit("In other words: "), stem).alias("paraphrased_query")))
-    lossy = F.to_json(F.struct(F.lit(True).alias("can_modify"), F.lit("A shorter question.").alias("modified_query")))
-    refusal = F.to_json(F.struct(F.lit(False).alias("can_modify"), F.lit("").alias("paraphrased_query")))
-    response = F.when(k == 0, F.concat(F.lit("Sure: "), good)).when(k == 1, lossy).when(k == 2, refusal).otherwise("no answer")
+    """Model answers around ``said``: in prose, under the other name, a refusal, no JSON, with a checklist, and empty."""
+    k = F.col("doc_id") % 6
+    flag = lambda value: F.lit(value).alias("can_modify")
+    good = F.concat(F.lit("Sure: "), F.to_json(F.struct(flag(True), F.col("said").alias("paraphrased_query"))), F.lit(" Done."))
+    other = F.to_json(F.struct(flag(True), F.col("said").alias("modified_query")))
+    listed = F.to_json(F.struct(flag(True), F.col("said").alias("paraphrased_query"), F.array(F.lit("naoh"), F.lit("no such thing"), F.lit("12  KG")).alias("return_checklist")))
+    refusal = F.to_json(F.struct(flag(False), F.lit("anything").alias("paraphrased_query")))
+    empty = F.to_json(F.struct(flag(True), F.lit("  ").alias("paraphrased_query")))
+    response = F.when(k == 0, good).when(k == 1, other).when(k == 2, refusal).when(k == 3, "{no answer").when(k == 4, listed).otherwise(empty)
     return items.withColumn("response", response)

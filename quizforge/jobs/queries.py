@@ -25,19 +25,46 @@ def query(sql: str | None = None):
 
 
 def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants_text.apply_t1(A.t1_responses(A.items(spark, sf_dir)))
+    return variants_text.apply_t1(A.t1_responses(A.plain_items(spark, sf_dir)))
+
+
+_KEY = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+#: T1 worked out from the texts: literals by rule, what the answer loses, and the new question.
+_T1 = A.oracle_ctes("items", "plain", "image_labels") + r""", found AS (SELECT doc_id, list_concat(regexp_extract_all(stem, '(?i)<image\s*\d+>'), regexp_extract_all(stem, '\$[^$]+\$'),
+      regexp_extract_all(stem, '\b\d+(?:\.\d+)?\s*(?:mL|L|M|mol|mmol|g|kg|cm|mm|%|K|°C|N)\b'), regexp_extract_all(stem, '\b\d+(?:\.\d+)?\b'), regexp_extract_all(stem, '\b(?:[A-Z][a-z]?\d*){2,}\b'),
+      regexp_extract_all(stem, '\b[a-zA-Z][a-zA-Z\-]*\s+(?:acid|base)\b'), regexp_extract_all(stem, '(?i)titration curve')[1:1], regexp_extract_all(stem, '(?i)equivalence point')[1:1], regexp_extract_all(stem, '(?i)pH')[1:1]) AS l FROM plain),
+    each AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM found),
+    firsts AS (SELECT doc_id, """ + _KEY.format("x") + r""" AS k, arg_min(x, i) AS x, min(i) AS i FROM each GROUP BY ALL),
+    literals AS (SELECT doc_id, list(x ORDER BY i) AS xs, list(k ORDER BY i) AS ks FROM firsts GROUP BY doc_id),
+    checked AS (SELECT p.*, coalesce(xs, []) AS xs, CASE WHEN doc_id % 6 = 4 AND len(list_filter(['naoh', '12 kg'], lambda g: list_contains(coalesce(ks, []), g))) > 0
+      THEN list_filter(['naoh', '12 kg'], lambda g: list_contains(ks, g)) ELSE coalesce(ks, []) END AS asked, CASE WHEN doc_id % 6 IN (0, 1, 4) AND trim(said) <> '' THEN trim(said) ELSE trim(stem) END AS new FROM plain p LEFT JOIN literals USING (doc_id)),
+    t1 AS (SELECT *, list_filter(asked, lambda k: NOT contains(""" + _KEY.format("new") + r""", k)) AS missing, concat(new, chr(10), opts) AS modified FROM checked)"""
 
 
 @query(
-    A.oracle_ctes("items")
-    + """ SELECT dataset, subject, 'T1' AS action, count(*) AS total, count(*) FILTER (doc_id % 4 IN (0, 1)) AS changed, count(*) FILTER (doc_id % 4 IN (2, 3)) AS unchanged,
-    count(*) FILTER (doc_id % 4 <> 1) AS verify_passed, count(*) FILTER (doc_id % 4 = 1) AS verify_failed, CAST(0 AS BIGINT) AS verify_not_applicable FROM items GROUP BY ALL"""
+    _T1
+    + """ SELECT dataset, subject, 'T1' AS action, count(*) AS total, count(*) FILTER (modified <> query) AS changed, count(*) FILTER (modified = query) AS unchanged,
+    count(*) FILTER (len(missing) = 0) AS verify_passed, count(*) FILTER (len(missing) > 0) AS verify_failed, CAST(0 AS BIGINT) AS verify_not_applicable FROM t1 GROUP BY ALL"""
 )
 def text_variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, literals, canned answers, apply, verify, summarise."""
     return summary.variant_summary(_t1(spark, sf_dir))
 
 
+@query(_T1 + " SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(p) AS BIGINT) AS verify_passed FROM (SELECT count(*) AS n, count(*) FILTER (len(missing) = 0) AS p FROM t1 GROUP BY dataset)")
+def text_variant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.variant_summary(_t1(spark, sf_dir), grand=True).where("level = 7").select("total", "verify_passed")
+
+
+@query(_T1 + " SELECT doc_id, md5(array_to_string(xs, '|')) AS literals_md5, CAST(len(xs) AS BIGINT) AS n, CAST(len(missing) AS BIGINT) AS n_missing, array_to_string(missing, '|') AS missing FROM t1")
+def immutable_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of every rule in order, and those that the answer loses."""
+    own = _t1(spark, sf_dir)
+    xs = X.immutable_literals(X.split_query(F.col("original_query"))["stem"])
+    gone = F.transform("verify_missing_items", X.match_key)
+    return own.select("doc_id", F.md5(F.array_join(xs, "|")).alias("literals_md5"), F.size(xs).cast("long").alias("n"), F.size(gone).cast("long").alias("n_missing"), F.array_join(gone, "|").alias("missing"))
+
+
 @query(A.oracle_ctes("items") + " SELECT id, dataset, md5(regexp_replace(stem, '\\s+$', '')) AS stem_md5, md5(opts) AS options_md5, length(stem) AS n FROM items")
 def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = X.split_query(F.col("query"))
@@ -68,11 +95,10 @@ def placeholder_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.items(spark, sf_dir).select("id", F.size(own).cast("long").alias("n"), F.array_join(F.array_sort(F.transform(own, X.match_key)), "|").alias("literals"))
 
 
-_VERIFIED = """ SELECT dataset, field, id, 'T1' AS level, md5(concat(CASE WHEN doc_id % 4 = 0 THEN 'In other words: ' ELSE '' END, regexp_replace(stem, '\\s+$', ''), chr(10), opts)) AS query_md5, target,
-    CASE WHEN image IS NULL THEN '' ELSE replace(image, 'image/', 'original_image/') END AS images FROM items WHERE doc_id % 4 <> 1"""
-
-
-@query(A.oracle_ctes("items") + _VERIFIED)
+@query(
+    _T1
+    + """ SELECT dataset, field, id, 'T1' AS level, md5(modified) AS query_md5, target, CASE WHEN image IS NULL THEN '' ELSE replace(image, 'image/', 'original_image/') END AS images FROM t1 WHERE len(missing) = 0"""
+)
 def text_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified variants with the original's images."""
     out = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
@@ -93,32 +119,76 @@ def image_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _v2(spark, sf_dir).select("dataset", "field", "id", "level", "target", F.array_join("image_path", "|").alias("images"))
 
 
-@query(
-    A.oracle_ctes("items", "image_labels")
-    + f" SELECT 'T1V2' AS level, i.dataset, i.field, i.id, i.target, replace(i.image, 'image/', 'modified_image/') AS images, false AS target_mismatch {_IMAGE} AND i.doc_id % 4 <> 1"
-)
+#: An image side whose answers and images are not always those of the text side, with a row that is not the last.
+_V = f""", v2 AS (SELECT i.dataset, i.field, i.id, i.doc_id, CASE length(i.stem) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Z' ELSE i.target END AS target, CASE WHEN length(i.stem) % 7 = 0 THEN '' ELSE replace(i.image, 'image/', 'modified_image/') END AS images {_IMAGE}),
+    tv AS (SELECT t.dataset, t.field, t.id, t.target, v.images, coalesce(v.target <> t.target, false) AS target_mismatch FROM t1 t JOIN v2 v ON t.doc_id = v.doc_id WHERE len(t.missing) = 0)"""
+
+
+def _tv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = A.items(spark, sf_dir).select("dataset", "field", "id", F.length("stem").alias("n"))
+    v = _v2(spark, sf_dir).join(sizes, compose.KEY)
+    target = F.when(F.col("n") % 5 == 0, F.lit(None)).when(F.col("n") % 5 == 1, "Z").otherwise(F.col("target"))
+    last = v.withColumn("target", target).withColumn("image_path", F.when(F.col("n") % 7 != 0, F.col("image_path"))).withColumn("pos", F.lit(1))
+    first = v.withColumn("target", F.lit("old")).withColumn("pos", F.lit(0))
+    return compose.compose_tv(compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir)), first.unionByName(last).drop("n"))
+
+
+@query(_T1 + _V + " SELECT 'T1V2' AS level, dataset, field, id, target, images, target_mismatch FROM tv")
 def composite_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and image variants of the same item."""
-    text = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
-    out = compose.compose_tv(text, _v2(spark, sf_dir))
-    return out.select("level", "dataset", "field", "id", "target", F.array_join("image_path", "|").alias("images"), "target_mismatch")
+    return _tv(spark, sf_dir).select("level", "dataset", "field", "id", "target", F.array_join("image_path", "|").alias("images"), "target_mismatch")
 
 
-@query(A.oracle_ctes("items", "image_labels") + f" SELECT 'T1V2' AS level, count(*) AS n, CAST(0 AS BIGINT) AS target_mismatch, CAST(0 AS BIGINT) AS missing_image {_IMAGE} AND i.doc_id % 4 <> 1 HAVING count(*) > 0")
+@query(_T1 + _V + " SELECT 'T1V2' AS level, count(*) AS n, count(*) FILTER (target_mismatch) AS target_mismatch, count(*) FILTER (images = '') AS missing_image FROM tv HAVING count(*) > 0")
 def composite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
-    return compose.composite_stats(compose.compose_tv(text, _v2(spark, sf_dir)))
+    return compose.composite_stats(_tv(spark, sf_dir))
 
 
-@query(A.oracle_ctes("items") + " SELECT dataset, field, id, 'T2T4' AS level, md5(concat(trim(stem), chr(10), 'A. x', chr(10), 'B. ', target)) AS query_md5, 'B' AS target FROM items")
+@query(
+    A.oracle_ctes("items", "forms")
+    + r""", t2 AS (SELECT *, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE query END AS q2 FROM forms),
+    t4 AS (SELECT id, dataset, field, CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN concat('No options for ', id) ELSE concat('T4 of ', id, chr(10), 'A. p', chr(10), 'B. q') END AS q4, CASE WHEN doc_id % 31 = 0 THEN NULL ELSE plain_target END AS target4 FROM forms),
+    cut AS (SELECT *, regexp_matches(q2, '(?m)^[A-Za-z]\.') AS has2, split_part(concat(chr(10), q2), regexp_extract(concat(chr(10), q2), '\n[A-Za-z]\.'), 1) AS before FROM t2)
+    SELECT c.dataset, c.field, c.id, 'T2T4' AS level, md5(concat(CASE WHEN NOT has2 OR substr(before, 2) = '' THEN q2 ELSE substr(before, 2) END, chr(10), CASE WHEN contains(q4, 'A. p') THEN concat('A. p', chr(10), 'B. q') ELSE q4 END)) AS query_md5, target4 AS target
+    FROM cut c JOIN t4 ON c.id = t4.id AND c.dataset = t4.dataset AND c.field = t4.field WHERE q2 IS NOT NULL AND q4 IS NOT NULL AND target4 IS NOT NULL"""
+)
 def composite_t2t4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stem of one variant with the options of another."""
-    items = A.items(spark, sf_dir)
-    t4 = items.select("dataset", "field", "id", F.concat(F.lit("Other stem\nA. x\nB. "), "target").alias("query"), F.lit("B").alias("target"))
-    out = compose.compose_t2t4(items.select("dataset", "field", "id", "query", "target", "image_path"), t4)
+    """The stem of one variant with the options of the last row of the other."""
+    own, k = A.forms(spark, sf_dir), F.col("doc_id")
+    t2 = own.withColumn("query", F.when(k % 23 != 0, F.col("query"))).withColumn("image_path", F.array().cast("array<string>"))
+    text = F.when(k % 29 == 0, F.lit(None)).when(k % 4 == 0, F.concat(F.lit("No options for "), "id")).otherwise(F.concat(F.lit("T4 of "), "id", F.lit("\nA. p\nB. q")))
+    last = own.select(*compose.KEY, text.alias("query"), F.when(k % 31 != 0, F.col("plain_target")).alias("target"), F.lit(2).alias("pos"))
+    first = own.select(*compose.KEY, F.lit("Old\nA. old").alias("query"), F.lit("old").alias("target"), F.lit(1).alias("pos"))
+    out = compose.compose_t2t4(t2, first.unionByName(last))
     return out.select("dataset", "field", "id", "level", F.md5("query").alias("query_md5"), "target")
 
 
+@query(
+    A.oracle_ctes("items", "forms")
+    + r""", l AS (SELECT doc_id, query, upper(trim(target)) AS t, list_filter(list_transform(string_split(query, chr(10)), lambda x: regexp_extract(x, '^\s*([A-Z])\.(.+)$', ['k', 'v'])), lambda y: y.k <> '') AS dotted,
+      list_transform(regexp_extract_all(replace(replace(query, '(A)', chr(1) || '(A)'), '(B)', chr(1) || '(B)') || chr(1), '\([AB]\)[^' || chr(1) || ']*'), lambda y: {'k': substr(y, 2, 1), 'v': trim(replace(substr(y, 4), '(C)', ''), ' ' || chr(10))}) AS marked FROM forms),
+    o AS (SELECT *, list_distinct(list_transform(dotted, lambda y: y.k)) AS ks, CASE WHEN regexp_matches(t, '^[A-Z]([.,:; ].*)?$') THEN substr(t, 1, 1) ELSE '' END AS label FROM l),
+    e AS (SELECT doc_id, label, CASE WHEN len(ks) >= 2 THEN CAST(len(ks) AS BIGINT) WHEN len(marked) >= 2 THEN CAST(len(marked) AS BIGINT) ELSE 0 END AS n_options,
+      CASE WHEN len(ks) >= 2 THEN trim(list_filter(dotted, lambda y: y.k = label)[-1].v) WHEN len(marked) >= 2 THEN list_filter(marked, lambda y: y.k = label)[-1].v END AS answer_text FROM o)
+    SELECT * FROM e"""
+)
+def option_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options and answers of questions in every form."""
+    own = X.once(A.forms(spark, sf_dir), o=X.parse_options(F.col("query")), label=X.answer_label(F.col("target")))
+    answer = F.get(F.filter("o", lambda x: x["label"] == F.col("label")), 0)["text"]
+    return own.select("doc_id", "label", F.size("o").cast("long").alias("n_options"), answer.alias("answer_text"))
+
+
+@query(
+    A.oracle_ctes("items", "forms")
+    + r""" SELECT doc_id, md5(CASE WHEN doc_id % 9 = 6 THEN '' WHEN doc_id % 9 = 3 THEN concat(first, chr(10), 'B.5 volts are left.') ELSE first END) AS t4_stem_md5, CASE WHEN doc_id % 9 = 4 THEN '' WHEN doc_id % 9 = 6 THEN query WHEN doc_id % 9 = 3 THEN trim(substr(query, strpos(query, '(A)')))
+    WHEN doc_id % 9 = 7 THEN substr(query, strpos(query, chr(10) || 'F. ') + 1) ELSE trim(substr(query, length(first) + 1), ' ' || chr(10)) END AS t4_options FROM forms WHERE doc_id % 9 <> 7"""
+)
+def t4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = X.once(A.forms(spark, sf_dir).where("doc_id % 9 <> 7"), h=X.split_mcq(F.col("query")))
+    return half.select("doc_id", F.md5("h.stem").alias("t4_stem_md5"), F.col("h.options").alias("t4_options"))
+
+
 @query("""WITH x AS (SELECT item_id, text, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM benchmark)
 SELECT item_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+(''[A-Za-z]+)?')) AS BIGINT) AS words, lower(trim(t)) AS match_key FROM x""")
 def benchmark_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,33 +234,66 @@ def image_task_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.groupBy("reason", "image_type").agg(F.count("*").alias("n"))
 
 
-@query(
-    """WITH a AS (SELECT doc_id, k AS attempt, (doc_id * 7 + k * 31) % 140 AS raw, (doc_id + k) % 5 <> 0 AS render_ok FROM documents, range(1, 4) r(k)),
-    s AS (SELECT *, CAST(least(100, raw) AS INTEGER) AS score, render_ok AND least(100, raw) >= 90 AS good FROM a),
-    f AS (SELECT doc_id, min(attempt) FILTER (good) AS first_good FROM s GROUP BY doc_id)
-    SELECT f.doc_id, s.score, first_good IS NOT NULL AS success, CAST(s.attempt - 1 AS BIGINT) AS retry_times FROM f JOIN s ON f.doc_id = s.doc_id AND s.attempt = coalesce(first_good, 3)"""
-)
+#: What an evaluator and a judge say of a document's text: a score by attempt (or none), whether it rendered, and a verdict by round.
+_SAID = """a AS (SELECT doc_id, k AS attempt, CASE WHEN (length(text) + k) % 11 = 0 THEN NULL ELSE (length(text) * 7 + k * 31) % 140 END AS raw, substr(text, k, 1) BETWEEN 'a' AND 't' OR length(text) % 3 = 0 AS render_ok
+    FROM documents, (SELECT unnest([1, 2, 3]) AS k)),
+    s AS (SELECT *, CASE WHEN raw IS NOT NULL THEN CAST(least(100, raw) AS INTEGER) END AS score, coalesce(render_ok AND raw >= 90, false) AS good FROM a),
+    f AS (SELECT doc_id, min(attempt) FILTER (good) AS won FROM s GROUP BY doc_id),
+    best AS (SELECT doc_id, coalesce(won, 3) AS attempt, won IS NOT NULL AS success, (SELECT max(s.attempt) FROM s WHERE s.doc_id = f.doc_id AND s.render_ok AND s.attempt <= coalesce(won, 3)) AS seen FROM f)"""
+
+
+def _evaluated(docs: DataFrame, n: F.Column) -> DataFrame:
+    size = F.length("text")
+    score = F.concat(F.lit("Looks fine.\nScore: "), ((size * 7 + n * 31) % 140).cast("string"), F.lit("/100"))
+    rendered = F.substring("text", n, F.lit(1)).between("a", "t") | (size % 3 == 0)
+    return docs.withColumn("raw_evaluation", F.when((size + n) % 11 == 0, "No score given").otherwise(score)).withColumn("render_ok", F.coalesce(rendered, F.lit(False)))
+
+
+@query(f"WITH {_SAID} SELECT b.doc_id, s.score, b.success, CAST(b.attempt - 1 AS BIGINT) AS retry_times FROM best b LEFT JOIN s ON s.doc_id = b.doc_id AND s.attempt = b.seen")
 def chart_best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    attempts = docs.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    raw = F.concat(F.lit("Looks fine.\nScore: "), ((F.col("doc_id") * 7 + F.col("attempt") * 31) % 140).cast("string"), F.lit("/100"))
-    attempts = attempts.withColumn("raw_evaluation", raw).withColumn("render_ok", (F.col("doc_id") + F.col("attempt")) % 5 != 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    attempts = _evaluated(docs.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3)))), F.col("attempt")).drop("text")
     best = variants_image.best_attempt(attempts, ["doc_id"])
     return best.select("doc_id", "score", "success", F.col("retry_times").cast("long").alias("retry_times"))
 
 
 @query(
-    """WITH r AS (SELECT doc_id, min(k) FILTER ((doc_id + k) % 4 = 0) AS won FROM documents, range(0, 3) x(k) GROUP BY doc_id)
-    SELECT CAST(coalesce(won, 2) AS INTEGER) AS round_idx, CASE WHEN won IS NULL THEN 'cannot_modify' ELSE 'passed' END AS state, count(*) AS n FROM r GROUP BY ALL"""
+    f"""WITH {_SAID}, c AS (SELECT b.*, s.score FROM best b LEFT JOIN s ON s.doc_id = b.doc_id AND s.attempt = b.seen)
+    SELECT CAST(attempt AS INTEGER) AS attempt, success, count(*) AS n, CAST(sum(score) AS BIGINT) AS score_sum FROM c GROUP BY ALL"""
 )
+def chart_attempt_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts drawn again until their score passes; only what has not passed goes again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    done = variants_image.run_chart_attempts(docs, ["doc_id"], lambda left, n: _evaluated(left, F.lit(n)))
+    return done.groupBy("attempt", "success").agg(F.count("*").alias("n"), F.sum("score").alias("score_sum"))
+
+
+_JUDGED = """WITH r AS (SELECT doc_id, k, lower(substr(text, k + 1, 1)) IN ('a', 'e', 'i', 'o', 'u') AND length(text) % 13 <> 0 AS good, length(text) % 13 <> 0 AS ok FROM documents, (SELECT unnest([0, 1, 2]) AS k)),
+    w AS (SELECT doc_id, min(k) FILTER (good) AS won, bool_and(ok) AS ok FROM r GROUP BY doc_id)"""
+
+
+def _edit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(0).alias("retry_times"))
+
+    def step(left: DataFrame, n: int) -> DataFrame:
+        answer = F.when(F.lower(F.substring("text", n + 1, 1)).isin("a", "e", "i", "o", "u"), ' "No." ').otherwise("Yes, it differs")
+        return left.withColumn("ok", F.length("text") % 13 != 0).withColumn("judge_answer", answer)
+
+    return variants_image.run_rounds(docs, step)
+
+
+@query(_JUDGED + " SELECT CAST(coalesce(won, 2) AS INTEGER) AS round_idx, CASE WHEN won IS NULL THEN 'cannot_modify' ELSE 'passed' END AS state, count(*) AS n FROM w GROUP BY ALL")
 def image_edit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds of edit and verify; what fails goes again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(0).alias("retry_times"))
+    return _edit_rounds(spark, sf_dir).groupBy("round_idx", "state").agg(F.count("*").alias("n"))
 
-    def step(left: DataFrame, n: int) -> DataFrame:
-        return left.withColumn("ok", F.lit(True)).withColumn("judge_answer", F.when((F.col("doc_id") + n) % 4 == 0, "No.").otherwise("Yes, it differs"))
 
-    return variants_image.run_rounds(docs, step).groupBy("round_idx", "state").agg(F.count("*").alias("n"))
+@query(
+    _JUDGED
+    + """ SELECT CAST(coalesce(won, 2) AS INTEGER) AS round_idx, count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, count(won) AS passed, CAST(0 AS BIGINT) AS retryable, count(*) FILTER (won IS NULL) AS final FROM w GROUP BY 1"""
+)
+def image_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.round_summary(_edit_rounds(spark, sf_dir))
 
 
 _OK = "status = 'ok' AND NOT contains(output, '[ERROR]') AND NOT contains(output, 'Error:') AND NOT contains(output, 'Exception:')"
@@ -258,28 +361,58 @@ def sharded_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options with distractors, shuffled by a seeded hash and labelled anew."""
     items = A.items(spark, sf_dir)
-    raw = F.array(F.concat(F.lit("extra "), "id"), F.lit("none of these"), F.concat(F.lit(" EXTRA  "), "id"))
-    items = items.withColumn("distractors", variants_text.clean_distractors(raw, X.parse_options(F.col("query"))))
-    out = variants_text.rebuild_mcq(items, seed=3)
+    raw = F.array(F.concat(F.lit("extra "), "id"), F.lit("none of these"), F.concat(F.lit(" EXTRA "), "id", F.lit("  ")))
+    items = X.once(items, own=X.parse_options(F.col("query")))
+    out = variants_text.rebuild_mcq(items.withColumn("distractors", variants_text.clean_distractors(raw, F.col("own"))), seed=3)
     rebuilt = F.col("modified_query") != F.col("query")
     options = F.when(rebuilt, X.split_mcq(F.col("modified_query"))["options"]).otherwise(F.lit(""))
     return out.select("id", F.col("modified_answer").alias("answer"), rebuilt.alias("rebuilt"), F.md5(options).alias("options_md5"))
 
 
-@query(
-    A.oracle_ctes("items")
-    + """ SELECT id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS verify_passed, doc_id % 3 = 0 AS text_changed,
-    md5(CASE WHEN doc_id % 3 = 0 THEN concat('Heat 0.5 L now. ', query) ELSE concat('Heat 500 mL now. ', query) END) AS query_md5 FROM items"""
-)
+#: Two equal quantities in a question, with what a model makes of each in a round; equality is worked out from numbers and factors.
+_PAIRS = A.oracle_ctes("items") + r""", n AS (SELECT *, length(stem) % 900 + 1 AS n FROM items),
+    q AS (SELECT *, CASE WHEN n % 7 = 0 THEN concat('Nothing here. ', query) ELSE concat('Heat ', n, ' mL now and ', n, ' mL later. ', query) END AS q, n % 7 <> 0 AND n % 11 <> 0 AS has FROM n),
+    said AS (SELECT q.*, r, p, CASE WHEN p = 0 THEN CASE (n + r) % 6 WHEN 0 THEN concat(n * 1000, ' uL') WHEN 1 THEN concat(n, ' mL') WHEN 2 THEN concat(n, ' L') WHEN 3 THEN concat(n, ' g') WHEN 4 THEN concat(n, ' cm^3') ELSE '' END
+      ELSE CASE (n + r) % 4 WHEN 0 THEN concat(n, '.5 mL') WHEN 1 THEN concat(n, '000 uL') ELSE 'some' END END AS t FROM q, (SELECT unnest([0, 1, 2, 3]) AS r), (SELECT unnest([0, 1]) AS p)),
+    pair AS (SELECT *, CASE WHEN t = '' THEN concat(n, ' mL') ELSE t END AS new, t = '' OR t = concat(n, ' mL') OR coalesce(TRY_CAST(regexp_extract(t, '^[0-9.]+') AS DOUBLE) * CASE regexp_extract(t, ' (.*)$', 1) WHEN 'uL' THEN 0.001 WHEN 'mL' THEN 1 WHEN 'L' THEN 1000 WHEN 'cm^3' THEN 1 END = n, false) AS passed FROM said),
+    round AS (SELECT doc_id, id, n, r, query, any_value(q) AS q, any_value(has) AS has, bool_or(passed) AS good, max(CASE WHEN p = 0 AND passed THEN new END) AS a, max(CASE WHEN p = 1 AND passed THEN new END) AS b FROM pair GROUP BY doc_id, id, n, r, query),
+    done AS (SELECT *, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN false ELSE good END AS verify_passed, CASE WHEN has AND good THEN concat('Heat ', coalesce(a, n || ' mL'), ' now and ', coalesce(b, n || ' mL'), ' later. ', query) ELSE q END AS new FROM round)"""
+
+
+def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.length("stem") % 900 + 1).alias("n")
+    own = A.items(spark, sf_dir).select("*", n).withColumn("can_modify", F.col("n") % 11 != 0)
+    amount = F.concat(F.col("n"), F.lit(" mL"))
+    question = F.when(F.col("n") % 7 == 0, F.concat(F.lit("Nothing here. "), "query")).otherwise(F.concat(F.lit("Heat "), amount, F.lit(" now and "), amount, F.lit(" later. "), "query"))
+    pair = lambda kind, placeholder: F.struct(F.lit(kind).alias("kind"), amount.alias("original"), F.lit(placeholder).alias("placeholder"))
+    return own.withColumn("query", question).withColumn("pairs", F.array(pair("Unit", "{PH0}"), pair("unit", "")))
+
+
+def _rewritten(left: DataFrame, r: int) -> DataFrame:
+    n, k = F.col("n"), (F.col("n") + r) % 6
+    one = F.when(k == 0, F.concat(n * 1000, F.lit(" uL"))).when(k == 1, F.concat(n, F.lit(" mL"))).when(k == 2, F.concat(n, F.lit(" L"))).when(k == 3, F.concat(n, F.lit(" g"))).when(k == 4, F.concat(n, F.lit(" cm^3"))).otherwise("")
+    two = F.when((n + r) % 4 == 0, F.concat(n, F.lit(".5 mL"))).when((n + r) % 4 == 1, F.concat(n, F.lit("000 uL"))).otherwise("some")
+    return left.withColumn("transformed", F.array(one, two))
+
+
+@query(_PAIRS + " SELECT id, verify_passed, new <> q AS text_changed, md5(new) AS query_md5 FROM done WHERE r = 0")
 def equivalent_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quantity in other units is taken if it is equal, else the original stays."""
-    items = A.items(spark, sf_dir).withColumn("query", F.concat(F.lit("Heat 500 mL now. "), "query")).withColumn("can_modify", F.lit(True))
-    said = F.when(F.col("doc_id") % 3 == 0, "0.5 L").when(F.col("doc_id") % 3 == 1, "500 mL").otherwise("5 L")
-    pair = F.struct(F.lit("unit").alias("kind"), F.lit("500 mL").alias("original"), F.lit("{PH0}").alias("placeholder"), said.alias("transformed"))
-    out = variants_text.apply_t2(items.withColumn("pairs", F.array(pair)))
+    out = variants_text.apply_t2(_rewritten(_quantities(spark, sf_dir), 0))
     return out.select("id", "verify_passed", "text_changed", F.md5("modified_query").alias("query_md5"))
 
 
+@query(
+    _PAIRS
+    + """, last AS (SELECT doc_id, coalesce(min(r) FILTER (good OR NOT has), 3) AS r FROM done GROUP BY doc_id)
+    SELECT d.id, d.verify_passed, CAST(d.r AS INTEGER) AS retry_times, md5(d.new) AS query_md5 FROM done d JOIN last l ON d.doc_id = l.doc_id AND d.r = l.r"""
+)
+def equivalent_rewrite_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 asked again while every pair of an item fails, three times at most."""
+    out = variants_text.run_t2_rounds(_quantities(spark, sf_dir), _rewritten)
+    return out.select("id", "verify_passed", "retry_times", F.md5("modified_query").alias("query_md5"))
+
+
 @query(
     A.oracle_ctes("items")
     + """, ref AS (SELECT 'term ' || CAST(page_id % 50 AS VARCHAR) AS term_key, min(md5(coalesce(html, ''))) AS summary FROM pages GROUP BY 1)
@@ -317,8 +450,20 @@ def ordered_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id", F.md5(done["text"]).alias("text_md5"), F.get(done["applied"], 0).alias("first_applied"))
 
 
-@query()
+@query(
+    A.oracle_ctes("items")
+    + """ SELECT id, dataset, CASE WHEN length(query) % 10 = 9 THEN '[ERROR] no answer' ELSE substr('ABCD', CAST(length(concat('Answer with one letter.', chr(10), chr(10), query)) % 4 + 1 AS INTEGER), 1) END AS output, CASE WHEN length(query) % 10 = 9 THEN 'error' ELSE 'ok' END AS status FROM items"""
+)
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoring boundary with a deterministic stand-in for a model."""
     requests = inference.build_requests(A.items(spark, sf_dir), "original", "Answer with one letter.").select("id", "dataset", "prompt")
-    return inference.infer(requests, lambda: lambda prompt: "ABCD"[len(prompt) % 4]).select("id", "dataset", "output", "status")
+
+    def scorer():
+        def answer(prompt: str) -> str:
+            if (len(prompt) - 25) % 10 == 9:
+                raise ValueError("no answer")
+            return "ABCD"[len(prompt) % 4]
+
+        return answer
+
+    return inference.infer(requests, scorer).select("id", "dataset", "output", "status")

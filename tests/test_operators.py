@@ -143,3 +143,74 @@ def test_plans_have_no_python_and_no_nested_loop(spark, name):
 
     plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_literal_rules_are_planned_once(spark):
+    import __spark_entry__ as e
+
+    for name in ("text_variant_summary", "text_qa", "composite_tv"):
+        plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("titration curve") == 1, name
+
+
+def test_image_rows_that_lack_images_have_reasons(spark):
+    images = spark.createDataFrame([("a", bytes(range(200))), ("b", b"x")], "path string, content binary")
+    rows = spark.createDataFrame([("1", ["a"]), ("2", ["a", "b", "a"]), ("3", []), ("4", None), ("5", ["zz"]), ("6", ["a", "zz"])], "id string, image_path array<string>")
+    got = {r.id: (r.image, r.reason) for r in tables.encode_images(rows, images).collect()}
+    import base64
+
+    a, b = (base64.b64encode(x).decode() for x in (bytes(range(200)), b"x"))
+    assert got == {"1": (a, None), "2": (json.dumps([a, b, a], separators=(",", ":")), None), "3": (None, "no_image"), "4": (None, "no_image"), "5": (None, "missing_image"), "6": (None, "missing_image")}
+
+
+def test_attempts_keep_the_last_score_that_was_given(spark):
+    rows = [("a", 1, True, "Score: 70"), ("a", 2, False, "Score: 99"), ("a", 3, None, None), ("b", 1, True, "Score: 70"), ("b", 2, True, "none"), ("c", 1, False, None), ("c", 2, True, "Score: 91"), ("c", 3, True, "Score: 95")]
+    df = spark.createDataFrame(rows, "id string, attempt int, render_ok boolean, raw_evaluation string")
+    got = {r.id: (r.attempt, r.score, r.success, r.retry_times) for r in variants_image.best_attempt(df, ["id"]).collect()}
+    assert got == {"a": (3, 70, False, 2), "b": (2, None, False, 1), "c": (2, 91, True, 1)}
+
+
+def test_t2_rounds_ask_again_only_where_all_pairs_fail(spark):
+    pair = lambda x: {"kind": "unit", "original": x, "placeholder": ""}
+    rows = [("1", "5 mL and x9", [pair("5 mL"), pair("x9")], True), ("2", "7 mL", [pair("7 mL")], True), ("3", "no", [pair("zz")], True), ("4", "7 mL", [pair("7 mL")], False)]
+    items = spark.createDataFrame(rows, "id string, query string, pairs array<struct<kind:string,original:string,placeholder:string>>, can_modify boolean").withColumn("target", F.lit("A"))
+    asked = []
+
+    def rewrite(left, n):
+        asked.append(sorted(r.id for r in left.collect()))
+        return left.withColumn("transformed", F.when(F.col("id") == "1", F.array(F.lit("0.005 L"), F.lit("1"))).otherwise(F.array(F.lit("7 g"))))
+
+    out = {r.id: (r.modified_query, r.verify_passed, r.retry_times, [d.passed for d in r.return_checklist]) for r in variants_text.run_t2_rounds(items, rewrite).collect()}
+    assert asked == [["1", "2", "3", "4"], ["2"], ["2"], ["2"]]
+    assert out == {"1": ("0.005 L and x9", True, 0, [True, False]), "2": ("7 mL", False, 3, [False]), "3": ("no", False, 0, []), "4": ("7 mL", None, 0, [])}
+
+
+def test_composites_skip_rows_without_text(spark):
+    row = "dataset string, field string, id string, level string, query string, target string, image_path array<string>, pos int"
+    t = spark.createDataFrame([("d", "f", str(i), "T1", q, g, ["t"], 0) for i, (q, g) in enumerate([("q", "A"), (None, "A"), ("q", None), ("q", "A"), ("q", "A")])], row)
+    v = spark.createDataFrame([("d", "f", "0", "V2", "q", "B", ["new"], 2), ("d", "f", "0", "V2", "q", "A", ["zz"], 1), ("d", "f", "1", "V2", "q", "A", ["v"], 0), ("d", "f", "3", "V2", "q", None, None, 0)], row)
+    got = {r.id: (r.image_path, r.target_mismatch) for r in compose.compose_tv(t, v).collect()}
+    assert got == {"0": (["new"], True), "3": ([], False)}
+
+
+def test_writing_again_replaces_partitions(spark, tmp_path):
+    row = "dataset string, field string, level string, id string"
+    for ids in (("1", "2"), ("3",)):
+        tables.write_variants(spark.createDataFrame([("d", "f", "T1", i) for i in ids], row), f"file://{tmp_path}/v")
+        tables.write_variants(spark.createDataFrame([("e", "f", "T1", "9")], row), f"file://{tmp_path}/v")
+    assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/v").collect()) == ["3", "9"]
+
+
+def test_drop_report(spark):
+    df = spark.createDataFrame([("a", None), ("a", "x"), ("a", "x"), ("b", "y")], "k string, reason string")
+    got = {r.k: (r.converted, r.skipped, [tuple(x) for x in r.reasons]) for r in summary.drop_report(df, "k").collect()}
+    assert got == {"a": (1, 2, [("x", 2)]), "b": (0, 1, [("y", 1)])}
+
+
+def test_entry_point_without_a_package_that_llm_needs(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "text_qa" in e.queries() and "pipeline" not in e.queries() and set(e.oracle_sql()) <= set(e.queries())
