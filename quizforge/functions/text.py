@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +45,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _halves(query: Column, at: Column) -> Column:
     """(stem, options), both trimmed; no option line leaves the options empty."""
-    return F.struct(
-        strip(F.when(at > 0, F.substring(query, F.lit(1), at - 1)).otherwise(query)).alias("stem"),
-        strip(F.when(at > 0, F.substring(query, at, F.length(query))).otherwise(F.lit(""))).alias("options"),
+    return let(
+        at,
+        lambda at: F.struct(
+            strip(F.when(at > 0, F.substring(query, F.lit(1), at - 1)).otherwise(query)).alias("stem"),
+            strip(F.when(at > 0, F.substring(query, at, F.length(query))).otherwise(F.lit(""))).alias("options"),
+        ),
     )
 
 
@@ -62,24 +67,27 @@ def split_query(query: Column) -> Column:
 def split_lines(query: Column) -> Column:
     """Split for composites at the first line that starts with a letter and a dot, not indented; nothing is trimmed."""
     q = F.coalesce(query, F.lit(""))
-    at = F.regexp_instr(q, F.lit(COMPOSITE_OPTION_LINE))
-    return F.struct(
-        F.when(at > 1, F.substring(q, F.lit(1), at - 2)).when(at == 1, F.lit("")).otherwise(q).alias("stem"),
-        F.when(at > 0, F.substring(q, at, F.length(q))).otherwise(F.lit("")).alias("options"),
+    return let(
+        F.regexp_instr(q, F.lit(COMPOSITE_OPTION_LINE)),
+        lambda at: F.struct(
+            F.when(at > 1, F.substring(q, F.lit(1), at - 2)).when(at == 1, F.lit("")).otherwise(q).alias("stem"),
+            F.when(at > 0, F.substring(q, at, F.length(q))).otherwise(F.lit("")).alias("options"),
+        ),
     )
 
 
 def split_mcq(query: Column) -> Column:
     q = F.coalesce(query, F.lit(""))
     dot = F.regexp_instr(q, F.lit(MCQ_DOT_LINE))
-    return _halves(q, F.when(dot > 0, dot).otherwise(F.regexp_instr(q, F.lit(MCQ_PAREN))))
+    return _halves(q, let(dot, lambda at: F.when(at > 0, at).otherwise(F.regexp_instr(q, F.lit(MCQ_PAREN)))))
 
 
 def combine_t2t4(t2: Column, t4: Column) -> Column:
     """The stem of T2 with the options of T4; the whole query stands in for a part that is empty."""
-    stem = F.coalesce(F.nullif(split_lines(t2)["stem"], F.lit("")), t2)
-    options = F.coalesce(F.nullif(split_lines(t4)["options"], F.lit("")), t4)
-    return F.when(options != "", F.concat(stem, F.lit(NEWLINE), options)).otherwise(stem)
+    stem = let(split_lines(t2)["stem"], lambda x: F.when(x == "", t2).otherwise(x))
+    options = let(split_lines(t4)["options"], lambda x: F.when(x == "", t4).otherwise(x))
+    joined = lambda h: F.when(h["o"] != "", F.concat(h["s"], F.lit(NEWLINE), h["o"])).otherwise(h["s"])
+    return let(F.struct(stem.alias("s"), options.alias("o")), joined)
 
 
 def _last_per_label(pairs: Column) -> Column:
@@ -121,8 +129,19 @@ def dedup_keep_order(items: Column, key: Callable[[Column], Column] = match_key)
     return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
+#: Signs without one of which a pattern has no match: they are looked for first, as that costs less.
+_SIGNS = {LITERALS[0]: ("<",), LITERALS[1]: ("$",), LITERALS[5]: ("acid", "base")}
+
+
+def _all_where(text: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    if pattern not in _SIGNS:
+        return found
+    return F.when(reduce(or_, [text.contains(x) for x in _SIGNS[pattern]]), found).otherwise(F.array().cast("array<string>"))
+
+
 def immutable_literals(stem: Column) -> Column:
-    found = [F.regexp_extract_all(stem, F.lit(p), 0) for p in LITERALS]
+    found = [_all_where(stem, p) for p in LITERALS]
     found += [F.slice(F.regexp_extract_all(stem, F.lit(f"(?i){p}"), 0), 1, 1) for p in PHRASES]
     return dedup_keep_order(F.concat(*found))
 
