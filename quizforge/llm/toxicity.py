@@ -45,7 +45,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class FtrlProximal:
     """Logistic regression by FTRL-proximal; the last coordinate is the bias, which L1 spares."""
 
-    def __init__(self, slots: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1) -> None:
+    def __init__(self, slots: int, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, np.full(slots + 1, l1, np.float32), l2
         self.l1[slots] = 0
         self.z, self.n = np.zeros(slots + 1), np.zeros(slots + 1)

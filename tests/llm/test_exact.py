@@ -186,7 +186,7 @@ def test_quality_learns_from_every_passage(spark):
 def test_toxicity_weights_against_plain_ftrl(spark):
     draw = random.Random(2)
     bags = [(sorted({draw.randrange(40) for _ in range(6)}), draw.randrange(2)) for _ in range(300)]
-    model = toxicity.FtrlProximal(40, l1=0.5)
+    model = toxicity.FtrlProximal(40, alpha=1.0, l1=0.5)
     z, n, w = [0.0] * 41, [0.0] * 41, [0.0] * 41
 
     def weight(i):
