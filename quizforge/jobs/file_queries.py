@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quizforge.functions import keys, text as X
 from quizforge.jobs import adapters as A
-from quizforge.jobs.queries import ORACLES, QUERIES, RUN_KEYS, query
+from quizforge.jobs.queries import ORACLES, QUERIES, RUN_KEYS, query, state
 from quizforge.operators import classify, compose, dedup, inference, summary, variants_image, variants_text
 from quizforge.sources import tables
 
@@ -77,7 +77,7 @@ def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A.oracle_ctes("items")
-    + """ SELECT 'T1' AS action, id, md5(query) AS query_md5, target AS modified_answer, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS verify_passed FROM items"""
+    + """ SELECT 'T1' AS action, id, md5(query) AS query_md5, target AS modified_answer, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'n/a' END AS verify_passed FROM items"""
 )
 def text_variant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: envelopes of text variants; verification has three states."""
@@ -85,7 +85,7 @@ def text_variant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified = F.when(F.col("doc_id") % 3 == 0, True).when(F.col("doc_id") % 3 == 1, False)
     value = F.struct("id", F.col("query").alias("modified_query"), F.col("target").alias("modified_answer"), verified.alias("verify_passed"))
     path = _arrays(own, "dataset", value, "_T1.json", '{"dataset": "d", "total": 3, "results": %s}')
-    return tables.read_text_variants(spark, path, "T1").select("action", "id", F.md5("modified_query").alias("query_md5"), "modified_answer", "verify_passed")
+    return tables.read_text_variants(spark, path, "T1").select("action", "id", F.md5("modified_query").alias("query_md5"), "modified_answer", state("verify_passed"))
 
 
 @query("SELECT source AS dataset, CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, length(text) % 3 AS retry_times FROM documents")
@@ -269,9 +269,9 @@ def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH d AS (SELECT doc_id, length(text) AS n, md5(text) AS h FROM documents)
-    SELECT doc_id, CASE n % 3 WHEN 0 THEN concat(h, '|two') WHEN 1 THEN concat(h, '|x y') ELSE '' END AS checklist, concat('x = "', h, '"') AS code, CASE WHEN n % 5 IN (0, 1) THEN CAST(least(100, n % 150) AS INTEGER) END AS score, n % 4 IN (0, 1) AS passes,
+    SELECT doc_id, CASE n % 3 WHEN 0 THEN concat(h, '|two') WHEN 1 THEN concat(h, '|x y') ELSE '' END AS checklist, concat('x = "', h, '"') AS code, CASE WHEN n % 5 IN (0, 1) THEN CAST(least(100, n % 150) AS INTEGER) ELSE -1 END AS score, n % 4 IN (0, 1) AS passes,
     CASE n % 3 WHEN 0 THEN concat(h, '@top|b@left') WHEN 1 THEN 'b@left' ELSE '' END AS plan, CASE WHEN n % 3 = 2 THEN 'none' ELSE concat(CASE WHEN n % 3 = 0 THEN concat('write "', h, '" at top; ') ELSE '' END, 'write "b" at left') END AS edits,
-    CASE WHEN n % 2 = 0 THEN 0.0 WHEN n % 7 = 0 THEN NULL END AS temperature, CASE WHEN n % 2 = 1 THEN 0.9 END AS top_p FROM d"""
+    CASE WHEN n % 2 = 0 THEN '0.0' ELSE '' END AS temperature, CASE WHEN n % 2 = 1 THEN '0.9' ELSE '' END AS top_p FROM d"""
 )
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read from a model's answers."""
@@ -287,8 +287,8 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.when(F.size("plan") == 0, "none").otherwise(F.regexp_extract(prompt, r"^Edit the image: (.*)\. Keep it a natural photograph\.$", 1))
     decode = inference.decode_params(F.when(F.col("n") % 2 == 0, 0.0).otherwise(0.5), F.lit(0.9))
     return own.select(
-        "doc_id", F.coalesce(F.array_join("c", "|"), F.lit("")).alias("checklist"), "code", "score", "passes", F.array_join(F.transform("plan", lambda e: F.concat_ws("@", e["text"], e["position"])), "|").alias("plan"),
-        edits.alias("edits"), decode["temperature"].alias("temperature"), decode["top_p"].alias("top_p"),
+        "doc_id", F.coalesce(F.array_join("c", "|"), F.lit("")).alias("checklist"), "code", F.coalesce("score", F.lit(-1)).alias("score"), "passes", F.array_join(F.transform("plan", lambda e: F.concat_ws("@", e["text"], e["position"])), "|").alias("plan"),
+        edits.alias("edits"), *(F.coalesce(decode[c].cast("string"), F.lit("")).alias(c) for c in ("temperature", "top_p")),
     )
 
 
@@ -387,7 +387,7 @@ def shared_variant_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     A.oracle_ctes("items", "forms")
     + """, s AS (SELECT *, CASE WHEN doc_id % 9 IN (4, 5, 8) THEN 'not_mcq' WHEN length(first) % 5 = 0 THEN 'not_expandable' WHEN length(first) % 5 = 1 THEN 'no_keywords' ELSE 'done' END AS state FROM forms WHERE doc_id % 9 <> 8)
-    SELECT id, state, CASE WHEN state IN ('not_mcq', 'not_expandable') THEN NULL ELSE state = 'done' AND length(first) % 5 <> 2 END AS verify_passed, state = 'done' AS can_modify, CASE WHEN state = 'done' AND length(first) % 2 = 0 THEN 'one more' ELSE '' END AS distractors,
+    SELECT id, state, CASE WHEN state IN ('not_mcq', 'not_expandable') THEN 'n/a' ELSE CAST(state = 'done' AND length(first) % 5 <> 2 AS VARCHAR) END AS verify_passed, state = 'done' AS can_modify, CASE WHEN state = 'done' AND length(first) % 2 = 0 THEN 'one more' ELSE '' END AS distractors,
     CASE WHEN state = 'done' AND doc_id % 7 IN (0, 1, 2, 3, 5) THEN NULL ELSE md5(query) END AS same_md5 FROM s WHERE doc_id % 9 <> 7"""
 )
 def distractor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +400,7 @@ def distractor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = variants_text.apply_t4(own, seed=5)
     label_known = F.col("doc_id") % 7
     same = F.when((F.col("state") == "done") & label_known.isin(0, 1, 2, 3, 5), F.lit(None)).otherwise(F.md5("modified_query"))
-    return out.select("id", "state", "verify_passed", "can_modify", F.array_join("distractors", "|").alias("distractors"), same.alias("same_md5"))
+    return out.select("id", "state", state("verify_passed"), "can_modify", F.array_join("distractors", "|").alias("distractors"), same.alias("same_md5"))
 
 
 @query(A.oracle_ctes("items") + " SELECT id, length(stem) % 2 = 0 AS equal FROM items")

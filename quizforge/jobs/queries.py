@@ -249,12 +249,12 @@ def _evaluated(docs: DataFrame, n: F.Column) -> DataFrame:
     return docs.withColumn("raw_evaluation", F.when((size + n) % 11 == 0, "No score given").otherwise(score)).withColumn("render_ok", F.coalesce(rendered, F.lit(False)))
 
 
-@query(f"WITH {_SAID} SELECT b.doc_id, s.score, b.success, CAST(b.attempt - 1 AS BIGINT) AS retry_times FROM best b LEFT JOIN s ON s.doc_id = b.doc_id AND s.attempt = b.seen")
+@query(f"WITH {_SAID} SELECT b.doc_id, coalesce(s.score, -1) AS score, b.success, CAST(b.attempt - 1 AS BIGINT) AS retry_times FROM best b LEFT JOIN s ON s.doc_id = b.doc_id AND s.attempt = b.seen")
 def chart_best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     attempts = _evaluated(docs.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3)))), F.col("attempt")).drop("text")
     best = variants_image.best_attempt(attempts, ["doc_id"])
-    return best.select("doc_id", "score", "success", F.col("retry_times").cast("long").alias("retry_times"))
+    return best.select("doc_id", F.coalesce("score", F.lit(-1)).alias("score"), "success", F.col("retry_times").cast("long").alias("retry_times"))
 
 
 @query(
@@ -379,6 +379,11 @@ _PAIRS = A.oracle_ctes("items") + r""", n AS (SELECT *, length(stem) % 900 + 1 A
     done AS (SELECT *, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN false ELSE good END AS verify_passed, CASE WHEN has AND good THEN concat('Heat ', coalesce(a, n || ' mL'), ' now and ', coalesce(b, n || ' mL'), ' later. ', query) ELSE q END AS new FROM round)"""
 
 
+def state(verified: str) -> F.Column:
+    """The three states of a verification as text."""
+    return F.coalesce(F.col(verified).cast("string"), F.lit("n/a")).alias("verify_passed")
+
+
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.length("stem") % 900 + 1).alias("n")
     own = A.items(spark, sf_dir).select("*", n).withColumn("can_modify", F.col("n") % 11 != 0)
@@ -395,22 +400,22 @@ def _rewritten(left: DataFrame, r: int) -> DataFrame:
     return left.withColumn("transformed", F.array(one, two))
 
 
-@query(_PAIRS + " SELECT id, verify_passed, new <> q AS text_changed, md5(new) AS query_md5 FROM done WHERE r = 0")
+@query(_PAIRS + " SELECT id, coalesce(CAST(verify_passed AS VARCHAR), 'n/a') AS verify_passed, new <> q AS text_changed, md5(new) AS query_md5 FROM done WHERE r = 0")
 def equivalent_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quantity in other units is taken if it is equal, else the original stays."""
     out = variants_text.apply_t2(_rewritten(_quantities(spark, sf_dir), 0))
-    return out.select("id", "verify_passed", "text_changed", F.md5("modified_query").alias("query_md5"))
+    return out.select("id", state("verify_passed"), "text_changed", F.md5("modified_query").alias("query_md5"))
 
 
 @query(
     _PAIRS
     + """, last AS (SELECT doc_id, coalesce(min(r) FILTER (good OR NOT has), 3) AS r FROM done GROUP BY doc_id)
-    SELECT d.id, d.verify_passed, CAST(d.r AS INTEGER) AS retry_times, md5(d.new) AS query_md5 FROM done d JOIN last l ON d.doc_id = l.doc_id AND d.r = l.r"""
+    SELECT d.id, coalesce(CAST(d.verify_passed AS VARCHAR), 'n/a') AS verify_passed, CAST(d.r AS INTEGER) AS retry_times, md5(d.new) AS query_md5 FROM done d JOIN last l ON d.doc_id = l.doc_id AND d.r = l.r"""
 )
 def equivalent_rewrite_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 asked again while every pair of an item fails, three times at most."""
     out = variants_text.run_t2_rounds(_quantities(spark, sf_dir), _rewritten)
-    return out.select("id", "verify_passed", "retry_times", F.md5("modified_query").alias("query_md5"))
+    return out.select("id", state("verify_passed"), "retry_times", F.md5("modified_query").alias("query_md5"))
 
 
 @query(

@@ -31,6 +31,7 @@ def test_options(spark):
     assert one(spark, X.answer_label(F.col("a")), labels) == ["B"] * 8 + [""] * 4 + ["", "B", None]
     got = one(spark, X.parse_options(F.col("a")), ["(A) sin (x) (B) cos (y)", "q\nA.\nB. y", "q\r\n\u00a0A. x \nB.\u00a0y\u2028C. z", "(A)  (B) x", "(A) x (B) y (A) z", "B.5 and\nC.x"])
     assert [[(o.label, o.text) for o in r] for r in got] == [[("A", "sin (x)"), ("B", "cos (y)")], [], [("A", "x"), ("B", "y"), ("C", "z")], [("B", "x")], [("A", "z"), ("B", "y")], [("B", "5 and"), ("C", "x")]]
+    assert one(spark, X.is_mcq(F.col("a")), ["q\nA. x\nB. y", "q (A) x", None]) == [True, False, False]
     assert [(r.stem, r.options) for r in one(spark, X.split_mcq(F.col("a")), ["At\nB.5 volts (A) x", "s\n\u00a0B. x"])] == [("At\nB.5 volts", "(A) x"), ("s", "B. x")]
 
 
