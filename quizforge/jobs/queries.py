@@ -371,12 +371,12 @@ def rebuilt_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Two equal quantities in a question, with what a model makes of each in a round; equality is worked out from numbers and factors.
 _PAIRS = A.oracle_ctes("items") + r""", n AS (SELECT *, length(stem) % 900 + 1 AS n FROM items),
-    q AS (SELECT *, CASE WHEN n % 7 = 0 THEN concat('Nothing here. ', query) ELSE concat('Heat ', n, ' mL now and ', n, ' mL later. ', query) END AS q, n % 7 <> 0 AND n % 11 <> 0 AS has FROM n),
-    said AS (SELECT q.*, r, p, CASE WHEN p = 0 THEN CASE (n + r) % 6 WHEN 0 THEN concat(n * 1000, ' uL') WHEN 1 THEN concat(n, ' mL') WHEN 2 THEN concat(n, ' L') WHEN 3 THEN concat(n, ' g') WHEN 4 THEN concat(n, ' cm^3') ELSE '' END
-      ELSE CASE (n + r) % 4 WHEN 0 THEN concat(n, '.5 mL') WHEN 1 THEN concat(n, '000 uL') ELSE 'some' END END AS t FROM q, (SELECT unnest([0, 1, 2, 3]) AS r), (SELECT unnest([0, 1]) AS p)),
-    pair AS (SELECT *, CASE WHEN t = '' THEN concat(n, ' mL') ELSE t END AS new, t = '' OR t = concat(n, ' mL') OR coalesce(TRY_CAST(regexp_extract(t, '^[0-9.]+') AS DOUBLE) * CASE regexp_extract(t, ' (.*)$', 1) WHEN 'uL' THEN 0.001 WHEN 'mL' THEN 1 WHEN 'L' THEN 1000 WHEN 'cm^3' THEN 1 END = n, false) AS passed FROM said),
+    q AS (SELECT *, CASE WHEN n % 7 = 0 THEN concat('Nothing here. ', query) ELSE concat('Heat ', n, ' dL now and ', n, ' dL later. ', query) END AS q, n % 7 <> 0 AND n % 11 <> 0 AS has FROM n),
+    said AS (SELECT q.*, r, p, CASE WHEN p = 0 THEN CASE (n + r) % 6 WHEN 0 THEN concat(n * 100, ' mL') WHEN 1 THEN concat(n, ' dL') WHEN 2 THEN concat(n, ' L') WHEN 3 THEN concat(n, ' g') WHEN 4 THEN concat(n, '00 cm^3') ELSE '' END
+      ELSE CASE (n + r) % 4 WHEN 0 THEN concat(n, '.5 dL') WHEN 1 THEN concat(n, '00 mL') ELSE 'some' END END AS t FROM q, (SELECT unnest([0, 1, 2, 3]) AS r), (SELECT unnest([0, 1]) AS p)),
+    pair AS (SELECT *, CASE WHEN t = '' THEN concat(n, ' dL') ELSE t END AS new, t = '' OR t = concat(n, ' dL') OR coalesce(TRY_CAST(regexp_extract(t, '^[0-9.]+') AS DOUBLE) * CASE regexp_extract(t, ' (.*)$', 1) WHEN 'dL' THEN 100 WHEN 'mL' THEN 1 WHEN 'L' THEN 1000 WHEN 'cm^3' THEN 1 END = n * 100, false) AS passed FROM said),
     round AS (SELECT doc_id, id, n, r, query, any_value(q) AS q, any_value(has) AS has, bool_or(passed) AS good, max(CASE WHEN p = 0 AND passed THEN new END) AS a, max(CASE WHEN p = 1 AND passed THEN new END) AS b FROM pair GROUP BY doc_id, id, n, r, query),
-    done AS (SELECT *, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN false ELSE good END AS verify_passed, CASE WHEN has AND good THEN concat('Heat ', coalesce(a, n || ' mL'), ' now and ', coalesce(b, n || ' mL'), ' later. ', query) ELSE q END AS new FROM round)"""
+    done AS (SELECT *, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN false ELSE good END AS verify_passed, CASE WHEN has AND good THEN concat('Heat ', coalesce(a, n || ' dL'), ' now and ', coalesce(b, n || ' dL'), ' later. ', query) ELSE q END AS new FROM round)"""
 
 
 def state(verified: str) -> F.Column:
@@ -387,7 +387,7 @@ def state(verified: str) -> F.Column:
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.length("stem") % 900 + 1).alias("n")
     own = A.items(spark, sf_dir).select("*", n).withColumn("can_modify", F.col("n") % 11 != 0)
-    amount = F.concat(F.col("n"), F.lit(" mL"))
+    amount = F.concat(F.col("n"), F.lit(" dL"))  # a unit that no text has
     question = F.when(F.col("n") % 7 == 0, F.concat(F.lit("Nothing here. "), "query")).otherwise(F.concat(F.lit("Heat "), amount, F.lit(" now and "), amount, F.lit(" later. "), "query"))
     pair = lambda kind, placeholder: F.struct(F.lit(kind).alias("kind"), amount.alias("original"), F.lit(placeholder).alias("placeholder"))
     return own.withColumn("query", question).withColumn("pairs", F.array(pair("Unit", "{PH0}"), pair("unit", "")))
@@ -395,8 +395,8 @@ def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rewritten(left: DataFrame, r: int) -> DataFrame:
     n, k = F.col("n"), (F.col("n") + r) % 6
-    one = F.when(k == 0, F.concat(n * 1000, F.lit(" uL"))).when(k == 1, F.concat(n, F.lit(" mL"))).when(k == 2, F.concat(n, F.lit(" L"))).when(k == 3, F.concat(n, F.lit(" g"))).when(k == 4, F.concat(n, F.lit(" cm^3"))).otherwise("")
-    two = F.when((n + r) % 4 == 0, F.concat(n, F.lit(".5 mL"))).when((n + r) % 4 == 1, F.concat(n, F.lit("000 uL"))).otherwise("some")
+    one = F.when(k == 0, F.concat(n * 100, F.lit(" mL"))).when(k == 1, F.concat(n, F.lit(" dL"))).when(k == 2, F.concat(n, F.lit(" L"))).when(k == 3, F.concat(n, F.lit(" g"))).when(k == 4, F.concat(n, F.lit("00 cm^3"))).otherwise("")
+    two = F.when((n + r) % 4 == 0, F.concat(n, F.lit(".5 dL"))).when((n + r) % 4 == 1, F.concat(n, F.lit("00 mL"))).otherwise("some")
     return left.withColumn("transformed", F.array(one, two))
 
 
