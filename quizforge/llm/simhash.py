@@ -18,6 +18,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizforge.llm.common import shared_dir, stored, text_chunks
+from quizforge.llm.common import mixed, shared_dir, stored, text_chunks
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Positional bytes that a pair within MAX_BITS shares at least.
@@ -36,6 +37,12 @@ LEAST_SHARED = 8 - MAX_BITS
 QUADS = tuple(a + b for a, b in combinations(((0, 1), (2, 3), (4, 5), (6, 7)), 2))
 #: Fingerprints of one posting that are tallied pair by pair.
 CROWDED = 2048
+#: The looser pass: fingerprints of words, each counted WORD_WEIGHT times at most, within WORD_BITS bits, are
+#: candidates; sketches of WIDE * 64 bits over distinct shingles of WIDE_SHINGLE words within WIDE_BITS are near
+#: copies. At a Jaccard similarity of 0.8 sketches differ in 78 bits of 512 on average, in 99 at 0.7.
+WORD_WEIGHT, WORD_BITS, WIDE, WIDE_SHINGLE, WIDE_BITS = 8, 3, 8, 5, 82
+#: For any three positions there is one of these that has none of them.
+WORD_QUADS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
 #: Byte value -> eight byte lanes, one for each bit, so that up to 255 values add up without carry.
 _SPREAD = np.array([sum(1 << (8 * j) for j in range(8) if v >> j & 1) for v in range(256)], np.uint64)
 
@@ -55,12 +62,16 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
 def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint of each list: a bit is 1 if it is set in over half of the hashes."""
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(hashes), np.uint64)
+    return majorities(np.fromiter((h for own in hashes for h in own), np.uint64, int(sizes.sum())), sizes)
+
+
+def majorities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As ``fingerprints_of``, for hashes that follow each other, so many for each list."""
+    out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not full.size:
         return out
     sizes = sizes[full]
-    flat = np.fromiter((h for i in full for h in hashes[i]), np.uint64, int(sizes.sum()))
     blocks = -(-sizes // 255)
     first_block = np.cumsum(blocks) - blocks
     within = np.arange(blocks.sum()) - np.repeat(first_block, blocks)
@@ -122,48 +133,59 @@ def looked_up(fps: np.ndarray) -> np.ndarray:
         there[squeezed] = new
 
 
-def _linker(link: Callable[[np.ndarray], np.ndarray]):
-    """Over rows sorted by (combo, bytes): links within each posting; one may go on in the next batch."""
+def _linker(link: Callable[..., tuple[np.ndarray, np.ndarray]]):
+    """Over rows sorted by (combo, bytes): ``link`` of each posting's other columns; one may go on in the next batch."""
 
-    def links(combo: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def links(combo: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1])) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
         found: set[tuple[int, int]] = set()
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            own = np.unique(fp[a:b]).view(np.uint64)
-            to = link(own)
+            own, to = link(*(c[a:b] for c in columns))
             moved = to != own
-            found.update(zip(own[moved].view(np.int64).tolist(), to[moved].view(np.int64).tolist(), strict=True))
+            found.update(zip(own[moved].tolist(), to[moved].tolist(), strict=True))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        rest: list[np.ndarray] = []
         for batch in batches:
-            now = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns, strict=True)]
-            combo, key, _ = now
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if rest:
+                now = [np.concatenate(both) for both in zip(rest, now, strict=True)]
+            combo, key = now[:2]
             if not len(key):
                 continue
             last = len(key) - 1
             same = (combo == combo[last]) & (key == key[last])
             cut = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
-            rest = tuple(x[cut:] for x in now)
+            rest = [x[cut:] for x in now]
             if cut:
                 yield links(*(x[:cut] for x in now))
-        if len(rest[1]):
+        if rest:
             yield links(*rest)
 
     return run
 
 
-def postings(distinct: DataFrame, choices: Iterable[tuple[int, ...]]) -> DataFrame:
-    """(combo, bytes, fp): each fingerprint under the bytes at each choice of positions."""
+def _of_fingerprints(reach: Callable[[np.ndarray], np.ndarray]):
+    """A link function over a posting's fingerprints."""
+
+    def link(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.unique(fp).view(np.uint64)
+        return own.view(np.int64), reach(own).view(np.int64)
+
+    return link
+
+
+def postings(distinct: DataFrame, choices: Iterable[tuple[int, ...]], *more: str) -> DataFrame:
+    """(combo, bytes, fp, and columns ``more``): each fingerprint under the bytes at each choice of positions."""
     masks = []
     for chosen in choices:
         value = sum(0xFF << (8 * p) for p in chosen)
         masks.append(value - (1 << 64) if value >> 63 else value)
     keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])
-    return distinct.select("fp", F.explode(keys).alias("k")).select("k.combo", "k.bytes", "fp")
+    return distinct.select("fp", *more, F.explode(keys).alias("k")).select("k.combo", "k.bytes", "fp", *more)
 
 
 def index_links(distinct: DataFrame) -> DataFrame:
@@ -171,7 +193,7 @@ def index_links(distinct: DataFrame) -> DataFrame:
 
     def linked(posted: DataFrame, link: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         dealt = posted.repartition("combo", "bytes").sortWithinPartitions("combo", "bytes")
-        return dealt.mapInArrow(_linker(link), "a long, b long")
+        return dealt.mapInArrow(_linker(_of_fingerprints(link)), "a long, b long")
 
     posted = postings(distinct, QUADS)
     # Most postings have one fingerprint: they are counted, with sums before the shuffle, and only the others travel.
@@ -246,3 +268,94 @@ def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.alias("d").join(repeated.alias("o"), same, "left_semi").select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("r"), key.alias("k"))
     once = rows.groupBy(F.col(f"r.doc_id").alias("i"), "k").agg(F.first("r").alias("r")).select("r.*")
     return kept.unionByName(once)
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "node", "fp", *(f"s{i}" for i in range(WIDE))]
+    for batch in batches:
+        for i, j, data, offsets in text_chunks(batch.column(1)):
+            words, shingles = [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                text = data[a:b].tobytes()
+                counts = Counter(text.lower().split())
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+                words.append(np.repeat(hashes, np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), WORD_WEIGHT)))
+                shingles.append(np.unique(np.array(shingle_hashes(text, WIDE_SHINGLE), np.uint64)))
+            fp = majorities(np.concatenate(words), np.fromiter(map(len, words), np.int64, len(words)))
+            flat, sizes = np.concatenate(shingles), np.fromiter(map(len, shingles), np.int64, len(shingles))
+            wide = [majorities(mixed(flat + np.uint64(k)), sizes) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], *(pa.array(x.view(np.int64)) for x in (fp, *wide))], names)
+
+
+def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, node, fp, s0 to s7): a hash of the whole text, the fingerprint of its words, the sketch of its shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node")
+    return docs.select("doc_id", text, key).mapInArrow(_sketch_batches, f"doc_id {kind}, node long, fp long, " + ", ".join(f"s{i} long" for i in range(WIDE)))
+
+
+def near_in_posting(node: np.ndarray, fp: np.ndarray, *wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of a posting and the first one it reaches by links: close fingerprints, then close sketches.
+
+    All pairs are looked at, some rows at a time, so memory is bounded by the posting.
+    """
+    n = len(node)
+    fp, sketch = np.ascontiguousarray(fp).view(np.uint64), np.ascontiguousarray(np.stack(wide, axis=1)).view(np.uint64)
+    label = np.arange(n)
+    step = max(1, (1 << 19) // n)
+    for at in range(0, n, step):
+        a, b = np.nonzero(np.bitwise_count(fp[at : at + step, None] ^ fp[None, at:]) <= WORD_BITS)
+        a, b = a[b > a] + at, b[b > a] + at
+        other = label[a] != label[b]
+        a, b = a[other], b[other]
+        close = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= WIDE_BITS
+        a, b = a[close], b[close]
+        while len(a):
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            root = np.arange(n)
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+            label = root[label]
+            other = label[a] != label[b]
+            a, b = a[other], b[other]
+    return node, node[label]
+
+
+def sketch_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links between near copies among ``nodes`` (as ``sketches`` gives them), enough to join all that are linked."""
+    wide = [f"s{i}" for i in range(WIDE)]
+
+    def met(own: DataFrame, choices: Iterable[tuple[int, ...]]) -> DataFrame:
+        posted = postings(own, choices, "node")
+        sizes = posted.groupBy("combo", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        shared = stored(sizes.select("combo", "bytes", (F.col("n") > CROWDED).alias("crowded")), "postings")
+        return stored(posted.join(shared, ["combo", "bytes"]), "met")
+
+    def linked(meeting: DataFrame) -> DataFrame:
+        # Sketches join only where texts meet.
+        full = meeting.select("combo", "bytes", "node", "fp").join(nodes.select("node", *wide), "node").select("combo", "bytes", "node", "fp", *wide)
+        return full.repartition("combo", "bytes").sortWithinPartitions("combo", "bytes").mapInArrow(_linker(near_in_posting), "a long, b long")
+
+    first = met(nodes, WORD_QUADS)
+    crowd = first.where("crowded").select("node", "fp").distinct()
+    again = met(crowd, combinations(range(8), 8 - WORD_BITS))
+    return linked(first.where(~F.col("crowded"))).unionByName(linked(again)).where("a != b").distinct()
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``representatives``, and of those one row of each group of near copies in five-word shingles.
+
+    Near copies have a similarity of about 0.8 or more, estimated from sketches. Candidates are fingerprints of words
+    within 3 bits, which share 5 of 8 positional bytes at least; they meet under sets of four positions, and those of
+    a posting with over ``CROWDED`` texts meet anew under all sets of five, where all pairs are compared.
+    """
+    left = stored(representatives(docs, text), "tight")
+    nodes = stored(sketches(left, text), "sketches")
+    labels = components(sketch_links(nodes))
+    classes = stored(nodes.select("doc_id", "node").join(labels.withColumnRenamed("fp", "node"), "node"), "loose")
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("f"))
+    is_first = F.col("c.doc_id").eqNullSafe(F.col("f.f.doc_id")) & (F.col("c.node") == F.col("f.f.node"))
+    others = stored(classes.alias("c").join(first.alias("f"), F.col("c.root") == F.col("f.root")).where(~is_first).select("c.doc_id", "c.node"), "others")
+    key = F.xxhash64(F.coalesce(F.col(f"d.{text}"), F.lit("")))
+    return left.alias("d").join(others.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (key == F.col("o.node")), "left_anti")
