@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizforge.sources.tables import new_table_path
+
 
 def _pick(df: DataFrame, keys: list[str], order: Column, chooser) -> DataFrame:
     # max_by and min_by aggregate before the shuffle, so repeated keys collapse where they are read.
@@ -43,3 +45,21 @@ def assign_shards(df: DataFrame, index: str, shards: int, base_seed: int) -> Dat
     """Round-robin shards; the seed is base + shard * 100000 + place in the shard."""
     shard = F.pmod(F.col(index), F.lit(shards))
     return df.withColumn("shard", shard.cast("int")).withColumn("seed", (base_seed + shard * 100_000 + F.floor(F.col(index) / shards)).cast("long"))
+
+
+def dense_index(df: DataFrame, order: list[Column], name: str = "index", start: int = 0) -> DataFrame:
+    """Rows with consecutive numbers from ``start`` in the order of ``order``; ties are numbered as they are read.
+
+    A distributed sort is stored with each row's partition and its place there; a row's number is its place and
+    the rows of the partitions before its own. The only window is over one row a partition. ``df`` must be readable twice
+    with the same result (a scan or a stored table), as the sort samples it first.
+    """
+    place, part, tie = (f"{'_' * max(map(len, df.columns))}{n}" for n in ("place", "part", "tie"))  # no column has these names
+    # The tie keeps a hot value from going to one partition whole.
+    sorted_rows = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*order, tie).drop(tie).withColumn(place, F.monotonically_increasing_id())
+    path = new_table_path(df.sparkSession, "sorted")
+    sorted_rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(sorted_rows.schema).parquet(path).withColumn(part, F.shiftright(place, 33))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(part).agg(F.count("*").alias(name)).select(part, F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name))
+    return rows.join(F.broadcast(offsets), part).select(*[f"`{c}`" for c in df.columns], (F.col(name) + F.col(place).bitwiseAND((1 << 33) - 1) + start).alias(name))
