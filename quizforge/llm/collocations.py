@@ -4,10 +4,11 @@ Texts are cut into pieces at punctuation and line ends, and pieces into words. E
 gets a suffix array of its word ids (numpy prefix doubling); an interval in which neighbours share n words is one
 n-gram, its size the n-gram's count. Counts of all shards are merged by (lang, phrase), the phrase itself being the key.
 
-The texts are read once for words, once for pairs and once for longer phrases. A phrase can only be frequent if all
-shorter ones in it are, so a later reading leaves out what holds a rare word or pair; that is known from hashes of
-the frequent ones, which are sent to the tasks while there are at most ``MAX_KNOWN`` of them. Beyond that everything is
-counted: more is shuffled, with the same result.
+The texts are read three times: for words, for pairs and for phrases of two words or more. A phrase can only be frequent if
+all shorter ones in it are, so pairs leave out rare words, and phrases rare pairs. Pairs are first counted by a
+64-bit hash alone, as nearly all of them are rare: two pairs under one hash can only let more through, and what is let
+through is counted by its words. The hashes of what is frequent are sent to the tasks while there are at most
+``MAX_KNOWN`` of them. Beyond that less is left out: more is shuffled, with the same result.
 
 Scores are decimals without fraction, so products may pass 64 bits.
 
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizforge.llm.common import LOWER, runs, span_hashes, span_ids, stored, text_chunks
+from quizforge.llm.common import LOWER, mixed, runs, span_hashes, span_ids, stored, text_chunks
 from quizforge.llm.suffixes import blocks, ngram_runs, room_in_groups
 
 #: What ends a piece, and what ends a word.
@@ -35,7 +37,7 @@ _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD_END = _PIECE_END.copy()
 _WORD_END[[0x20, 0x09]] = True
 MAX_KNOWN = 4_000_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _SALTS = 64
 
 
@@ -55,23 +57,16 @@ class Words:
         self.data[inside] = lower[~_WORD_END[lower]]
         self.next = (self.doc[1:] == self.doc[:-1]) & (piece[1:] == piece[:-1])
 
-    def limit(self, known: np.ndarray, m: int) -> None:
-        """Keep together only words of which every run of ``m`` is known; ``known`` has their sorted hashes."""
-        if len(self.doc) < m:
-            return
-        hashes = span_hashes(self.data, self.starts[: len(self.starts) - m + 1], self.ends[m - 1 :])
+    def hashes(self, start: np.ndarray, end: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """64 bits for the words from place ``start`` to place ``end``, in the lang of that hash."""
+        return mixed(span_hashes(self.data, self.starts[start], self.ends[end]) + lang)
+
+    def limit(self, known: np.ndarray, m: int, lang: np.ndarray) -> None:
+        """Keep together only neighbours that are both known (m = 1), or a known pair (m = 2); ``known`` has sorted hashes."""
+        first = np.flatnonzero(self.next) if m == 2 else np.arange(len(self.doc))
         ok = np.zeros(len(self.doc), bool)
-        ok[: len(hashes)] = is_known(known, hashes)
-        for j in range(m - 1):
-            ok[: len(hashes)] &= self.next[j : j + len(hashes)]
-        if m == 1:
-            self.next &= ok[1:] & ok[:-1]
-            return
-        # Words i and i + 1 stay together if a known run of m covers both.
-        held = np.zeros(len(self.next), bool)
-        for j in range(m - 1):
-            held[j:] |= ok[: len(held) - j]
-        self.next &= held
+        ok[first] = is_known(known, self.hashes(first, first + m - 1, lang[first]))
+        self.next &= ok[:-1] if m == 2 else ok[1:] & ok[:-1]
 
     def phrases(self, at: np.ndarray, n: int) -> pa.Array:
         """The n words at each place as strings, without copies in Python."""
@@ -95,30 +90,54 @@ def _shards(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], Word
         yield codes[i:j].astype(np.int64), names, Words(data, offsets)
 
 
+def _lang_hashes(names: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(n.encode()) for n in names], np.uint64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], sizes: range, m: int, known: Broadcast | None) -> Iterator[tuple]:
+    """(words, lang code of each, lang names, n, first place of each n-gram, its count) shard by shard; a shard's words come first, with n = 0."""
+    for batch in batches:
+        for codes, names, words in _shards(batch):
+            if not len(words.doc):
+                continue
+            lang = codes[words.doc]
+            yield words, lang, names, 0, None, np.bincount(lang, minlength=len(names))
+            if known is not None:
+                words.limit(known.value, m, _lang_hashes(names)[lang])
+            room = room_in_groups(words.next)
+            # Words that stand alone can't be in a phrase: they are left out of the suffix array.
+            own = np.flatnonzero(room_in_groups(words.next[::-1])[::-1] + room - 1 >= sizes[0])
+            ids = span_ids(words.data, words.starts[own], words.ends[own])[0] * len(names) + lang[own]
+            room = room[own]
+            for a, b, reach in blocks(len(ids), sizes[-1] - 1):
+                for n, _, run, first in ngram_runs(ids[a:reach], room[a:reach], sizes, b - a):
+                    yield words, lang, names, n, own[first + a], np.bincount(run)
+
+
 def _counted(sizes: range, m: int, known: Broadcast | None):
-    """Counts of the n-grams of each shard; with n = 1 also the number of words of each lang, as n = 0."""
+    """Counts of the n-grams of each shard by their words; with n = 1 also the number of words of each lang, as n = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, names, words in _shards(batch):
-                if not len(words.doc):
-                    continue
-                lang = codes[words.doc]
-                if sizes[0] == 1:
-                    total = np.bincount(lang, minlength=len(names))
-                    yield _rows(pa.array(names, pa.string()), 0, pa.array([""] * len(names)), total)
-                if known is not None:
-                    words.limit(known.value, m)
-                ids = span_ids(words.data, words.starts, words.ends)[0] * len(names) + lang
-                room = room_in_groups(words.next)
-                for a, b, reach in blocks(len(ids), sizes[-1] - 1):
-                    if sizes[0] > 1 and not (room[a:b] >= sizes[0]).any():
-                        continue
-                    for n, _, run_of, first in ngram_runs(ids[a:reach], room[a:reach], sizes, b - a):
-                        count = np.bincount(run_of)
-                        for k in range(0, len(first), 1 << 17):
-                            at = first[k : k + (1 << 17)] + a
-                            yield _rows(pa.array(names, pa.string()).take(pa.array(lang[at])), n, words.phrases(at, n), count[k : k + (1 << 17)])
+        for words, lang, names, n, at, count in _runs(batches, sizes, m, known):
+            every = pa.array(names, pa.string())
+            if n:
+                for k in range(0, len(at), 1 << 17):
+                    part = at[k : k + (1 << 17)]
+                    yield _rows(every.take(pa.array(lang[part])), n, words.phrases(part, n), count[k : k + (1 << 17)])
+            elif sizes[0] == 1:
+                yield _rows(every, 0, pa.array([""] * len(names)), count)
+
+    return run
+
+
+def _counted_by_hash(known: Broadcast | None):
+    """Counts of the pairs of each shard by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, lang, names, n, at, count in _runs(batches, range(2, 3), 1, known):
+            if n:
+                hashes = words.hashes(at, at + 1, _lang_hashes(names)[lang[at]])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count.astype(np.int64))], ["h", "f"])
 
     return run
 
@@ -129,32 +148,38 @@ def _rows(lang: pa.Array, n: int, phrase: pa.Array, count: np.ndarray) -> pa.Rec
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64))], ["h"])
+        langs = batch.column(0).dictionary_encode()
+        lang = _lang_hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy(zero_copy_only=False)]
+        for i, j, data, offsets in text_chunks(batch.column(1)):
+            hashes = mixed(span_hashes(data, offsets[:-1], offsets[1:]) + lang[i:j])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
 
 
-def _known(frequent: DataFrame, m: int) -> Broadcast | None:
-    """Sorted hashes of the frequent phrases of m words, if there are few enough to send them."""
-    phrases = frequent.where(F.col("n") == m).select("phrase").distinct()
-    if phrases.count() > MAX_KNOWN:
+def _sent(hashes: DataFrame) -> Broadcast | None:
+    """The hashes sorted, if there are few enough to send them."""
+    if hashes.count() > MAX_KNOWN:
         return None
-    found = phrases.mapInArrow(_hashes, "h long").toArrow().column("h")
-    return frequent.sparkSession.sparkContext.broadcast(np.sort(found.to_numpy().view(np.uint64)))
+    found = hashes.toArrow().column("h")
+    return hashes.sparkSession.sparkContext.broadcast(np.sort(found.to_numpy().view(np.uint64)))
 
 
 def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100) -> DataFrame:
     """(lang, n, phrase, f): every phrase of 1 to ``max_words`` words with f >= ``min_count``, and with n = 0 each lang's number of words."""
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    out, known = None, None
-    for m, sizes in ((0, range(1, 2)), (1, range(2, 3)), (2, range(3, max_words + 1))):
-        if not len(sizes) or sizes[0] > max_words:
-            break
-        known = _known(out, m) if m else None
+
+    def merged(sizes: range, m: int, known: Broadcast | None) -> DataFrame:
         rows = own.mapInArrow(_counted(sizes, m, known), "lang string, n int, phrase string, f long")
-        merged = rows.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-        part = stored(merged.where((F.col("n") == 0) | (F.col("f") >= min_count)), f"phrases{sizes[0]}")
-        out = part if out is None else out.unionByName(part)
-    return out
+        counts = rows.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+        return stored(counts.where((F.col("n") == 0) | (F.col("f") >= min_count)), f"phrases{sizes[0]}")
+
+    words = merged(range(1, 2), 0, None)
+    if max_words == 1:
+        return words
+    known_words = _sent(words.where("n = 1").select("lang", "phrase").mapInArrow(_hashes, "h long"))
+    pairs = own.mapInArrow(_counted_by_hash(known_words), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    known_pairs = _sent(stored(pairs.where(F.col("f") >= min_count).select("h"), "pair_hashes"))
+    m, known = (2, known_pairs) if known_pairs is not None else (1, known_words)
+    return words.unionByName(merged(range(2, max_words + 1), m, known))
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_words: int = 5, min_count: int = 100, top: int = 2000, cover: int = 100) -> DataFrame:
