@@ -37,7 +37,7 @@ _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD_END = _PIECE_END.copy()
 _WORD_END[[0x20, 0x09]] = True
 MAX_KNOWN = 4_000_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _SALTS = 64
 
 

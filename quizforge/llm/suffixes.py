@@ -14,16 +14,19 @@ BLOCK_WORDS = 1 << 20
 
 
 def suffix_array(ids: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of their first ``depth`` words (fewer where there is less room), by prefix doubling."""
-    rank, length = np.unique(ids, return_inverse=True)[1], 1
-    while length < depth:
+    """Places in the order of their first ``depth`` words (fewer where there is less room), by prefix doubling; ties in any order."""
+    key, length = ids, 1
+    while True:
+        order = np.argsort(key)
+        if length >= depth:
+            return order
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(key[order[1:]] != key[order[:-1]])))
         step = min(length, depth - length)
-        ahead = np.zeros(len(ids), np.int64)
+        key = rank * (len(ids) + 1)
         far = np.flatnonzero(room > step)
-        ahead[far] = rank[far + step] + 1
-        rank = np.unique(rank * (len(ids) + 1) + ahead, return_inverse=True)[1]
+        key[far] += rank[far + step] + 1
         length += step
-    return np.argsort(rank, kind="stable")
 
 
 def common_words(ids: np.ndarray, room: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
