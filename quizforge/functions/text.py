@@ -28,6 +28,7 @@ LITERALS = (
     r"\b[a-zA-Z][a-zA-Z\-]*\s+(?:acid|base)\b",
 )
 PHRASES = ("titration curve", "equivalence point", "pH")
+SCORE_LINE = r"(?idmU)(?:^|\n)\s*score\s*[:\uff1a-]\s*([0-9]{1,3})\s*(?:/\s*100|out\s+of\s+100)?\s*$"
 FAILURES = ("[ERROR]", "Error:", "Exception:")
 
 
@@ -177,8 +178,8 @@ def extract_json(raw: Column) -> Column:
 
 
 def json_text(value: Column, *names: str) -> Column:
-    """The first of the named fields that is there, as text."""
-    return F.coalesce(*[F.try_variant_get(value, f"$.{n}", "string") for n in names])
+    """The first of the named fields that is there and not empty, as text."""
+    return F.coalesce(*[F.nullif(F.try_variant_get(value, f"$.{n}", "string"), F.lit("")) for n in names])
 
 
 def strip_fence(raw: Column) -> Column:
@@ -187,8 +188,9 @@ def strip_fence(raw: Column) -> Column:
 
 
 def parse_score(raw: Column) -> Column:
-    found = F.regexp_extract(raw, r"(?im)^\s*score\s*[:=-]\s*(\d{1,9})", 1)
-    return F.when(found != "", F.least(F.lit(100), found.try_cast("int")))  # \d matches no sign, so 0 is the least
+    """The first line that is a score and nothing else, such as ``Score: 95/100``; 100 at most, null if there is none."""
+    found = F.regexp_extract(raw, SCORE_LINE, 1)
+    return F.when(found != "", F.least(F.lit(100), found.try_cast("int")))  # no sign is matched, so 0 is the least
 
 
 def verdict_passes(raw: Column) -> Column:
@@ -225,33 +227,69 @@ def result_ok(status: Column, output: Column) -> Column:
 def chem_key(text: Column) -> Column:
     """Formula text without count in front, dollars, subscripts' marks, phase and spaces."""
     s = F.regexp_replace(F.regexp_replace(F.trim(text), r"^\d+\s*", ""), r"[\s$]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"([A-Z][a-z]?)_\{(\d+)\}", "$1$2"), r"([A-Z][a-z]?)_(\d)", "$1$2")
+    s = F.regexp_replace(F.regexp_replace(s, r"([A-Z][a-z]?|[)\]])_\{(\d+)\}", "$1$2"), r"([A-Z][a-z]?|[)\]])_(\d)", "$1$2")
     return F.regexp_replace(s, r"(?i)\((?:aq|s|l|g|cr|amorph)\)$", "")
 
 
+_ATOM_OR_MARK = r"[A-Z][a-z]?|[0-9]+|[()\[\]]"
+_FORMULA = r"^(?:[A-Z][a-z]?[0-9]{0,9}|[(\[]|[)\]][0-9]{0,9})+\z"
+
+
+def _atoms(part: Column) -> Column:
+    """array<struct<e,n>> of a formula with groups, its count in front taken out; null if it is none or brackets don't match.
+
+    Read from its end, a number comes before what it counts: a closing bracket puts the group's factor onto a stack, and
+    the opening one takes it off.
+    """
+    count = F.coalesce(F.regexp_extract(part, r"^([0-9]{1,9})", 1).try_cast("long"), F.lit(1).cast("long"))
+    body = F.regexp_replace(part, r"^[0-9]+", "")
+    start = F.struct(F.lit(None).cast("long").alias("n"), F.array(count).alias("stack"), F.array().cast("array<struct<e:string,n:bigint>>").alias("atoms"), F.lit(True).alias("good"))
+
+    def step(s: Column, t: Column) -> Column:
+        top = F.coalesce(F.get(s["stack"], F.size(s["stack"]) - 1), F.lit(0).cast("long"))
+        times = top * F.coalesce(s["n"], F.lit(1).cast("long"))
+        is_number, closes, opens = t.rlike("^[0-9]"), t.isin(")", "]"), t.isin("(", "[")
+        stack = F.when(closes, F.array_append(s["stack"], times)).when(opens, F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
+        atoms = F.when(is_number | closes | opens, s["atoms"]).otherwise(F.array_append(s["atoms"], F.struct(t.alias("e"), times.alias("n"))))
+        return F.struct(F.when(is_number, t.try_cast("long")).alias("n"), stack.alias("stack"), atoms.alias("atoms"), (s["good"] & (~opens | (F.size(s["stack"]) > 1))).alias("good"))
+
+    done = F.aggregate(F.reverse(F.regexp_extract_all(body, F.lit(_ATOM_OR_MARK), 0)), start, step)
+    return F.when(body.rlike(_FORMULA), let(done, lambda d: F.when(d["good"] & (F.size(d["stack"]) == 1), d["atoms"])))
+
+
 def element_counts(formula: Column) -> Column:
-    """Sorted ``El:n`` texts of a formula in element notation; null if it is none."""
-    parts = F.regexp_extract_all(formula, F.lit(r"([A-Z][a-z]?\d*)"), 1)
-    pairs = F.transform(
-        parts,
-        lambda p: F.struct(F.regexp_extract(p, r"^([A-Z][a-z]?)", 1).alias("e"), F.coalesce(F.regexp_extract(p, r"(\d+)$", 1).try_cast("long"), F.lit(1)).alias("n")),
-    )
-    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["e"])))
-    counted = F.transform(names, lambda e: F.concat_ws(":", e, F.aggregate(F.filter(pairs, lambda p: p["e"] == e), F.lit(0).cast("long"), lambda a, p: a + p["n"]).cast("string")))
-    return F.when(formula.rlike(r"^(?:[A-Z][a-z]?\d*)+$"), counted)
+    """Sorted ``El:n`` texts of a formula such as ``Ca(OH)2`` or ``CuSO4·5H2O``; null if it is none."""
+
+    def counted(parts: Column) -> Column:
+        names = lambda atoms: F.array_sort(F.array_distinct(F.transform(atoms, lambda a: a["e"])))
+        total = lambda atoms, e: F.aggregate(F.filter(atoms, lambda a: a["e"] == e), F.lit(0).cast("long"), lambda n, a: n + a["n"])
+        said = lambda atoms: F.transform(names(atoms), lambda e: F.concat_ws(":", e, total(atoms, e).cast("string")))
+        return F.when(~F.exists(parts, lambda p: p.isNull()), let(F.flatten(parts), said))
 
+    return let(F.transform(F.split(formula, "[·•⋅*.]"), _atoms), counted)
 
-#: Symbol, factor to kg, m, s, mol, K and A, and the powers of these.
+
+#: Symbol, factor to kg, m, s, mol, K, A and cd, and the powers of these.
 BASE_UNITS = {
-    "g": (1e-3, "kg"), "m": (1.0, "m"), "s": (1.0, "s"), "mol": (1.0, "mol"), "K": (1.0, "K"), "A": (1.0, "A"),
-    "L": (1e-3, "m m m"), "N": (1.0, "kg m /s /s"), "J": (1.0, "kg m m /s /s"), "W": (1.0, "kg m m /s /s /s"), "Pa": (1.0, "kg /m /s /s"),
+    "g": (1e-3, "kg"), "m": (1.0, "m"), "s": (1.0, "s"), "mol": (1.0, "mol"), "K": (1.0, "K"), "A": (1.0, "A"), "cd": (1.0, "cd"), "lm": (1.0, "cd"), "lx": (1.0, "cd /m /m"),
+    "L": (1e-3, "m m m"), "l": (1e-3, "m m m"), "N": (1.0, "kg m /s /s"), "J": (1.0, "kg m m /s /s"), "W": (1.0, "kg m m /s /s /s"), "Pa": (1.0, "kg /m /s /s"),
     "V": (1.0, "kg m m /s /s /s /A"), "C": (1.0, "s A"), "Hz": (1.0, "/s"), "M": (1000.0, "mol /m /m /m"), "eV": (1.602176634e-19, "kg m m /s /s"),
+    "ohm": (1.0, "kg m m /s /s /s /A /A"), "\u03a9": (1.0, "kg m m /s /s /s /A /A"), "\u2126": (1.0, "kg m m /s /s /s /A /A"), "S": (1.0, "s s s A A /kg /m /m"), "F": (1.0, "s s s s A A /kg /m /m"),
+    "T": (1.0, "kg /s /s /A"), "Wb": (1.0, "kg m m /s /s /A"), "H": (1.0, "kg m m /s /s /A /A"), "Bq": (1.0, "/s"), "Gy": (1.0, "m m /s /s"), "Sv": (1.0, "m m /s /s"), "bar": (1e5, "kg /m /s /s"), "cal": (4.184, "kg m m /s /s"), "Wh": (3600.0, "kg m m /s /s"), "t": (1000.0, "kg"), "rad": (1.0, ""),
+}
+OTHER_UNITS = {
+    "min": (60.0, "s"), "h": (3600.0, "s"), "hr": (3600.0, "s"), "d": (86400.0, "s"), "week": (604800.0, "s"), "atm": (101325.0, "kg /m /s /s"), "mmHg": (133.322387415, "kg /m /s /s"), "torr": (101325.0 / 760, "kg /m /s /s"), "Torr": (101325.0 / 760, "kg /m /s /s"), "psi": (6894.757293168361, "kg /m /s /s"),
+    "inch": (0.0254, "m"), "in": (0.0254, "m"), "ft": (0.3048, "m"), "foot": (0.3048, "m"), "feet": (0.3048, "m"), "yd": (0.9144, "m"), "yard": (0.9144, "m"), "mi": (1609.344, "m"), "mile": (1609.344, "m"), "angstrom": (1e-10, "m"), "\u00c5": (1e-10, "m"), "ha": (1e4, "m m"),
+    "lb": (0.45359237, "kg"), "oz": (0.028349523125, "kg"), "Da": (1.66053906660e-27, "kg"), "gal": (3.785411784e-3, "m m m"), "dyn": (1e-5, "kg m /s /s"), "erg": (1e-7, "kg m m /s /s"), "hp": (745.6998715822702, "kg m m /s /s /s"), "mph": (0.44704, "m /s"), "rpm": (0.10471975511965977, "/s"),
+    "%": (0.01, ""), "ppm": (1e-6, ""), "deg": (0.017453292519943295, ""),
 }
-OTHER_UNITS = {"min": (60.0, "s"), "h": (3600.0, "s"), "d": (86400.0, "s"), "atm": (101325.0, "kg /m /s /s"), "bar": (1e5, "kg /m /s /s"), "cal": (4.184, "kg m m /s /s"), "kcal": (4184.0, "kg m m /s /s")}
-NAMES = {"meter": "m", "metre": "m", "liter": "L", "litre": "L", "gram": "g", "second": "s", "mole": "mol", "minute": "min", "hour": "h", "day": "d", "newton": "N", "joule": "J", "watt": "W", "pascal": "Pa", "volt": "V", "kelvin": "K"}
-PREFIXES = {"": 1.0, "G": 1e9, "M": 1e6, "k": 1e3, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "\u00b5": 1e-6, "n": 1e-9, "p": 1e-12}
-LONG_PREFIXES = {"": 1.0, "giga": 1e9, "mega": 1e6, "kilo": 1e3, "deci": 1e-1, "centi": 1e-2, "milli": 1e-3, "micro": 1e-6, "nano": 1e-9}
-DIMENSIONS = ("kg", "m", "s", "mol", "K", "A")
+NAMES = {
+    "meter": "m", "metre": "m", "liter": "L", "litre": "L", "gram": "g", "second": "s", "mole": "mol", "minute": "min", "hour": "h", "day": "d", "newton": "N", "joule": "J", "watt": "W", "pascal": "Pa", "volt": "V", "kelvin": "K",
+    "ampere": "A", "coulomb": "C", "hertz": "Hz", "ohm": "ohm", "tesla": "T", "farad": "F", "henry": "H", "weber": "Wb", "siemens": "S", "tonne": "t", "calorie": "cal", "electronvolt": "eV", "radian": "rad", "degree": "deg", "pound": "lb", "ounce": "oz", "gallon": "gal", "percent": "%",
+}
+PREFIXES = {"": 1.0, "T": 1e12, "G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "da": 1e1, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "\u00b5": 1e-6, "\u03bc": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15}
+LONG_PREFIXES = {"": 1.0, "tera": 1e12, "giga": 1e9, "mega": 1e6, "kilo": 1e3, "hecto": 1e2, "deca": 1e1, "deci": 1e-1, "centi": 1e-2, "milli": 1e-3, "micro": 1e-6, "nano": 1e-9, "pico": 1e-12, "femto": 1e-15}
+DIMENSIONS = ("kg", "m", "s", "mol", "K", "A", "cd")
 
 
 def unit_table() -> dict[str, tuple[float, tuple[int, ...]]]:
@@ -263,27 +301,48 @@ def unit_table() -> dict[str, tuple[float, tuple[int, ...]]]:
 
 
 _NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
-_FACTOR = r"(/|\*(?!\*)|\u00b7|)\s*([A-Za-z\u00b5]+)(?:\s*(?:\^|\*\*)\s*([-+]?[0-9]{1,2}))?\s*"
+_POWER = r"(?:\s*(?:\^|\*\*)\s*\(?([-+]?[0-9]{1,2})\)?)?"
+#: A unit or an opening bracket with the sign before it, or a closing bracket, each with the power after it.
+_TOKEN = rf"(/|\*(?!\*)|\u00b7|\u22c5|)\s*([A-Za-z%\u00b5\u03bc\u03a9\u2126\u00c5]+|\((?![-+]?[0-9])|\)){_POWER}\s*"
 
 
 def quantity(text: Column) -> Column:
-    """struct<value, factor, powers> of a number with units such as ``36 km/h`` or ``1,000 mL``; null if it is none."""
+    """struct<value, factor, powers> of a number with units such as ``36 km/h``, ``1,000 mL`` or ``8.314 J/(mol*K)``; null if it is none."""
     # One constant: a map of a few hundred entries as an expression would be planned entry by entry.
     known = F.from_json(F.lit(json.dumps({u: {"f": f, "d": d} for u, (f, d) in unit_table().items()})), "map<string,struct<f:double,d:array<int>>>")
+    nothing = F.array(*[F.lit(0)] * len(DIMENSIONS))
+    frame = lambda sign, factor, powers: F.struct(sign.alias("sign"), factor.alias("factor"), powers.alias("powers"))
 
     def measured(plain: Column) -> Column:
         value = F.regexp_extract(plain, rf"^({_NUMBER})", 1)
         units = strip(F.regexp_replace(plain, rf"^{_NUMBER}", ""))
-        at = [F.regexp_extract_all(units, F.lit(_FACTOR), i) for i in (1, 2, 3)]
-        power = lambda z: F.coalesce(z["2"].try_cast("int"), F.lit(1)) * F.when(z["0"] == "/", -1).otherwise(1)
-        parts = F.transform(F.arrays_zip(at[0].alias("0"), at[1].alias("1"), at[2].alias("2")), lambda z: F.struct(known[z["1"]].alias("unit"), power(z).alias("power")))
-        return F.struct(value.alias("value"), parts.alias("parts"), ((value != "") & units.rlike(rf"^(?:{_FACTOR})*\z")).alias("whole"))
+        at = [F.regexp_extract_all(units, F.lit(_TOKEN), i) for i in (1, 2, 3)]
+        # Without a bracket in between, a second sign has nothing to stand before.
+        shape = (value != "") & units.rlike(rf"^(?:{_TOKEN})*\z") & ~units.rlike(r"^[*\u00b7\u22c5]|\(\s*[*/]|[*/]\s*\)|\(\s*\)")
+        sign = lambda z: F.when(z["0"] == "/", -1).otherwise(1)
+        part = lambda z: F.struct(z["1"].alias("name"), known[z["1"]].alias("unit"), sign(z).alias("sign"), F.coalesce(z["2"].try_cast("int"), F.lit(1)).alias("power"))
+        parts = F.transform(F.arrays_zip(at[0].alias("0"), at[1].alias("1"), at[2].alias("2")), part)
+        return F.struct(value.alias("value"), parts.alias("parts"), shape.alias("whole"))
+
+    def step(s: Column, t: Column) -> Column:
+        """The stack has a frame for each open bracket: its sign, and what it holds so far."""
+        n = F.size(s["stack"])
+        last = F.get(s["stack"], n - 1)
+        outer = F.get(s["stack"], n - 2)
+        rest = lambda k: F.slice(s["stack"], 1, F.greatest(n - k, F.lit(0)))
+        grown = lambda onto, factor, powers, power: frame(onto["sign"], onto["factor"] * F.pow(factor, power), F.zip_with(onto["powers"], powers, lambda i, j: i + j * power))
+        opened = F.array_append(s["stack"], frame(t["sign"], F.lit(1.0), nothing))
+        closed = F.array_append(rest(2), grown(outer, last["factor"], last["powers"], last["sign"] * t["power"]))
+        plain = F.array_append(rest(1), grown(last, t["unit"]["f"], t["unit"]["d"], t["sign"] * t["power"]))
+        opens, closes = t["name"] == "(", t["name"] == ")"
+        good = F.when(opens, F.lit(True)).when(closes, n > 1).otherwise(t["unit"].isNotNull())
+        return F.struct(F.when(~good, s["stack"]).when(opens, opened).when(closes, closed).otherwise(plain).alias("stack"), (s["good"] & good).alias("good"))
 
     def grown(q: Column) -> Column:
-        factor = F.aggregate(q["parts"], F.lit(1.0), lambda x, p: x * F.pow(p["unit"]["f"], p["power"]))
-        powers = F.aggregate(q["parts"], F.array(*[F.lit(0)] * len(DIMENSIONS)), lambda x, p: F.zip_with(x, p["unit"]["d"], lambda i, j: i + j * p["power"]))
-        whole = q["whole"] & F.forall(q["parts"], lambda p: p["unit"].isNotNull())
-        return F.when(whole, F.struct(q["value"].try_cast("double").alias("value"), factor.alias("factor"), powers.alias("powers")))
+        start = F.struct(F.array(frame(F.lit(1), F.lit(1.0), nothing)).alias("stack"), F.lit(True).alias("good"))
+        done = F.aggregate(q["parts"], start, step)
+        found = lambda d: F.when(d["good"] & (F.size(d["stack"]) == 1), F.struct(q["value"].try_cast("double").alias("value"), F.get(d["stack"], 0)["factor"].alias("factor"), F.get(d["stack"], 0)["powers"].alias("powers")))
+        return F.when(q["whole"], let(done, found))
 
     return let(let(strip(F.replace(text, F.lit(","), F.lit(""))), measured), grown)
 
@@ -298,9 +357,16 @@ def unit_equal(a: Column, b: Column) -> Column:
     return F.coalesce(let(F.struct(quantity(a).alias("x"), quantity(b).alias("y")), close), F.lit(False))
 
 
+def math_key(text: Column) -> Column:
+    """A formula without outer dollars, spaces and degree signs, powers written as ``**``; case counts (m is not M)."""
+    s = F.regexp_replace(F.regexp_replace(strip(text), r"(?s)^\$(.*)\$\z", "$1"), r"(?U)\s", "")
+    for old, new in ((r"\\rightarrow|\u2192", "-"), (r"\\degree|\^\\circ", ""), (r"\^\{([^}]+)\}", r"**($1)"), (r"\^([0-9])", "**$1"), (r"\^", "**"), (r"\*\*\(([0-9]+|[A-Za-z])\)", "**$1")):
+        s = F.regexp_replace(s, old, new)
+    return s
+
+
 def pair_equal(kind: Column, a: Column, b: Column) -> Column:
     """Equality of an original and its rewriting by kind; equal text always passes, unknown kinds never."""
     formula = F.coalesce(F.to_json(element_counts(chem_key(a))) == F.to_json(element_counts(chem_key(b))), F.lit(False))
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[\s$]", "")
-    by_kind = F.when(kind == "unit", unit_equal(a, b)).when(kind == "chem", formula).when(kind == "math", plain(a) == plain(b)).otherwise(False)
+    by_kind = F.when(kind == "unit", unit_equal(a, b)).when(kind == "chem", formula).when(kind == "math", math_key(a) == math_key(b)).otherwise(False)
     return (F.trim(a) == F.trim(b)) | by_kind

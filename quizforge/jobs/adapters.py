@@ -37,6 +37,13 @@ SELECT concat('org/model-', CAST(conv_id % 3 AS STRING)) AS model, concat('d', C
 FROM {conversations} WHERE role = 'assistant'
 """
 
+#: Outputs and the later attempts of some: an error or another output, under the same id.
+HISTORY = """
+SELECT model, dataset, action, run_tag, id, source_file, status, output, 0 AS attempt FROM ({outputs})
+UNION ALL
+SELECT model, dataset, action, run_tag, id, source_file, CASE WHEN length(output) % 3 = 0 THEN 'error' ELSE 'ok' END AS status, concat('again ', output) AS output, 1 AS attempt FROM ({outputs}) WHERE length(output) % 4 = 1
+"""
+
 ASKED = """
 SELECT concat('org/model-', CAST(conv_id % 3 AS STRING)) AS model, concat('d', CAST(conv_id % 5 AS STRING)) AS dataset, 'T1' AS action, 'r1' AS run_tag,
        concat(CAST(conv_id AS STRING), '-', CAST(turn + 1 AS STRING)) AS id, concat('f', CAST(conv_id % 5 AS STRING), '.json') AS source_file,
@@ -75,18 +82,18 @@ FROM (SELECT doc_id, dataset, field, id, target, trim(regexp_replace(stem, '[^ -
 
 def _filled(sql: str, tables: dict[str, str], every: str) -> str:
     """The text with its tables; ``every`` is what makes regexp_replace replace all."""
-    return sql.replace("{items}", ITEMS).replace("{all}", every).format(**tables)
+    return sql.replace("{items}", ITEMS).replace("{outputs}", OUTPUTS).replace("{all}", every).format(**tables)
 
 
 def oracle_ctes(*names: str) -> str:
     """``WITH`` and the named tables for DuckDB."""
-    every = {"items": ITEMS, "image_labels": LABELS, "outputs": OUTPUTS, "asked": ASKED, "plain": PLAIN, "forms": FORMS}
+    every = {"items": ITEMS, "image_labels": LABELS, "outputs": OUTPUTS, "history": HISTORY, "asked": ASKED, "plain": PLAIN, "forms": FORMS}
     tables = {t: t for t in ("documents", "labels", "conversations")}
     return "WITH " + ", ".join(f"{n} AS ({_filled(every[n], tables, ", 'g'")})" for n in names)
 
 
 def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql.replace("{items}", ITEMS).replace("{all}", ""), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(sql.replace("{items}", ITEMS).replace("{outputs}", OUTPUTS).replace("{all}", ""), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +108,10 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, OUTPUTS, "conversations")
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, HISTORY, "conversations")
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, ASKED, "conversations")
 
@@ -124,13 +135,14 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t1_responses(items: DataFrame) -> DataFrame:
-    """Model answers around ``said``: in prose, under the other name, a refusal, no JSON, with a checklist, and empty."""
+    """Model answers around ``said``: in prose, under the other name, a refusal with a checklist, no JSON, with a checklist, and empty."""
     k = F.col("doc_id") % 6
     flag = lambda value: F.lit(value).alias("can_modify")
-    good = F.concat(F.lit("Sure: "), F.to_json(F.struct(flag(True), F.col("said").alias("paraphrased_query"))), F.lit(" Done."))
+    good = F.concat(F.lit("Sure: "), F.to_json(F.struct(flag(True), F.lit("a decoy").alias("modified_query"), F.col("said").alias("modified_query_text"))), F.lit(" Done."))
     other = F.to_json(F.struct(flag(True), F.col("said").alias("modified_query")))
-    listed = F.to_json(F.struct(flag(True), F.col("said").alias("paraphrased_query"), F.array(F.lit("naoh"), F.lit("no such thing"), F.lit("12  KG")).alias("return_checklist")))
-    refusal = F.to_json(F.struct(flag(False), F.lit("anything").alias("paraphrased_query")))
-    empty = F.to_json(F.struct(flag(True), F.lit("  ").alias("paraphrased_query")))
+    checklist = F.array(F.lit("naoh"), F.lit("no such thing"), F.lit("12  KG")).alias("return_checklist")
+    listed = F.to_json(F.struct(flag(True), F.col("said").alias("modified_query_text"), checklist))
+    refusal = F.to_json(F.struct(flag(False), F.lit("anything").alias("modified_query_text"), checklist))
+    empty = F.to_json(F.struct(flag(True), F.lit("  ").alias("modified_query_text")))
     response = F.when(k == 0, good).when(k == 1, other).when(k == 2, refusal).when(k == 3, "{no answer").when(k == 4, listed).otherwise(empty)
     return items.withColumn("response", response)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,8 @@ from quizforge.jobs import adapters as A
 from quizforge.jobs.queries import ORACLES, QUERIES, RUN_KEYS, query, state
 from quizforge.operators import classify, compose, dedup, inference, summary, variants_image, variants_text
 from quizforge.sources import tables
+from quizforge.sources.eval_tsv import write_eval_tsv
+from quizforge.sources.files import filesystem
 
 __all__ = ["ORACLES", "QUERIES"]
 #: Rows of one JSON file: an array can't be split, so files stay small.
@@ -24,7 +25,7 @@ def write_files(rows: DataFrame, folder: str, name: str, body: str) -> None:
     """A file for each row, named and filled by two columns; tasks write what they hold."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        own, base = filesystem(folder)
         for part in parts:
             for at, text in zip(part[name], part[body], strict=True):
                 own.create_dir(f"{base}/{at}".rsplit("/", 1)[0], recursive=True)
@@ -49,20 +50,33 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query(
+_QA_FILES = (
     A.oracle_ctes("items")
-    + """ SELECT dataset, concat('s', CAST(doc_id // 200 AS VARCHAR)) AS subject, CASE WHEN doc_id % 5 = 2 THEN concat('n-', id) ELSE id END AS id, md5(query) AS query_md5, CASE WHEN doc_id % 5 = 1 THEN CAST(doc_id AS VARCHAR) ELSE target END AS target, field
+    + """ SELECT concat('My ', dataset, '+') AS dataset, concat('s', CAST(doc_id // 200 AS VARCHAR)) AS subject, CASE WHEN doc_id % 5 = 2 THEN concat('n-', id) ELSE id END AS id, md5(query) AS query_md5, CASE WHEN doc_id % 5 = 1 THEN CAST(doc_id AS VARCHAR) ELSE target END AS target, field
     FROM items WHERE doc_id % 5 NOT IN (3, 4)"""
 )
+
+
+@query(_QA_FILES)
 def qa_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question files with ids that are numbers, texts, fractions and null."""
+    """Question files with ids that are numbers, texts, fractions and null; folders have spaces and signs."""
+    return _qa_read(spark, sf_dir, None)
+
+
+@query(_QA_FILES)
+def qa_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, each read by many tasks at once."""
+    return _qa_read(spark, sf_dir, 100_000)
+
+
+def _qa_read(spark: SparkSession, sf_dir: str, range_bytes: int | None) -> DataFrame:
     own, k = A.items(spark, sf_dir), F.col("doc_id") % 5
     ident = F.when(k == 2, F.to_json(F.array(F.concat(F.lit("n-"), "id")))).when(k == 3, "[1.5]").when(k == 4, "[null]").when(k == 0, F.to_json(F.array("id"))).otherwise(F.to_json(F.array("doc_id")))
     target = F.when(k == 1, F.to_json(F.array("doc_id"))).otherwise(F.to_json(F.array("target")))
     first = lambda c: F.try_variant_get(F.parse_json(c), "$[0]", "variant")
     value = F.struct(first(ident).alias("id"), "query", first(target).alias("target"), "image_path", "field")
-    path = _arrays(own.withColumn("at", F.concat("dataset", F.lit("/s"))), "at", value, "_qa.json")
-    return tables.read_qa(spark, path).select("dataset", "subject", "id", F.md5("query").alias("query_md5"), "target", "field")
+    path = _arrays(own.withColumn("at", F.concat(F.lit("My "), "dataset", F.lit("+/s"))), "at", value, "_qa.json")
+    return tables.read_qa(spark, path, range_bytes).select("dataset", "subject", "id", F.md5("query").alias("query_md5"), "target", "field")
 
 
 @query(A.oracle_ctes("items", "image_labels") + " SELECT image_key, label FROM image_labels")
@@ -98,12 +112,25 @@ def round_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("dataset", "id", F.md5("text").alias("text_md5"), "retry_times")
 
 
-@query(A.oracle_ctes("outputs") + " SELECT id, status, md5(output) AS output_md5, source_file FROM outputs")
+_OUTPUT_FILES = A.oracle_ctes("outputs") + " SELECT id, status, md5(output) AS output_md5, source_file FROM outputs"
+
+
+@query(_OUTPUT_FILES)
 def output_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs as objects with results, and as bare lists."""
+    return _outputs_read(spark, sf_dir, None)
+
+
+@query(_OUTPUT_FILES)
+def output_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, each read by many tasks at once."""
+    return _outputs_read(spark, sf_dir, 50_000)
+
+
+def _outputs_read(spark: SparkSession, sf_dir: str, range_bytes: int | None) -> DataFrame:
     own = A.outputs(spark, sf_dir).withColumn("doc_id", F.regexp_extract("id", r"^(\d+)", 1).cast("long"))
     value = F.struct("id", "source_file", "output", "status")
-    half = lambda rest, wrap: tables.read_outputs(spark, _arrays(own.where(F.col("doc_id") % 2 == rest), "dataset", value, ".json", wrap))
+    half = lambda rest, wrap: tables.read_outputs(spark, _arrays(own.where(F.col("doc_id") % 2 == rest), "dataset", value, ".json", wrap), range_bytes)
     return half(0, '{"model": "m", "results": %s}').unionByName(half(1, " %s")).select("id", "status", F.md5("output").alias("output_md5"), "source_file")
 
 
@@ -119,24 +146,31 @@ def variant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, md5(text) AS h, length(text) AS n FROM documents WHERE doc_id % 7 <> 0), f AS (SELECT doc_id, base64(encode(h)) AS b FROM d WHERE n % 5 <> 0)
+    """WITH d AS (SELECT doc_id, md5(text) AS h, length(text) AS n FROM documents), f AS (SELECT doc_id, base64(encode(h)) AS b FROM d WHERE n % 5 <> 0)
     SELECT x.doc_id, CASE WHEN x.n % 3 = 0 THEN NULL WHEN a.b IS NULL OR (x.n % 3 = 2 AND c.b IS NULL) THEN NULL WHEN x.n % 3 = 2 THEN concat('["', a.b, '","', c.b, '"]') ELSE a.b END AS image,
     CASE WHEN x.n % 3 = 0 THEN 'no_image' WHEN a.b IS NULL OR (x.n % 3 = 2 AND c.b IS NULL) THEN 'missing_image' END AS reason
     FROM d x LEFT JOIN f a ON a.doc_id = x.doc_id LEFT JOIN f c ON c.doc_id = x.doc_id + 1"""
 )
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images as base64; none, one or two a row, some missing."""
-    docs = _documents(spark, sf_dir).where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("h"), F.length("text").alias("n"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.md5("text").alias("h"), F.length("text").alias("n"))
     path = tables.new_table_path(spark, "images")
     named = docs.where("n % 5 <> 0").select(F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/"), "doc_id", F.lit(".png")).alias("name"), "h")
     write_files(named, path, "name", "h")
     write_files(named.limit(3).select(F.concat("name", F.lit(".txt")).alias("name"), "h"), path, "name", "h")
     file = lambda i: F.concat((i % 50).cast("string"), F.lit("/"), i, F.lit(".png"))
     paths = F.when(F.col("n") % 3 == 0, F.array().cast("array<string>")).when(F.col("n") % 3 == 1, F.array(file(F.col("doc_id")))).otherwise(F.array(file(F.col("doc_id")), file(F.col("doc_id") + 1)))
-    known = tables.image_manifest(spark, path)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    content = content.select(F.substring_index("path", path.removeprefix("file://") + "/", -1).alias("path"), "content").join(known, "path", "left_semi")
-    return tables.encode_images(docs.withColumn("image_path", paths), content, ["doc_id"])
+    return tables.encode_images(docs.withColumn("image_path", paths), path, ["doc_id"])
+
+
+@query("SELECT concat(CAST(doc_id % 50 AS VARCHAR), '/image/', CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 3 = 0 THEN '.JPEG' ELSE '.png' END) AS path, md5(text) AS text_md5 FROM documents WHERE doc_id % 4 <> 3")
+def image_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images under a root, by paths that name the root's last folder again; files of other kinds are left out."""
+    path, k = tables.new_table_path(spark, "root") + "/image", F.col("doc_id") % 4
+    end = F.when(k == 3, ".txt").when(F.col("doc_id") % 3 == 0, ".JPEG").otherwise(".png")
+    docs = _documents(spark, sf_dir).select(F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/image/"), "doc_id", end).alias("path"), F.md5("text").alias("text_md5"))
+    write_files(docs, path, "path", "text_md5")
+    return tables.image_manifest(spark, path).join(docs, "path")
 
 
 @query(A.oracle_ctes("items") + " SELECT level, dataset, field, id, md5(query) AS query_md5 FROM (SELECT *, 'T1' AS level FROM items UNION ALL SELECT *, 'T2' AS level FROM items WHERE doc_id % 2 = 0)")
@@ -150,16 +184,16 @@ def variant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("level", "dataset", "field", "id", F.md5("query").alias("query_md5"))
 
 
-@query(A.oracle_ctes("items") + " SELECT run_tag, id, md5(query) AS question_md5, target AS answer FROM items, (SELECT unnest(['r1', 'r2']) AS run_tag) WHERE NOT (run_tag = 'r1' AND doc_id % 3 = 0)")
+@query(A.oracle_ctes("items") + " SELECT concat(dataset, '__', run_tag, '.tsv') AS file, id, md5(concat('  ', query, chr(9))) AS question_md5, target AS answer FROM items, (SELECT unnest(['r1', 'r2']) AS run_tag) WHERE NOT (run_tag = 'r1' AND doc_id % 3 = 0)")
 def eval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2, K3, K4: rows for each run that are not there yet, as tab-separated files."""
+    """K2, K3, K4: rows for each run that are not there yet, as a tab-separated file for each set and run; spaces at the ends stay."""
     own = inference.fan_out(A.items(spark, sf_dir), ["r1", "r2"])
     there = own.where("run_tag = 'r1' AND doc_id % 3 = 0").select("run_tag", "id")
-    new = inference.only_missing(own, there, ["run_tag", "id"]).select("run_tag", F.col("id").alias("index"), F.col("query").alias("question"), F.col("target").alias("answer"))
+    new = inference.only_missing(own, there, ["run_tag", "id"]).select("dataset", "run_tag", "pos", F.col("id").alias("index"), F.concat(F.lit("  "), "query", F.lit("\t")).alias("question"), F.col("target").alias("answer"))
     path = tables.new_table_path(spark, "tsv")
-    tables.write_eval_tsv(new, path)
+    write_eval_tsv(new, path)
     back = spark.read.csv(path, sep="\t", header=True, escape='"', multiLine=True)
-    return back.select("run_tag", F.col("index").alias("id"), F.md5("question").alias("question_md5"), "answer")
+    return back.select(F.col("_metadata.file_name").alias("file"), F.col("index").alias("id"), F.md5("question").alias("question_md5"), "answer")
 
 
 @query(A.oracle_ctes("image_labels") + " SELECT label, CASE WHEN label LIKE 'ERROR:%' THEN NULL ELSE image_key END AS image_key, concat(label, '/', regexp_replace(image_key, '^image/', '')) AS target_path, split_part(image_key, '/', 2) AS dataset FROM image_labels WHERE label NOT LIKE 'ERROR:%'")
@@ -192,13 +226,13 @@ def class_matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Items some of which lack what a set needs, over texts of the documents.
-_GAPS = """, gaps AS (SELECT doc_id, dataset, field, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE id END AS id, CASE WHEN length(stem) % 9 = 0 THEN NULL ELSE query END AS query, CASE WHEN length(stem) % 8 = 0 THEN NULL ELSE target END AS target, image, length(stem) AS n FROM items)"""
+_GAPS = """, gaps AS (SELECT doc_id, dataset, field, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE id END AS id, CASE length(stem) % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE query END AS query, CASE WHEN length(stem) % 8 = 0 THEN NULL ELSE target END AS target, image, length(stem) AS n FROM items)"""
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("stem")
     own = A.items(spark, sf_dir).withColumn("n", n)
-    return own.withColumns({"id": F.when(F.col("doc_id") % 19 != 0, F.col("id")), "query": F.when(F.col("n") % 9 != 0, F.col("query")), "target": F.when(F.col("n") % 8 != 0, F.col("target"))})
+    return own.withColumns({"id": F.when(F.col("doc_id") % 19 != 0, F.col("id")), "query": F.when(F.col("n") % 9 == 1, "").when(F.col("n") % 9 != 0, F.col("query")), "target": F.when(F.col("n") % 8 != 0, F.col("target"))})
 
 
 def _reported(df: DataFrame, *by: str) -> DataFrame:
@@ -269,7 +303,7 @@ def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH d AS (SELECT doc_id, length(text) AS n, md5(text) AS h FROM documents)
-    SELECT doc_id, CASE n % 3 WHEN 0 THEN concat(h, '|two') WHEN 1 THEN concat(h, '|x y') ELSE '' END AS checklist, concat('x = "', h, '"') AS code, CASE WHEN n % 5 IN (0, 1) THEN CAST(least(100, n % 150) AS INTEGER) ELSE -1 END AS score, n % 4 IN (0, 1) AS passes,
+    SELECT doc_id, CASE n % 3 WHEN 0 THEN concat(h, '|two') WHEN 1 THEN concat(h, '|x y') ELSE '' END AS checklist, concat('x = "', h, '"') AS code, CASE WHEN n % 5 IN (0, 1, 2) THEN CAST(least(100, n % 150) AS INTEGER) ELSE -1 END AS score, n % 4 IN (0, 1) AS passes,
     CASE n % 3 WHEN 0 THEN concat(h, '@top|b@left') WHEN 1 THEN 'b@left' ELSE '' END AS plan, CASE WHEN n % 3 = 2 THEN 'none' ELSE concat(CASE WHEN n % 3 = 0 THEN concat('write "', h, '" at top; ') ELSE '' END, 'write "b" at left') END AS edits,
     CASE WHEN n % 2 = 0 THEN '0.0' ELSE '' END AS temperature, CASE WHEN n % 2 = 1 THEN '0.9' ELSE '' END AS top_p FROM d"""
 )
@@ -278,7 +312,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, h = F.length("text"), F.md5("text")
     raw = F.when(n % 3 == 0, F.to_json(F.array(h, F.lit(" two "), F.lit("")))).when(n % 3 == 1, F.concat(h, F.lit("\n\n  x y ")))
     code = F.when(n % 2 == 0, F.concat(F.lit("Here:\n```Python\nx = \""), h, F.lit('"\n```\nDone'))).otherwise(F.concat(F.lit(' x = "'), h, F.lit('"\n')))
-    score = F.when(n % 5 == 0, F.concat(F.lit("Fine\n Score: "), (n % 150).cast("string"), F.lit("/100"))).when(n % 5 == 1, F.concat(F.lit("SCORE - "), (n % 150).cast("string"), F.lit("\nscore: 3"))).otherwise("no score 5")
+    score = F.when(n % 5 == 0, F.concat(F.lit("Fine\n Score: "), (n % 150).cast("string"), F.lit("/100"))).when(n % 5 == 1, F.concat(F.lit("SCORE - "), (n % 150).cast("string"), F.lit("\nscore: 3"))).when(n % 5 == 2, F.concat(F.lit("x\nScore\uff1a "), (n % 150).cast("string"), F.lit(" out of 100 "))).when(n % 5 == 3, F.concat(F.lit("Score: 95 because\nScore: "), n + 1000)).otherwise("no score 5")
     verdict = F.when(n % 4 == 0, "No.").when(n % 4 == 1, ' "no" ').when(n % 4 == 2, "No, because").otherwise(F.lit(None))
     entry = lambda text, position: F.struct(text.alias("text"), F.lit(position).alias("position"))
     plan = F.array(entry(F.when(n % 3 == 0, h).otherwise(" "), " top "), entry(F.lit("c"), " "), entry(F.when(n % 3 == 2, "").otherwise("b"), "left"), entry(F.lit("fourth"), "right"))
@@ -386,21 +420,37 @@ def shared_variant_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A.oracle_ctes("items", "forms")
-    + """, s AS (SELECT *, CASE WHEN doc_id % 9 IN (4, 5, 8) THEN 'not_mcq' WHEN length(first) % 5 = 0 THEN 'not_expandable' WHEN length(first) % 5 = 1 THEN 'no_keywords' ELSE 'done' END AS state FROM forms WHERE doc_id % 9 <> 8)
-    SELECT id, state, CASE WHEN state IN ('not_mcq', 'not_expandable') THEN 'n/a' ELSE CAST(state = 'done' AND length(first) % 5 <> 2 AS VARCHAR) END AS verify_passed, state = 'done' AS can_modify, CASE WHEN state = 'done' AND length(first) % 2 = 0 THEN 'one more' ELSE '' END AS distractors,
-    CASE WHEN state = 'done' AND doc_id % 7 IN (0, 1, 2, 3, 5) THEN NULL ELSE md5(query) END AS same_md5 FROM s WHERE doc_id % 9 <> 7"""
+    + """, s AS (SELECT *, CASE WHEN doc_id % 9 IN (4, 5) THEN 'not_mcq' WHEN length(first) % 5 = 0 THEN 'not_expandable' WHEN length(first) % 5 = 1 THEN 'no_keywords' ELSE 'done' END AS state, length(first) % 5 NOT IN (1, 2) AS one, length(first) % 5 <> 1 AND length(first) % 4 = 0 AS two,
+      doc_id % 7 IN (0, 1, 2, 3, 5) AND doc_id % 9 <> 7 AND (doc_id % 9 <> 8 OR doc_id % 7 = 5) AS known FROM forms)
+    SELECT id, state, CASE WHEN state IN ('not_mcq', 'not_expandable') THEN 'n/a' ELSE CAST(state = 'done' AND (one OR two) AS VARCHAR) END AS verify_passed, state = 'done' AS can_modify, CASE WHEN state = 'done' AND length(first) % 2 = 0 THEN 'one more' ELSE '' END AS distractors,
+    CASE WHEN state = 'done' AND known THEN NULL ELSE md5(query) END AS same_md5, concat(CASE WHEN one THEN concat('- ', CASE WHEN length(first) % 3 = 0 THEN 'looked up' ELSE 'title' END, ': summary') ELSE '' END, CASE WHEN one AND two THEN chr(10) ELSE '' END, CASE WHEN two THEN concat('- two: more of ', id) ELSE '' END) AS context FROM s"""
 )
 def distractor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of added distractors, and whether a source was found."""
     n = F.length("first")
-    own = A.forms(spark, sf_dir).where("doc_id % 9 <> 8 AND doc_id % 9 <> 7").withColumn("can_modify", n % 5 != 0)
-    block = F.struct(F.lit(0).alias("_at"), F.lit("t").alias("query_term"), F.lit("title").alias("title"), F.when(n % 5 != 2, "summary").alias("summary"))
-    own = own.withColumn("blocks", F.when(n % 5 == 1, F.slice(F.array(block), 1, 0)).otherwise(F.array(block)))
+    own = A.forms(spark, sf_dir).withColumn("can_modify", n % 5 != 0)
+    block = lambda at, term, title, summary: F.struct(F.lit(at).alias("_at"), F.lit(term).alias("query_term"), title.alias("title"), summary.alias("summary"))
+    one = block(0, "looked up", F.when(n % 3 != 0, "title"), F.when(n % 5 != 2, " summary "))
+    two = block(1, "other", F.lit("two"), F.when(n % 4 == 0, F.concat(F.lit("more of "), "id")))
+    own = own.withColumn("blocks", F.when(n % 5 == 1, F.slice(F.array(one, two), 1, 0)).otherwise(F.array(one, two)))
     own = own.withColumn("candidates", F.when(n % 2 == 0, F.array(F.lit(" one more "), F.lit("ONE MORE"), F.lit(""))).otherwise(F.array().cast("array<string>")))
     out = variants_text.apply_t4(own, seed=5)
-    label_known = F.col("doc_id") % 7
-    same = F.when((F.col("state") == "done") & label_known.isin(0, 1, 2, 3, 5), F.lit(None)).otherwise(F.md5("modified_query"))
-    return out.select("id", "state", state("verify_passed"), "can_modify", F.array_join("distractors", "|").alias("distractors"), same.alias("same_md5"))
+    label, form = F.col("doc_id") % 7, F.col("doc_id") % 9
+    known = label.isin(0, 1, 2, 3, 5) & (form != 7) & ((form != 8) | (label == 5))  # the target names an option that is there
+    same = F.when((F.col("state") == "done") & known, F.lit(None)).otherwise(F.md5("modified_query"))
+    return out.select("id", "state", state("verify_passed"), "can_modify", F.array_join("distractors", "|").alias("distractors"), same.alias("same_md5"), "context")
+
+
+@query(
+    A.oracle_ctes("items") + _GAPS
+    + """, s AS (SELECT CASE WHEN query IS NULL THEN 'no_query' WHEN target IS NULL THEN 'no_target' WHEN image IS NULL THEN 'no_image' END AS reason FROM gaps)
+    SELECT count(*) FILTER (reason IS NULL) AS converted, count(*) FILTER (reason = 'no_query') AS no_query, count(*) FILTER (reason = 'no_target') AS no_target, count(*) FILTER (reason = 'no_image') AS no_image, count(*) FILTER (reason IS NULL) AS written FROM s"""
+)
+def eval_write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is dropped is counted while the set is written, in the same job."""
+    path = tables.new_table_path(spark, "eval_rows")
+    report = summary.written_with_report(inference.eval_ready(_gaps(spark, sf_dir)), ("no_query", "no_target", "no_image"), lambda kept: kept.select("dataset", "id", "query", "target").write.parquet(path))
+    return report.withColumn("written", F.lit(spark.read.parquet(path).count()).cast("long"))
 
 
 @query(A.oracle_ctes("items") + " SELECT id, length(stem) % 2 = 0 AS equal FROM items")

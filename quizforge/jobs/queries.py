@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quizforge.functions import folds, keys, text as X
 from quizforge.jobs import adapters as A
 from quizforge.operators import classify, compose, dedup, inference, summary, variants_image, variants_text
+from quizforge.operators.inference import Limits
+from quizforge.sources import runs
+from quizforge.sources.tables import new_table_path, write_bucketed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,33 +39,33 @@ _T1 = A.oracle_ctes("items", "plain", "image_labels") + r""", found AS (SELECT d
     each AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM found),
     firsts AS (SELECT doc_id, """ + _KEY.format("x") + r""" AS k, arg_min(x, i) AS x, min(i) AS i FROM each GROUP BY ALL),
     literals AS (SELECT doc_id, list(x ORDER BY i) AS xs, list(k ORDER BY i) AS ks FROM firsts GROUP BY doc_id),
-    checked AS (SELECT p.*, coalesce(xs, []) AS xs, CASE WHEN doc_id % 6 = 4 AND len(list_filter(['naoh', '12 kg'], lambda g: list_contains(coalesce(ks, []), g))) > 0
-      THEN list_filter(['naoh', '12 kg'], lambda g: list_contains(ks, g)) ELSE coalesce(ks, []) END AS asked, CASE WHEN doc_id % 6 IN (0, 1, 4) AND trim(said) <> '' THEN trim(said) ELSE trim(stem) END AS new FROM plain p LEFT JOIN literals USING (doc_id)),
-    t1 AS (SELECT *, list_filter(asked, lambda k: NOT contains(""" + _KEY.format("new") + r""", k)) AS missing, concat(new, chr(10), opts) AS modified FROM checked)"""
+    told AS (SELECT p.*, coalesce(xs, []) AS xs, coalesce(ks, []) AS ks, CASE WHEN doc_id % 6 IN (2, 4) THEN list_filter(['naoh', '12 kg'], lambda g: list_contains(coalesce(ks, []), g)) ELSE [] END AS listed FROM plain p LEFT JOIN literals USING (doc_id)),
+    checked AS (SELECT *, CASE WHEN len(listed) > 0 OR doc_id % 6 IN (2, 3) THEN listed ELSE ks END AS asked, CASE WHEN doc_id % 6 IN (0, 1, 4) AND trim(said) <> '' THEN trim(said) ELSE trim(stem) END AS new FROM told),
+    t1 AS (SELECT *, list_filter(asked, lambda k: NOT contains(""" + _KEY.format("new") + r""", k)) AS missing, concat(new, chr(10), opts) AS modified, len(missing) = 0 AND doc_id % 6 <> 3 AS passed FROM checked)"""
 
 
 @query(
     _T1
     + """ SELECT dataset, subject, 'T1' AS action, count(*) AS total, count(*) FILTER (modified <> query) AS changed, count(*) FILTER (modified = query) AS unchanged,
-    count(*) FILTER (len(missing) = 0) AS verify_passed, count(*) FILTER (len(missing) > 0) AS verify_failed, CAST(0 AS BIGINT) AS verify_not_applicable FROM t1 GROUP BY ALL"""
+    count(*) FILTER (passed) AS verify_passed, count(*) FILTER (NOT passed) AS verify_failed, CAST(0 AS BIGINT) AS verify_not_applicable FROM t1 GROUP BY ALL"""
 )
 def text_variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, literals, canned answers, apply, verify, summarise."""
     return summary.variant_summary(_t1(spark, sf_dir))
 
 
-@query(_T1 + " SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(p) AS BIGINT) AS verify_passed FROM (SELECT count(*) AS n, count(*) FILTER (len(missing) = 0) AS p FROM t1 GROUP BY dataset)")
+@query(_T1 + " SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(p) AS BIGINT) AS verify_passed FROM (SELECT count(*) AS n, count(*) FILTER (passed) AS p FROM t1 GROUP BY dataset)")
 def text_variant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.variant_summary(_t1(spark, sf_dir), grand=True).where("level = 7").select("total", "verify_passed")
 
 
-@query(_T1 + " SELECT doc_id, md5(array_to_string(xs, '|')) AS literals_md5, CAST(len(xs) AS BIGINT) AS n, CAST(len(missing) AS BIGINT) AS n_missing, array_to_string(missing, '|') AS missing FROM t1")
+@query(_T1 + " SELECT doc_id, md5(array_to_string(xs, '|')) AS literals_md5, CAST(len(xs) AS BIGINT) AS n, CAST(len(missing) AS BIGINT) AS n_missing, array_to_string(missing, '|') AS missing, CASE WHEN doc_id % 6 = 3 THEN 'parse_failed' WHEN doc_id % 6 = 2 THEN 'refused' WHEN trim(said) = '' THEN 'empty' ELSE 'given' END AS answer_state, passed AS verify_passed FROM t1")
 def immutable_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literals of every rule in order, and those that the answer loses."""
     own = _t1(spark, sf_dir)
     xs = X.immutable_literals(X.split_query(F.col("original_query"))["stem"])
     gone = F.transform("verify_missing_items", X.match_key)
-    return own.select("doc_id", F.md5(F.array_join(xs, "|")).alias("literals_md5"), F.size(xs).cast("long").alias("n"), F.size(gone).cast("long").alias("n_missing"), F.array_join(gone, "|").alias("missing"))
+    return own.select("doc_id", F.md5(F.array_join(xs, "|")).alias("literals_md5"), F.size(xs).cast("long").alias("n"), F.size(gone).cast("long").alias("n_missing"), F.array_join(gone, "|").alias("missing"), "answer_state", "verify_passed")
 
 
 @query(A.oracle_ctes("items") + " SELECT id, dataset, md5(regexp_replace(stem, '\\s+$', '')) AS stem_md5, md5(opts) AS options_md5, length(stem) AS n FROM items")
@@ -97,11 +100,13 @@ def placeholder_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _T1
-    + """ SELECT dataset, field, id, 'T1' AS level, md5(modified) AS query_md5, target, CASE WHEN image IS NULL THEN '' ELSE replace(image, 'image/', 'original_image/') END AS images FROM t1 WHERE len(missing) = 0"""
+    + """ SELECT dataset, field, id, 'T1' AS level, md5(modified) AS query_md5, target, CASE WHEN image IS NULL THEN '' ELSE replace(image, 'image/', 'original_image/') END AS images FROM t1 WHERE passed"""
 )
 def text_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verified variants with the original's images."""
-    out = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir))
+    """Verified variants with the original's images; a later original without a list of images doesn't count."""
+    items = A.items(spark, sf_dir)
+    later = items.withColumn("image_path", F.lit(None).cast("array<string>")).withColumn("pos", F.col("pos") + 1)
+    out = compose.build_text_qa(_t1(spark, sf_dir), items.unionByName(later))
     return out.select("dataset", "field", "id", "level", F.md5("query").alias("query_md5"), "target", F.array_join("image_path", "|").alias("images"))
 
 
@@ -121,16 +126,24 @@ def image_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: An image side whose answers and images are not always those of the text side, with a row that is not the last.
 _V = f""", v2 AS (SELECT i.dataset, i.field, i.id, i.doc_id, CASE length(i.stem) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Z' ELSE i.target END AS target, CASE WHEN length(i.stem) % 7 = 0 THEN '' ELSE replace(i.image, 'image/', 'modified_image/') END AS images {_IMAGE}),
-    tv AS (SELECT t.dataset, t.field, t.id, t.target, v.images, coalesce(v.target <> t.target, false) AS target_mismatch FROM t1 t JOIN v2 v ON t.doc_id = v.doc_id WHERE len(t.missing) = 0)"""
+    tv AS (SELECT t.dataset, t.field, t.id, t.target, v.images, coalesce(v.target <> t.target, false) AS target_mismatch FROM t1 t JOIN v2 v ON t.doc_id = v.doc_id WHERE t.passed)"""
 
 
-def _tv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tv(spark: SparkSession, sf_dir: str, buckets: int = 0) -> DataFrame:
     sizes = A.items(spark, sf_dir).select("dataset", "field", "id", F.length("stem").alias("n"))
     v = _v2(spark, sf_dir).join(sizes, compose.KEY)
     target = F.when(F.col("n") % 5 == 0, F.lit(None)).when(F.col("n") % 5 == 1, "Z").otherwise(F.col("target"))
     last = v.withColumn("target", target).withColumn("image_path", F.when(F.col("n") % 7 != 0, F.col("image_path"))).withColumn("pos", F.lit(1))
     first = v.withColumn("target", F.lit("old")).withColumn("pos", F.lit(0))
-    return compose.compose_tv(compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir)), first.unionByName(last).drop("n"))
+    text, image = compose.build_text_qa(_t1(spark, sf_dir), A.items(spark, sf_dir)), first.unionByName(last).drop("n")
+    if buckets:
+        text, image = (_bucketed(df, name, buckets) for df, name in ((text, "text_variants"), (image, "image_variants")))
+    return compose.compose_tv(text, image)
+
+
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    return write_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), path, compose.KEY, buckets)
 
 
 @query(_T1 + _V + " SELECT 'T1V2' AS level, dataset, field, id, target, images, target_mismatch FROM tv")
@@ -139,6 +152,12 @@ def composite_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tv(spark, sf_dir).select("level", "dataset", "field", "id", "target", F.array_join("image_path", "|").alias("images"), "target_mismatch")
 
 
+@query(_T1 + _V + " SELECT 'T1V2' AS level, dataset, field, id, target, images, target_mismatch FROM tv")
+def composite_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored text and image variants with the same buckets: their composites need no exchange."""
+    return _tv(spark, sf_dir, buckets=8).select("level", "dataset", "field", "id", "target", F.array_join("image_path", "|").alias("images"), "target_mismatch")
+
+
 @query(_T1 + _V + " SELECT 'T1V2' AS level, count(*) AS n, count(*) FILTER (target_mismatch) AS target_mismatch, count(*) FILTER (images = '') AS missing_image FROM tv HAVING count(*) > 0")
 def composite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.composite_stats(_tv(spark, sf_dir))
@@ -181,11 +200,11 @@ def option_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     A.oracle_ctes("items", "forms")
-    + r""" SELECT doc_id, md5(CASE WHEN doc_id % 9 = 6 THEN '' WHEN doc_id % 9 = 3 THEN concat(first, chr(10), 'B.5 volts are left.') ELSE first END) AS t4_stem_md5, CASE WHEN doc_id % 9 = 4 THEN '' WHEN doc_id % 9 = 6 THEN query WHEN doc_id % 9 = 3 THEN trim(substr(query, strpos(query, '(A)')))
-    WHEN doc_id % 9 = 7 THEN substr(query, strpos(query, chr(10) || 'F. ') + 1) ELSE trim(substr(query, length(first) + 1), ' ' || chr(10)) END AS t4_options FROM forms WHERE doc_id % 9 <> 7"""
+    + r""" SELECT doc_id, md5(CASE WHEN doc_id % 9 = 6 THEN '' WHEN doc_id % 9 = 3 THEN concat(first, chr(10), 'B.5 volts are left.') WHEN doc_id % 9 = 7 THEN substr(query, 1, strpos(query, chr(10) || 'F. ') - 1) ELSE first END) AS t4_stem_md5, CASE WHEN doc_id % 9 = 4 THEN '' WHEN doc_id % 9 = 6 THEN query WHEN doc_id % 9 = 3 THEN trim(substr(query, strpos(query, '(A)')))
+    WHEN doc_id % 9 = 7 THEN substr(query, strpos(query, chr(10) || 'F. ') + 1) ELSE trim(substr(query, length(first) + 1), ' ' || chr(10)) END AS t4_options FROM forms"""
 )
 def t4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    half = X.once(A.forms(spark, sf_dir).where("doc_id % 9 <> 7"), h=X.split_mcq(F.col("query")))
+    half = X.once(A.forms(spark, sf_dir), h=X.split_mcq(F.col("query")))
     return half.select("doc_id", F.md5("h.stem").alias("t4_stem_md5"), F.col("h.options").alias("t4_options"))
 
 
@@ -272,20 +291,40 @@ _JUDGED = """WITH r AS (SELECT doc_id, k, lower(substr(text, k + 1, 1)) IN ('a',
     w AS (SELECT doc_id, min(k) FILTER (good) AS won, bool_and(ok) AS ok FROM r GROUP BY doc_id)"""
 
 
-def _edit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edit_rounds(spark: SparkSession, sf_dir: str, folder: str | None = None, asked: list[int] | None = None, stop_at: int | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(0).alias("retry_times"))
 
     def step(left: DataFrame, n: int) -> DataFrame:
+        if asked is not None:
+            asked.append(n)
+        if n == stop_at:
+            raise InterruptedError(n)
         answer = F.when(F.lower(F.substring("text", n + 1, 1)).isin("a", "e", "i", "o", "u"), ' "No." ').otherwise("Yes, it differs")
         return left.withColumn("ok", F.length("text") % 13 != 0).withColumn("judge_answer", answer)
 
-    return variants_image.run_rounds(docs, step)
+    return variants_image.run_rounds(docs, step, folder=folder)
+
+
+_ROUNDS = _JUDGED + " SELECT CAST(coalesce(won, 2) AS INTEGER) AS round_idx, CASE WHEN won IS NULL THEN 'cannot_modify' ELSE 'passed' END AS state, CAST(coalesce(won, 3) AS INTEGER) AS retry_times, count(*) AS n FROM w GROUP BY ALL"
 
 
-@query(_JUDGED + " SELECT CAST(coalesce(won, 2) AS INTEGER) AS round_idx, CASE WHEN won IS NULL THEN 'cannot_modify' ELSE 'passed' END AS state, count(*) AS n FROM w GROUP BY ALL")
+@query(_ROUNDS)
 def image_edit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds of edit and verify; what fails goes again."""
-    return _edit_rounds(spark, sf_dir).groupBy("round_idx", "state").agg(F.count("*").alias("n"))
+    """Rounds of edit and verify; what fails goes again, and each failure counts."""
+    return _edit_rounds(spark, sf_dir).groupBy("round_idx", "state", "retry_times").agg(F.count("*").alias("n"))
+
+
+@query(_ROUNDS)
+def resumed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds that end early in the middle: the second call takes the complete ones from the folder and asks for the rest only."""
+    folder, asked = new_table_path(spark, "resumed_rounds"), []
+    try:
+        _edit_rounds(spark, sf_dir, folder, asked, stop_at=2)
+    except InterruptedError:
+        done = _edit_rounds(spark, sf_dir, folder, asked)
+    if asked != [0, 1, 2, 2]:
+        raise AssertionError(f"rounds were asked for as {asked}")
+    return done.groupBy("round_idx", "state", "retry_times").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -299,26 +338,56 @@ def image_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OK = "status = 'ok' AND NOT contains(output, '[ERROR]') AND NOT contains(output, 'Error:') AND NOT contains(output, 'Exception:')"
 
 
-@query(A.oracle_ctes("asked", "outputs") + f" SELECT a.model, a.dataset, a.id FROM asked a WHERE NOT EXISTS (SELECT 1 FROM outputs o WHERE o.model = a.model AND o.dataset = a.dataset AND o.id = a.id AND {_OK})")
+_LAST = A.oracle_ctes("asked", "history") + ", last AS (SELECT model, dataset, id, arg_max(status, attempt) AS status, arg_max(output, attempt) AS output FROM history GROUP BY ALL)"
+_PENDING = _LAST + f" SELECT a.model, a.dataset, a.id FROM asked a WHERE NOT EXISTS (SELECT 1 FROM last o WHERE o.model = a.model AND o.dataset = a.dataset AND o.id = a.id AND {_OK})"
+
+
+@query(_PENDING)
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that still lack a good output."""
-    return inference.resume_pending(A.asked(spark, sf_dir), A.outputs(spark, sf_dir), RUN_KEYS).select("model", "dataset", "id")
+    """Items whose last result isn't a good output."""
+    return inference.resume_pending(A.asked(spark, sf_dir), A.history(spark, sf_dir), RUN_KEYS, F.col("attempt")).select("model", "dataset", "id")
 
 
 @query(
-    A.oracle_ctes("asked", "outputs")
-    + """ SELECT a.id, a.dataset, coalesce(CASE WHEN o.status = 'error' THEN 'ok' ELSE o.status END, 'error') AS status,
-    md5(CASE WHEN o.id IS NULL THEN '[ERROR] no result' WHEN o.status = 'error' THEN 'second try' ELSE o.output END) AS output_md5
-    FROM asked a LEFT JOIN outputs o ON a.model = o.model AND a.dataset = o.dataset AND a.id = o.id"""
+    _LAST
+    + """, tried AS (SELECT *, status = 'error' AS again FROM last)
+    SELECT a.id, a.dataset, coalesce(CASE WHEN again THEN 'ok' ELSE o.status END, 'error') AS status,
+    md5(CASE WHEN o.id IS NULL THEN '[ERROR] missing result after resume' WHEN again THEN 'second try' ELSE o.output END) AS output_md5
+    FROM asked a LEFT JOIN tried o ON a.model = o.model AND a.dataset = o.dataset AND a.id = o.id"""
 )
 def merged_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New results over old ones, in the items' order of keys; missing ones become error rows."""
-    old = A.outputs(spark, sf_dir).select(*RUN_KEYS, "output", "status")
-    new = old.where(F.col("status") == "error").withColumn("output", F.lit("second try")).withColumn("status", F.lit("ok"))
-    out = inference.merge_outputs(A.asked(spark, sf_dir), old, new, RUN_KEYS)
+    """The last new result over the last old one, in the items' order of keys; missing ones become error rows."""
+    old = A.history(spark, sf_dir).select(*RUN_KEYS, "output", "status", "attempt")
+    failed = dedup.keep_last(old, RUN_KEYS, F.col("attempt")).where(F.col("status") == "error")
+    tries = F.explode(F.array(F.struct(F.lit(0).alias("attempt"), F.lit("zz first try").alias("output"), F.lit("error").alias("status")), F.struct(F.lit(1).alias("attempt"), F.lit("second try").alias("output"), F.lit("ok").alias("status"))))
+    new = failed.select(*RUN_KEYS, tries.alias("t")).select(*RUN_KEYS, "t.output", "t.status", "t.attempt")
+    out = inference.merge_outputs(A.asked(spark, sf_dir), old, new, RUN_KEYS, F.col("attempt"))
     return out.select("id", "dataset", "status", F.md5("output").alias("output_md5"))
 
 
+def _stored_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Outputs stored by run, then later attempts of some, then the same again: nothing changes the second time."""
+    path, history = new_table_path(spark, "runs"), A.history(spark, sf_dir)
+    runs.upsert(history.where("attempt = 0"), path, RUN_KEYS, F.col("attempt"))
+    for _ in range(2):
+        runs.upsert(history.where("attempt = 1"), path, RUN_KEYS, F.col("attempt"))
+    return path, runs.read_runs(spark, path, history.schema)
+
+
+@query(_LAST + " SELECT model, dataset, id, status, md5(output) AS output_md5 FROM last")
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results of runs of which an update writes only those that it changes."""
+    return _stored_runs(spark, sf_dir)[1].select("model", "dataset", "id", "status", F.md5("output").alias("output_md5"))
+
+
+@query(_PENDING + " AND a.dataset = 'd1'")
+def stored_runs_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one set still lacks; only its runs are read."""
+    path, stored = _stored_runs(spark, sf_dir)
+    asked = A.asked(spark, sf_dir).where("dataset = 'd1'")
+    return runs.pending(asked, path, stored.schema, RUN_KEYS, F.col("attempt")).select("model", "dataset", "id")
+
+
 @query(
     A.oracle_ctes("outputs")
     + """ SELECT source_file, count(*) AS results, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS error, CAST(grouping(source_file) AS INTEGER) AS overall FROM outputs GROUP BY ROLLUP (source_file)"""
@@ -345,9 +414,12 @@ def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-@query("SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS shard, 42 + (doc_id % 8) * 100000 + doc_id // 8 AS seed FROM documents")
+@query("SELECT doc_id, i, CAST(i % 8 AS INTEGER) AS shard, 42 + (i % 8) * 100000 + i // 8 AS seed FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(coalesce(text, '')), doc_id) - 1 AS i FROM documents)")
 def sharded_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 8, 42)
+    """Shards and seeds by consecutive numbers in the order of the texts' digests, numbered without a single task."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    numbered = dedup.dense_index(docs, [F.col("digest"), F.col("doc_id")], "i").drop("digest")
+    return dedup.assign_shards(numbered, "i", 8, 42)
 
 
 @query(
@@ -421,13 +493,14 @@ def equivalent_rewrite_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     A.oracle_ctes("items")
     + """, ref AS (SELECT 'term ' || CAST(page_id % 50 AS VARCHAR) AS term_key, min(md5(coalesce(html, ''))) AS summary FROM pages GROUP BY 1)
-    SELECT i.id, r.summary IS NOT NULL AS verify_passed, CASE WHEN r.summary IS NOT NULL THEN concat('(ref): ', r.summary) END AS context FROM items i LEFT JOIN ref r ON r.term_key = 'term ' || CAST(i.doc_id % 60 AS VARCHAR)"""
+    SELECT i.id, r.summary IS NOT NULL AS verify_passed, CASE WHEN r.summary IS NOT NULL THEN concat('(', CASE WHEN i.doc_id % 60 % 3 = 0 THEN 'Term   ' || CAST(i.doc_id % 60 AS VARCHAR) ELSE 'ref' END, '): ', r.summary) END AS context FROM items i LEFT JOIN ref r ON r.term_key = 'term ' || CAST(i.doc_id % 60 AS VARCHAR)"""
 )
 def background_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords looked up in a reference table; the first usable block is the context."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     term = F.concat(F.lit("term "), (F.col("page_id") % 50).cast("string"))
-    reference = pages.select(term.alias("term_key"), F.lit("ref").alias("title"), F.md5(F.coalesce("html", F.lit(""))).alias("summary"))
+    title = F.when(F.col("page_id") % 50 % 3 != 0, "ref")  # where there is none, the term that was looked up stands in
+    reference = pages.select(term.alias("term_key"), title.alias("title"), F.md5(F.coalesce("html", F.lit(""))).alias("summary"))
     items = A.items(spark, sf_dir).withColumn("words", F.array(F.lit("unknown thing"), F.concat(F.lit("  Term   "), (F.col("doc_id") % 60).cast("string")), F.lit("third")))
     blocks = variants_text.lookup_terms(items, reference, ["dataset", "id"], "words", 2)
     joined = items.join(blocks, ["dataset", "id"], "left").withColumn("can_modify", F.lit(True)).withColumn("background", F.lit(""))
@@ -472,3 +545,71 @@ def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         return answer
 
     return inference.infer(requests, scorer).select("id", "dataset", "output", "status")
+
+
+@query(
+    A.oracle_ctes("items")
+    + """ SELECT id, dataset, CASE WHEN length(query) % 10 = 9 THEN '[ERROR] never' ELSE concat(substr(query, 1, 20), '...') END AS output, CASE WHEN length(query) % 10 = 9 THEN 'error' ELSE 'ok' END AS status FROM items"""
+)
+def scored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts in batches, several in flight; a batch that fails is tried again, and one that keeps failing is error rows."""
+    items = A.items(spark, sf_dir).select("id", "dataset", "query")
+
+    def scorer():
+        tried: set[tuple[str, ...]] = set()
+
+        def answer(prompts: list[str]) -> list[str]:
+            if len(prompts[0]) % 3 == 0 and tuple(prompts) not in tried:
+                tried.add(tuple(prompts))
+                raise ConnectionError("busy")
+            if any(len(p) % 10 == 9 for p in prompts):
+                raise ValueError("never")
+            return [f"{p[:20]}..." for p in prompts]
+
+        return answer
+
+    # Rows that always fail have batches of their own, so that they take no others with them.
+    never = F.length("query") % 10 == 9
+    limits = Limits(in_flight=8, batch=16, retries=2, back_off=0.001)
+    out = inference.infer(items.where(~never), scorer, limits, prompt="query").unionByName(inference.infer(items.where(never), scorer, limits, prompt="query"))
+    return out.select("id", "dataset", "output", "status")
+
+
+#: Quantities in two units whose factors to a common one are known, the second a step off for some.
+_UNIT_FORMS = (
+    ("hPa", 100.0, "Pa", 1.0), ("t", 1000.0, "kg", 1.0), ("inch", 2.54, "cm", 1.0), ("kJ/(mol*K)", 1000.0, "J/mol/K", 1.0), ("kohm", 1000.0, "\u03a9", 1.0), ("%", 1.0, "percent", 1.0),
+    ("W/(m^2*(K/s))", 1.0, "W*m^-2*s/K", 1.0), ("mT", 1.0, "mWb/m^2", 1.0), ("mmHg", 133.322387415, "Pa", 1.0), ("km/h", 1.0, "m/(3.6 s)", 0.0),
+)
+
+
+@query(
+    """WITH f AS (SELECT unnest(["""
+    + ", ".join(f"{{'k': {k}, 'fa': {a!r}, 'fb': {b!r}}}" for k, (_, a, _, b) in enumerate(_UNIT_FORMS))
+    + """]) AS f), n AS (SELECT doc_id, length(coalesce(text, '')) % 900 + 1 AS n, length(coalesce(text, '')) % 10 AS k FROM documents)
+    SELECT doc_id, f.fb > 0 AND abs(n * f.fa - CASE WHEN n % 2 = 0 THEN n * f.fa ELSE n * f.fa + 0.5 END * f.fb) <= 1e-9 * n * f.fa AS equal FROM n JOIN f ON f.k = n.k"""
+)
+def unit_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities with brackets, powers, prefixes and units outside the base ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = F.length(F.coalesce("text", F.lit("")))
+    n, k = size % 900 + 1, size % 10
+    pick = lambda make: F.coalesce(*[F.when(k == i, make(*form)) for i, form in enumerate(_UNIT_FORMS)])
+    one = F.concat(n.cast("string"), F.lit(" "), pick(lambda a, fa, b, fb: F.lit(a)))
+    value = pick(lambda a, fa, b, fb: F.when(n % 2 == 0, n * fa).otherwise(n * fa + 0.5))
+    two = F.concat(value.cast("string"), F.lit(" "), pick(lambda a, fa, b, fb: F.lit(b)))
+    return docs.select("doc_id", X.unit_equal(one, two).alias("equal"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, length(text) % 9 + 2 AS a, length(text) % 4 + 2 AS b, length(text) % 5 + 2 AS c, length(text) % 3 AS k FROM documents)
+    SELECT doc_id, concat('Al:', a, '|H:', 2 * c, '|O:', 4 * b + c, '|S:', b) AS elements, k <> 2 AS equal FROM d"""
+)
+def grouped_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas with groups and water of crystallisation, against the same atoms one by one."""
+    n = F.length("text")
+    a, b, c = ((n % m + 2) for m in (9, 4, 5))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    one = said("$Al_{", a, "}(SO_4)_{", b, "}\u00b7", c, "H_2O$")
+    two = F.when(n % 3 == 0, said("Al", a, "[SO4]", b, "(H2O)", c)).when(n % 3 == 1, said("H", 2 * c, "S", b, "O", 4 * b + c, "Al", a)).otherwise(said("Al", a, "(SO4)", b))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.array_join(X.element_counts(X.chem_key(one)), "|").alias("elements"), X.pair_equal(F.lit("chem"), one, two).alias("equal"))

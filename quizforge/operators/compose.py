@@ -33,10 +33,10 @@ def verified(variants: DataFrame) -> DataFrame:
 
 
 def build_text_qa(variants: DataFrame, originals: DataFrame) -> DataFrame:
-    """Verified text variants, the last of each id, with the original's images (empty if there are none)."""
+    """Verified text variants, the last of each id, with the images of its last original that has any list of them (else empty)."""
     own = verified(variants).select(*KEY, "action", "modified_query", "modified_answer", "pos")
     last = keep_last(own, [*KEY, "action"], F.col("pos"))
-    images = keep_last(originals.select(*KEY, "image_path", "pos"), KEY, F.col("pos")).select(*KEY, "image_path")
+    images = keep_last(originals.where(F.col("image_path").isNotNull()).select(*KEY, "image_path", "pos"), KEY, F.col("pos")).select(*KEY, "image_path")
     joined = last.join(images, KEY, "left")
     return joined.select(
         *KEY, F.col("action").alias("level"), F.col("modified_query").alias("query"), F.col("modified_answer").alias("target"),

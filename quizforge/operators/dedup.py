@@ -9,9 +9,13 @@ from quizforge.sources.tables import new_table_path
 
 
 def _pick(df: DataFrame, keys: list[str], order: Column, chooser) -> DataFrame:
-    # max_by and min_by aggregate before the shuffle, so repeated keys collapse where they are read.
-    own = df.withColumn("_order", order).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    return own.agg(chooser(F.struct(*[F.col(c) for c in df.columns]), F.col("_order")).alias("_row")).select("_row.*")
+    # max_by and min_by aggregate before the shuffle, so repeated keys collapse where they are read. Keys stay columns of their
+    # own: a table that is bucketed by them keeps its partitioning.
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    own = df.withColumn("_order", order).groupBy(*keys).agg(chooser(F.struct(*rest), F.col("_order")).alias("_row"))
+    return own.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

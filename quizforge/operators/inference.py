@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from quizforge.functions.keys import norm_output_id
 from quizforge.functions.text import result_ok
 from quizforge.operators.dedup import keep_last
+from quizforge.operators.scoring import Limits, infer
+
+__all__ = ["Limits", "infer"]
 
 RUN = ["model", "dataset", "action", "run_tag"]
 
 
 def inference_ready(items: DataFrame) -> DataFrame:
-    return items.where((F.coalesce("query", F.lit("")) != "") & F.col("target").isNotNull() & (F.size("image_path") > 0))
+    """Items with a query, which may be empty, a target and an image."""
+    return items.where(F.col("query").isNotNull() & F.col("target").isNotNull() & (F.size("image_path") > 0))
 
 
 def eval_ready(items: DataFrame) -> DataFrame:
     """Items with the ``reason`` they can't be evaluated for, null if they can."""
-    reason = F.when(F.coalesce("query", F.lit("")) == "", "no_query").when(F.col("target").isNull(), "no_target").when(F.coalesce(F.size("image_path"), F.lit(0)) <= 0, "no_image")
+    reason = F.when(F.col("query").isNull(), "no_query").when(F.col("target").isNull(), "no_target").when(F.coalesce(F.size("image_path"), F.lit(0)) <= 0, "no_image")
     return items.withColumn("reason", reason)
 
 
@@ -55,18 +58,24 @@ def ok_outputs(outputs: DataFrame) -> DataFrame:
     return outputs.where(result_ok(F.col("status"), F.col("output")))
 
 
-def resume_pending(items: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
-    """Items without a good output; the outputs' texts don't travel."""
-    done = ok_outputs(outputs).select(*keys).distinct()
+def last_results(outputs: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """(keys, done): whether the last result of each key is a good one; outputs without an id drop. Texts don't travel."""
+    own = outputs.where(norm_output_id(F.col("id")) != "").select(*keys, result_ok(F.col("status"), F.col("output")).alias("done"), order.alias("_at"))
+    return own.groupBy(*keys).agg(F.max_by("done", "_at").alias("done"))
+
+
+def resume_pending(items: DataFrame, outputs: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Items whose last result is missing or bad: a newer error hides an older good output."""
+    done = last_results(outputs, keys, order).where("done").select(*keys)
     return items.join(done, keys, "left_anti")
 
 
-def merge_outputs(items: DataFrame, old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """One row an item: the new output over the old one; no output gives an error row; orphans drop."""
+def merge_outputs(items: DataFrame, old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """One row an item: the last new output over the last old one, by ``order``; no output gives an error row; orphans drop."""
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1))).where(norm_output_id(F.col("id")) != "")
-    last = keep_last(both.select(*keys, "output", "status", "_age"), keys, F.struct("_age", "status", "output")).drop("_age")
+    last = keep_last(both.select(*keys, "output", "status", F.struct("_age", order.alias("_at")).alias("_place")), keys, F.col("_place")).drop("_place")
     merged = items.join(last, keys, "left")
-    return merged.withColumn("status", F.coalesce("status", F.lit("error"))).withColumn("output", F.coalesce("output", F.lit("[ERROR] no result")))
+    return merged.withColumn("status", F.coalesce("status", F.lit("error"))).withColumn("output", F.coalesce("output", F.lit("[ERROR] missing result after resume")))
 
 
 def resume_text(items: DataFrame, old: DataFrame) -> DataFrame:
@@ -94,29 +103,6 @@ def only_missing(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFra
     return df.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def infer(requests: DataFrame, scorer_factory: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """Requests with ``output`` and ``status``; one client a partition; a row that fails becomes an error row.
-
-    Responses cost: store the result before a second use.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
-        for part in parts:
-            outputs, states = [], []
-            for prompt in part["prompt"]:
-                try:
-                    outputs.append(scorer(prompt))
-                    states.append("ok")
-                except Exception as e:  # any client error belongs to its row
-                    outputs.append(f"[ERROR] {e}")
-                    states.append("error")
-            yield part.assign(output=outputs, status=states)
-
-    schema = StructType([*requests.schema.fields, StructField("output", StringType()), StructField("status", StringType())])
-    return requests.mapInPandas(run, schema)
-
-
 def pair_check(check: Callable[[str, str, str], bool]) -> Callable[[Column, Column, Column], Column]:
     """A caller's equivalence check over (kind, a, b) as a column function."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -70,3 +72,16 @@ def drop_report(df: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(~skipped, F.col("n"))), F.lit(0)).alias("converted"), F.coalesce(F.sum(F.when(skipped, F.col("n"))), F.lit(0)).alias("skipped"), listed.alias("reasons")
     )
+
+
+def written_with_report(df: DataFrame, reasons: tuple[str, ...], write: Callable[[DataFrame], None]) -> DataFrame:
+    """One row (converted, a count a reason): counted by ``write`` itself as it passes over the rows, not by a second run.
+
+    ``write`` gets the rows without a ``reason`` and must write them once. Rows of a task that runs again count once.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col("reason").isNull()).alias("converted"), *[F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in reasons]]
+    write(df.observe(seen, *counts).where(F.col("reason").isNull()).drop("reason"))
+    got = seen.get
+    names = ["converted", *reasons]
+    return df.sparkSession.createDataFrame([tuple(int(got[n]) for n in names)], ", ".join(f"{n} long" for n in names))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quizforge.functions import text as X
 from quizforge.functions.keys import image_key, image_kind
 from quizforge.operators.dedup import keep_last
-from quizforge.sources.tables import new_table_path
+from quizforge.sources.rounds import Rounds
 
 PASS_SCORE, MAX_ATTEMPTS, MAX_RETRIES = 90, 3, 2
 
@@ -63,16 +63,15 @@ def best_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return chosen.select(*keys, "_row.*", "score", "success").withColumn("retry_times", F.col("attempt") - 1)
 
 
-def run_chart_attempts(tasks: DataFrame, keys: list[str], attempt: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def run_chart_attempts(tasks: DataFrame, keys: list[str], attempt: Callable[[DataFrame, int], DataFrame], folder: str | None = None) -> DataFrame:
     """Run ``attempt`` (draw, render, evaluate: render_ok, raw_evaluation) on what has not passed, then ``best_attempt``.
 
-    Every attempt is stored before use, as it costs.
+    Every attempt is stored before use, as it costs; with a ``folder`` a call after a crash goes on at the first attempt that
+    isn't complete.
     """
-    left, every = tasks, None
+    left, every, rounds = tasks, None, Rounds(tasks.sparkSession, folder, "attempts")
     for n in range(1, MAX_ATTEMPTS + 1):
-        path = new_table_path(tasks.sparkSession, f"attempt{n}")
-        attempt(left, n).withColumn("attempt", F.lit(n)).write.parquet(path)
-        done = tasks.sparkSession.read.parquet(path)
+        done = rounds.get(f"attempt{n}", lambda: attempt(left, n).withColumn("attempt", F.lit(n)))  # noqa: B023 - called at once
         every = done if every is None else every.unionByName(done)
         passed = F.coalesce(F.col("render_ok") & (X.parse_score(F.col("raw_evaluation")) >= PASS_SCORE), F.lit(False))
         left = done.where(~passed).select(*tasks.columns)
@@ -82,19 +81,20 @@ def run_chart_attempts(tasks: DataFrame, keys: list[str], attempt: Callable[[Dat
 
 
 def split_round(df: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """``state`` of a verified round: passed, retry (with one more retry) or cannot_modify."""
+    """``state`` of a verified round: passed, retry or cannot_modify; every failure, the last one too, adds to ``retry_times``."""
     passed = F.coalesce(F.col("ok"), F.lit(False)) & X.verdict_passes(F.col("judge_answer"))
     state = F.when(passed, "passed").when(F.col("retry_times") < max_retries, "retry").otherwise("cannot_modify")
-    return df.withColumn("verified_passed", passed).withColumn("verify_fail", ~passed).withColumn("state", state).withColumn("retry_times", F.when(F.col("state") == "retry", F.col("retry_times") + 1).otherwise(F.col("retry_times")))
+    return df.withColumn("verified_passed", passed).withColumn("verify_fail", ~passed).withColumn("state", state).withColumn("retry_times", F.when(passed, F.col("retry_times")).otherwise(F.col("retry_times") + 1))
 
 
-def run_rounds(df: DataFrame, step: Callable[[DataFrame, int], DataFrame], max_rounds: int = 3) -> DataFrame:
-    """Run ``step`` (propose, edit, verify) on what is left, round by round; every round is stored before use."""
-    left, out = df, None
+def run_rounds(df: DataFrame, step: Callable[[DataFrame, int], DataFrame], max_rounds: int = 3, folder: str | None = None) -> DataFrame:
+    """Run ``step`` (propose, edit, verify) on what is left, round by round.
+
+    Every round is stored before use; with a ``folder`` a call after a crash goes on at the first round that isn't complete.
+    """
+    left, out, rounds = df, None, Rounds(df.sparkSession, folder)
     for n in range(max_rounds):
-        path = new_table_path(df.sparkSession, f"round{n}")
-        split_round(step(left, n).withColumn("round_idx", F.lit(n))).write.parquet(path)
-        done = df.sparkSession.read.parquet(path)
+        done = rounds.get(f"round{n}", lambda: split_round(step(left, n).withColumn("round_idx", F.lit(n))))  # noqa: B023 - called at once
         last = n == max_rounds - 1
         settled = done if last else done.where(F.col("state") != "retry")
         out = settled if out is None else out.unionByName(settled)

@@ -9,26 +9,36 @@ from pyspark.sql import functions as F
 
 from quizforge.functions import folds, text as X
 from quizforge.functions.text import match_key
-from quizforge.sources.tables import new_table_path
+from quizforge.sources.rounds import Rounds
 
 MAX_T2_RETRIES = 3
 
 
 def apply_t1(items: DataFrame, response: str = "response") -> DataFrame:
-    """Paraphrase: a new stem over the old options; every kept literal must be in it."""
+    """Paraphrase: a new stem over the old options; every kept literal must be in it.
+
+    ``answer_state`` is parse_failed (no JSON object: nothing is verified), refused, empty or given, in the order of the checks. The
+    checklist is what the answer lists and the stem has; only where the model agrees to change the text and lists none
+    of these do all the stem's literals stand in.
+    """
     none = F.array().cast("array<string>")
     parsed = X.once(items, _half=X.split_query(F.col("query")), _json=X.extract_json(F.col(response)))
-    answer = X.json_text(F.col("_json"), "paraphrased_query", "modified_query")
+    answer = X.json_text(F.col("_json"), "modified_query_text", "modified_query", "paraphrased_query")
     given = F.coalesce(X.normalize_checklist(X.json_text(F.col("_json"), "return_checklist")), none)
     parsed = X.once(parsed, _new=F.trim(F.coalesce(answer, F.lit(""))), _can=F.coalesce(X.json_text(F.col("_json"), "can_modify").try_cast("boolean"), F.lit(False)), _given=given, _literals=X.immutable_literals(F.col("_half.stem")))
     kept = X.sanitize_checklist(F.col("_given"), F.col("_half.stem"), F.col("_literals"))["kept"]
-    can = F.col("_can") & (F.col("_new") != "")
-    parsed = X.once(parsed, can_modify=can, _stem=F.when(can, F.col("_new")).otherwise(F.col("_half.stem")), return_checklist=F.when(F.size("_given") == 0, F.col("_literals")).otherwise(X.let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.col("_literals")))))
+    state = F.when(F.col("_json").isNull(), "parse_failed").when(~F.col("_can"), "refused").when(F.col("_new") == "", "empty").otherwise("given")
+    can = state == "given"
+    kept = F.when(F.size("_given") == 0, none).otherwise(kept)
+    checklist = X.let(kept, lambda k: F.when(F.col("_can") & (F.size(k) == 0), F.col("_literals")).otherwise(k))
+    parsed = X.once(parsed, answer_state=state, can_modify=can, _stem=F.when(can, F.col("_new")).otherwise(F.col("_half.stem")), return_checklist=checklist)
     parsed = X.once(parsed, verify_missing_items=X.missing_items(F.col("return_checklist"), F.col("_stem")))
-    query = F.when(F.col("_half.options") != "", F.concat(F.col("_stem"), F.lit("\n"), F.col("_half.options"))).otherwise(F.col("_stem"))
+    joined = F.when((F.col("_half.options") != "") & (F.col("_stem") != ""), F.concat(F.col("_stem"), F.lit("\n"), F.col("_half.options"))).otherwise(F.concat("_stem", "_half.options"))
+    failed = F.col("answer_state") == "parse_failed"
+    query = F.when(failed, F.col("query")).otherwise(joined)
     return (
         parsed.withColumn("action", F.lit("T1")).withColumn("original_query", F.col("query")).withColumn("modified_query", query)
-        .withColumn("modified_answer", F.col("target")).withColumn("verify_passed", F.size("verify_missing_items") == 0).drop("_half", "_json", "_new", "_can", "_given", "_literals", "_stem")
+        .withColumn("modified_answer", F.col("target")).withColumn("verify_passed", ~failed & (F.size("verify_missing_items") == 0)).drop("_half", "_json", "_new", "_can", "_given", "_literals", "_stem")
     )
 
 
@@ -57,16 +67,15 @@ def apply_t2(items: DataFrame, pairs: str = "pairs", transformed: str = "transfo
     )
 
 
-def run_t2_rounds(items: DataFrame, rewrite: Callable[[DataFrame, int], DataFrame], max_retries: int = MAX_T2_RETRIES) -> DataFrame:
+def run_t2_rounds(items: DataFrame, rewrite: Callable[[DataFrame, int], DataFrame], max_retries: int = MAX_T2_RETRIES, folder: str | None = None) -> DataFrame:
     """``apply_t2`` over the texts that ``rewrite`` adds (``transformed``), again while every pair of an item fails.
 
-    Only such items go again; ``retry_times`` says how often. Every round is stored before use, as it costs.
+    Only such items go again; ``retry_times`` says how often. Every round is stored before use, as it costs; with a ``folder``
+    a call after a crash goes on at the first round that isn't complete.
     """
-    left, out = items, None
+    left, out, rounds = items, None, Rounds(items.sparkSession, folder, "t2_rounds")
     for n in range(max_retries + 1):
-        path = new_table_path(items.sparkSession, f"t2_round{n}")
-        apply_t2(rewrite(left, n)).withColumn("retry_times", F.lit(n)).write.parquet(path)
-        done = items.sparkSession.read.parquet(path)
+        done = rounds.get(f"round{n}", lambda: apply_t2(rewrite(left, n)).withColumn("retry_times", F.lit(n)))  # noqa: B023 - called at once
         again = (F.size("return_checklist") > 0) & ~F.exists("return_checklist", lambda d: d["passed"])
         last = n == max_retries
         settled = done if last else done.where(~again)
@@ -91,9 +100,14 @@ def _usable(blocks: Column) -> Column:
     return F.filter(F.coalesce(blocks, F.array().cast("array<struct<_at:int,query_term:string,title:string,summary:string>>")), lambda b: F.coalesce(F.trim(b["summary"]), F.lit("")) != "")
 
 
+def _title(block: Column) -> Column:
+    """A block's title, or what was looked up where it has none."""
+    return F.coalesce(F.nullif(block["title"], F.lit("")), block["query_term"], F.lit(""))
+
+
 def t3_context(blocks: Column) -> Column:
     first = F.get(_usable(blocks), 0)
-    return F.concat(F.lit("("), first["title"], F.lit("): "), first["summary"])
+    return F.concat(F.lit("("), _title(first), F.lit("): "), F.trim(first["summary"]))
 
 
 def apply_t3(items: DataFrame) -> DataFrame:
@@ -111,7 +125,8 @@ def apply_t3(items: DataFrame) -> DataFrame:
 
 
 def t4_context(blocks: Column) -> Column:
-    return F.array_join(F.transform(_usable(blocks), lambda b: F.concat(F.lit("- ("), b["title"], F.lit("): "), b["summary"])), "\n")
+    """A line for each block that has a summary; the summaries' titles, or the words that were looked up."""
+    return F.array_join(F.transform(_usable(blocks), lambda b: F.concat(F.lit("- "), F.trim(_title(b)), F.lit(": "), F.trim(b["summary"]))), "\n")
 
 
 def clean_distractors(candidates: Column, options: Column, most: int = 10) -> Column:
@@ -142,7 +157,7 @@ def rebuild_mcq(items: DataFrame, distractors: str = "distractors", seed: int =
 
 
 def apply_t4(items: DataFrame, seed: int = 0) -> DataFrame:
-    """Extra distractors from ``candidates``, with ``blocks`` as their sources; ``can_modify`` is the gate's answer (null: yes).
+    """Extra distractors from ``candidates``, with ``blocks`` as their sources (``context`` has them as text); ``can_modify`` is the gate's answer (null: yes).
 
     ``state`` is not_mcq, not_expandable (the gate), no_keywords or done, in the order of the checks.
     """
@@ -155,7 +170,7 @@ def apply_t4(items: DataFrame, seed: int = 0) -> DataFrame:
     cleaned = cleaned.withColumn("distractors", F.when(done, F.col("distractors")).otherwise(F.slice("distractors", 1, 0)))
     built = rebuild_mcq(cleaned.withColumn("original_query", F.col("query")), "distractors", seed)
     return (
-        built.withColumn("action", F.lit("T4")).withColumn("can_modify", done)
+        built.withColumn("action", F.lit("T4")).withColumn("can_modify", done).withColumn("context", t4_context(F.col("blocks")))
         .withColumn("modified_query", F.when(done, F.col("modified_query")).otherwise(F.col("query")))
         .withColumn("modified_answer", F.when(done, F.col("modified_answer")).otherwise(F.col("target")))
         .withColumn("verify_passed", F.when(F.col("state").isin("not_mcq", "not_expandable"), F.lit(None).cast("boolean")).otherwise(F.size(_usable(F.col("blocks"))) > 0)).drop("_own", "_gate")

@@ -1,16 +1,22 @@
-"""Readers and writers. JSON arrays can't be split: read them once, keep Parquet."""
+"""Readers and writers. Files of JSON arrays are read whole, or with ``range_bytes`` as many tasks a file."""
 
 from __future__ import annotations
 
+import base64
+import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizforge.functions.keys import norm_id
+from quizforge.sources.files import filesystem
+from quizforge.sources.json_arrays import array_elements
 
-ITEM = "array<struct<id:variant,query:string,target:variant,image_path:array<string>,field:string>>"
+ITEM = "struct<id:variant,query:string,target:variant,image_path:array<string>,field:string>"
 VARIANT = "id string, can_modify boolean, original_query string, original_answer string, modified_query string, modified_answer string, reason string, verify_passed boolean"
 OUTPUT = "struct<id:string,source_file:string,query:string,target:string,output:string,status:string>"
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
@@ -27,13 +33,24 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
+    # Spark gives the file's path encoded; a plus sign is itself there.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("body"), file.alias("file"))
 
 
-def read_qa(spark: SparkSession, root: str) -> DataFrame:
+def _elements(spark: SparkSession, root: str, name: str, kind: str, range_bytes: int | None) -> DataFrame:
+    """(file, pos, x): the elements of each file's array, whole files at a time or, with ``range_bytes``, a range at a time."""
+    if range_bytes:
+        return array_elements(spark, root, name, range_bytes=range_bytes).select("file", F.col("pos").cast("int").alias("pos"), F.from_json("element", kind).alias("x"))
+    files = _whole(spark, root).where(F.col("file").rlike(name))
+    wrapped = F.from_json("body", f"struct<results:array<{kind}>>")["results"]
+    rows = F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{kind}>")).otherwise(wrapped)
+    return files.select("file", F.posexplode(rows).alias("pos", "x"))
+
+
+def read_qa(spark: SparkSession, root: str, range_bytes: int | None = None) -> DataFrame:
     """Question items of ``<dataset>/<subject>_qa.json``; other files and rows without an id drop."""
-    files = _whole(spark, root).where(F.col("file").rlike(r"_qa\.json$"))
-    rows = files.select("file", F.posexplode(F.from_json("body", ITEM)).alias("pos", "x"))
+    rows = _elements(spark, root, r"_qa\.json$", ITEM, range_bytes)
     return rows.select(
         F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("dataset"), F.regexp_extract("file", r"([^/]+)_qa\.json$", 1).alias("subject"), "pos",
         norm_id(F.col("x.id")).alias("id"), "x.query", F.try_variant_get("x.target", "$", "string").alias("target"), "x.image_path", "x.field",
@@ -55,20 +72,16 @@ def read_rounds(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+def read_outputs(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """Outputs of files that are an object with ``results``, or a bare list."""
-    files = _whole(spark, path)
-    bare = F.from_json("body", f"array<{OUTPUT}>")
-    wrapped = F.from_json("body", f"struct<results:array<{OUTPUT}>>")["results"]
-    is_list = F.ltrim("body").startswith("[")
-    return files.select("file", F.posexplode(F.when(is_list, bare).otherwise(wrapped)).alias("pos", "r")).select("file", "pos", "r.*")
+    return _elements(spark, path, r"\.json$", OUTPUT, range_bytes).select("file", "pos", "x.*")
 
 
-def read_variants(spark: SparkSession, root: str) -> DataFrame:
+def read_variants(spark: SparkSession, root: str, range_bytes: int | None = None) -> DataFrame:
     """Variant files ``{dataset}_{field}_{level}.json``; a dataset may have ``_``."""
     name = F.regexp_extract("file", r"([^/]+)\.json$", 1)
     part = lambda i: F.regexp_extract(name, r"^(.*)_([^_]+)_([^_]+)$", i)
-    rows = _whole(spark, root).select(part(1).alias("dataset"), part(2).alias("field"), part(3).alias("level"), F.posexplode(F.from_json("body", ITEM)).alias("pos", "x"))
+    rows = _elements(spark, root, r"\.json$", ITEM, range_bytes).select(part(1).alias("dataset"), part(2).alias("field"), part(3).alias("level"), "pos", "x")
     return rows.select("dataset", "field", "level", "pos", norm_id(F.col("x.id")).alias("id"), "x.query", F.try_variant_get("x.target", "$", "string").alias("target"), "x.image_path").where(F.col("id").isNotNull())
 
 
@@ -76,46 +89,84 @@ def image_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(path): images under ``root``, relative to it; no bytes are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     base = root.removeprefix("file://").rstrip("/") + "/"
-    relative = F.substring_index("path", base, -1)
+    # The first place is the root's own: a path may have the same names again further down.
+    relative = F.expr("substring(path, instr(path, {0}) + length({0}))".format(_quoted(base)))
     return files.select(relative.alias("path")).where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGES))
 
 
-def encode_images(rows: DataFrame, images: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, image, reason): base64 of one image, or a JSON array of several in order.
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: Images are handed on once so many bytes are encoded, or with the batch of rows.
+_ENCODED_BYTES = 32 << 20
 
-    A row without images, or with one that is missing, has no image and the ``reason``. Bytes are shuffled once for a row with
-    one image, and once more only for rows with several.
+
+def encode_images(rows: DataFrame, root: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, image, reason): base64 of one image under ``root``, or a JSON array of several in order.
+
+    A row without images, or with one that is missing, has no image and the ``reason``. Images are opened in the task that holds
+    the row: nothing is joined, and no bytes are shuffled.
     """
     keys = keys or ["id"]
-    plain = F.regexp_replace(F.base64("content"), "\r\n", "")
-    number = F.coalesce(F.size("image_path"), F.lit(0))
     own = rows.select(*keys, "image_path")
-    some = images.select("path", "content")
-    reason = F.when(F.col("image").isNull(), "missing_image").alias("reason")
-    none = own.where(number <= 0).select(*keys, F.lit(None).cast("string").alias("image"), F.lit("no_image").alias("reason"))
-    one = own.where(number == 1).withColumn("path", F.get("image_path", 0)).join(some, "path", "left").select(*keys, plain.alias("image")).select(*keys, "image", reason)
-    each = own.where(number > 1).select(*keys, number.alias("n"), F.posexplode("image_path").alias("at", "path"))
-    joined = each.join(some, "path", "left").select(*keys, "n", F.when(F.col("content").isNotNull(), F.struct("at", plain.alias("b"))).alias("part"))
-    parts = joined.groupBy(*keys, "n").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # the images of one row
-    several = parts.select(*keys, F.when(F.size("parts") == F.col("n"), F.to_json(F.transform("parts", lambda s: s["b"]))).alias("image")).select(*keys, "image", reason)
-    return none.unionByName(one).unionByName(several)
-
-
-def _replace_partitions(df: DataFrame, path: str, *by: str) -> None:
+    at = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = filesystem(root.rstrip("/"))
+        for batch in batches:
+            first, size, images, reasons = 0, 0, [], []
+
+            def part(end: int) -> pa.RecordBatch:
+                columns = [*(c[first:end] for c in batch.columns[:at]), pa.array(images, pa.large_string()).cast(pa.string()), pa.array(reasons, pa.string())]  # noqa: B023 - called at once
+                return pa.RecordBatch.from_arrays(columns, [*keys, "image", "reason"])
+
+            for i, paths in enumerate(batch.column(at).to_pylist()):
+                image, reason = _encoded(store, base, paths)
+                images.append(image)
+                reasons.append(reason)
+                size += len(image or "")
+                if size >= _ENCODED_BYTES:
+                    yield part(i + 1)
+                    first, size, images, reasons = i + 1, 0, [], []
+            if first < batch.num_rows:
+                yield part(batch.num_rows)
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    return own.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", image string, reason string")
+
+
+def _encoded(store, base: str, paths: list[str] | None) -> tuple[str | None, str | None]:
+    if not paths:
+        return None, "no_image"
+    out = []
+    for p in paths:
+        try:
+            with store.open_input_stream(f"{base}/{p}") as f:
+                out.append(base64.b64encode(f.read()).decode())
+        except FileNotFoundError:
+            return None, "missing_image"
+    return (out[0] if len(out) == 1 else json.dumps(out, separators=(",", ":"))), None
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` as a table bucketed and sorted by ``keys``: tables with the same keys and buckets are joined, and grouped by
+    the keys, without an exchange. Its files are under ``path``; a table of that name is replaced."""
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     """A run again replaces the partitions that it has rows for."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_variants(df: DataFrame, path: str) -> None:
-    _replace_partitions(df, path, "dataset", "field", "level")
-
-
-def write_eval_tsv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, sep="\t", header=True, escape='"')
+    replace_partitions(df, path, "dataset", "field", "level")
 
 
 def write_judge(df: DataFrame, path: str) -> None:
-    _replace_partitions(df, path, "model", "dataset", "action", "run_tag")
+    replace_partitions(df, path, "model", "dataset", "action", "run_tag")
 
 
 def write_rounds(df: DataFrame, path: str) -> None:

@@ -72,6 +72,8 @@ def test_attempts_and_rounds(spark):
     step = lambda left, n: left.withColumn("ok", F.lit(True)).withColumn("judge_answer", F.when(F.col("id") % 5 == n, "no").otherwise("yes"))
     out = variants_image.run_rounds(start, step).groupBy("round_idx", "state").count().collect()
     assert {(r.round_idx, r.state): r["count"] for r in out} == {(0, "passed"): 6, (1, "passed"): 6, (2, "passed"): 6, (2, "cannot_modify"): 12}
+    retries = variants_image.run_rounds(start, step).groupBy("state", "retry_times").count().collect()
+    assert {(r.state, r.retry_times): r["count"] for r in retries} == {("passed", 0): 6, ("passed", 1): 6, ("passed", 2): 6, ("cannot_modify", 3): 12}
     assert sum(r["count"] for r in out) == 30
 
 
@@ -79,7 +81,8 @@ def test_resume_is_idempotent(spark):
     items = spark.createDataFrame([("d", "1", "q"), ("d", "2", "q"), ("e", "1", "q")], "dataset string, id string, prompt string")
     keys = ["dataset", "id"]
     old = spark.createDataFrame([("d", "1", "fine", "ok"), ("d", "2", "Error: x", "ok"), ("z", "9", "orphan", "ok"), ("d", "", "blank", "ok")], "dataset string, id string, output string, status string")
-    left = inference.resume_pending(items, old, keys)
+    order = F.lit(0)
+    left = inference.resume_pending(items, old, keys, order)
     assert {(r.dataset, r.id) for r in left.collect()} == {("d", "2"), ("e", "1")}
 
     def scorer():
@@ -91,9 +94,9 @@ def test_resume_is_idempotent(spark):
         return run
 
     new = inference.infer(left, scorer).select("dataset", "id", "output", "status")
-    merged = inference.merge_outputs(items, old, new, keys)
+    merged = inference.merge_outputs(items, old, new, keys, order)
     assert {(r.dataset, r.id): r.output for r in merged.collect()} == {("d", "1"): "fine", ("d", "2"): "B", ("e", "1"): "B"}
-    assert inference.resume_pending(items, merged.select("dataset", "id", "output", "status"), keys).count() == 0
+    assert inference.resume_pending(items, merged.select("dataset", "id", "output", "status"), keys, order).count() == 0
     failed = inference.infer(items.withColumn("prompt", F.lit("boom")), scorer).collect()
     assert {r.status for r in failed} == {"error"}
 
@@ -120,15 +123,10 @@ def test_sources_round_trip(spark, tmp_path):
     assert [r.path for r in tables.image_manifest(spark, f"file://{tmp_path}/img").collect()] == ["a.png"]
     import base64
 
-    images = spark.read.format("binaryFile").load(f"file://{tmp_path}/img/*.png").withColumn("path", F.lit("a.png"))
-    one = tables.encode_images(spark.createDataFrame([("1", ["a.png"]), ("2", ["a.png", "a.png"])], "id string, image_path array<string>"), images)
+    one = tables.encode_images(spark.createDataFrame([("1", ["a.png"]), ("2", ["a.png", "a.png"])], "id string, image_path array<string>"), f"file://{tmp_path}/img")
     got = {r.id: r.image for r in one.collect()}
     want = base64.b64encode(bytes(range(200))).decode()
     assert got["1"] == want and json.loads(got["2"]) == [want, want]
-    df = spark.createDataFrame([("1", 'a\t"b"\nc')], "index string, question string")
-    tables.write_eval_tsv(df, f"file://{tmp_path}/tsv")
-    back = spark.read.csv(f"file://{tmp_path}/tsv", sep="\t", header=True, escape='"', multiLine=True)
-    assert back.first().question == 'a\t"b"\nc'
 
 
 def test_entry_point():
@@ -137,7 +135,7 @@ def test_entry_point():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["text_qa", "composite_tv", "merged_outputs"])
+@pytest.mark.parametrize("name", ["text_qa", "composite_tv", "merged_outputs", "resume_pending", "sharded_seeds"])
 def test_plans_have_no_python_and_no_nested_loop(spark, name):
     import __spark_entry__ as e
 
@@ -153,10 +151,14 @@ def test_literal_rules_are_planned_once(spark):
         assert plan.count("titration curve") == 1, name
 
 
-def test_image_rows_that_lack_images_have_reasons(spark):
-    images = spark.createDataFrame([("a", bytes(range(200))), ("b", b"x")], "path string, content binary")
+def test_image_rows_that_lack_images_have_reasons(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "_ENCODED_BYTES", 300)
+    (tmp_path / "a").write_bytes(bytes(range(200)))
+    (tmp_path / "b").write_bytes(b"x")
     rows = spark.createDataFrame([("1", ["a"]), ("2", ["a", "b", "a"]), ("3", []), ("4", None), ("5", ["zz"]), ("6", ["a", "zz"])], "id string, image_path array<string>")
-    got = {r.id: (r.image, r.reason) for r in tables.encode_images(rows, images).collect()}
+    encoded = tables.encode_images(rows, f"file://{tmp_path}")
+    assert "Exchange" not in encoded._jdf.queryExecution().toString()
+    got = {r.id: (r.image, r.reason) for r in encoded.collect()}
     import base64
 
     a, b = (base64.b64encode(x).decode() for x in (bytes(range(200)), b"x"))
@@ -214,3 +216,63 @@ def test_entry_point_without_a_package_that_llm_needs(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert "text_qa" in e.queries() and "pipeline" not in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_t1_answers_that_are_no_json_are_not_verified(spark):
+    item = ("d", "f", "1", " Mix 5 mL of NaOH\nA. x\nB. y", "A")
+    answers = {
+        "none": None, "prose": "{no answer", "text first": '{"can_modify": true, "modified_query": "decoy", "modified_query_text": "Blend 5 ml naoh"}', "other name": '{"can_modify": true, "modified_query_text": "", "modified_query": "Blend 5 ml naoh"}',
+        "refused": '{"can_modify": false, "modified_query_text": "x", "return_checklist": ["NaOH", "zz"]}', "empty": '{"can_modify": true, "modified_query_text": " "}',
+    }
+    rows = spark.createDataFrame([(*item, k, v) for k, v in answers.items()], "dataset string, field string, id string, query string, target string, k string, response string")
+    got = {r.k: r for r in variants_text.apply_t1(rows).collect()}
+    assert {k: (r.answer_state, r.verify_passed, r.can_modify) for k, r in got.items()} == {
+        "none": ("parse_failed", False, False), "prose": ("parse_failed", False, False), "text first": ("given", True, True), "other name": ("given", True, True), "refused": ("refused", True, False), "empty": ("empty", True, False),
+    }
+    assert got["prose"].modified_query == item[3] and got["prose"].return_checklist == [] and got["text first"].modified_query == "Blend 5 ml naoh\nA. x\nB. y"
+    assert got["refused"].return_checklist == ["NaOH"] and "5 mL" in got["empty"].return_checklist
+
+
+def test_last_result_of_an_id_decides(spark):
+    row = "dataset string, id string, output string, status string, attempt int"
+    items = spark.createDataFrame([("d", "1"), ("d", "2"), ("d", "3")], "dataset string, id string")
+    old = spark.createDataFrame([("d", "1", "good", "ok", 0), ("d", "1", "[ERROR] x", "error", 1), ("d", "2", "[ERROR] x", "error", 0), ("d", "2", "zz good", "ok", 2), ("d", "2", "a good", "ok", 1)], row)
+    keys = ["dataset", "id"]
+    assert {r.id for r in inference.resume_pending(items, old, keys, F.col("attempt")).collect()} == {"1", "3"}
+    new = spark.createDataFrame([("d", "1", "zz", "ok", 0), ("d", "1", "last", "ok", 1)], row)
+    got = {r.id: (r.output, r.status) for r in inference.merge_outputs(items, old, new, keys, F.col("attempt")).collect()}
+    assert got == {"1": ("last", "ok"), "2": ("zz good", "ok"), "3": ("[ERROR] missing result after resume", "error")}
+
+
+def test_originals_without_images_hide_none(spark):
+    items = spark.createDataFrame([("d", "s", "f", "1", 0, "q", "A", ["image/1.png"]), ("d", "s", "f", "1", 1, "q", "A", None)], ITEM)
+    variants = items.where("pos = 0").selectExpr("*", "true AS verify_passed", "query AS modified_query", "target AS modified_answer", "'T1' AS action")
+    assert [r.image_path for r in compose.build_text_qa(variants, items).collect()] == [["original_image/1.png"]]
+
+
+def test_contexts_name_what_was_looked_up_where_a_title_is_missing(spark):
+    block = "array<struct<_at:int,query_term:string,title:string,summary:string>>"
+    df = spark.createDataFrame([([(0, "k0", "t0", " "), (1, "k1", None, " s1 "), (2, "k2", "t2", "s2"), (3, "k3", "", "s3")],)], f"blocks {block}")
+    got = df.select(variants_text.t3_context(F.col("blocks")).alias("t3"), variants_text.t4_context(F.col("blocks")).alias("t4")).first()
+    assert (got.t3, got.t4) == ("(k1): s1", "- k1: s1\n- t2: s2\n- k3: s3")
+
+
+def test_empty_queries_can_be_asked(spark):
+    rows = spark.createDataFrame([("", "A", ["i"]), (None, "A", ["i"]), ("q", None, ["i"]), ("q", "A", [])], "query string, target string, image_path array<string>")
+    assert inference.inference_ready(rows).count() == 1
+    assert [r.reason for r in inference.eval_ready(rows).collect()] == [None, "no_query", "no_target", "no_image"]
+
+
+def test_dense_index_is_consecutive_where_values_tie(spark):
+    df = spark.range(5000).repartition(7).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 11).alias("v"), "id")
+    rows = dedup.dense_index(df, [F.col("v").desc()], "i", start=1).collect()
+    assert sorted(r.i for r in rows) == list(range(1, 5001)) and sorted(r.id for r in rows) == list(range(5000))
+    assert [r.v for r in sorted(rows, key=lambda r: r.i)] == sorted((r.v for r in rows), reverse=True)
+    assert dedup.dense_index(df.limit(0), [F.col("v")], "i").collect() == []
+
+
+def test_drops_are_counted_while_the_set_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "x" if i % 3 == 1 else "y") for i in range(90)], "id int, reason string")
+    report = summary.written_with_report(df, ("x", "y", "z"), lambda kept: kept.write.parquet(f"file://{tmp_path}/kept"))
+    assert tuple(report.first()) == (30, 30, 30, 0)
+    assert spark.read.parquet(f"file://{tmp_path}/kept").columns == ["id"] and spark.read.parquet(f"file://{tmp_path}/kept").count() == 30
