@@ -6,6 +6,10 @@ q-grams are counted in overlapping bands of 2(k + 1) diagonals, stepped by k + 1
 bands under the bound go, and the rest are verified by banded alignment. Nothing is lost by the filter: k is a tenth
 of the item's length, and q is 8, or 4 for items under 40 bytes, for which 8 leaves no bound.
 
+A benchmark whose items share a phrase makes every use of it a candidate for all of them. So postings are counted a
+bounded number at a time, overlapping bands become one region, and the regions of items of like length are aligned
+together: numpy steps through thousands of regions at once, with 64 cells of a column in each word.
+
 The texts are read once. The benchmark is dealt into blocks of bounded bytes; each block is one broadcast, and a task
 holds one block's index and a bounded number of texts at a time, so a benchmark of any size works. Texts and items are
 compared with A-Z lower-cased and white space (space, 0x09 to 0x0D) turned into one space.
@@ -31,7 +35,10 @@ Q, SHORT_Q = 8, 4
 SHORT_ITEM = 40
 #: Bytes of texts that a task holds while it goes through the blocks.
 HELD_BYTES = 64_000_000
+#: Postings that are counted at a time, and regions that are aligned at a time.
+POSTINGS, REGIONS = 1 << 21, 1 << 14
 _SLOTS = 20
+_ONE = np.uint64(1)
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +83,42 @@ class Items:
         self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _SLOTS, bool)
         self.seen[_slot(self.codes)] = True
+        self.words = -(-self.size // 64)
+        used = np.zeros(256, bool)
+        for t in texts:
+            used[t] = True
+        #: Each byte's class: those that no item has are one class, which matches nothing.
+        self.classes = int(used.sum()) + 1
+        self.class_of = np.where(used, np.cumsum(used) - 1, self.classes - 1).astype(np.int64)
+        self._tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._rare: tuple[np.ndarray, Items] | None = None
+
+    def rare_parts(self) -> tuple[np.ndarray, Items]:
+        """Of each item, where the 64 bytes begin whose q-grams are in the fewest places of the benchmark; and these as items."""
+        if self._rare is None:
+            begins = []
+            for t in self.texts:
+                code = grams(t, self.q)
+                often = np.concatenate(([0], np.cumsum(self.count[np.searchsorted(self.codes, code)])))
+                wide = min(64 - self.q + 1, len(code))
+                begins.append(int(np.argmin(often[wide:] - often[: len(often) - wide])))
+            parts = [t[b : b + 64] for b, t in zip(begins, self.texts, strict=True)]
+            self._rare = np.array(begins, np.int64), Items(self.ids.tolist(), parts, 0.0, self.q)
+        return self._rare
+
+    def places_of(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """For items of so many 64-bit words: each item's row, and by row and class of byte a bit for each place in the item."""
+        if words not in self._tables:
+            own = np.flatnonzero(self.words == words)
+            rows = np.zeros(len(self.texts), np.int64)
+            rows[own] = np.arange(len(own))
+            data, size = np.concatenate([self.texts[i] for i in own]), self.size[own]
+            place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+            table = np.zeros(len(own) * self.classes * words, np.uint64)
+            at = (np.repeat(np.arange(len(own)), size) * self.classes + self.class_of[data]) * words + place // 64
+            np.add.at(table, at, _ONE << (place % 64).astype(np.uint64))
+            self._tables[words] = rows, table.reshape(-1, words)
+        return self._tables[words]
 
 
 class Block:
@@ -117,16 +160,15 @@ def candidate_bands(items: Items, body: np.ndarray, offsets: np.ndarray) -> tupl
     whole = at + items.q <= offsets[doc + 1]
     at, where, doc = at[whole], where[whole], doc[whole]
     n = items.count[where]
-    posting = np.repeat(items.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item = items.item[posting]
-    diagonal = np.repeat(at - offsets[doc], n) - items.place[posting]
-    doc = np.repeat(doc, n)
-    band = diagonal // (items.budget[item] + 1)
-    low = int(band.min()) - 1 if band.size else 0
-    span = int(band.max()) - low + 2 if band.size else 1
-    pair = (doc * len(items.texts) + item) * span
-    step = pair + band - low
-    keys, counts = counted(step)
+    longest = int(items.size.max())
+    # Diagonals lie between the longest item's length under zero and the longest text's, and bands are no further out.
+    low, span = -longest - 1, longest + int(np.diff(offsets).max()) + 4
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), POSTINGS)[1:])
+    merged = []
+    for part in np.split(np.arange(len(at)), cuts):
+        step, place = _steps(items, at[part] - offsets[doc[part]], where[part], doc[part], n[part], low, span)
+        merged.append(counted(step))
+    keys, counts = merged[0] if len(merged) == 1 else _summed(merged)
     # A band starts at each step and is two steps wide: its count is that of its own step and of the next.
     starts = counted(np.concatenate((keys, keys - 1)))[0]
 
@@ -140,18 +182,35 @@ def candidate_bands(items: Items, body: np.ndarray, offsets: np.ndarray) -> tupl
     if not starts.size:
         return none, none, none
     # The lemma's q-grams lie at different places of the item: a text that repeats one of them has it once.
-    longest = int(items.size.max())
-    hits = []
-    for shift in (0, 1):
-        to = np.minimum(np.searchsorted(starts, step - shift), len(starts) - 1)
-        own = starts[to] == step - shift
-        hits.append(to[own] * longest + items.place[posting[own]])
-    places = counted(np.concatenate(hits))[0] // longest
-    starts = starts[np.bincount(places, minlength=len(starts)) >= bound]
+    if len(merged) == 1:  # where there are more, the alignment tells
+        hits = []
+        for shift in (0, 1):
+            to = np.minimum(np.searchsorted(starts, step - shift), len(starts) - 1)
+            own = starts[to] == step - shift
+            hits.append(to[own] * longest + place[own])
+        places = np.bincount(counted(np.concatenate(hits))[0] // longest, minlength=len(starts))
+        starts = starts[places >= bound]
     doc, item = np.divmod(starts // span, len(items.texts))
     return doc, item, starts % span + low
 
 
+def _steps(items: Items, at: np.ndarray, where: np.ndarray, doc: np.ndarray, n: np.ndarray, low: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item and band as one number, place in the item) of the postings of q-grams at places ``at`` of documents."""
+    posting = np.repeat(items.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    item, place = items.item[posting], items.place[posting]
+    band = (np.repeat(at, n) - place) // (items.budget[item] + 1)
+    return (np.repeat(doc, n) * len(items.texts) + item) * span + band - low, place
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all parts, each key once."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.concatenate([c for _, c in parts])[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[at], np.add.reduceat(counts, at)
+
+
 def align(item: np.ndarray, region: np.ndarray, first: int, width: int) -> tuple[int, int]:
     """Fewest edits of ``item`` anywhere on diagonals first .. first + width - 1 of ``region``, and the end there."""
     far = len(item) + len(region) + 1
@@ -172,25 +231,114 @@ def align(item: np.ndarray, region: np.ndarray, first: int, width: int) -> tuple
     return int(row[j]), len(item) + first + j
 
 
+def align_together(items: Items, words: int, item: np.ndarray, classes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits of each item anywhere in its region begin .. end of the texts, and the first end of such a place in it.
+
+    All regions advance a byte at a time. A column of the alignment is kept as its differences between neighbouring cells, up
+    (``more``) and down (``less``), one bit a cell.
+    """
+    rows, table = items.places_of(words)
+    order = np.argsort(begin - end, kind="stable")  # longest first: those that are still going on come first
+    item, begin, length = item[order], begin[order], (end - begin)[order]
+    base, size = rows[item] * items.classes, items.size[item]
+    last = ((size - 1) % 64).astype(np.uint64)
+    more = [np.full(len(item), ~np.uint64(0)) for _ in range(words)]
+    less = [np.zeros(len(item), np.uint64) for _ in range(words)]
+    score, best, where = size.copy(), size.copy(), np.zeros(len(item), np.int64)
+    going = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # regions longer than t
+    for t, n in enumerate(going.tolist()):
+        at = base[:n] + classes[begin[:n] + t]
+        up = down = np.zeros(n, np.uint64)
+        for w in range(words):
+            up_to, less_than = more[w][:n], less[w][:n]
+            same = table[at, w]
+            vertical = same | less_than
+            same = same | down
+            across = (((same & up_to) + up_to) ^ up_to) | same
+            rise, fall = less_than | ~(across | up_to), up_to & across
+            top = last[:n] if w == words - 1 else np.uint64(63)
+            next_up, next_down = (rise >> top) & _ONE, (fall >> top) & _ONE
+            rise, fall = (rise << _ONE) | up, (fall << _ONE) | down
+            more[w][:n], less[w][:n] = fall | ~(vertical | rise), rise & vertical
+            up, down = next_up, next_down
+        score[:n] += up.astype(np.int64) - down.astype(np.int64)
+        better = np.flatnonzero(score[:n] < best[:n])
+        best[better], where[better] = score[better], t + 1
+    out = np.empty((2, len(order)), np.int64)
+    out[:, order] = best, where
+    return out[0], out[1]
+
+
+def regions_of(items: Items, doc: np.ndarray, item: np.ndarray, band: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, item, lowest diagonal, diagonals, begin, end) of the bands' regions, in the texts; those that overlap are one."""
+    if not len(doc):
+        return (doc,) * 6
+    order = np.lexsort((band, item, doc))
+    doc, item, band = doc[order], item[order], band[order]
+    k = items.budget[item]
+    # A region may be entered k diagonals before the band and left k after it.
+    low, high = band * (k + 1) - k, band * (k + 1) + 2 * (k + 1) + k
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1] + items.size[item[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    doc, item, low, high = doc[first], item[first], low[first], high[last]
+    begin = cut[doc] + np.maximum(low, 0)
+    end = np.minimum(cut[doc + 1], cut[doc] + high + items.size[item])
+    some = end > begin
+    return doc[some], item[some], low[some], (high - low)[some], begin[some], end[some]
+
+
 def _filtered(items: Items, body: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, edits, end in the normalised document): the best verified match of each pair."""
-    regions: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
-    for d, i, band in zip(*(x.tolist() for x in candidate_bands(items, body, cut)), strict=True):
-        k, m = int(items.budget[i]), int(items.size[i])
-        # The region may be entered k diagonals before the band and left k after it.
-        low = band * (k + 1) - k
-        begin = max(0, low)
-        region = body[cut[d] : cut[d + 1]][begin : max(begin, low + 2 * (k + 1) + 2 * k + m)]
-        regions.setdefault((d, i), []).append((begin, low, region))
-    for (d, i), found in regions.items():
-        k, m = int(items.budget[i]), int(items.size[i])
-        ends = [(0, begin + at + m) for begin, _, region in found if (at := region.tobytes().find(items.texts[i].tobytes())) >= 0]
-        if not ends:  # no band has it unchanged
-            aligned = ((begin, *align(items.texts[i], region, low - begin, 2 * (k + 1) + 2 * k)) for begin, low, region in found if len(region))
-            ends = [(edits, begin + end) for begin, edits, end in aligned]
-        edits, end = min(ends, default=(k + 1, 0))
-        if edits <= k:
-            yield d, i, edits, end
+    """(document, item, edits, end in the normalised document): the best verified match of each pair, the first of equals."""
+    doc, item, low, width, begin, end = regions_of(items, *candidate_bands(items, body, cut), cut)
+    words = items.words[item]
+    if len(doc) > REGIONS // 8:
+        likely = _likely(items, body, cut, doc, item, low, width)
+        doc, item, low, width, begin, end, words = (x[likely] for x in (doc, item, low, width, begin, end, words))
+    edits, stop = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    classes = items.class_of[body] if len(doc) else body
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        if len(own) > 2 * w:  # fewer are aligned sooner one by one
+            own = own[np.argsort(end[own] - begin[own], kind="stable")]
+            for at in range(0, len(own), REGIONS):
+                part = own[at : at + REGIONS]
+                edits[part], stop[part] = align_together(items, w, item[part], classes, begin[part], end[part])
+            continue
+        for r in own.tolist():
+            region = body[begin[r] : end[r]]
+            found = region.tobytes().find(items.texts[item[r]].tobytes())
+            edits[r], stop[r] = (0, found + items.size[item[r]]) if found >= 0 else align(items.texts[item[r]], region, min(0, int(low[r])), int(width[r]))
+    good = np.flatnonzero(edits <= items.budget[item])
+    ends = begin[good] - cut[doc[good]] + stop[good]
+    order = np.lexsort((ends, edits[good], item[good], doc[good]))
+    seen = None
+    for r, e in zip(good[order].tolist(), ends[order].tolist(), strict=True):
+        if (doc[r], item[r]) != seen:
+            seen = doc[r], item[r]
+            yield int(doc[r]), int(item[r]), int(edits[r]), e
+
+
+def _likely(items: Items, body: np.ndarray, cut: np.ndarray, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which regions may have their item: its rarest 64 bytes alone have no more edits there than the whole item may have.
+
+    Items that share a phrase go by what they don't share. It says nothing where the budget is about half of 64.
+    """
+    likely = np.ones(len(doc), bool)
+    asked = np.flatnonzero((items.words[item] > 1) & (items.budget[item] < 32))
+    if not len(asked):
+        return likely
+    at, parts = items.rare_parts()
+    classes = parts.class_of[body]
+    begin = np.maximum(cut[doc] + low + at[item], cut[doc])[asked]
+    end = np.minimum(cut[doc] + low + at[item] + width + 64, cut[doc + 1])[asked]
+    order = np.argsort(end - begin, kind="stable")
+    for k in range(0, len(asked), REGIONS):
+        own = order[k : k + REGIONS]
+        edits = align_together(parts, 1, item[asked[own]], classes, begin[own], np.maximum(end[own], begin[own]))[0]
+        likely[asked[own]] = edits <= items.budget[item[asked[own]]]
+    return likely
 
 
 def _tiny(item: bytes, raw: bytes, word: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int]]:
