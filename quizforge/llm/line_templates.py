@@ -11,7 +11,8 @@ later step finds them as copies.
 Defined results: a null or empty text has one empty line and stays as it is; lines under ``min_tokens`` tokens
 never drop; rows with one doc_id (repeated ones, or other texts under it) are one document for a template's frequency,
 rows with a null doc_id are one document for each distinct text and sort last; equal rows come out equal; the
-columns of ``docs`` keep their place, and a name of ``counts`` that is one of them is an error.
+columns of ``docs`` keep their place, and a count whose name is one of them has underscores before it. Across documents
+templates and long lines are known by 128 bits (a leaf by 64, which only says what is parsed further).
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     even = F.when(lower.rlike(ODD_SPACES), F.regexp_replace(lower, SPACES, " ")).otherwise(lower)
     lines = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(body).alias("k_text"), F.posexplode(F.split(even, "\n")).alias("pos", "raw"))
     line = F.trim("raw")
-    return lines.select("k_id", "k_text", "pos", F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line).alias("line"), F.xxhash64(F.lit(-2), line).alias("whole"))
+    return lines.select("k_id", "k_text", "pos", F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line).alias("line"), F.struct(F.xxhash64(F.lit(-2), line).alias("a"), F.xxhash64(line, F.lit(-3)).alias("b")).alias("whole"))
 
 
 def _leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -56,11 +57,12 @@ def _templates(leaves: DataFrame, depth: int, segments: int) -> DataFrame:
     n, tokens = F.col("n"), F.split("line", " ")
     cut = F.array(*[_segment(tokens, n, s, depth, segments) for s in range(segments)])
     named = leaves.withColumn("cut", cut)
-    part = F.col("cut")
-    forms = [F.xxhash64("leaf", F.lit(-1), *[part[i] for i in range(segments)])]
+    part, lead = F.col("cut"), F.substring_index("line", " ", depth)
+    key = lambda s, rest: F.struct(F.xxhash64("leaf", F.lit(s), *rest).alias("a"), F.xxhash64("n", F.lit(s), *rest[::-1], lead).alias("b"))
+    forms = [key(-1, [part[i] for i in range(segments)])]
     for s in range(segments):
         rest = [part[i] for i in range(segments) if i != s]
-        forms.append(F.when(n >= depth + 2 * segments, F.xxhash64("leaf", F.lit(s), *rest)))
+        forms.append(F.when(n >= depth + 2 * segments, key(s, rest)))
     listed = F.filter(F.array(*forms), lambda x: x.isNotNull())
     return named.select("k_id", "k_text", "pos", listed.alias("templates"))
 
@@ -75,13 +77,17 @@ def _long_repeats(lines: DataFrame, min_docs: int) -> DataFrame:
     return lines.join(recurring, "whole").where(~is_first).select("k_id", "k_text", "pos")
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """n_lines and n_dropped, each with as many underscores before it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple(next(n for k in range(len(taken) + 1) if (n := "_" * k + name) not in taken) for name in ("n_lines", "n_dropped"))
+
+
 def drop_recurring_lines(
     docs: DataFrame, *, text: str = "text", min_docs: int = 5, min_tokens: int = 3, depth: int = 4, segments: int = 4, long_min_docs: int | None = None, long_tokens: int = 50,
-    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and two columns more (long): the lines, and those dropped."""
-    if set(counts) & set(docs.columns):
-        raise ValueError(f"docs has a column of {counts}: name other ones")
+    """``docs`` with recurring lines taken out of ``text``, and two columns more (long) at the end, named by ``count_names``: the lines, and those dropped."""
+    counts = count_names(docs)
     lines = _lines(docs, text)
     leaves = _leaf(lines, depth, min_tokens)
     if long_min_docs is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quizforge.llm import collocations, decontaminate, html_blocks, line_quality, line_templates, packing, quality_mil, resample, secrets, simhash, token_counts, toxicity, warc
 
@@ -13,8 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", "text")
+    docs = table(spark, sf_dir, "documents")
+    lines, dropped = line_templates.count_names(docs)
+    out = line_templates.drop_recurring_lines(docs)
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(dropped).alias("n_dropped"), "text")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quizforge.llm.common import new_path, stored, text_chunks
 from quizforge.llm.pieces import cut_words, encoder
 
+#: So many digests of 32 bytes are sent to the tasks at most.
+FEW_MISSES = 200_000
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,15 +67,32 @@ def _encode(path: str):
     return encode
 
 
-def append_misses(docs: DataFrame, cache_path: str, tokenizer: str, text: str = "text") -> None:
-    """Encode the distinct texts that the cache lacks and append their counts to it."""
+def digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, content_digest) of every row, stored: what is in the cache is known without another look at the texts."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return stored(docs.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), content_digest(body).alias("content_digest")), "digests")
+
+
+def append_misses(docs: DataFrame, cache_path: str, tokenizer: str, text: str = "text", keyed: DataFrame | None = None) -> None:
+    """Encode the distinct texts that the cache lacks and append their counts to it.
+
+    Misses are found among digests. If there are none, no text is read again; up to ``FEW_MISSES`` of them are sent to the tasks, and
+    only their texts travel. Beyond that all distinct texts do, copies meeting in the tasks that read them.
+    """
     version = tokenizer_digest(tokenizer)
+    keyed = digests(docs, text) if keyed is None else keyed
+    known = read_cache(keyed.sparkSession, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest")
+    missing = stored(keyed.select("content_digest").distinct().join(known, "content_digest", "left_anti"), "missing")
+    n = missing.count()
+    if not n:
+        return
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(content_digest(body).alias("content_digest"), body.alias("body"))
-    known = read_cache(docs.sparkSession, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest")
-    # Copies meet in the tasks that read them before anything is shuffled, so no digest floods a task.
-    misses = texts.dropDuplicates(["content_digest"]).join(known, "content_digest", "left_anti")
-    counted = misses.mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
+    if n <= FEW_MISSES:
+        texts = texts.join(F.broadcast(missing), "content_digest", "left_semi").dropDuplicates(["content_digest"])
+    else:
+        texts = texts.dropDuplicates(["content_digest"]).join(missing, "content_digest", "left_semi")
+    counted = texts.mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
     # Counts are complete in a table of their own before the cache, which is being read, gets them.
     found = stored(counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens"), "misses")
     found.write.mode("append").parquet(cache_path)
@@ -82,9 +101,8 @@ def append_misses(docs: DataFrame, cache_path: str, tokenizer: str, text: str =
 def token_counts(docs: DataFrame, tokenizer: str, *, text: str = "text", cache_path: str | None = None, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; the cache is kept at ``cache_path`` if given."""
     cache_path = cache_path or new_path(docs.sparkSession, "token_cache")
-    append_misses(docs, cache_path, tokenizer, text)
+    keyed = digests(docs, text)
+    append_misses(docs, cache_path, tokenizer, text, keyed)
     version = tokenizer_digest(tokenizer)
     cache = read_cache(docs.sparkSession, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), content_digest(body).alias("content_digest"))
     return keyed.join(cache, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

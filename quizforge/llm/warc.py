@@ -3,8 +3,9 @@
 ``write_archives`` gives each partition's pages as WARC/1.1 records in one gzip stream a file. ``normalise`` inflates each such
 file once (of one gzip member or of several), rewrites every record as a member of its own, and writes a sidecar
 ``<file>.idx`` beside it: a line with offset and length for each record. ``read_records`` seeks to each record by the
-sidecars. Files lie in the folder that all executors share and take their final name in one move, a sidecar
-before its archive, so a task that runs again replaces whole files only.
+sidecars. ``normalise`` takes archives of any writer, whatever their names: members padded with zeros, header names in any
+case, folded headers, records of all types. Files lie in the folder that all executors share and take their final
+name in one move, a sidecar before its archive; a task that runs again takes away the file it had made before the move.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the largest page_id is the response and the others are
 revisits of it. Defined results: a null html is an empty payload (equal to other empty ones); a null page_id
@@ -64,9 +65,26 @@ def record(kind: str, record_id: str, date: str, page_id: object, url: str | Non
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_head(head: bytes) -> dict[str, str]:
-    lines = head.decode().split("\r\n")
-    return dict(line.split(": ", 1) for line in lines[1:] if line)
+class Headers(dict):
+    """Header values by name, in any case."""
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default: object = None) -> object:
+        return super().get(name.lower(), default)
+
+
+def parse_head(head: bytes) -> Headers:
+    """Header values; a line that begins with white space goes on with the one before."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in " \t" and line.strip() and lines:
+            lines[-1] += " " + line.strip()
+        elif line:
+            lines.append(line)
+    named = (line.partition(":") for line in lines)
+    return Headers({name.strip().lower(): value.strip() for name, colon, value in named if colon})
 
 
 class _Writer:
@@ -80,6 +98,8 @@ class _Writer:
 
     def close(self) -> None:
         self.out.close()
+        if self.fs.get_file_info(self.final).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.final)  # some stores don't move onto a file
         self.fs.move(self.part, self.final)
 
 
@@ -137,12 +157,13 @@ def inflated(stream) -> Iterator[bytes]:
     inflate, begun = zlib.decompressobj(wbits=31), False
     while raw := stream.read(_BLOCK):
         while raw:
+            if not begun and not (raw := raw.lstrip(b"\0")):  # files may be padded with zeros between members
+                break
             begun = True
             yield inflate.decompress(raw)
             raw = inflate.unused_data
             if inflate.eof:
                 inflate, begun = zlib.decompressobj(wbits=31), False
-                raw = raw.lstrip(b"\0")  # files may be padded with zeros between members
     if begun:
         raise ValueError("the archive ends inside a gzip member")
 
@@ -159,7 +180,7 @@ def inflated_records(stream) -> Iterator[tuple[bytes, bytes]]:
                 if end < 0:
                     break
                 head, at = bytes(buffer[at:end]), end + 4
-                need = int(parse_head(head)["Content-Length"])
+                need = int(parse_head(head)["content-length"])
             if len(buffer) - at < need + 4:
                 break
             yield head, bytes(buffer[at : at + need])
@@ -171,7 +192,7 @@ def inflated_records(stream) -> Iterator[tuple[bytes, bytes]]:
 
 
 def normalise(spark: SparkSession, folder: str, target: str, *, level: int = 5) -> int:
-    """Rewrite the archives of ``folder`` into ``target``, a member a record with a sidecar index; the number of records."""
+    """Rewrite the archives ``*.warc.gz`` of ``folder`` into ``target``, a member a record with a sidecar index; the number of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +212,7 @@ def normalise(spark: SparkSession, folder: str, target: str, *, level: int = 5)
                 out.close()
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder).select("path")
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
     return paths.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
@@ -202,7 +223,10 @@ def sidecar_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(index: DataFrame, page_type: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every indexed record."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every indexed response and revisit.
+
+    A response without a digest, or with one that isn't SHA-1, gets that of its payload.
+    """
     number = page_type in ("bigint", "int", "smallint", "tinyint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +235,26 @@ def read_records(index: DataFrame, page_type: str) -> DataFrame:
             rows = []
             for path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if path != name:
-                    name, (own, at) = path, open_fs(path)
-                    file = own.open_input_file(at)
+                    name, (store, at) = path, open_fs(path)
+                    file = store.open_input_file(at)
                 file.seek(offset)
                 head, block = zlib.decompress(file.read(length), wbits=31).split(b"\r\n\r\n", 1)
-                http, payload = block[:-4].split(b"\r\n\r\n", 1)
-                h, size = parse_head(head), int(parse_head(http)["Content-Length"])
-                kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                    raise ValueError(f"{path} at {offset}: the payload doesn't match its digest")
-                page, refers = [int(x) if x is not None and number else x for x in (h.get("X-Page-ID"), h.get("X-Refers-To-Page-ID"))]
-                rows.append((page, h.get("WARC-Target-URI"), size, digest, kind, refers, payload))
+                h = parse_head(head)
+                kind = h["warc-type"]
+                if kind not in ("response", "revisit"):
+                    continue
+                http, _, payload = block[:-4].partition(b"\r\n\r\n")
+                size = int(parse_head(http).get("content-length", len(payload)))
+                algorithm, _, digest = h.get("warc-payload-digest", "").partition(":")
+                if algorithm.lower() != "sha1":
+                    digest = None
+                if kind == "response":
+                    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    if digest is not None and digest.upper() != own or len(payload) != size:
+                        raise ValueError(f"{path} at {offset}: the payload doesn't match its digest")
+                    digest = own
+                page, refers = [int(x) if x is not None and number else x for x in (h.get("x-page-id"), h.get("x-refers-to-page-id"))]
+                rows.append((page, h.get("warc-target-uri"), size, digest, kind, refers, payload))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64() if number else pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if number else pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])

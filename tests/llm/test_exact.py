@@ -65,8 +65,8 @@ def test_line_templates_take_rows_of_one_id_as_one_document(spark):
     assert dropped([(i, line, "x") for i in range(6)]) == [0] + [1] * 5
     assert dropped([(None, f"{line}\nown {i}", "x") for i in range(6)]) == [0] + [1] * 5
     clash = spark.createDataFrame([(i, line, "x") for i in range(6)], "doc_id long, text string, n_dropped string")
-    with pytest.raises(ValueError, match="n_dropped"):
-        line_templates.drop_recurring_lines(clash)
+    own = line_templates.drop_recurring_lines(clash)
+    assert own.columns == [*clash.columns, "n_lines", "_n_dropped"] and sorted((r.n_dropped, r._n_dropped) for r in own.collect()) == [("x", 0)] + [("x", 1)] * 5
     kept = corpus_pipeline.line_dedup(spark, clash, "")
     assert kept.columns == clash.columns and [r.n_dropped for r in kept.collect()] == ["x"]
     long = "\n".join(f"line number {chr(97 + k % 26)} {'abc'[k % 3]} {k}" for k in range(30_000))
@@ -303,17 +303,21 @@ def plain_bits(hashes):
 
 
 def near_copies_taken_out(texts):
-    """Of different texts by id: those that are the smallest id of their component, over all pairs."""
-    words, wide, ids = [], [], sorted(texts)
+    """Of different texts by id: those that are the smallest id of their component, over all pairs that are alike in words or in a band."""
+    words, wide, bands, ids = [], [], [], sorted(texts)
     for i in ids:
         own = (texts[i] or "").encode().lower().split()
         words.append(plain_bits([xxhash.xxh64_intdigest(w, 42) for w in set(own) for _ in range(min(own.count(w), 8))]))
         shingles = {b" ".join(own[j : j + 5]) for j in range(max(1, len(own) - 4))} if own else set()
         flat = np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles], np.uint64)
-        wide.append(sum((plain_bits(common.mixed(flat + np.uint64(k)).tolist()) for k in range(8)), []))
+        drawn = [common.mixed(flat + np.uint64(k)).tolist() for k in range(16)]
+        wide.append(sum(map(plain_bits, drawn), []))
+        least = [min(d, default=0) for d in drawn]
+        bands.append({(k, least[k], least[k + 1]) for k in range(0, 16, 2)})
     words, wide = np.array(words).astype(int), np.array(wide).astype(int)
     apart = lambda m: (m[:, None] != m[None, :]).sum(axis=2)
-    near = np.array([[a <= 3 for a in row] for row in apart(words)]) & np.array([(wide != row).sum(axis=1) <= 82 for row in wide])
+    met = np.array([[a <= 3 for a in row] for row in apart(words)]) | np.array([[bool(x & y) for y in bands] for x in bands])
+    near = met & np.array([(wide != row).sum(axis=1) <= 160 for row in wide])
     label = np.arange(len(ids))
     while (new := np.where(near, label[None, :], len(ids)).min(axis=1)).tolist() != label.tolist():
         label = new
