@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines, long ones from two texts on, leave the texts; a document that had words and keeps none goes."""
-    lines, dropped = ("_" * max(map(len, docs.columns)) + name for name in ("lines", "dropped"))  # no column has these names
-    own = line_templates.drop_recurring_lines(docs, long_min_docs=2, counts=(lines, dropped))
+    _, dropped = line_templates.count_names(docs)
+    own = line_templates.drop_recurring_lines(docs, long_min_docs=2)
     left = own.where((F.col(dropped) == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
