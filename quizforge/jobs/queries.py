@@ -435,10 +435,11 @@ def rebuilt_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = A.items(spark, sf_dir)
     raw = F.array(F.concat(F.lit("extra "), "id"), F.lit("none of these"), F.concat(F.lit(" EXTRA "), "id", F.lit("  ")))
     items = X.once(items, own=X.parse_options(F.col("query")))
-    out = variants_text.rebuild_mcq(items.withColumn("distractors", variants_text.clean_distractors(raw, F.col("own"))), seed=3)
-    rebuilt = F.col("modified_query") != F.col("query")
-    options = F.when(rebuilt, X.split_mcq(F.col("modified_query"))["options"]).otherwise(F.lit(""))
-    return out.select("id", F.col("modified_answer").alias("answer"), rebuilt.alias("rebuilt"), F.md5(options).alias("options_md5"))
+    out = variants_text.rebuild_mcq(items.withColumn("distractors", variants_text.clean_distractors(raw, F.col("own"))), seed=3, options="own")
+    # The new question ends with the new options after the old stem, and nothing else.
+    lines = F.array_join("new_options", "\n")
+    rebuilt = F.col("modified_query").endswith(F.concat(F.lit("\n"), lines)) & (F.col("modified_query") != F.col("query"))
+    return out.select("id", F.col("modified_answer").alias("answer"), F.coalesce(rebuilt, F.lit(False)).alias("rebuilt"), F.md5(F.coalesce(lines, F.lit(""))).alias("options_md5"))
 
 
 #: Two equal quantities in a question, with what a model makes of each in a round; equality is worked out from numbers and factors.

@@ -136,12 +136,13 @@ def clean_distractors(candidates: Column, options: Column, most: int = 10) -> Co
     return F.slice(F.transform(new, X.strip), 1, most)
 
 
-def rebuild_mcq(items: DataFrame, distractors: str = "distractors", seed: int = 0) -> DataFrame:
-    """``modified_query`` and ``modified_answer``: old options and distractors in a seeded order, labelled anew.
+def rebuild_mcq(items: DataFrame, distractors: str = "distractors", seed: int = 0, options: str | None = None) -> DataFrame:
+    """``modified_query`` and ``modified_answer``: old options and distractors in a seeded order, labelled anew; ``new_options`` has their lines.
 
-    A target that is no option leaves the item as it is.
+    A target that is no option leaves the item as it is, with null ``new_options``. ``options`` names a column that has the parsed
+    options already.
     """
-    base = X.once(items, _options=X.parse_options(F.col("query")), _label=X.answer_label(F.col("target")), _stem=X.split_mcq(F.col("query"))["stem"])
+    base = X.once(items, _options=F.col(options) if options else X.parse_options(F.col("query")), _label=X.answer_label(F.col("target")), _stem=X.split_mcq(F.col("query"))["stem"])
     base = X.once(base, _right=F.get(F.filter("_options", lambda o: o["label"] == F.col("_label")), 0)["text"])
     wrong = F.transform(F.array_sort(F.filter("_options", lambda o: o["label"] != F.col("_label"))), lambda o: o["text"])
     every = F.concat(wrong, F.col(distractors), F.array(F.col("_right")))
@@ -151,7 +152,7 @@ def rebuild_mcq(items: DataFrame, distractors: str = "distractors", seed: int =
     known = F.col("_right").isNotNull()
     at = F.array_position("_new", F.col("_right"))
     return (
-        base.withColumn("modified_query", F.when(known, F.trim(F.concat(F.col("_stem"), F.lit("\n"), F.array_join(lines, "\n")))).otherwise(F.col("query")))
+        base.withColumn("new_options", F.when(known, lines)).withColumn("modified_query", F.when(known, F.trim(F.concat(F.col("_stem"), F.lit("\n"), F.array_join(lines, "\n")))).otherwise(F.col("query")))
         .withColumn("modified_answer", F.when(known, F.char(64 + at)).otherwise(F.col("target"))).drop("_options", "_label", "_stem", "_right", "_new")
     )
 
@@ -168,7 +169,7 @@ def apply_t4(items: DataFrame, seed: int = 0) -> DataFrame:
     done = F.col("state") == "done"
     cleaned = X.once(parsed, state=state, distractors=clean_distractors(F.coalesce("candidates", F.array().cast("array<string>")), F.col("_own")))
     cleaned = cleaned.withColumn("distractors", F.when(done, F.col("distractors")).otherwise(F.slice("distractors", 1, 0)))
-    built = rebuild_mcq(cleaned.withColumn("original_query", F.col("query")), "distractors", seed)
+    built = rebuild_mcq(cleaned.withColumn("original_query", F.col("query")), "distractors", seed, options="_own")
     return (
         built.withColumn("action", F.lit("T4")).withColumn("can_modify", done).withColumn("context", t4_context(F.col("blocks")))
         .withColumn("modified_query", F.when(done, F.col("modified_query")).otherwise(F.col("query")))
