@@ -219,6 +219,30 @@ def test_toxicity_features_against_python():
         assert (doc == i).sum() == len(pairs) and len(set(slot[doc == i].tolist())) == len(pairs)
 
 
+def test_toxicity_stems_against_python():
+    texts = ["Überaus, abcdefghij abcdefghix été", "", "ab", "\U0001f600\U0001f600\U0001f600 x", "abc"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    plain, (doc, slot) = toxicity.features(data, offsets), toxicity.features(data, offsets, toxicity.STEMS)
+    for i, t in enumerate(texts):
+        words = t.replace("Ü", "\0").lower().replace("\0", "Ü").replace(",", " ").split()
+        stems = {w[:k] for w in words for k in toxicity.STEMS if len(w) >= k}
+        assert (doc == i).sum() == (plain[0] == i).sum() + len(stems) and set(plain[1][plain[0] == i].tolist()) <= set(slot[doc == i].tolist())
+    own = [set(slot[doc == i].tolist()) for i in range(len(texts))]
+    assert len(own[0] & own[4]) == 1  # the stem abc, not the word
+
+
+def test_toxicity_recall_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    rows = toxicity.score(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").select("lang", "toxic", "predicted").collect()
+    for lang in ("en", "de", "fr", "es"):
+        found = [r.predicted for r in rows if r.lang == lang and r.toxic == 1]
+        assert sum(found) >= 0.7 * len(found) > 0, lang
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(clean) <= 0.01 * len(clean)
+
+
 def warc_records(path):
     raw, out = path.read_bytes(), []
     while raw:
