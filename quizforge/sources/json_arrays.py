@@ -3,7 +3,8 @@
 Where a range begins inside a string or how deep it is nested isn't known from its own bytes. So the ranges are looked at
 twice, both times by all tasks at once: first each says what it would do to either state (outside or inside a string),
 which is a few numbers; those are put together in order, one row a range; then each range is read again with its
-true state, and the element that runs over its end is read to its own end.
+true state, and the element that runs over its end is read to its own end. A file that is no longer than a range begins in a
+known state, so it is read once.
 
 Files are opened by ``pyarrow.fs`` (local, HDFS, S3, GCS) inside the tasks.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizforge.sources.files import filesystem
+from quizforge.sources.files import dealt, filesystem, list_files
 
 RANGE_BYTES = 16 << 20
 _PIECE = 1 << 20
@@ -128,6 +130,7 @@ def _summaries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "begin", "start", "end", "escaped", "in_string", "open_end", "change", "low", "commas"])
 
 
+_ELEMENT = "file string, pos long, element string"
 _RANGE = "file string, begin long, start long, end long, escaped boolean"
 _SUMMARY = f"{_RANGE}, in_string boolean, open_end boolean, change long, low long, commas array<long>"
 
@@ -158,8 +161,38 @@ def _elements(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"file": r.file, "pos": [p for p, _ in found[i : i + 10_000]], "element": [e for _, e in found[i : i + 10_000]]})
 
 
-def _range_elements(file, r) -> list[tuple[int, str]]:
-    """(place in the array, text) of the elements whose delimiter, ``[`` or ``,``, is in the range."""
+#: Elements of small files are handed on together, once they are so many or so long.
+_ELEMENTS, _CHARACTERS = 10_000, 4 << 20
+#: Small files of one task, where there are few tasks.
+_TASK_FILES = 32
+
+
+def _small(key: str):
+    """The elements of files of one range each."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, long = [], 0
+        for part in parts:
+            for path in part["file"]:
+                with _open(path) as f:
+                    whole = pa.BufferReader(f.read())
+                begin = _array_begin(whole, whole.size(), key)
+                if begin < 0:
+                    continue
+                r = SimpleNamespace(begin=begin, start=begin, end=whole.size(), escaped=False, in_string=False, depth=0, before=0)
+                found = _range_elements(whole, r, True)
+                rows += [(path, i, x) for i, x in found]
+                long += sum(len(x) for _, x in found)
+                if len(rows) >= _ELEMENTS or long >= _CHARACTERS:
+                    yield pd.DataFrame(rows, columns=["file", "pos", "element"])
+                    rows, long = [], 0
+        yield pd.DataFrame(rows, columns=["file", "pos", "element"])
+
+    return run
+
+
+def _range_elements(file, r, whole: bool = False) -> list[tuple[int, str]]:
+    """(place in the array, text) of the elements whose delimiter, ``[`` or ``,``, is in the range; none if the ``whole`` array is there and doesn't end."""
     raw = file.read_at(r.end - r.start, r.start)
     data = np.frombuffer(raw, np.uint8)
     at, depth, in_string = _marks(data, r.escaped, r.in_string)
@@ -170,6 +203,8 @@ def _range_elements(file, r) -> list[tuple[int, str]]:
     over = np.flatnonzero((depth == 0) & (_DEPTH[kind] == -1))  # the array ends here; what follows isn't its own
     if len(over):
         begin[over[0] :], stop[over[0] + 1 :] = False, False
+    elif whole:
+        return []
     starts, stops = at[begin] + 1, at[stop]
     where = np.searchsorted(stops, starts)
     texts = [raw[a : stops[i]] if i < len(stops) else raw[a:] for a, i in zip(starts.tolist(), where.tolist(), strict=True)]
@@ -202,11 +237,15 @@ def array_elements(spark: SparkSession, root: str, name: str = r"\.json$", key:
     A file is an array, or an object with one under ``key``; other files, and arrays that don't end, have no rows. A task
     holds one range and the element that runs over its end. ``file`` is the path as it is, not encoded.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)  # names and sizes only
-    files = listed.select(F.col("path").alias("file"), F.col("length").alias("size")).where(F.col("file").rlike(name))
-    known = files.mapInPandas(_begins(key), "file string, size long, begin long").where("begin >= 0")
+    files = list_files(spark, root).where(F.col("file").rlike(name))
+    is_large = F.col("size") > range_bytes
+    n_small, n_large, n_ranges = files.agg(F.count_if(~is_large), F.count_if(is_large), F.sum(F.when(is_large, F.ceil(F.col("size") / range_bytes)))).first()
+    small = dealt(files.where(~is_large), n_small // _TASK_FILES + 1, "file").mapInPandas(_small(key), _ELEMENT)
+    if not n_large:
+        return small
+    known = dealt(files.where(is_large), n_large, "file").mapInPandas(_begins(key), "file string, size long, begin long").where("begin >= 0")
     ranges = known.select("file", "begin", "size", F.explode(F.sequence("begin", F.col("size") - 1, F.lit(range_bytes))).alias("start"))
     ranges = ranges.select("file", "begin", "start", F.least(F.col("start") + range_bytes, "size").alias("end"))
-    dealt = ranges.repartition(F.col("file"), F.col("start"))  # each range is a task's work of its own
-    told = dealt.mapInPandas(_summaries, _SUMMARY).groupBy("file", "begin").applyInPandas(_put_together, f"{_RANGE}, in_string boolean, depth long, before long")
-    return told.repartition(F.col("file"), F.col("start")).mapInPandas(_elements, "file string, pos long, element string")
+    told = dealt(dealt(ranges, n_ranges, "file", "start").mapInPandas(_summaries, _SUMMARY), n_large, "file", "begin")
+    told = told.groupBy("file", "begin").applyInPandas(_put_together, f"{_RANGE}, in_string boolean, depth long, before long")
+    return small.unionByName(dealt(told, n_ranges, "file", "start").mapInPandas(_elements, _ELEMENT))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizforge.functions.keys import norm_id
-from quizforge.sources.files import filesystem
+from quizforge.sources.files import filesystem, new_table_path
 from quizforge.sources.json_arrays import array_elements
 
 ITEM = "struct<id:variant,query:string,target:variant,image_path:array<string>,field:string>"
@@ -22,16 +20,6 @@ OUTPUT = "struct<id:string,source_file:string,query:string,target:string,output:
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
 
 
-def new_table_path(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can read: under spark.checkpoint.dir; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quizforge-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     # Spark gives the file's path encoded; a plus sign is itself there.
     file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

@@ -260,3 +260,19 @@ def test_null_prompts_and_empty_tables(spark):
     assert got == [(1, "a", "a", "ok"), (2, None, "[ERROR] no prompt", "error"), (3, "b", None, "ok")]
     assert inference.infer(df.where("id > 5"), lambda: str).collect() == []
     assert inference.infer(df.where("id = 2"), lambda: str).first().status == "error"
+
+
+def test_many_small_arrays_are_many_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 7}" / f"{i}.json").write_text(json.dumps({"results": [i, "x" * (i % 9)]} if i % 2 else [i, "x" * (i % 9)]))
+    for name, text in (("bad.json", "[1, 2"), ("_no.json", "[1]"), (".no.json", "[1]"), ("none.json", ""), ("other.txt", "[1]")):
+        (tmp_path / name).write_text(text)
+    parts = json_arrays.array_elements(spark, f"file://{tmp_path}", range_bytes=20)
+    got = parts.select("pos", "element", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.pos, r.element) for r in got) == sorted(x for i in range(300) for x in ((0, str(i)), (1, json.dumps("x" * (i % 9)))))
+    assert len({r.task for r in got}) > 4  # both those of one range and those of several
+    whole = json_arrays.array_elements(spark, f"file://{tmp_path}")
+    assert sorted((r.pos, r.element) for r in whole.collect()) == sorted((r.pos, r.element) for r in got)
+    assert whole.select(F.spark_partition_id()).distinct().count() == 4
+    assert "binaryFile" not in whole._jdf.queryExecution().toString()
