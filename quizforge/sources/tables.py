@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizforge.functions.keys import norm_id
-from quizforge.sources.files import filesystem, new_table_path
+from quizforge.sources.files import filesystem, list_files, new_table_path
 from quizforge.sources.json_arrays import array_elements
 
 ITEM = "struct<id:variant,query:string,target:variant,image_path:array<string>,field:string>"
@@ -74,16 +74,10 @@ def read_variants(spark: SparkSession, root: str, range_bytes: int | None = None
 
 
 def image_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path): images under ``root``, relative to it; no bytes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    base = root.removeprefix("file://").rstrip("/") + "/"
-    # The first place is the root's own: a path may have the same names again further down.
-    relative = F.expr("substring(path, instr(path, {0}) + length({0}))".format(_quoted(base)))
-    return files.select(relative.alias("path")).where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGES))
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """(path): images under ``root``, relative to it; no bytes are read, and no list of them comes to the driver."""
+    start = len(root.rstrip("/")) + 2  # a path may have the root's names again further down
+    files = list_files(spark, root).select(F.substring("file", start, 2**31 - 1).alias("path"))
+    return files.where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGES))
 
 
 #: Images are handed on once so many bytes are encoded, or with the batch of rows.

@@ -276,3 +276,24 @@ def test_many_small_arrays_are_many_tasks(spark, tmp_path):
     assert sorted((r.pos, r.element) for r in whole.collect()) == sorted((r.pos, r.element) for r in got)
     assert whole.select(F.spark_partition_id()).distinct().count() == 4
     assert "binaryFile" not in whole._jdf.queryExecution().toString()
+
+
+def test_a_manifest_is_listed_by_tasks(spark, tmp_path):
+    root = tmp_path / "a +1%" / "image"
+    for i in range(60):
+        at = root / str(i % 5) / "image"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{i}.{'png' if i % 3 else 'JPEG'}").write_text("x")
+    for name in ("_h.png", ".h.png", "empty.png", "a.txt", "_part=1.png", "x._COPYING_"):
+        (root / name).write_text("" if name == "empty.png" else "x")
+    (root / "_hidden").mkdir()
+    (root / "_hidden" / "b.png").write_text("x")
+    want = sorted([f"{i % 5}/image/{i}.{'png' if i % 3 else 'JPEG'}" for i in range(60)] + ["_part=1.png"])
+    for end in ("", "/"):
+        own = tables.image_manifest(spark, f"file://{root}{end}")
+        assert sorted(r.path for r in own.collect()) == want
+        plan = own._jdf.queryExecution().toString()
+        assert str(root) not in plan and "binaryFile" not in plan  # the driver holds no list of the root's files
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
+    listed = json_arrays.list_files(spark, f"file://{root}")
+    assert sorted(r.file[len("file://") :] for r in listed.collect()) == sorted(r.path[len("file:") :] for r in seen.select("path").collect())
