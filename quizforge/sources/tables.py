@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizforge.functions.keys import norm_id
-from quizforge.sources.files import filesystem, list_files, new_table_path
+from quizforge.sources.files import dealt, filesystem, list_files, new_table_path
 from quizforge.sources.json_arrays import array_elements
 
 ITEM = "struct<id:variant,query:string,target:variant,image_path:array<string>,field:string>"
@@ -26,11 +26,39 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("body"), file.alias("file"))
 
 
+#: Bodies of files are handed on together, once they are so long.
+_BODY_BYTES = 4 << 20
+#: Files of one task, where there are few tasks.
+_TASK_FILES = 32
+
+
+def _bodies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, texts, size = [], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(names, pa.string())], ["body", "file"])
+    for part in parts:
+        for path in part.column(0).to_pylist():
+            own, at = filesystem(path)
+            with own.open_input_stream(at, compression=None) as f:
+                texts.append(f.read().decode("utf-8", "replace"))
+            names.append(path)
+            size += len(texts[-1])
+            if size >= _BODY_BYTES:
+                yield batch()
+                names, texts, size = [], [], 0
+    yield batch()
+
+
+def _whole_listed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(body, file) of the files under ``root`` whose path has ``name``; tasks list and read them."""
+    files = list_files(spark, root).where(F.col("file").rlike(name)).select("file")
+    return dealt(files, files.count() // _TASK_FILES + 1, "file").mapInArrow(_bodies, "body string, file string")
+
+
 def _elements(spark: SparkSession, root: str, name: str, kind: str, range_bytes: int | None) -> DataFrame:
     """(file, pos, x): the elements of each file's array, whole files at a time or, with ``range_bytes``, a range at a time."""
     if range_bytes:
         return array_elements(spark, root, name, range_bytes=range_bytes).select("file", F.col("pos").cast("int").alias("pos"), F.from_json("element", kind).alias("x"))
-    files = _whole(spark, root).where(F.col("file").rlike(name))
+    files = _whole_listed(spark, root, name)
     wrapped = F.from_json("body", f"struct<results:array<{kind}>>")["results"]
     rows = F.when(F.ltrim("body").startswith("["), F.from_json("body", f"array<{kind}>")).otherwise(wrapped)
     return files.select("file", F.posexplode(rows).alias("pos", "x"))
