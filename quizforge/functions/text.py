@@ -130,8 +130,8 @@ def dedup_keep_order(items: Column, key: Callable[[Column], Column] = match_key)
     keyed = F.transform(F.array_distinct(items), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
     # Sorted by key, the first of equal keys stays; then the old order is taken up again.
     first = lambda own: F.filter(own, lambda s, j: (j == 0) | (F.get(own, j - 1)["k"] != s["k"]))
-    kept = let(F.array_sort(F.filter(keyed, lambda s: s["k"] != "")), first)
-    return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+    kept = let(F.sort_array(F.filter(keyed, lambda s: s["k"] != "")), first)
+    return F.transform(F.sort_array(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
 #: Signs without one of which a pattern has no match: they are looked for first, as that costs less.

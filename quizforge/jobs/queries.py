@@ -27,8 +27,8 @@ def query(sql: str | None = None):
     return register
 
 
-def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants_text.apply_t1(A.t1_responses(A.plain_items(spark, sf_dir)))
+def _t1(spark: SparkSession, sf_dir: str, literals: str | None = None) -> DataFrame:
+    return variants_text.apply_t1(A.t1_responses(A.plain_items(spark, sf_dir)), literals=literals)
 
 
 _KEY = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
@@ -62,10 +62,8 @@ def text_variant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_T1 + " SELECT doc_id, md5(array_to_string(xs, '|')) AS literals_md5, CAST(len(xs) AS BIGINT) AS n, CAST(len(missing) AS BIGINT) AS n_missing, array_to_string(missing, '|') AS missing, CASE WHEN doc_id % 6 = 3 THEN 'parse_failed' WHEN doc_id % 6 = 2 THEN 'refused' WHEN trim(said) = '' THEN 'empty' ELSE 'given' END AS answer_state, passed AS verify_passed FROM t1")
 def immutable_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literals of every rule in order, and those that the answer loses."""
-    own = _t1(spark, sf_dir)
-    xs = X.immutable_literals(X.split_query(F.col("original_query"))["stem"])
-    gone = F.transform("verify_missing_items", X.match_key)
-    return own.select("doc_id", F.md5(F.array_join(xs, "|")).alias("literals_md5"), F.size(xs).cast("long").alias("n"), F.size(gone).cast("long").alias("n_missing"), F.array_join(gone, "|").alias("missing"), "answer_state", "verify_passed")
+    own = X.once(_t1(spark, sf_dir, literals="xs"), gone=F.transform("verify_missing_items", X.match_key))
+    return own.select("doc_id", F.md5(F.array_join("xs", "|")).alias("literals_md5"), F.size("xs").cast("long").alias("n"), F.size("gone").cast("long").alias("n_missing"), F.array_join("gone", "|").alias("missing"), "answer_state", "verify_passed")
 
 
 @query(A.oracle_ctes("items") + " SELECT id, dataset, md5(regexp_replace(stem, '\\s+$', '')) AS stem_md5, md5(opts) AS options_md5, length(stem) AS n FROM items")
@@ -95,7 +93,8 @@ def mcq_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placeholder_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image places and formulas among the immutable literals of whole stems."""
     own = F.filter(X.immutable_literals(F.col("stem")), lambda x: x.startswith("<") | x.startswith("$"))
-    return A.items(spark, sf_dir).select("id", F.size(own).cast("long").alias("n"), F.array_join(F.array_sort(F.transform(own, X.match_key)), "|").alias("literals"))
+    told = X.once(A.items(spark, sf_dir), own=own)
+    return told.select("id", F.size("own").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("own", X.match_key)), "|").alias("literals"))
 
 
 @query(

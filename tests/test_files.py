@@ -1,9 +1,10 @@
-"""Arrays that are written as their entries come."""
+"""Arrays that are written as their entries come, and work that is done once a row."""
 
 import json
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quizforge.jobs import file_queries
@@ -49,3 +50,11 @@ def test_bodies_of_files_are_handed_on_in_parts(tmp_path, monkeypatch):
     got = list(tables._bodies(iter([files])))
     assert max(b.num_rows for b in got) == 4 and sum(b.num_rows for b in got) == 50
     assert [t for b in got for t in b.column(0).to_pylist()][7] == "x" * 300 + "�"
+
+
+@pytest.mark.parametrize("name", ["immutable_literals", "placeholder_literals", "text_qa"])
+def test_literals_are_found_once_a_row(spark, name):
+    from quizforge.jobs.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("titration curve") == 1
