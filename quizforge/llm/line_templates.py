@@ -35,25 +35,30 @@ def _segment(tokens: Column, n: Column, s: int, depth: int, segments: int) -> Co
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(document key, pos, line, whole): every line with its tokens lower-cased, fields masked, and single spaces between; whole is a hash of the line with its fields."""
+    """(document key, pos, line, whole): every line with its tokens lower-cased and single spaces between; whole is a hash of it."""
     body = F.coalesce(F.col(text), F.lit(""))
     lower = F.lower(body)
     even = F.when(lower.rlike(ODD_SPACES), F.regexp_replace(lower, SPACES, " ")).otherwise(lower)
     lines = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(body).alias("k_text"), F.posexplode(F.split(even, "\n")).alias("pos", "raw"))
     line = F.trim("raw")
-    return lines.select("k_id", "k_text", "pos", F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line).alias("line"), F.struct(F.xxhash64(F.lit(-2), line).alias("a"), F.xxhash64(line, F.lit(-3)).alias("b")).alias("whole"))
+    return lines.select("k_id", "k_text", "pos", line.alias("line"), F.struct(F.xxhash64(F.lit(-2), line).alias("a"), F.xxhash64(line, F.lit(-3)).alias("b")).alias("whole"))
+
+
+def _masked(text: Column) -> Column:
+    """The text with its fields masked. A field is a whole token, so tokens can be counted and cut before."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, FIELD, "<*>")).otherwise(text)
 
 
 def _leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """Lines with their token count and leaf; the leaf of a line under ``min_tokens`` is null."""
+    """Lines with their token count and leaf, for which the leading tokens alone are masked; the leaf of a line under ``min_tokens`` is null."""
     n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    counted = lines.withColumn("n", n)
-    lead = F.substring_index("line", " ", depth)
-    return counted.withColumn("leaf", F.when(F.col("n") >= min_tokens, F.xxhash64("n", lead)))
+    counted = lines.select("*", n.alias("n"), F.substring_index("line", " ", depth).alias("lead"))
+    return counted.withColumn("leaf", F.when(F.col("n") >= min_tokens, F.xxhash64("n", _masked(F.col("lead")))))
 
 
 def _templates(leaves: DataFrame, depth: int, segments: int) -> DataFrame:
     """The templates of each line: the whole line, and with each segment in turn generalised."""
+    leaves = leaves.withColumn("line", _masked(F.col("line")))
     n, tokens = F.col("n"), F.split("line", " ")
     cut = F.array(*[_segment(tokens, n, s, depth, segments) for s in range(segments)])
     named = leaves.withColumn("cut", cut)
